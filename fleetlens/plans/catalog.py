@@ -333,3 +333,229 @@ def q_pricing_rates(spark, sf_dir):
 def q_reference_rates(spark, sf_dir):
     """Jobs and all-purpose rates per config entry (4 dp)."""
     return pricing.reference_rates(_ws(spark, sf_dir).pricing_config)
+
+
+@query("pricing_config_view")
+def q_config_view(spark, sf_dir):
+    """Discovered node types (sorted discovery order) then configured-only types."""
+    ws = _ws(spark, sf_dir)
+    from fleetlens.sources import ingest
+    from pyspark.sql import Window
+
+    disc = ingest.distinct_node_types(ws.clusters).select(
+        F.col("node_type").alias("node_type_id"),
+        (F.row_number().over(Window.orderBy("node_type")) - 1).alias("ordinal"),
+    )
+    v = pricing.config_view(disc, ws.pricing_config)
+    return v.select(
+        "node_type_id", "dbus_per_hour", "plan", "jobs_rate_per_hour", "all_purpose_rate_per_hour", "discovered",
+        F.col("position").cast("long").alias("position"),
+    )
+
+
+def _raw_config_entries(spark, sf_dir) -> DataFrame:
+    """Raw entries as a user would post them: padded ids, mixed-case plans,
+    later duplicates for region-0 nations, blank ids, an unknown plan."""
+    from fleetlens.sources.fixtures import table
+
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    nk = F.col("n_nationkey")
+    dbus = F.when(nk % 10 == 9, F.lit(0.0)).otherwise(F.lit(0.5) + F.lit(0.5) * F.col("n_regionkey"))
+    plan = F.when(nk % 8 == 7, F.lit("gold")).when(nk % 2 == 0, F.lit("premium")).otherwise(F.lit("enterprise"))
+    first = nation.select(
+        F.concat(F.lit("  "), F.col("n_name"), F.lit(" ")).alias("node_type_id"),
+        dbus.alias("dbus_per_hour"),
+        F.when(nk % 3 == 0, F.concat(F.upper(plan), F.lit(" "))).otherwise(plan).alias("plan"),
+        (nk * 2).cast("long").alias("ordinal"),
+    )
+    later = nation.where(F.col("n_regionkey") == 0).select(
+        F.col("n_name").alias("node_type_id"), (dbus * F.lit(2.0)).alias("dbus_per_hour"), F.lit("Premium").alias("plan"),
+        (nk * 2 + 1).cast("long").alias("ordinal"),
+    )
+    blank = region.select(
+        F.lit(" ").alias("node_type_id"), F.lit(1.0).alias("dbus_per_hour"), F.lit("premium").alias("plan"),
+        (F.col("r_regionkey") + 1000).cast("long").alias("ordinal"),
+    )
+    return first.unionByName(later).unionByName(blank)
+
+
+@query("pricing_config_normalised")
+def q_config_normalised(spark, sf_dir):
+    """Trimmed, lower-cased, deduplicated (last wins) entries with violations."""
+    return pricing.normalise_config(_raw_config_entries(spark, sf_dir))
+
+
+@query("pricing_config_counts")
+def q_config_counts(spark, sf_dir):
+    """Discovered node types and configured (dbus > 0) entries."""
+    ws = _ws(spark, sf_dir)
+    from fleetlens.sources import ingest
+
+    return pricing.config_counts(ingest.distinct_node_types(ws.clusters), ws.pricing_config)
+
+
+@query("dimension_dedupe")
+def q_dimension_dedupe(spark, sf_dir):
+    """Two cluster batches, the later batch wins per cluster id."""
+    from fleetlens.operators.dedupe import latest_by_key
+    from fleetlens.sources.fixtures import table
+
+    sup = table(spark, sf_dir, "supplier")
+    b0 = _ws(spark, sf_dir).clusters.select("cluster_id", "num_workers", F.lit(0).alias("batch"))
+    b1 = sup.where(F.col("s_acctbal") > 5000).select(
+        F.col("s_name").alias("cluster_id"), ((F.col("s_suppkey") % 8) + 1).cast("int").alias("num_workers"), F.lit(1).alias("batch")
+    )
+    return latest_by_key(b0.unionByName(b1), ["cluster_id"], ["batch"])
+
+
+# ------------------------------------------------------------ I: ingest
+
+
+@query("normalise_runs")
+def q_normalise_runs(spark, sf_dir):
+    """Raw run JSON -> typed runs (flattened for comparison)."""
+    from fleetlens.sources import ingest
+    from fleetlens.sources.fixtures import raw_runs_json, table
+
+    typed, _ = ingest.normalise_runs(raw_runs_json(table(spark, sf_dir, "events")))
+    return typed.select(
+        "run_id", "job_id", "start_time", "end_time", "duration_ms",
+        F.col("state.life_cycle_state").alias("life_cycle_state"),
+        F.col("state.result_state").alias("result_state"),
+        F.col("cluster_instance.cluster_id").alias("cluster_id"),
+        F.col("cluster_spec").isNotNull().alias("has_spec"),
+        F.col("cluster_spec.node_type_id").alias("spec_node_type"),
+        F.col("cluster_spec.num_workers").alias("spec_workers"),
+        F.element_at("tags", F.lit("Tables")).alias("tables_tag"),
+    )
+
+
+@query("normalise_jobs")
+def q_normalise_jobs(spark, sf_dir):
+    """Raw job JSON -> typed jobs (flattened for comparison)."""
+    from fleetlens.sources import ingest
+    from fleetlens.sources.fixtures import raw_jobs_json, table
+
+    typed, _ = ingest.normalise_jobs(raw_jobs_json(table(spark, sf_dir, "customer")))
+    refs = F.array_sort(F.array_distinct(F.filter(F.transform("tasks", lambda t: t["cluster_ref"]), lambda r: r.isNotNull())))
+    return typed.select(
+        "job_id", "name", "creator_user_name",
+        F.col("schedule.pause_status").alias("pause_status"),
+        F.size("tasks").cast("long").alias("task_count"),
+        F.size(F.filter("tasks", lambda t: t["task_key"] == "unknown")).cast("long").alias("unknown_tasks"),
+        F.array_join(refs, "|").alias("cluster_refs"),
+        F.size("job_clusters").cast("long").alias("job_cluster_count"),
+        F.col("job_clusters")[0]["new_cluster"]["node_type_id"].alias("jc_node_type"),
+        F.col("job_clusters")[0]["new_cluster"]["num_workers"].alias("jc_workers"),
+        F.element_at("tags", F.lit("pipeline")).alias("pipeline_tag"),
+    )
+
+
+@query("normalise_clusters")
+def q_normalise_clusters(spark, sf_dir):
+    """Raw cluster JSON -> typed clusters."""
+    from fleetlens.sources import ingest
+    from fleetlens.sources.fixtures import raw_clusters_json, table
+
+    typed, _ = ingest.normalise_clusters(raw_clusters_json(table(spark, sf_dir, "supplier")))
+    return typed.select(
+        "cluster_id", "node_type_id", "driver_node_type_id", "num_workers",
+        F.col("autoscale.min_workers").alias("as_min"), F.col("autoscale.max_workers").alias("as_max"),
+    )
+
+
+@query("completed_runs_limit")
+def q_completed_runs(spark, sf_dir):
+    """The 250 newest completed runs (the source's default pull size)."""
+    from fleetlens.sources import ingest
+
+    return ingest.completed_runs(_ws(spark, sf_dir).runs, 250).select("run_id", "start_time")
+
+
+@query("distinct_cluster_ids")
+def q_distinct_cluster_ids(spark, sf_dir):
+    """Cluster ids referenced by runs."""
+    from fleetlens.sources import ingest
+
+    return ingest.distinct_cluster_ids(_ws(spark, sf_dir).runs).orderBy("cluster_id")
+
+
+@query("referenced_clusters_semi")
+def q_referenced_clusters(spark, sf_dir):
+    """Clusters some run refers to."""
+    from fleetlens.sources import ingest
+
+    ws = _ws(spark, sf_dir)
+    return ingest.referenced_clusters(ws.clusters, ws.runs).select("cluster_id", "node_type_id")
+
+
+@query("distinct_node_types")
+def q_distinct_node_types(spark, sf_dir):
+    """Driver and worker node types in use."""
+    from fleetlens.sources import ingest
+
+    return ingest.distinct_node_types(_ws(spark, sf_dir).clusters).orderBy("node_type")
+
+
+# ---------------------------------------------------------- S: snapshots
+
+
+@query("upsert_latest_by_key")
+def q_upsert_latest(spark, sf_dir):
+    """Latest row per (l_orderkey, l_linenumber) of lineitem."""
+    from fleetlens.operators.dedupe import latest_by_key
+    from fleetlens.sources.fixtures import table
+
+    li = table(spark, sf_dir, "lineitem")
+    return latest_by_key(li, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey"])
+
+
+@query("load_jobs_ordered")
+def q_load_jobs(spark, sf_dir):
+    """Jobs by name."""
+    from fleetlens.sources import snapshot
+
+    return snapshot.load_jobs(_ws(spark, sf_dir).jobs).select("job_id", "name")
+
+
+@query("load_runs_window")
+def q_load_runs_window(spark, sf_dir):
+    """Runs of the last 14 days (and runs without a start), newest first."""
+    from fleetlens.sources import snapshot
+
+    ws = _ws(spark, sf_dir)
+    runs = snapshot.with_start_date(ws.runs)
+    return snapshot.load_runs_window(runs, costing.window_start(ws.as_of_ms, 14)).select("run_id", "start_time", "start_date")
+
+
+@query("runs_flattened")
+def q_runs_flattened(spark, sf_dir):
+    """Runs with state and cluster id as columns."""
+    from fleetlens.sources import snapshot
+
+    return snapshot.flatten_runs(_ws(spark, sf_dir).runs)
+
+
+@query("sync_counts")
+def q_sync_counts(spark, sf_dir):
+    """Rows of one sync (jobs, runs, referenced clusters)."""
+    from fleetlens.sources import ingest, snapshot
+
+    ws = _ws(spark, sf_dir)
+    return snapshot.sync_counts(ws.jobs, ws.runs, ingest.referenced_clusters(ws.clusters, ws.runs))
+
+
+@query("snapshot_history")
+def q_snapshot_history(spark, sf_dir):
+    """Lineitem as an appended history (synced at ship date): versions per
+    key and the latest state."""
+    from fleetlens.sources.fixtures import table
+
+    li = table(spark, sf_dir, "lineitem").withColumn("synced_at", F.col("l_shipdate"))
+    order = F.struct("synced_at", "l_extendedprice", "l_partkey", "l_suppkey")
+    return li.groupBy("l_orderkey", "l_linenumber").agg(
+        F.count("*").alias("version_count"),
+        F.min("synced_at").alias("first_synced_at"),
+        F.max("synced_at").alias("last_synced_at"),
+        F.max_by("l_quantity", order).alias("latest_quantity"),
+    )

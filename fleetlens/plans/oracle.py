@@ -386,9 +386,134 @@ LEFT JOIN jobs j ON c.job_id = j.job_id"""
     q["pricing_rates"] = with_ctes() + f"""
 SELECT node_type_id, {r('rate', 4)} AS dbu_rate_per_hour, currency, 0.0::DOUBLE AS infrastructure_rate_per_hour,
   {r('rate + 0.0::DOUBLE', 4)} AS total_rate_per_hour FROM rates"""
+    q.update(more_queries())
     q["pricing_reference_rates"] = with_ctes() + f"""
 SELECT node_type_id, dbus_per_hour, plan,
   {r("dbus_per_hour * CASE WHEN plan = 'premium' THEN 0.15::DOUBLE ELSE 0.20::DOUBLE END", 4)} AS jobs_rate_per_hour,
   {r("dbus_per_hour * CASE WHEN plan = 'premium' THEN 0.55::DOUBLE ELSE 0.65::DOUBLE END", 4)} AS all_purpose_rate_per_hour
 FROM pricing_config"""
     return q
+
+
+def _node_types_sql() -> str:
+    return """(SELECT DISTINCT trim(x) AS node_type FROM (
+    SELECT driver_node_type_id AS x FROM clusters UNION ALL SELECT node_type_id FROM clusters
+  ) WHERE x IS NOT NULL AND trim(x) <> '')"""
+
+
+def _rates_view(dbus: str, plan: str) -> str:
+    shown = f"CASE WHEN lower(coalesce({plan}, 'premium')) IN ('premium', 'enterprise') THEN lower(coalesce({plan}, 'premium')) ELSE 'premium' END"
+    d = f"coalesce({dbus}, 0.0::DOUBLE)"
+    return (
+        f"{d} AS dbus_per_hour, {shown} AS plan, "
+        f"{r(f'{d} * CASE WHEN {shown} = ' + chr(39) + 'premium' + chr(39) + ' THEN 0.15::DOUBLE ELSE 0.20::DOUBLE END', 4)} AS jobs_rate_per_hour, "
+        f"{r(f'{d} * CASE WHEN {shown} = ' + chr(39) + 'premium' + chr(39) + ' THEN 0.55::DOUBLE ELSE 0.65::DOUBLE END', 4)} AS all_purpose_rate_per_hour"
+    )
+
+
+def more_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["pricing_config_view"] = with_ctes() + f""",
+disc AS (SELECT node_type, row_number() OVER (ORDER BY node_type) - 1 AS ordinal FROM {_node_types_sql()}),
+v AS (
+  SELECT coalesce(d.node_type, p.node_type_id) AS node_type_id,
+    CASE WHEN d.node_type IS NOT NULL THEN coalesce(p.dbus_per_hour, 0.0::DOUBLE) ELSE p.dbus_per_hour END AS dbus,
+    p.plan AS plan_raw, d.node_type IS NOT NULL AS discovered,
+    CASE WHEN d.node_type IS NOT NULL THEN 0 ELSE 1 END AS section, d.ordinal
+  FROM disc d FULL OUTER JOIN pricing_config p ON d.node_type = p.node_type_id
+)
+SELECT node_type_id, {_rates_view('dbus', 'plan_raw')}, discovered,
+  CAST(row_number() OVER (ORDER BY section, ordinal, node_type_id) - 1 AS BIGINT) AS position
+FROM v"""
+    q["pricing_config_normalised"] = """
+WITH n AS (
+  SELECT *, CASE WHEN n_nationkey % 10 = 9 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE + 0.5::DOUBLE * n_regionkey END AS dbus,
+    CASE WHEN n_nationkey % 8 = 7 THEN 'gold' WHEN n_nationkey % 2 = 0 THEN 'premium' ELSE 'enterprise' END AS plan0
+  FROM nation
+),
+raw AS (
+  SELECT '  ' || n_name || ' ' AS node_type_id, dbus AS dbus_per_hour,
+    CASE WHEN n_nationkey % 3 = 0 THEN upper(plan0) || ' ' ELSE plan0 END AS plan, CAST(n_nationkey * 2 AS BIGINT) AS ordinal
+  FROM n
+  UNION ALL
+  SELECT n_name, dbus * 2.0::DOUBLE, 'Premium', CAST(n_nationkey * 2 + 1 AS BIGINT) FROM n WHERE n_regionkey = 0
+  UNION ALL
+  SELECT ' ', 1.0::DOUBLE, 'premium', CAST(r_regionkey + 1000 AS BIGINT) FROM region
+),
+cleaned AS (
+  SELECT trim(node_type_id) AS node_type_id, coalesce(dbus_per_hour, 0.0::DOUBLE) AS dbus_per_hour,
+    lower(trim(coalesce(plan, 'premium'))) AS plan, ordinal
+  FROM raw WHERE trim(node_type_id) <> ''
+),
+latest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_type_id ORDER BY ordinal DESC) AS rn FROM cleaned) WHERE rn = 1
+)
+SELECT node_type_id, dbus_per_hour, plan,
+  CASE WHEN dbus_per_hour < 0 THEN 'negative_dbus' WHEN plan NOT IN ('premium', 'enterprise') THEN 'unsupported_plan' END AS violation
+FROM latest"""
+    q["pricing_config_counts"] = with_ctes() + f"""
+SELECT (SELECT count(*) FROM {_node_types_sql()}) AS discovered_count,
+  (SELECT count(*) FILTER (WHERE dbus_per_hour > 0) FROM pricing_config) AS configured_count"""
+    q["dimension_dedupe"] = with_ctes() + """
+SELECT c.cluster_id,
+  CASE WHEN s.s_name IS NOT NULL THEN CAST(s.s_suppkey % 8 + 1 AS INTEGER) ELSE c.num_workers END AS num_workers,
+  CASE WHEN s.s_name IS NOT NULL THEN 1 ELSE 0 END AS batch
+FROM clusters c LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) s ON c.cluster_id = s.s_name"""
+    q["normalise_runs"] = with_ctes() + """
+SELECT run_id, job_id, start_time, start_time + duration_ms AS end_time,
+  coalesce(nullif(CASE WHEN run_id % 5 = 0 THEN 0 ELSE duration_ms END, 0),
+           CASE WHEN run_id % 7 = 0 THEN NULL ELSE duration_ms END,
+           CASE WHEN start_time IS NOT NULL AND start_time + duration_ms IS NOT NULL THEN greatest(0, duration_ms) END) AS duration_ms,
+  life_cycle_state, result_state, cluster_id, has_spec, spec_node AS spec_node_type,
+  CAST(spec_workers AS INTEGER) AS spec_workers,
+  CASE WHEN run_id % 2 = 0 THEN 'raw.t' || (k % 10) END AS tables_tag
+FROM runs"""
+    q["normalise_jobs"] = """
+SELECT c_custkey AS job_id,
+  CASE WHEN c_custkey % 23 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE c_name END AS name,
+  CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE 'owner' || c_custkey END AS creator_user_name,
+  CASE WHEN c_custkey % 19 = 0 THEN 'PAUSED' ELSE 'UNPAUSED' END AS pause_status,
+  CAST(CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS task_count,
+  CAST(CASE WHEN c_custkey % 29 = 0 THEN 1 ELSE 0 END AS BIGINT) AS unknown_tasks,
+  CASE WHEN c_custkey % 7 = 0 THEN 'cluster-' || c_custkey || '|etl' ELSE 'etl' END AS cluster_refs,
+  CAST(1 AS BIGINT) AS job_cluster_count,
+  'NATION_' || c_nationkey AS jc_node_type,
+  CAST(c_custkey % 4 AS INTEGER) AS jc_workers,
+  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS pipeline_tag
+FROM customer"""
+    q["normalise_clusters"] = """
+SELECT s_name AS cluster_id, 'NATION_' || s_nationkey AS node_type_id,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'NATION_' || ((s_nationkey + 1) % 25) END AS driver_node_type_id,
+  CASE WHEN s_suppkey % 5 <> 0 THEN CAST(s_suppkey % 8 AS INTEGER) END AS num_workers,
+  CASE WHEN s_suppkey % 5 = 0 AND s_suppkey % 10 <> 0 THEN CAST(s_suppkey % 4 AS INTEGER) END AS as_min,
+  CASE WHEN s_suppkey % 5 = 0 AND s_suppkey % 10 <> 0 THEN CAST(s_suppkey % 4 + 4 AS INTEGER) END AS as_max
+FROM supplier"""
+    q["completed_runs_limit"] = with_ctes() + """
+SELECT run_id, start_time FROM runs WHERE life_cycle_state IN ('TERMINATED', 'SKIPPED', 'INTERNAL_ERROR')
+ORDER BY start_time DESC NULLS LAST, run_id DESC LIMIT 250"""
+    q["distinct_cluster_ids"] = with_ctes() + "\nSELECT DISTINCT cluster_id FROM runs WHERE cluster_id IS NOT NULL AND cluster_id <> ''"
+    q["referenced_clusters_semi"] = with_ctes() + """
+SELECT cluster_id, node_type_id FROM clusters WHERE cluster_id IN (SELECT cluster_id FROM runs WHERE cluster_id <> '')"""
+    q["distinct_node_types"] = with_ctes() + f"\nSELECT node_type FROM {_node_types_sql()}"
+    q["upsert_latest_by_key"] = """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+    ORDER BY l_shipdate DESC, l_extendedprice DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM lineitem
+) WHERE rn = 1"""
+    q["load_jobs_ordered"] = with_ctes() + "\nSELECT job_id, name FROM jobs ORDER BY name, job_id"
+    q["load_runs_window"] = with_ctes() + """
+SELECT run_id, start_time, strftime(make_timestamp(start_time * 1000), '%Y-%m-%d') AS start_date
+FROM runs, params p WHERE start_time IS NULL OR start_time >= p.as_of_ms - 14 * CAST(86400000 AS BIGINT)"""
+    q["runs_flattened"] = with_ctes() + """
+SELECT run_id, job_id, 'run-' || event_type AS run_name, start_time, start_time + duration_ms AS end_time, duration_ms,
+  life_cycle_state, result_state, cluster_id FROM runs"""
+    q["sync_counts"] = with_ctes() + """
+SELECT (SELECT count(*) FROM jobs) AS saved_jobs, (SELECT count(*) FROM runs) AS saved_runs,
+  (SELECT count(*) FROM clusters WHERE cluster_id IN (SELECT cluster_id FROM runs)) AS saved_clusters,
+  CAST(NULL AS VARCHAR) AS last_sync_at"""
+    q["snapshot_history"] = """
+SELECT l_orderkey, l_linenumber, count(*) AS version_count, min(l_shipdate) AS first_synced_at,
+  max(l_shipdate) AS last_synced_at,
+  arg_max(l_quantity, struct_pack(a := l_shipdate, b := l_extendedprice, c := l_partkey, d := l_suppkey)) AS latest_quantity
+FROM lineitem GROUP BY l_orderkey, l_linenumber"""
+    return q

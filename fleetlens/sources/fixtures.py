@@ -214,3 +214,124 @@ def load_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _table(spark, sf_dir, name)
+
+
+# ------------------------------------------------------------ raw JSON records
+
+
+def raw_runs_json(events: DataFrame) -> DataFrame:
+    """Landed run records (one JSON document per row) <- events.
+
+    Variations exercised by the ingest rules: ``run_duration`` 0 on every 5th
+    event (falls back to ``execution_duration``, missing on every 7th, then to
+    end - start); ids as JSON strings on every 4th event; the cluster spec
+    wrapped in ``new_cluster`` on even events.
+    """
+    r = raw_run_fields(events)
+    eid, k = F.col("event_id"), F.col("k")
+    dur = F.col("duration_ms")
+    spec = F.struct(
+        F.when(eid % 51 == 0, F.lit(None)).otherwise(F.concat(F.lit("NATION_"), (k % 26).cast("string"))).alias("node_type_id"),
+        (k % 6).cast("int").alias("num_workers"),
+    )
+    record = F.struct(
+        F.col("run_id").cast("string").alias("run_id"),
+        F.col("job_id"),
+        F.col("start_time"),
+        (F.col("start_time") + dur).alias("end_time"),
+        F.when(eid % 5 == 0, F.lit(0).cast("bigint")).otherwise(dur).alias("run_duration"),
+        F.when(eid % 7 == 0, F.lit(None).cast("bigint")).otherwise(dur).alias("execution_duration"),
+        F.struct(
+            F.when(eid % 101 == 0, F.lit("RUNNING")).otherwise(F.lit("TERMINATED")).alias("life_cycle_state"),
+            F.when(F.col("event_type") == "error", F.lit("FAILED")).otherwise(F.lit("SUCCESS")).alias("result_state"),
+        ).alias("state"),
+        F.when(eid % 3 == 1, F.struct(F.concat(F.lit("Supplier#"), F.lpad(k.cast("string"), 9, "0")).alias("cluster_id"))).alias(
+            "cluster_instance"
+        ),
+        F.when(eid % 2 == 0, F.create_map(F.lit("Tables"), F.concat(F.lit("raw.t"), (k % 10).cast("string")))).alias("tags"),
+    )
+    # The id stays a JSON string ("123") on every 4th record, a number elsewhere.
+    js = F.to_json(record)
+    js = F.when(eid % 4 != 0, F.regexp_replace(js, r'^\{"run_id":"(\d+)"', '{"run_id":$1')).otherwise(js)
+    # The spec is appended as text: flat on odd events, wrapped in new_cluster on even ones.
+    spec_js = F.to_json(spec)
+    spec_js = F.when(eid % 2 == 0, F.concat(F.lit('{"new_cluster":'), spec_js, F.lit("}"))).otherwise(spec_js)
+    body = F.expr("left(j, length(j) - 1)")
+    out = r.select(js.alias("j"), F.when(eid % 3 == 0, spec_js).alias("s"))
+    return out.select(
+        F.when(F.col("s").isNull(), F.col("j")).otherwise(F.concat(body, F.lit(',"cluster_spec":'), F.col("s"), F.lit("}"))).alias("value")
+    )
+
+
+def raw_jobs_json(customer: DataFrame) -> DataFrame:
+    """Landed job records <- customer (all customers; settings nested as in the API).
+
+    Variations: empty name on every 23rd key (name falls back to the id); a
+    second task on every 7th key that points at an existing cluster instead of
+    a job cluster; a task without key on every 29th; an extra job cluster
+    without key on every 3rd (dropped on ingest); no tags on every 11th.
+    """
+    ck = F.col("c_custkey")
+    main = F.struct(
+        F.when(ck % 29 == 0, F.lit(None)).otherwise(F.lit("main")).alias("task_key"),
+        F.lit("etl").alias("job_cluster_key"),
+        F.struct(F.concat(F.lit("/jobs/"), ck.cast("string")).alias("notebook_path")).alias("notebook_task"),
+    )
+    second = F.struct(
+        F.lit("adhoc").alias("task_key"),
+        F.lit(None).cast("string").alias("job_cluster_key"),
+        F.struct(F.lit(None).cast("string").alias("notebook_path")).alias("notebook_task"),
+        F.concat(F.lit("cluster-"), ck.cast("string")).alias("existing_cluster_id"),
+    )
+    main_full = F.struct(
+        main["task_key"].alias("task_key"), main["job_cluster_key"].alias("job_cluster_key"),
+        main["notebook_task"].alias("notebook_task"), F.lit(None).cast("string").alias("existing_cluster_id"),
+    )
+    tasks = F.when(ck % 7 == 0, F.array(main_full, second)).otherwise(F.array(main_full))
+    new_cluster = F.struct(
+        F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("node_type_id"),
+        (ck % 4).cast("int").alias("num_workers"),
+    )
+    good = F.struct(F.lit("etl").alias("job_cluster_key"), new_cluster.alias("new_cluster"))
+    bad = F.struct(F.lit(None).cast("string").alias("job_cluster_key"), new_cluster.alias("new_cluster"))
+    job_clusters = F.when(ck % 3 == 0, F.array(good, bad)).otherwise(F.array(good))
+    tags = F.when(ck % 11 == 0, F.lit(None).cast("map<string,string>")).otherwise(
+        F.create_map(F.lit("pipeline"), F.col("c_mktsegment"))
+    )
+    settings = F.struct(
+        F.when(ck % 23 == 0, F.lit("")).otherwise(F.col("c_name")).alias("name"),
+        tags.alias("tags"),
+        F.struct(F.when(ck % 19 == 0, F.lit("PAUSED")).otherwise(F.lit("UNPAUSED")).alias("pause_status")).alias("schedule"),
+        tasks.alias("tasks"),
+        job_clusters.alias("job_clusters"),
+    )
+    record = F.struct(
+        ck.alias("job_id"),
+        F.when(ck % 17 == 0, F.lit(None)).otherwise(F.concat(F.lit("owner"), ck.cast("string"))).alias("creator_user_name"),
+        settings.alias("settings"),
+    )
+    return customer.select(F.to_json(record).alias("value"))
+
+
+def raw_clusters_json(supplier: DataFrame) -> DataFrame:
+    """Landed cluster records <- supplier. ``num_workers`` is a JSON string on
+    every 4th key; autoscale misses its upper bound on every 10th (-> NULL)."""
+    sk, nk = F.col("s_suppkey"), F.col("s_nationkey")
+    auto = F.when(
+        sk % 5 == 0,
+        F.struct((sk % 4).cast("int").alias("min_workers"), F.when(sk % 10 != 0, (sk % 4 + 4).cast("int")).alias("max_workers")),
+    )
+    workers = F.when(sk % 5 != 0, (sk % 8).cast("int"))
+    record = F.struct(
+        F.col("s_name").alias("cluster_id"),
+        F.col("s_name").alias("cluster_name"),
+        F.concat(F.lit("NATION_"), nk.cast("string")).alias("node_type_id"),
+        F.when(sk % 3 == 0, F.concat(F.lit("NATION_"), ((nk + 1) % 25).cast("string"))).alias("driver_node_type_id"),
+        F.when(sk % 4 == 0, workers.cast("string")).alias("nw_text"),
+        F.when(sk % 4 != 0, workers).alias("num_workers"),
+        auto.alias("autoscale"),
+    )
+    js = F.to_json(record)
+    # move the text form into num_workers (a JSON string, e.g. "3")
+    js = F.regexp_replace(js, r'"nw_text":"(\d+)"', '"num_workers":"$1"')
+    return supplier.select(js.alias("value"))
