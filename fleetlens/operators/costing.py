@@ -240,7 +240,8 @@ def cost_runs(
     """One row per costed run.
 
     Columns: run_id, job_id, start_time, duration_ms, currency, estimated_cost,
-    billable_nodes, hourly_rate, source, node_type_id[, pipeline_keys, table_keys]
+    billable_nodes, hourly_rate, source, node_type_id, driver_node_type_id,
+    workers[, pipeline_keys, table_keys]
     plus any ``carry`` columns of the run. Runs without a job id are dropped
     here (C11), before any join.
     """
@@ -270,6 +271,8 @@ def cost_runs(
         hourly.alias("hourly_rate"),
         "source",
         "node_type_id",
+        "driver_node_type_id",
+        "workers",
     ]
     if with_keys:
         cols += ["pipeline_keys", "table_keys"]

@@ -559,3 +559,221 @@ def q_snapshot_history(spark, sf_dir):
         F.max("synced_at").alias("last_synced_at"),
         F.max_by("l_quantity", order).alias("latest_quantity"),
     )
+
+
+# ------------------------------------------------ B: observability (ours)
+
+
+def _obs(spark, sf_dir, window_days=WINDOW_DAYS):
+    from fleetlens.operators import observability as O
+
+    d = _dash(spark, sf_dir, window_days=window_days)
+    return O, d
+
+
+@query("job_stats")
+def q_job_stats(spark, sf_dir):
+    """B1: per-job run statistics over the window."""
+    O, d = _obs(spark, sf_dir)
+    s = O.job_stats(d.runs, d.costed, d.window_start_ms, d.window_days)
+    return s.select(
+        "job_id", "run_count", "success_count", "failure_count", _r4("failure_rate").alias("failure_rate"),
+        "avg_duration_ms", "p95_duration_ms", "last_run_time", "last_success_time", "last_failure_time",
+        py_round("estimated_cost", 2).alias("estimated_cost"), "window_days",
+    )
+
+
+@query("failure_above_fleet")
+def q_failure_above_fleet(spark, sf_dir):
+    """B2: jobs failing more often than the fleet (>= 5 runs)."""
+    O, d = _obs(spark, sf_dir)
+    s = O.job_stats(d.runs, None, d.window_start_ms, d.window_days)
+    return O.failure_above_fleet(s, 5).select(
+        "job_id", "run_count", "failure_count", _r4("failure_rate").alias("failure_rate"),
+        _r4("fleet_failure_rate").alias("fleet_failure_rate"),
+    )
+
+
+@query("execution_frequency")
+def q_execution_frequency(spark, sf_dir):
+    """Runs per day and median gap between starts."""
+    O, d = _obs(spark, sf_dir)
+    f = O.execution_frequency(d.runs, d.window_start_ms, d.window_days)
+    return f.select("job_id", "run_count", _r4("runs_per_day").alias("runs_per_day"), "median_gap_ms")
+
+
+@query("unstable_jobs")
+def q_unstable(spark, sf_dir):
+    """Jobs with duration cv >= 0.5 (>= 3 runs)."""
+    O, d = _obs(spark, sf_dir)
+    u = O.unstable_jobs(d.runs, d.window_start_ms, 0.5, 3)
+    return u.select(
+        "job_id", "run_count", py_round("avg_duration_ms", 2).alias("avg_duration_ms"),
+        py_round("stddev_duration_ms", 2).alias("stddev_duration_ms"), _r4("cv").alias("cv"),
+    )
+
+
+@query("runtime_degradation")
+def q_degradation(spark, sf_dir):
+    """Recent vs earlier half-window mean duration and slope."""
+    O, d = _obs(spark, sf_dir)
+    g = O.runtime_degradation(d.runs, d.as_of_ms, d.window_days, 0.2)
+    return g.select(
+        "job_id", py_round("earlier_avg_ms", 2).alias("earlier_avg_ms"), py_round("recent_avg_ms", 2).alias("recent_avg_ms"),
+        _r4("change_pct").alias("change_pct"), py_round("slope_ms_per_day", 2).alias("slope_ms_per_day"), "degrading",
+    )
+
+
+@query("orphan_jobs")
+def q_orphans(spark, sf_dir):
+    """Jobs without owner, paused, or without runs in the window."""
+    O, d = _obs(spark, sf_dir)
+    o = O.orphan_jobs(d.jobs, d.runs, d.window_start_ms)
+    return o.select("job_id", "name", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("cost_period_delta")
+def q_period_delta(spark, sf_dir):
+    """Last 14 days vs the 14 days before, per job."""
+    from fleetlens.operators import observability as O
+
+    d = _dash(spark, sf_dir, window_days=28)
+    p = O.cost_period_delta(d.costed, d.as_of_ms, 14)
+    return p.select(
+        "job_id", py_round("current_cost", 2).alias("current_cost"), py_round("previous_cost", 2).alias("previous_cost"),
+        "current_runs", "previous_runs", py_round("delta_cost", 2).alias("delta_cost"), _r4("delta_pct").alias("delta_pct"),
+    )
+
+
+@query("dbus_consumed")
+def q_dbus(spark, sf_dir):
+    """Usage units per job."""
+    O, d = _obs(spark, sf_dir)
+    ws = _ws(spark, sf_dir)
+    u = O.usage_units(d.costed, ws.pricing_config)
+    return u.groupBy("job_id").agg(_r4(O.dbus_from_ms(F.sum("dbu_ms"))).alias("dbus"))
+
+
+@query("job_health_status")
+def q_health(spark, sf_dir):
+    """Failing / degrading / unstable / healthy per job."""
+    O, d = _obs(spark, sf_dir)
+    s = O.job_stats(d.runs, None, d.window_start_ms, d.window_days)
+    g = O.runtime_degradation(d.runs, d.as_of_ms, d.window_days, 0.2)
+    sp = O.duration_spread(d.runs, d.window_start_ms)
+    return O.job_health_status(s, g, sp)
+
+
+# ------------------------------------------------- B: freshness (ours)
+
+
+def _health(spark, sf_dir):
+    from fleetlens.operators import freshness as H
+    from fleetlens.sources import fixtures as X
+
+    orders = X.table(spark, sf_dir, "orders")
+    return H, X, orders
+
+
+@query("table_freshness")
+def q_freshness(spark, sf_dir):
+    """Last update vs SLA per table (clock = latest update)."""
+    H, X, orders = _health(spark, sf_dir)
+    upd = X.table_updates(orders)
+    as_of = upd.agg(F.max("updated_at")).scalar()
+    f = H.table_freshness(upd, X.table_slas(orders), as_of)
+    return f.select(
+        "table_name", "last_updated_at", "sla_hours", py_round("lag_hours", 2).alias("lag_hours"), "stale",
+        py_round("hours_late", 2).alias("hours_late"),
+    )
+
+
+@query("volume_anomalies")
+def q_volume(spark, sf_dir):
+    """Days whose volume fell >= 50% below the trailing 7-day mean."""
+    H, X, orders = _health(spark, sf_dir)
+    a = H.volume_anomalies(H.daily_volume(X.table_updates(orders)), 7, 0.5)
+    return a.select("table_name", "day", "volume", _r4("expected").alias("expected"), _r4("drop_pct").alias("drop_pct"))
+
+
+def _schema_changes(spark, sf_dir):
+    H, X, orders = _health(spark, sf_dir)
+    obs = X.schema_observations(orders)
+    ts = lambda s: F.lit(s).cast("timestamp_ntz")
+    before = H.schema_snapshot(obs, ts("1999-01-01 00:00:00"), ts("2000-01-01 00:00:00"))
+    after = H.schema_snapshot(obs, ts("2000-01-01 00:00:00"), ts("2001-01-01 00:00:00"))
+    return H.schema_changes(before, after)
+
+
+@query("schema_changes")
+def q_schema_changes(spark, sf_dir):
+    """Columns added / removed / retyped between the 1999 and 2000 snapshots."""
+    return _schema_changes(spark, sf_dir).select("table_name", "column_name", "old_type", "new_type", "change")
+
+
+@query("data_issues")
+def q_data_issues(spark, sf_dir):
+    """Stale, inconsistent and volume issues in one table."""
+    H, X, orders = _health(spark, sf_dir)
+    upd = X.table_updates(orders)
+    fresh = H.table_freshness(upd, X.table_slas(orders), upd.agg(F.max("updated_at")).scalar())
+    anomalies = H.volume_anomalies(H.daily_volume(upd), 7, 0.5)
+    return H.data_issues(fresh, _schema_changes(spark, sf_dir), anomalies)
+
+
+# ----------------------------------------------------- B: alerts (ours)
+
+
+def _rules(spark):
+    """The configured threshold rules (a config table, like the pricing entries)."""
+    return spark.createDataFrame(
+        [
+            ("high_failure_rate", "job", "failure_rate", ">=", 0.3, "medium"),
+            ("high_cost", "job", "total_cost", ">=", 150.0, "high"),
+            ("busy_job", "job", "run_count", ">=", 80.0, "low"),
+            ("missed_sla", "table", "hours_late", ">", 0.0, "high"),
+        ],
+        "rule_id string, subject_type string, metric string, op string, threshold double, severity string",
+    )
+
+
+def _alerts(spark, sf_dir):
+    from fleetlens.operators import alerts as A
+    from fleetlens.operators import observability as O
+
+    d = _dash(spark, sf_dir)
+    stats = O.job_stats(d.runs, d.costed, d.window_start_ms, d.window_days).withColumnRenamed("estimated_cost", "total_cost")
+    H, X, orders = _health(spark, sf_dir)
+    upd = X.table_updates(orders)
+    fresh = H.table_freshness(upd, X.table_slas(orders), upd.agg(F.max("updated_at")).scalar())
+    metrics = A.melt_metrics(stats, "job", "job_id", ["failure_rate", "total_cost", "run_count"]).unionByName(
+        A.melt_metrics(fresh, "table", "table_name", ["hours_late"])
+    )
+    return A, A.threshold_alerts(metrics, _rules(spark))
+
+
+@query("threshold_alerts")
+def q_threshold_alerts(spark, sf_dir):
+    """Rule hits over job and table metrics (>= fires at equality)."""
+    _, a = _alerts(spark, sf_dir)
+    return a.select("rule_id", "severity", "subject_type", "subject_key", "metric", _r4("value").alias("value"))
+
+
+@query("alert_counts")
+def q_alert_counts(spark, sf_dir):
+    """Threshold alerts per severity."""
+    A, a = _alerts(spark, sf_dir)
+    return A.alert_counts(a)
+
+
+@query("cost_anomalies")
+def q_cost_anomalies(spark, sf_dir):
+    """Job-days >= 2 stddev from the trailing 7-active-day mean."""
+    from fleetlens.operators import alerts as A
+
+    d = _dash(spark, sf_dir)
+    an = A.cost_anomalies(A.daily_job_cost(d.costed), 7, 2.0, 3)
+    return an.select(
+        "job_id", "day", _r4("cost").alias("cost"), _r4("baseline").alias("baseline"),
+        _r4("baseline_stddev").alias("baseline_stddev"),
+    )

@@ -125,7 +125,8 @@ def costed_cte(include_driver: bool = True) -> str:
         return """
 costed AS (
   SELECT x.run_id, x.job_id, x.start_time, x.duration_ms, x.source, x.node_type_id, x.run_page_url,
-    x.table_keys, x.pipeline_keys, w.currency,
+    x.table_keys, x.pipeline_keys, w.currency, x.workers,
+    coalesce(x.driver_raw, x.node_type_id) AS driver_node_type_id,
     x.workers + 1.0::DOUBLE AS billable_nodes,
     w.rate * x.workers + d.rate AS hourly_rate,
     (w.rate * x.workers + d.rate) * (x.duration_ms / 3600000.0::DOUBLE) AS estimated_cost
@@ -137,7 +138,8 @@ costed AS (
     return """
 costed AS (
   SELECT x.run_id, x.job_id, x.start_time, x.duration_ms, x.source, x.node_type_id, x.run_page_url,
-    x.table_keys, x.pipeline_keys, w.currency,
+    x.table_keys, x.pipeline_keys, w.currency, x.workers,
+    coalesce(x.driver_raw, x.node_type_id) AS driver_node_type_id,
     x.workers AS billable_nodes,
     w.rate * x.workers AS hourly_rate,
     (w.rate * x.workers) * (x.duration_ms / 3600000.0::DOUBLE) AS estimated_cost
@@ -387,6 +389,7 @@ LEFT JOIN jobs j ON c.job_id = j.job_id"""
 SELECT node_type_id, {r('rate', 4)} AS dbu_rate_per_hour, currency, 0.0::DOUBLE AS infrastructure_rate_per_hour,
   {r('rate + 0.0::DOUBLE', 4)} AS total_rate_per_hour FROM rates"""
     q.update(more_queries())
+    q.update(tier_b_queries())
     q["pricing_reference_rates"] = with_ctes() + f"""
 SELECT node_type_id, dbus_per_hour, plan,
   {r("dbus_per_hour * CASE WHEN plan = 'premium' THEN 0.15::DOUBLE ELSE 0.20::DOUBLE END", 4)} AS jobs_rate_per_hour,
@@ -517,3 +520,243 @@ SELECT l_orderkey, l_linenumber, count(*) AS version_count, min(l_shipdate) AS f
   arg_max(l_quantity, struct_pack(a := l_shipdate, b := l_extendedprice, c := l_partkey, d := l_suppkey)) AS latest_quantity
 FROM lineitem GROUP BY l_orderkey, l_linenumber"""
     return q
+
+
+DAY_MS = "CAST(86400000 AS BIGINT)"
+FAIL = "('FAILED', 'TIMEDOUT')"
+
+STATS = f"""
+base AS (SELECT job_id, start_time, duration_ms, result_state FROM loaded WHERE job_id IS NOT NULL),
+p95 AS (
+  SELECT job_id, duration_ms AS p95 FROM (
+    SELECT job_id, duration_ms, row_number() OVER (PARTITION BY job_id ORDER BY duration_ms) AS rn,
+      count(*) OVER (PARTITION BY job_id) AS n
+    FROM base WHERE duration_ms IS NOT NULL
+  ) WHERE rn = CAST(ceil(0.95 * n) AS BIGINT)
+),
+st AS (
+  SELECT job_id, count(*) AS run_count,
+    count(*) FILTER (WHERE result_state = 'SUCCESS') AS success_count,
+    count(*) FILTER (WHERE result_state IN {FAIL}) AS failure_count,
+    CAST(round(avg(duration_ms)) AS BIGINT) AS avg_duration_ms,
+    max(start_time) AS last_run_time,
+    max(start_time) FILTER (WHERE result_state = 'SUCCESS') AS last_success_time,
+    max(start_time) FILTER (WHERE result_state IN {FAIL}) AS last_failure_time
+  FROM base GROUP BY job_id
+),
+jcost AS (SELECT job_id, sum(estimated_cost) AS estimated_cost FROM costed GROUP BY job_id)"""
+
+DEGRADE = f"""
+dbase AS (
+  SELECT job_id, start_time, duration_ms::DOUBLE AS d FROM runs, params p
+  WHERE job_id IS NOT NULL AND duration_ms IS NOT NULL AND start_time >= p.as_of_ms - 30 * {DAY_MS}
+),
+dagg AS (
+  SELECT job_id,
+    avg(d) FILTER (WHERE start_time < (SELECT as_of_ms FROM params) - 15 * {DAY_MS}) AS earlier,
+    avg(d) FILTER (WHERE start_time >= (SELECT as_of_ms FROM params) - 15 * {DAY_MS}) AS recent,
+    regr_slope(d, (start_time - ((SELECT as_of_ms FROM params) - 30 * {DAY_MS}))::DOUBLE / 86400000.0::DOUBLE) AS slope
+  FROM dbase GROUP BY job_id
+),
+deg AS (
+  SELECT job_id, earlier, recent, (recent - earlier) / earlier AS change_pct, slope,
+    (recent - earlier) / earlier >= 0.2::DOUBLE AS degrading
+  FROM dagg WHERE earlier IS NOT NULL AND recent IS NOT NULL AND earlier > 0
+),
+spread AS (
+  SELECT job_id, count(*) AS n, avg(duration_ms) AS a, stddev_samp(duration_ms) AS sd,
+    stddev_samp(duration_ms) / avg(duration_ms) AS cv
+  FROM loaded WHERE job_id IS NOT NULL AND duration_ms IS NOT NULL GROUP BY job_id
+)"""
+
+FRESH = f"""
+upd AS (SELECT o_orderpriority AS table_name, o_orderdate AS updated_at FROM orders),
+lastu AS (SELECT table_name, max(updated_at) AS last_updated_at FROM upd GROUP BY table_name),
+sla AS (
+  SELECT DISTINCT o_orderpriority AS table_name, 12.0::DOUBLE * CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS sla_hours
+  FROM orders
+),
+fresh AS (
+  SELECT l.table_name, l.last_updated_at, s.sla_hours,
+    (epoch_us((SELECT max(o_orderdate) FROM orders)) - epoch_us(l.last_updated_at)) / 3.6e9::DOUBLE AS lag_hours
+  FROM lastu l LEFT JOIN sla s ON l.table_name = s.table_name
+),
+fresh2 AS (
+  SELECT *, lag_hours > sla_hours AS stale, greatest(lag_hours - sla_hours, 0.0::DOUBLE) AS hours_late FROM fresh
+),
+vol AS (
+  SELECT o_orderpriority AS table_name, CAST(o_orderdate AS DATE) AS day, CAST(count(*) AS BIGINT) AS volume
+  FROM orders GROUP BY 1, 2
+),
+volw AS (
+  SELECT *, avg(volume) OVER w AS expected, count(volume) OVER w AS n FROM vol
+  WINDOW w AS (PARTITION BY table_name ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)
+),
+anom AS (
+  SELECT table_name, day, volume, expected, 1.0::DOUBLE - volume / expected AS drop_pct FROM volw
+  WHERE n = 7 AND expected > 0 AND 1.0::DOUBLE - volume / expected >= 0.5::DOUBLE
+),
+obs AS (
+  SELECT o_orderpriority AS table_name, 'c' || (o_custkey % 200) AS column_name, o_orderstatus AS data_type,
+    o_orderdate AS observed_at FROM orders
+),
+snap_b AS (
+  SELECT table_name, column_name, data_type FROM (
+    SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY observed_at DESC, data_type DESC) AS rn
+    FROM obs WHERE observed_at >= TIMESTAMP '1999-01-01' AND observed_at < TIMESTAMP '2000-01-01') WHERE rn = 1
+),
+snap_a AS (
+  SELECT table_name, column_name, data_type FROM (
+    SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY observed_at DESC, data_type DESC) AS rn
+    FROM obs WHERE observed_at >= TIMESTAMP '2000-01-01' AND observed_at < TIMESTAMP '2001-01-01') WHERE rn = 1
+),
+changes AS (
+  SELECT coalesce(b.table_name, a.table_name) AS table_name, coalesce(b.column_name, a.column_name) AS column_name,
+    b.data_type AS old_type, a.data_type AS new_type,
+    CASE WHEN b.data_type IS NULL THEN 'added' WHEN a.data_type IS NULL THEN 'removed'
+         WHEN b.data_type <> a.data_type THEN 'retyped' END AS change
+  FROM snap_b b FULL OUTER JOIN snap_a a ON b.table_name = a.table_name AND b.column_name = a.column_name
+)"""
+
+ALERTS = """
+rules AS (
+  SELECT * FROM (VALUES
+    ('high_failure_rate', 'job', 'failure_rate', '>=', 0.3::DOUBLE, 'medium'),
+    ('high_cost', 'job', 'total_cost', '>=', 150.0::DOUBLE, 'high'),
+    ('busy_job', 'job', 'run_count', '>=', 80.0::DOUBLE, 'low'),
+    ('missed_sla', 'table', 'hours_late', '>', 0.0::DOUBLE, 'high')
+  ) t(rule_id, subject_type, metric, op, threshold, severity)
+),
+metrics AS (
+  SELECT 'job' AS subject_type, CAST(st.job_id AS VARCHAR) AS subject_key, 'failure_rate' AS metric,
+    st.failure_count::DOUBLE / st.run_count AS value FROM st
+  UNION ALL SELECT 'job', CAST(st.job_id AS VARCHAR), 'total_cost', c.estimated_cost FROM st LEFT JOIN jcost c ON st.job_id = c.job_id
+  UNION ALL SELECT 'job', CAST(st.job_id AS VARCHAR), 'run_count', st.run_count::DOUBLE FROM st
+  UNION ALL SELECT 'table', table_name, 'hours_late', hours_late FROM fresh2
+),
+hits AS (
+  SELECT r.rule_id, r.severity, m.subject_type, m.subject_key, m.metric, m.value FROM metrics m
+  JOIN rules r ON m.subject_type = r.subject_type AND m.metric = r.metric
+  WHERE CASE r.op WHEN '>=' THEN m.value >= r.threshold WHEN '>' THEN m.value > r.threshold
+                  WHEN '<=' THEN m.value <= r.threshold WHEN '<' THEN m.value < r.threshold
+                  WHEN '==' THEN m.value = r.threshold ELSE false END
+)"""
+
+
+def tier_b_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["job_stats"] = costed_sql(
+        f"""
+SELECT st.job_id, run_count, success_count, failure_count, {r('failure_count::DOUBLE / run_count', 4)} AS failure_rate,
+  avg_duration_ms, p95.p95 AS p95_duration_ms, last_run_time, last_success_time, last_failure_time,
+  {r('c.estimated_cost', 2)} AS estimated_cost, CAST(30 AS INTEGER) AS window_days
+FROM st LEFT JOIN p95 ON st.job_id = p95.job_id LEFT JOIN jcost c ON st.job_id = c.job_id""",
+        extra=(STATS,),
+    )
+    q["failure_above_fleet"] = costed_sql(
+        f"""
+SELECT job_id, run_count, failure_count, {r('failure_count::DOUBLE / run_count', 4)} AS failure_rate,
+  {r('f.fleet', 4)} AS fleet_failure_rate
+FROM st, (SELECT sum(failure_count)::DOUBLE / sum(run_count)::DOUBLE AS fleet FROM st) f
+WHERE run_count >= 5 AND failure_count::DOUBLE / run_count > f.fleet""",
+        extra=(STATS,),
+    )
+    q["execution_frequency"] = costed_sql(
+        f"""
+SELECT c.job_id, c.run_count, {r('c.run_count / 30.0::DOUBLE', 4)} AS runs_per_day, m.median_gap_ms
+FROM (SELECT job_id, count(*) AS run_count FROM loaded WHERE job_id IS NOT NULL GROUP BY job_id) c
+LEFT JOIN (
+  SELECT job_id, gap AS median_gap_ms FROM (
+    SELECT job_id, gap, row_number() OVER (PARTITION BY job_id ORDER BY gap) AS rn, count(*) OVER (PARTITION BY job_id) AS n
+    FROM (SELECT job_id, start_time - lag(start_time) OVER (PARTITION BY job_id ORDER BY start_time) AS gap
+          FROM loaded WHERE job_id IS NOT NULL AND start_time IS NOT NULL) WHERE gap IS NOT NULL
+  ) WHERE rn = CAST(ceil(0.5 * n) AS BIGINT)
+) m ON c.job_id = m.job_id"""
+    )
+    q["unstable_jobs"] = costed_sql(
+        f"""
+SELECT job_id, n AS run_count, {r('a', 2)} AS avg_duration_ms, {r('sd', 2)} AS stddev_duration_ms, {r('cv', 4)} AS cv
+FROM spread WHERE n >= 3 AND cv >= 0.5::DOUBLE""",
+        extra=(DEGRADE,),
+    )
+    q["runtime_degradation"] = costed_sql(
+        f"""
+SELECT job_id, {r('earlier', 2)} AS earlier_avg_ms, {r('recent', 2)} AS recent_avg_ms, {r('change_pct', 4)} AS change_pct,
+  {r('slope', 2)} AS slope_ms_per_day, degrading FROM deg""",
+        extra=(DEGRADE,),
+    )
+    q["orphan_jobs"] = costed_sql(
+        """
+SELECT job_id, name, reasons FROM (
+  SELECT j.job_id, j.name, concat_ws(',',
+    CASE WHEN j.creator_user_name IS NULL OR j.creator_user_name = '' THEN 'no_owner' END,
+    CASE WHEN j.pause_status = 'PAUSED' THEN 'paused_schedule' END,
+    CASE WHEN r.job_id IS NULL THEN 'no_recent_runs' END) AS reasons
+  FROM jobs j LEFT JOIN (SELECT DISTINCT job_id FROM loaded WHERE job_id IS NOT NULL) r ON j.job_id = r.job_id
+) WHERE reasons <> ''"""
+    )
+    cur = f"(start_time IS NULL OR start_time >= (SELECT as_of_ms FROM params) - 14 * {DAY_MS})"
+    prev = (
+        f"(start_time >= (SELECT as_of_ms FROM params) - 28 * {DAY_MS} AND start_time < (SELECT as_of_ms FROM params) - 14 * {DAY_MS})"
+    )
+    q["cost_period_delta"] = costed_sql(
+        f"""
+SELECT job_id, {r('cc', 2)} AS current_cost, {r('pc', 2)} AS previous_cost, current_runs, previous_runs,
+  {r('cc - pc', 2)} AS delta_cost, {r('CASE WHEN pc <> 0 THEN (cc - pc) / pc END', 4)} AS delta_pct
+FROM (
+  SELECT job_id, coalesce(sum(estimated_cost) FILTER (WHERE {cur}), 0.0::DOUBLE) AS cc,
+    coalesce(sum(estimated_cost) FILTER (WHERE {prev}), 0.0::DOUBLE) AS pc,
+    count(*) FILTER (WHERE {cur}) AS current_runs, count(*) FILTER (WHERE {prev}) AS previous_runs
+  FROM costed GROUP BY job_id
+)""",
+        window_days=28,
+    )
+    q["dbus_consumed"] = costed_sql(
+        f"""
+SELECT c.job_id, {r('sum((coalesce(w.dbus_per_hour, 0.0::DOUBLE) * c.workers + coalesce(d.dbus_per_hour, 0.0::DOUBLE)) * c.duration_ms) / 3600000.0::DOUBLE', 4)} AS dbus
+FROM costed c LEFT JOIN pricing_config w ON w.node_type_id = c.node_type_id
+LEFT JOIN pricing_config d ON d.node_type_id = c.driver_node_type_id
+GROUP BY c.job_id"""
+    )
+    q["job_health_status"] = costed_sql(
+        """
+SELECT st.job_id, CASE
+  WHEN st.failure_count::DOUBLE / st.run_count >= 0.25::DOUBLE THEN 'failing'
+  WHEN coalesce(deg.degrading, false) THEN 'degrading'
+  WHEN sp.n >= 3 AND sp.cv >= 0.5::DOUBLE THEN 'unstable'
+  ELSE 'healthy' END AS status
+FROM st LEFT JOIN deg ON st.job_id = deg.job_id LEFT JOIN spread sp ON st.job_id = sp.job_id""",
+        extra=(STATS, DEGRADE),
+    )
+    q["table_freshness"] = with_ctes(FRESH) + f"""
+SELECT table_name, last_updated_at, sla_hours, {r('lag_hours', 2)} AS lag_hours, stale, {r('hours_late', 2)} AS hours_late
+FROM fresh2"""
+    q["volume_anomalies"] = with_ctes(FRESH) + f"""
+SELECT table_name, day, volume, {r('expected', 4)} AS expected, {r('drop_pct', 4)} AS drop_pct FROM anom"""
+    q["schema_changes"] = with_ctes(FRESH) + "\nSELECT table_name, column_name, old_type, new_type, change FROM changes WHERE change IS NOT NULL"
+    q["data_issues"] = with_ctes(FRESH) + """
+SELECT 'stale' AS issue_type, table_name, 'missed its SLA by ' || printf('%.1f', hours_late) || ' hours' AS detail
+FROM fresh2 WHERE stale
+UNION ALL
+SELECT 'inconsistent', table_name, change || ' column ' || column_name FROM changes WHERE change IN ('removed', 'retyped')
+UNION ALL
+SELECT 'volume_anomaly', table_name,
+  'volume dropped ' || printf('%.0f', drop_pct * 100.0::DOUBLE) || '% below expected on ' || CAST(day AS VARCHAR)
+FROM anom"""
+    q["threshold_alerts"] = costed_sql(
+        f"SELECT rule_id, severity, subject_type, subject_key, metric, {r('value', 4)} AS value FROM hits",
+        extra=(STATS, FRESH, ALERTS),
+    )
+    q["alert_counts"] = costed_sql(
+        "SELECT severity, count(*) AS alert_count FROM hits GROUP BY severity", extra=(STATS, FRESH, ALERTS)
+    )
+    q["cost_anomalies"] = costed_sql(
+        f"""
+SELECT job_id, day, {r('cost', 4)} AS cost, {r('baseline', 4)} AS baseline, {r('sd', 4)} AS baseline_stddev FROM (
+  SELECT *, avg(cost) OVER w AS baseline, stddev_samp(cost) OVER w AS sd, count(cost) OVER w AS history
+  FROM (SELECT job_id, CAST(make_timestamp(start_time * 1000) AS DATE) AS day, sum(estimated_cost) AS cost
+        FROM costed WHERE start_time IS NOT NULL GROUP BY 1, 2)
+  WINDOW w AS (PARTITION BY job_id ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)
+) WHERE history >= 3 AND sd > 0 AND abs(cost - baseline) >= 2.0::DOUBLE * sd"""
+    )
+    return q

@@ -335,3 +335,36 @@ def raw_clusters_json(supplier: DataFrame) -> DataFrame:
     # move the text form into num_workers (a JSON string, e.g. "3")
     js = F.regexp_replace(js, r'"nw_text":"(\d+)"', '"num_workers":"$1"')
     return supplier.select(js.alias("value"))
+
+
+# ---------------------------------------------------------- table health logs
+
+
+def table_updates(orders: DataFrame) -> DataFrame:
+    """Update log <- orders: each order is a one-row write to the table named
+    by its priority, at its order date."""
+    return orders.select(
+        F.col("o_orderpriority").alias("table_name"),
+        F.col("o_orderdate").alias("updated_at"),
+        F.lit(1).cast("long").alias("row_count"),
+    )
+
+
+def table_slas(orders: DataFrame) -> DataFrame:
+    """SLA per table: 12 hours times the priority digit (1-URGENT -> 12 h)."""
+    return (
+        orders.select(F.col("o_orderpriority").alias("table_name"))
+        .distinct()
+        .select("table_name", (F.lit(12.0) * F.substring("table_name", 1, 1).cast("double")).alias("sla_hours"))
+    )
+
+
+def schema_observations(orders: DataFrame) -> DataFrame:
+    """Schema log <- orders: table = priority, column = c<custkey mod 200>,
+    type = order status, observed at the order date."""
+    return orders.select(
+        F.col("o_orderpriority").alias("table_name"),
+        F.concat(F.lit("c"), (F.col("o_custkey") % 200).cast("string")).alias("column_name"),
+        F.col("o_orderstatus").alias("data_type"),
+        F.col("o_orderdate").alias("observed_at"),
+    )
