@@ -53,14 +53,49 @@ def split_tag_value(value: Column | str) -> Column:
     return F.filter(stripped, lambda p: p != F.lit(""))
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def tag_values(tags: Column | str, keys: Sequence[str]) -> Column:
     """All values under the candidate keys, in key order, split and stripped.
 
-    A missing map or no matching key gives an empty array (never NULL).
+    One pass over the map entries whatever the number of candidates: each
+    entry gets its candidate position ``p`` (0 = not a candidate) and its
+    map index ``i``; for keys that collide once lower-cased only the last
+    entry is kept; sorting by (p, i) restores the candidate order. A missing
+    map or no matching key gives an empty array (never NULL).
+
+    Written as one SQL expression (parsed once in the JVM) when ``tags`` is
+    a column name: the same plan as the DataFrame-function form, built with
+    one call instead of dozens.
     """
-    tags = _col(tags)
-    found = F.array(*[tag_lookup(tags, k) for k in keys])
-    present = F.filter(found, lambda v: v.isNotNull() & (v != F.lit("")))
+    if isinstance(tags, str):
+        cands = "array(" + ", ".join(_sql_str(k) for k in keys) + ")"
+        hits = (
+            f"filter(transform(map_entries(`{tags}`), (e, i) -> named_struct("
+            f"'p', array_position({cands}, lower(e.key)), 'i', i, 'v', e.value)), x -> x.p > 0)"
+        )
+        sql = (
+            "coalesce(flatten(transform("
+            f"filter(transform(array_sort(filter({hits}, x -> NOT exists({hits}, y -> y.p = x.p AND y.i > x.i))), "
+            "x -> x.v), v -> v IS NOT NULL AND v <> ''), "
+            "v -> filter(transform(split(v, '[,;\\n]'), s -> regexp_replace(s, '^\\\\s+|\\\\s+$', '')), s -> s <> ''))), "
+            "cast(array() as array<string>))"
+        )
+        return F.expr(sql)
+    cands_c = F.array(*[F.lit(k) for k in keys])
+    tagged = F.transform(
+        F.map_entries(tags),
+        lambda e, i: F.struct(
+            F.array_position(cands_c, F.lower(e["key"])).alias("p"), i.alias("i"), e["value"].alias("v")
+        ),
+    )
+    hits_c = F.filter(tagged, lambda x: x["p"] > 0)
+    last = F.filter(hits_c, lambda x: ~F.exists(hits_c, lambda y: (y["p"] == x["p"]) & (y["i"] > x["i"])))
+    present = F.filter(
+        F.transform(F.array_sort(last), lambda x: x["v"]), lambda v: v.isNotNull() & (v != F.lit(""))
+    )
     values = F.flatten(F.transform(present, lambda v: split_tag_value(v)))
     return F.coalesce(values, F.array().cast("array<string>"))
 

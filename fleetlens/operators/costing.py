@@ -123,28 +123,36 @@ def cluster_dimension(clusters: DataFrame) -> DataFrame:
     )
 
 
-def job_cluster_ref(tasks: Column) -> Column:
-    """C5 step 1: the single distinct non-null task cluster reference, else NULL."""
-    empty = F.array().cast(S.JOBS["tasks"].dataType)
-    refs = F.array_distinct(
-        F.filter(F.transform(F.coalesce(tasks, empty), lambda t: t["cluster_ref"]), lambda r: r.isNotNull())
-    )
-    return F.when(F.size(refs) == 1, F.element_at(refs, 1))
+def _refs_sql(tasks: str) -> str:
+    return f"array_distinct(filter(transform(`{tasks}`, t -> t.cluster_ref), r -> r IS NOT NULL))"
+
+
+def _ref_sql(tasks: str) -> str:
+    refs = _refs_sql(tasks)
+    return f"CASE WHEN size({refs}) = 1 THEN element_at({refs}, 1) END"
+
+
+def job_cluster_ref(tasks: str = "tasks") -> Column:
+    """C5 step 1: the single distinct non-null task cluster reference, else NULL
+    (no tasks or only NULL references -> NULL)."""
+    return F.expr(_ref_sql(tasks))
 
 
-def job_cluster_spec(tasks: Column, job_clusters: Column) -> Column:
-    """Spec of the first job cluster whose key is the job's single task reference."""
-    ref = job_cluster_ref(tasks)
-    empty = F.array().cast(S.JOBS["job_clusters"].dataType)
-    match = F.try_element_at(
-        F.filter(F.coalesce(job_clusters, empty), lambda c: c["job_cluster_key"] == ref), F.lit(1)
+def job_cluster_spec(tasks: str = "tasks", job_clusters: str = "job_clusters") -> Column:
+    """Pricing spec of the first job cluster whose key is the job's single
+    task reference (NULL when there is none). One SQL expression, evaluated
+    once per job."""
+    m = f"try_element_at(filter(`{job_clusters}`, c -> c.job_cluster_key = {_ref_sql(tasks)}), 1).new_cluster"
+    return F.expr(
+        f"CASE WHEN {m} IS NOT NULL THEN named_struct('node_type_id', {m}.node_type_id, "
+        f"'driver_node_type_id', {m}.driver_node_type_id, 'num_workers', CAST({m}.num_workers AS INT), "
+        f"'autoscale', {m}.autoscale) END"
     )
-    return _narrow_spec(match["new_cluster"])
 
 
 def job_dimension(jobs: DataFrame, with_keys: bool = True) -> DataFrame:
     """Per job, computed once: resolved job-cluster spec and the job's tag keys."""
-    cols = [F.col("job_id"), job_cluster_spec(F.col("tasks"), F.col("job_clusters")).alias("job_spec")]
+    cols = [F.col("job_id"), job_cluster_spec().alias("job_spec")]
     if with_keys:
         cols += [
             tag_values("tags", PIPELINE_TAG_KEYS).alias("job_pipeline_keys"),
@@ -155,10 +163,10 @@ def job_dimension(jobs: DataFrame, with_keys: bool = True) -> DataFrame:
 
 def job_cluster_resolution(jobs: DataFrame) -> DataFrame:
     """C5 as a table: job_id, the single cluster reference, resolved node type and workers."""
-    spec = job_cluster_spec(F.col("tasks"), F.col("job_clusters"))
+    spec = job_cluster_spec()
     return jobs.select(
         "job_id",
-        job_cluster_ref(F.col("tasks")).alias("cluster_ref"),
+        job_cluster_ref().alias("cluster_ref"),
         spec["node_type_id"].alias("node_type_id"),
         spec["num_workers"].alias("num_workers"),
         spec.isNotNull().alias("resolved"),

@@ -19,11 +19,12 @@ ALL_PURPOSE_RATE_OTHER = 0.65
 PLANS = ("premium", "enterprise")
 DEFAULT_CURRENCY = "USD"
 
+# Entries are read as raw JSON text first and parsed one by one, so a
+# non-object entry drops alone instead of nulling the whole map.
 CONFIG_JSON_SCHEMA = (
-    "cluster_node_types array<string>, "
-    "entries map<string, struct<dbus_per_hour: double, plan: string>>, "
-    "last_refreshed_at string"
+    "cluster_node_types array<string>, entries map<string, string>, last_refreshed_at string"
 )
+ENTRY_JSON_SCHEMA = "dbus_per_hour double, plan string"
 
 
 def _plan(col: str = "plan"):
@@ -159,8 +160,9 @@ def decode_config(kv: DataFrame, value_col: str = "value") -> tuple[DataFrame, D
     """
     parsed = kv.select(F.from_json(F.col(value_col), CONFIG_JSON_SCHEMA).alias("c"))
     entries = (
-        parsed.select(F.explode(F.coalesce(F.col("c.entries"), F.create_map().cast("map<string,struct<dbus_per_hour:double,plan:string>>"))).alias("node_type_id", "e"))
-        .where(F.col("e").isNotNull() & (F.trim(F.col("node_type_id")) != ""))
+        parsed.select(F.explode(F.coalesce(F.col("c.entries"), F.create_map().cast("map<string,string>"))).alias("node_type_id", "j"))
+        .where(F.trim(F.col("j")).startswith("{") & (F.trim(F.col("node_type_id")) != ""))
+        .select("node_type_id", F.from_json("j", ENTRY_JSON_SCHEMA).alias("e"))
         .select("node_type_id", F.col("e.dbus_per_hour").alias("dbus_per_hour"), F.col("e.plan").alias("plan"))
     )
     discovered = (

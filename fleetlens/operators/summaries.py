@@ -18,6 +18,7 @@ from fleetlens.functions import py_round, utc_day
 from fleetlens.operators.attribution import explode_costs
 from fleetlens.operators.costing import CostConfig
 from fleetlens.plans.joins import join_dimension
+from fleetlens.session import ensure_checkpoint_dir
 
 _LONG_MAX = 9_223_372_036_854_775_807
 
@@ -48,8 +49,22 @@ def _first_currency_aggs() -> list[Column]:
     ]
 
 
+def materialize(agg: DataFrame) -> DataFrame:
+    """Write a key-grain aggregate to the shared checkpoint folder and cut its
+    lineage (reliable ``checkpoint``; the cluster names the folder in
+    ``spark.checkpoint.dir``).
+
+    The grand total and the shares are then both read from the written
+    aggregate: the costed runs are scanned once, and a lost executor re-reads
+    the small checkpoint instead of recomputing the costing. (A scalar
+    subquery over the unmaterialised aggregate would be planned separately by
+    AQE and re-run the whole scan.)"""
+    ensure_checkpoint_dir(agg.sparkSession)
+    return agg.checkpoint(eager=True)
+
+
 def _totals(agg: DataFrame, default_currency: str) -> Column:
-    """Scalar subquery over an aggregate: struct(total, currency)."""
+    """Scalar subquery over a (materialised) aggregate: struct(total, currency)."""
     return agg.agg(
         F.struct(
             F.coalesce(F.sum("total_cost"), F.lit(0.0)).alias("total"),
@@ -59,9 +74,9 @@ def _totals(agg: DataFrame, default_currency: str) -> Column:
 
 
 def grand_total(costed: DataFrame) -> Column:
-    """Total cost of the costed runs as a scalar, taken from the per-job
-    aggregate so a query that also groups by job reuses its shuffle."""
-    return job_aggregate(costed).agg(F.coalesce(F.sum("total_cost"), F.lit(0.0))).scalar()
+    """Total cost of the costed runs as a scalar (from a materialised per-job
+    aggregate, so it costs one small read)."""
+    return materialize(job_aggregate(costed)).agg(F.coalesce(F.sum("total_cost"), F.lit(0.0))).scalar()
 
 
 def _share(total: Column, grand: Column) -> Column:
@@ -85,7 +100,7 @@ def job_summaries(costed: DataFrame, jobs: DataFrame, cfg: CostConfig = CostConf
     """G3 + C12: job_id, job_name, currency, total_cost, cost_share, run_count,
     avg_cost_per_run, last_run_time (raw doubles). Names are joined after the
     aggregation, at job grain."""
-    agg = job_aggregate(costed)
+    agg = materialize(job_aggregate(costed))
     t = _totals(agg, cfg.currency)
     names = jobs.select("job_id", F.col("name").alias("_name"))
     named = join_dimension(agg, names, "job_id", "left", max_broadcast_rows=cfg.max_broadcast_rows)
@@ -143,7 +158,7 @@ def named_summaries(
     """G4 (pipeline_keys) / G5 (table_keys): key, label, currency, total_cost,
     cost_share (vs. the grand total of all costed runs), run_count,
     avg_cost_per_run, cost_per_day, attribution_count, last_seen_time."""
-    agg = named_aggregate(costed, keys_col)
+    agg = materialize(named_aggregate(costed, keys_col))
     t = _totals(agg, cfg.currency)
     days = float(max(1, window_days or 1))
     return agg.where(F.col("key").isNotNull()).select(
@@ -224,7 +239,7 @@ def summary_kpis(
     js = job_summaries(costed, jobs, cfg)
     ps = named_summaries(costed, "pipeline_keys", window_days, cfg)
     ts = named_summaries(costed, "table_keys", window_days, cfg)
-    agg = job_aggregate(costed)
+    agg = materialize(job_aggregate(costed))
     head = agg.agg(
         F.coalesce(F.sum("total_cost"), F.lit(0.0)).alias("total"),
         F.coalesce(F.sum("run_count"), F.lit(0)).alias("run_count"),

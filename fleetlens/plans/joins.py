@@ -10,6 +10,7 @@ tasks instead of one. AQE's skew-join splitting stays on as a second line.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,9 +22,26 @@ DEFAULT_SALT_BUCKETS = 16
 _SALT = "__salt"
 
 
+# Size checks are remembered per (plan, bound) for a short while, so the many
+# views built over one dimension in a session do not recount it each time.
+SIZE_CHECK_TTL_SEC = 600.0
+_size_checks: dict[tuple[int, int], tuple[float, bool]] = {}
+
+
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    key = (df.semanticHash(), int(max_rows))
+    now = time.monotonic()
+    hit = _size_checks.get(key)
+    if hit is not None and now - hit[0] < SIZE_CHECK_TTL_SEC:
+        return hit[1]
+    ok = df.limit(max_rows + 1).count() <= max_rows
+    _size_checks[key] = (now, ok)
+    return ok
+
+
+def clear_size_checks() -> None:
+    _size_checks.clear()
 
 
 def join_dimension(
@@ -52,3 +70,14 @@ def join_dimension(
     salted_fact = fact.withColumn(_SALT, F.pmod(F.xxhash64(salt_src), F.lit(salt_buckets)).cast("int"))
     salted_dim = dim.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
     return salted_fact.join(salted_dim, [*keys, _SALT], how).drop(_SALT)
+
+
+def spread_small_input(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has
+    cores (e.g. one file with one row group), so the per-row work after it
+    runs in parallel. Inputs already split at least that finely (any large
+    table) are returned unchanged: no shuffle is added at scale."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

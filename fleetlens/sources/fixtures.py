@@ -202,9 +202,24 @@ def as_of_ms(spark: SparkSession, sf_dir: str) -> int:
     return _as_of_ms(sf_dir, id(spark))
 
 
+_WORKSPACES: dict[tuple[int, str], Workspace] = {}
+
+
 def load_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
+    """The derived workspace of ``sf_dir`` (lazy DataFrames, built once per
+    session and folder: they are immutable plans, reused by every view)."""
+    key = (id(spark), sf_dir)
+    ws = _WORKSPACES.get(key)
+    if ws is None:
+        ws = _WORKSPACES[key] = _build_workspace(spark, sf_dir)
+    return ws
+
+
+def _build_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
+    from fleetlens.plans.joins import spread_small_input
+
     return Workspace(
-        runs=runs_from_events(_table(spark, sf_dir, "events")),
+        runs=runs_from_events(spread_small_input(_table(spark, sf_dir, "events"))),
         jobs=jobs_from_customers(_table(spark, sf_dir, "customer")),
         clusters=clusters_from_suppliers(_table(spark, sf_dir, "supplier")),
         pricing_config=pricing_config_from_nations(_table(spark, sf_dir, "nation")),
