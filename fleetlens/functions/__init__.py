@@ -3,8 +3,12 @@
 from fleetlens.functions.columns import (
     MS_PER_DAY,
     MS_PER_HOUR,
+    MONEY_SCALE,
     blank_to_null,
+    from_units,
+    money_sum,
     money_text,
+    money_units,
     percent_text,
     py_round,
     utc_day,
@@ -24,7 +28,11 @@ __all__ = [
     "MS_PER_HOUR",
     "PIPELINE_TAG_KEYS",
     "TABLE_TAG_KEYS",
+    "MONEY_SCALE",
     "blank_to_null",
+    "from_units",
+    "money_sum",
+    "money_units",
     "merge_tag_values",
     "money_text",
     "percent_text",

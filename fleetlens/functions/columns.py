@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,9 +21,41 @@ def blank_to_null(c: Column | str) -> Column:
     return F.nullif(_col(c), F.lit(""))
 
 
+# Money is summed as integer micro-units: exact and independent of the order
+# in which partitions are combined (float sums are not), so totals and the
+# 2/4-decimal outputs are the same however the data is split.
+MONEY_SCALE = 1_000_000.0
+
+
+def money_units(c: Column | str) -> Column:
+    """Amount -> integer micro-units (round half up)."""
+    return F.floor(_col(c) * F.lit(MONEY_SCALE) + F.lit(0.5))
+
+
+def from_units(units: Column | str) -> Column:
+    return _col(units) / F.lit(MONEY_SCALE)
+
+
+def money_sum(c: Column | str) -> Column:
+    """Exact sum of amounts (an aggregate expression), as a double."""
+    return from_units(F.sum(money_units(c)))
+
+
+def _tie_fix(c: Column, digits: int) -> Column:
+    """Java's DecimalFormat rounds a value whose shortest form is exactly
+    5e-(n+1) (rounding position before its first digit) half-even on that
+    form, where Python uses the exact binary value. For that one value the
+    correct result is known up front: compare the double with the decimal."""
+    tie = 5 * 10.0 ** -(digits + 1)
+    up = Decimal(tie) > Decimal(5) * Decimal(10) ** -(digits + 1)
+    return F.when(F.abs(c) == F.lit(tie), F.signum(c) * F.lit(10.0 ** -digits if up else 0.0)).otherwise(c)
+
+
 def _format(c: Column, pattern: str) -> Column:
-    """``format_number`` with a DecimalFormat pattern (no digit grouping)."""
-    return F.call_function("format_number", c, F.lit(pattern))
+    """``format_number`` with a DecimalFormat pattern (no digit grouping),
+    rounding half-even on the exact binary value like Python's ``format``."""
+    digits = len(pattern.split(".")[1]) if "." in pattern else 0
+    return F.call_function("format_number", _tie_fix(c, digits), F.lit(pattern))
 
 
 def py_round(c: Column | str, digits: int) -> Column:

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.functions import money_sum
+
 # Comparison operators understood by the rules.
 OPS = (">=", ">", "<=", "<", "==")
 
@@ -46,7 +48,7 @@ def daily_job_cost(costed: DataFrame) -> DataFrame:
     return (
         costed.where(F.col("start_time").isNotNull())
         .groupBy("job_id", F.to_date(F.timestamp_millis("start_time")).alias("day"))
-        .agg(F.sum("estimated_cost").alias("cost"))
+        .agg(money_sum("estimated_cost").alias("cost"))
     )
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions import MS_PER_DAY
+from fleetlens.functions import MS_PER_DAY, money_sum
 from fleetlens.operators.costing import runs_in_window
 
 # Result states counted as success / failure.
@@ -61,7 +61,7 @@ def job_stats(
         "window_days", F.lit(int(window_days))
     )
     if costed is not None:
-        cost = costed.groupBy("job_id").agg(F.sum("estimated_cost").alias("estimated_cost"))
+        cost = costed.groupBy("job_id").agg(money_sum("estimated_cost").alias("estimated_cost"))
         stats = stats.join(cost, "job_id", "left")
     return stats
 
@@ -193,8 +193,8 @@ def cost_period_delta(costed_two_windows: DataFrame, as_of_ms: int, window_days:
     current = st.isNull() | (st >= F.lit(cur_start))
     previous = (st >= F.lit(prev_start)) & (st < F.lit(cur_start))
     agg = costed_two_windows.groupBy("job_id").agg(
-        F.coalesce(F.sum(F.when(current, F.col("estimated_cost"))), F.lit(0.0)).alias("current_cost"),
-        F.coalesce(F.sum(F.when(previous, F.col("estimated_cost"))), F.lit(0.0)).alias("previous_cost"),
+        F.coalesce(money_sum(F.when(current, F.col("estimated_cost"))), F.lit(0.0)).alias("current_cost"),
+        F.coalesce(money_sum(F.when(previous, F.col("estimated_cost"))), F.lit(0.0)).alias("previous_cost"),
         F.count_if(current).alias("current_runs"),
         F.count_if(previous).alias("previous_runs"),
     )

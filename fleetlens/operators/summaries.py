@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions import py_round, utc_day
+from fleetlens.functions import from_units, money_sum, money_units, py_round, utc_day
 from fleetlens.operators.attribution import explode_costs
 from fleetlens.operators.costing import CostConfig
 from fleetlens.plans.joins import join_dimension
@@ -67,7 +67,7 @@ def _totals(agg: DataFrame, default_currency: str) -> Column:
     """Scalar subquery over a (materialised) aggregate: struct(total, currency)."""
     return agg.agg(
         F.struct(
-            F.coalesce(F.sum("total_cost"), F.lit(0.0)).alias("total"),
+            F.coalesce(from_units(F.sum("cost_units")), F.lit(0.0)).alias("total"),
             F.coalesce(currency_text(F.max_by("first_currency", "first_order")), F.lit(default_currency)).alias("currency"),
         ).alias("t")
     ).scalar()
@@ -76,7 +76,7 @@ def _totals(agg: DataFrame, default_currency: str) -> Column:
 def grand_total(costed: DataFrame) -> Column:
     """Total cost of the costed runs as a scalar (from a materialised per-job
     aggregate, so it costs one small read)."""
-    return materialize(job_aggregate(costed)).agg(F.coalesce(F.sum("total_cost"), F.lit(0.0))).scalar()
+    return materialize(job_aggregate(costed)).agg(F.coalesce(from_units(F.sum("cost_units")), F.lit(0.0))).scalar()
 
 
 def _share(total: Column, grand: Column) -> Column:
@@ -89,11 +89,11 @@ def _share(total: Column, grand: Column) -> Column:
 def job_aggregate(costed: DataFrame) -> DataFrame:
     """G3 accumulate: per job total, count, last start, and its first run's currency."""
     return costed.groupBy("job_id").agg(
-        F.sum("estimated_cost").alias("total_cost"),
+        F.sum(money_units("estimated_cost")).alias("cost_units"),
         F.count("*").alias("run_count"),
         F.max("start_time").alias("last_run_time"),
         *_first_currency_aggs(),
-    )
+    ).withColumn("total_cost", from_units("cost_units"))
 
 
 def job_summaries(costed: DataFrame, jobs: DataFrame, cfg: CostConfig = CostConfig()) -> DataFrame:
@@ -145,11 +145,11 @@ def top_jobs(summaries: DataFrame, n: int = 10) -> DataFrame:
 def named_aggregate(costed: DataFrame, keys_col: str) -> DataFrame:
     """G4/G5 accumulate over exploded keys; the NULL key holds untagged runs."""
     return explode_costs(costed, keys_col, keep_untagged=True).groupBy("key").agg(
-        F.sum("share").alias("total_cost"),
+        F.sum(money_units("share")).alias("cost_units"),
         F.count("*").alias("run_count"),
         F.max("start_time").alias("last_seen_time"),
         *_first_currency_aggs(),
-    )
+    ).withColumn("total_cost", from_units("cost_units"))
 
 
 def named_summaries(
@@ -206,7 +206,7 @@ def total_cost(costed: DataFrame, cfg: CostConfig = CostConfig()) -> DataFrame:
     """G1 + G2: one row (currency, total_cost, run_count); zero state when empty."""
     return costed.agg(
         F.coalesce(currency_text(F.max_by(currency_code(), load_key())), F.lit(cfg.currency)).alias("currency"),
-        F.coalesce(F.sum("estimated_cost"), F.lit(0.0)).alias("total_cost"),
+        F.coalesce(money_sum("estimated_cost"), F.lit(0.0)).alias("total_cost"),
         F.count("*").alias("run_count"),
         F.count_distinct("currency").alias("currency_count"),
     )
@@ -217,7 +217,7 @@ def cost_over_time(costed: DataFrame) -> DataFrame:
     return (
         costed.where(F.col("start_time").isNotNull())
         .groupBy(utc_day("start_time").alias("date"))
-        .agg(F.sum("estimated_cost").alias("total_cost"), F.count("*").alias("run_count"))
+        .agg(money_sum("estimated_cost").alias("total_cost"), F.count("*").alias("run_count"))
         .select("date", py_round("total_cost", 2).alias("total_cost"), "run_count")
         .orderBy("date")
     )
@@ -241,7 +241,7 @@ def summary_kpis(
     ts = named_summaries(costed, "table_keys", window_days, cfg)
     agg = materialize(job_aggregate(costed))
     head = agg.agg(
-        F.coalesce(F.sum("total_cost"), F.lit(0.0)).alias("total"),
+        F.coalesce(from_units(F.sum("cost_units")), F.lit(0.0)).alias("total"),
         F.coalesce(F.sum("run_count"), F.lit(0)).alias("run_count"),
         F.count("*").alias("job_count"),
         F.coalesce(currency_text(F.max_by("first_currency", "first_order")), F.lit(cfg.currency)).alias("currency"),
@@ -317,7 +317,7 @@ def cost_by_window_presets(costed: DataFrame, as_of_ms: int, presets: Sequence[i
     for d in presets:
         inside = F.col("start_time").isNull() | (F.col("start_time") >= F.lit(int(as_of_ms) - int(d) * 86_400_000))
         aggs += [
-            F.coalesce(F.sum(F.when(inside, F.col("estimated_cost"))), F.lit(0.0)).alias(f"c{d}"),
+            F.coalesce(money_sum(F.when(inside, F.col("estimated_cost"))), F.lit(0.0)).alias(f"c{d}"),
             F.count_if(inside).alias(f"n{d}"),
         ]
     wide = costed.agg(*aggs)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.functions import PIPELINE_TAG_KEYS, TABLE_TAG_KEYS, py_round, split_tag_value, tag_values
+from fleetlens.functions import TABLE_TAG_KEYS, money_sum, py_round, tag_values
 from fleetlens.operators import costing, insights, pricing, summaries
 from fleetlens.operators.attribution import explode_costs
 from fleetlens.operators.costing import CostConfig
@@ -95,7 +95,7 @@ def q_cost_by_source(spark, sf_dir):
     return (
         _dash(spark, sf_dir)
         .costed.groupBy("source")
-        .agg(F.count("*").alias("run_count"), py_round(F.sum("estimated_cost"), 2).alias("total_cost"))
+        .agg(F.count("*").alias("run_count"), py_round(money_sum("estimated_cost"), 2).alias("total_cost"))
     )
 
 

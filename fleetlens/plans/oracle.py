@@ -17,6 +17,16 @@ def r(expr: str, n: int) -> str:
     return f"CAST(printf('%.{n}f', {expr}) AS DOUBLE)"
 
 
+def mu(expr: str) -> str:
+    """Amount -> integer micro-units (same rule as ``functions.money_units``)."""
+    return f"CAST(floor(({expr}) * 1000000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)"
+
+
+def msum(expr: str, filt: str = "") -> str:
+    """Exact money sum as a double (same rule as ``functions.money_sum``)."""
+    return f"(sum({mu(expr)}){filt} / 1000000.0::DOUBLE)"
+
+
 def split_sql(expr: str) -> str:
     """Split a tag value on , ; newline, strip whitespace, drop empty parts (NULL -> [])."""
     return (
@@ -161,9 +171,10 @@ def costed_sql(body: str, *, window_days: int = WINDOW_DAYS, strategy: str = "av
 RUN_COST_COLS = f"""run_id, job_id, currency, {r('estimated_cost', 4)} AS estimated_cost, duration_ms,
   billable_nodes, {r('hourly_rate', 4)} AS hourly_rate, source"""
 
-JOB_AGG = """
+JOB_AGG = f"""
 job_agg AS (
-  SELECT job_id, sum(estimated_cost) AS total_cost, count(*) AS run_count, max(start_time) AS last_run_time
+  SELECT job_id, sum({mu('estimated_cost')}) AS units, sum({mu('estimated_cost')}) / 1000000.0::DOUBLE AS total_cost,
+    count(*) AS run_count, max(start_time) AS last_run_time
   FROM costed GROUP BY job_id
 ),
 job_sum AS (
@@ -172,7 +183,7 @@ job_sum AS (
     a.run_count, a.total_cost / a.run_count AS avg_cost_per_run, a.last_run_time,
     (SELECT coalesce(arg_max(currency, coalesce(start_time, -9223372036854775808)), 'USD') FROM costed) AS currency
   FROM job_agg a LEFT JOIN jobs j ON a.job_id = j.job_id,
-    (SELECT coalesce(sum(total_cost), 0.0) AS total FROM job_agg) t
+    (SELECT coalesce(sum(units) / 1000000.0::DOUBLE, 0.0) AS total FROM job_agg) t
 )"""
 
 
@@ -183,14 +194,21 @@ def named_agg(keys: str, name: str, window_days: int = WINDOW_DAYS) -> str:
   SELECT c.run_id, c.start_time, c.currency, u.key, c.estimated_cost / len(c.{keys}) AS share
   FROM costed c, unnest(c.{keys}) AS u(key)
   WHERE len(c.{keys}) > 0
+  UNION ALL
+  SELECT c.run_id, c.start_time, c.currency, NULL, c.estimated_cost FROM costed c WHERE len(c.{keys}) = 0
 ),
-{name}_sum AS (
-  SELECT key, key AS label, sum(share) AS total_cost,
-    CASE WHEN (SELECT sum(estimated_cost) FROM costed) <> 0
-         THEN sum(share) / (SELECT sum(estimated_cost) FROM costed) ELSE 0.0 END AS cost_share,
-    count(*) AS run_count, sum(share) / count(*) AS avg_cost_per_run,
-    sum(share) / {days}::DOUBLE AS cost_per_day, count(*) AS attribution_count, max(start_time) AS last_seen_time
+{name}_all AS (
+  SELECT key, sum({mu('share')}) / 1000000.0::DOUBLE AS total_cost, sum({mu('share')}) AS units,
+    count(*) AS run_count, max(start_time) AS last_seen_time
   FROM {name}_x GROUP BY key
+),
+{name}_sum AS (
+  SELECT key, key AS label, total_cost,
+    CASE WHEN g.t <> 0 THEN total_cost / g.t ELSE 0.0 END AS cost_share,
+    run_count, total_cost / run_count AS avg_cost_per_run,
+    total_cost / {days}::DOUBLE AS cost_per_day, run_count AS attribution_count, last_seen_time
+  FROM {name}_all, (SELECT sum(units) / 1000000.0::DOUBLE AS t FROM {name}_all) g
+  WHERE key IS NOT NULL
 )"""
 
 
@@ -268,7 +286,7 @@ def oracle_queries() -> dict[str, str]:
     for strat, key in (("average", "worker_count_avg"), ("min", "worker_count_min"), ("max", "worker_count_max")):
         q[key] = costed_sql(f"SELECT run_id, billable_nodes, {r('estimated_cost', 4)} AS estimated_cost FROM costed", strategy=strat)
     q["cost_by_source"] = costed_sql(
-        f"SELECT source, count(*) AS run_count, {r('sum(estimated_cost)', 2)} AS total_cost FROM costed GROUP BY source"
+        f"SELECT source, count(*) AS run_count, {r(msum('estimated_cost'), 2)} AS total_cost FROM costed GROUP BY source"
     )
     q["runs_in_window"] = with_ctes() + """
 SELECT run_id, job_id, start_time FROM runs, params p
@@ -319,7 +337,7 @@ SELECT job_id, CAST(pos - 1 AS BIGINT) AS pos, value FROM (
     # summaries
     q["total_cost"] = costed_sql(
         f"SELECT coalesce(arg_max(currency, coalesce(start_time, -9223372036854775808)), 'USD') AS currency, "
-        f"{r('coalesce(sum(estimated_cost), 0.0)', 2)} AS total_cost, count(*) AS run_count FROM costed"
+        f"{r('coalesce(' + msum('estimated_cost') + ', 0.0)', 2)} AS total_cost, count(*) AS run_count FROM costed"
     )
     q["cost_by_job"] = costed_sql(f"SELECT {JOB_PRESENT} FROM job_sum", extra=(JOB_AGG,))
     q["top_jobs"] = costed_sql(
@@ -337,19 +355,19 @@ SELECT job_id, CAST(pos - 1 AS BIGINT) AS pos, value FROM (
         extra=(named_agg("table_keys", "tab"),),
     )
     q["cost_over_time"] = costed_sql(
-        f"SELECT strftime(make_timestamp(start_time * 1000), '%Y-%m-%d') AS date, {r('sum(estimated_cost)', 2)} AS total_cost, "
+        f"SELECT strftime(make_timestamp(start_time * 1000), '%Y-%m-%d') AS date, {r(msum('estimated_cost'), 2)} AS total_cost, "
         "count(*) AS run_count FROM costed WHERE start_time IS NOT NULL GROUP BY 1"
     )
     q["summary_kpis"] = costed_sql(
         f"""
 SELECT CAST({WINDOW_DAYS} AS INTEGER) AS window_days,
   coalesce((SELECT arg_max(currency, coalesce(start_time, -9223372036854775808)) FROM costed), 'USD') AS currency,
-  {r('coalesce(sum(total_cost), 0.0)', 2)} AS total_cost,
+  {r('coalesce(sum(units) / 1000000.0::DOUBLE, 0.0)', 2)} AS total_cost,
   coalesce(sum(run_count), 0) AS run_count,
   count(*) AS job_count,
   (SELECT count(*) FROM pipe_sum) AS pipeline_count,
   (SELECT count(*) FROM tab_sum) AS table_count,
-  CASE WHEN coalesce(sum(run_count), 0) > 0 THEN {r('sum(total_cost) / sum(run_count)', 2)} ELSE 0.0 END AS avg_cost_per_run,
+  CASE WHEN coalesce(sum(run_count), 0) > 0 THEN {r('(sum(units) / 1000000.0::DOUBLE) / sum(run_count)', 2)} ELSE 0.0 END AS avg_cost_per_run,
   (SELECT job_name FROM job_sum ORDER BY total_cost DESC, last_run_time DESC NULLS LAST, job_id LIMIT 1) AS most_expensive_job,
   (SELECT label FROM pipe_sum ORDER BY total_cost DESC, last_seen_time DESC NULLS LAST, key LIMIT 1) AS most_expensive_pipeline,
   (SELECT label FROM tab_sum ORDER BY total_cost DESC, last_seen_time DESC NULLS LAST, key LIMIT 1) AS most_expensive_table,
@@ -373,7 +391,7 @@ FROM (SELECT * FROM costed ORDER BY coalesce(start_time, 0) DESC, estimated_cost
 LEFT JOIN jobs j ON c.job_id = j.job_id"""
     )
     presets = " UNION ALL ".join(
-        f"SELECT {d} AS window_days, {r('coalesce(sum(estimated_cost) FILTER (WHERE start_time IS NULL OR start_time >= (SELECT as_of_ms FROM params) - ' + str(d) + ' * CAST(86400000 AS BIGINT)), 0.0)', 2)} AS total_cost, "
+        f"SELECT {d} AS window_days, {r('coalesce(' + msum('estimated_cost', ' FILTER (WHERE start_time IS NULL OR start_time >= (SELECT as_of_ms FROM params) - ' + str(d) + ' * CAST(86400000 AS BIGINT))') + ', 0.0)', 2)} AS total_cost, "
         f"count(*) FILTER (WHERE start_time IS NULL OR start_time >= (SELECT as_of_ms FROM params) - {d} * CAST(86400000 AS BIGINT)) AS run_count FROM costed"
         for d in (7, 14, 30, 90)
     )
@@ -544,7 +562,7 @@ st AS (
     max(start_time) FILTER (WHERE result_state IN {FAIL}) AS last_failure_time
   FROM base GROUP BY job_id
 ),
-jcost AS (SELECT job_id, sum(estimated_cost) AS estimated_cost FROM costed GROUP BY job_id)"""
+jcost AS (SELECT job_id, {msum('estimated_cost')} AS estimated_cost FROM costed GROUP BY job_id)"""
 
 DEGRADE = f"""
 dbase AS (
@@ -704,8 +722,8 @@ SELECT job_id, name, reasons FROM (
 SELECT job_id, {r('cc', 2)} AS current_cost, {r('pc', 2)} AS previous_cost, current_runs, previous_runs,
   {r('cc - pc', 2)} AS delta_cost, {r('CASE WHEN pc <> 0 THEN (cc - pc) / pc END', 4)} AS delta_pct
 FROM (
-  SELECT job_id, coalesce(sum(estimated_cost) FILTER (WHERE {cur}), 0.0::DOUBLE) AS cc,
-    coalesce(sum(estimated_cost) FILTER (WHERE {prev}), 0.0::DOUBLE) AS pc,
+  SELECT job_id, coalesce({msum('estimated_cost', ' FILTER (WHERE ' + cur + ')')}, 0.0::DOUBLE) AS cc,
+    coalesce({msum('estimated_cost', ' FILTER (WHERE ' + prev + ')')}, 0.0::DOUBLE) AS pc,
     count(*) FILTER (WHERE {cur}) AS current_runs, count(*) FILTER (WHERE {prev}) AS previous_runs
   FROM costed GROUP BY job_id
 )""",
@@ -754,7 +772,7 @@ FROM anom"""
         f"""
 SELECT job_id, day, {r('cost', 4)} AS cost, {r('baseline', 4)} AS baseline, {r('sd', 4)} AS baseline_stddev FROM (
   SELECT *, avg(cost) OVER w AS baseline, stddev_samp(cost) OVER w AS sd, count(cost) OVER w AS history
-  FROM (SELECT job_id, CAST(make_timestamp(start_time * 1000) AS DATE) AS day, sum(estimated_cost) AS cost
+  FROM (SELECT job_id, CAST(make_timestamp(start_time * 1000) AS DATE) AS day, {msum('estimated_cost')} AS cost
         FROM costed WHERE start_time IS NOT NULL GROUP BY 1, 2)
   WINDOW w AS (PARTITION BY job_id ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)
 ) WHERE history >= 3 AND sd > 0 AND abs(cost - baseline) >= 2.0::DOUBLE * sd"""
