@@ -7,7 +7,9 @@ snapshot (latest by key, new version directory, pointer moved). The query is
 checkpointed under the session's shared ``spark.checkpoint.dir`` (or a given
 folder), runs with ``availableNow`` so each call drains what has landed, and
 is idempotent by key: replaying a micro-batch after a failure re-merges the
-same rows into the same state.
+same rows into the same state. Runs (the large table) are merged partition by
+partition (only the start days a batch touches are rewritten); jobs and
+clusters are small and get a new snapshot version per batch.
 """
 
 from __future__ import annotations
@@ -37,7 +39,11 @@ def _merge_batch(kind: str, store_root: str, quarantine_dir: str | None):
             typed = snapshot.with_start_date(typed)
         if quarantine_dir is not None:
             bad.write.mode("append").text(f"{quarantine_dir.rstrip('/')}/{kind}")
-        snapshot.upsert(typed, store_root, kind, keys, order_by, partition_by)
+        if partition_by:
+            # large, day-partitioned table: rewrite only the touched partitions
+            snapshot.upsert_partitions(typed, f"{store_root.rstrip('/')}/{kind}", keys, order_by, partition_by[0])
+        else:
+            snapshot.upsert(typed, store_root, kind, keys, order_by)
 
     return merge
 
