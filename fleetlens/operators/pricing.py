@@ -178,3 +178,35 @@ def config_counts(discovered: DataFrame, config: DataFrame) -> DataFrame:
     return discovered.agg(F.count("*").alias("discovered_count")).select(
         "discovered_count", n_conf.scalar().alias("configured_count")
     )
+
+
+CONFIG_KEY = "cluster_pricing_config"
+
+
+def encode_config(entries: DataFrame, discovered: DataFrame | None, refreshed_at: str | None) -> DataFrame:
+    """Persisted shape of the pricing config as one (key, value) row: the
+    discovered node types (sorted), the entries map and the refresh time.
+    Both inputs are node-type grain, so the single JSON document is bounded."""
+    ent = entries.agg(
+        F.map_from_entries(
+            F.collect_list(F.struct("node_type_id", F.struct("dbus_per_hour", "plan")))
+        ).alias("entries")
+    )
+    if discovered is None:
+        types = ent.select(F.array().cast("array<string>").alias("cluster_node_types"))
+    else:
+        types = discovered.agg(F.sort_array(F.collect_list("node_type_id")).alias("cluster_node_types"))
+    doc = F.struct(
+        F.col("cluster_node_types"),
+        ent.scalar().alias("entries"),
+        F.lit(refreshed_at).cast("string").alias("last_refreshed_at"),
+    )
+    return types.select(F.lit(CONFIG_KEY).alias("key"), F.to_json(doc).alias("value"))
+
+
+def refresh_discovered(kv: DataFrame, node_types: DataFrame, refreshed_at: str) -> DataFrame:
+    """Replace the discovered node types with ``node_types`` (I12 output,
+    column ``node_type``), stamp the refresh time, keep the entries (entries
+    that do not decode are dropped, as on every read of the stored config)."""
+    entries, _ = decode_config(kv)
+    return encode_config(entries, node_types.select(F.col("node_type").alias("node_type_id")), refreshed_at)

@@ -328,3 +328,25 @@ def cost_by_window_presets(costed: DataFrame, as_of_ms: int, presets: Sequence[i
         ]
     )
     return wide.select(F.inline(rows))
+
+
+def bar_scale(df: DataFrame, value_col: str, floor_pct: float) -> Column:
+    """bar width in percent of the largest value, at least ``floor_pct``:
+    ``max(floor, value / max(max_value, 1) * 100)``. ``df`` should be a small,
+    materialised result (the max is a scalar subquery over it)."""
+    top = df.agg(F.greatest(F.coalesce(F.max(value_col), F.lit(1.0)), F.lit(1.0))).scalar()
+    return F.greatest(F.lit(float(floor_pct)), F.col(value_col) / top * F.lit(100.0))
+
+
+def cost_over_time_bars(costed: DataFrame, floor_pct: float = 8.0) -> DataFrame:
+    """G6 + F4: the daily series with its bar widths (floor 8% as displayed)."""
+    series = materialize(cost_over_time(costed))
+    return series.select("date", "total_cost", "run_count", bar_scale(series, "total_cost", floor_pct).alias("bar_pct"))
+
+
+def top_jobs_bars(summaries: DataFrame, n: int = 8, floor_pct: float = 10.0) -> DataFrame:
+    """K6 + F4: the ``n`` most expensive jobs with bar widths relative to the
+    most expensive one (floor 10%)."""
+    shown = present_jobs(summaries)
+    top = shown.orderBy(F.desc("total_cost"), F.desc_nulls_last("last_run_time"), F.asc("job_id")).limit(n)
+    return top.select("job_id", "job_name", "total_cost", bar_scale(shown, "total_cost", floor_pct).alias("bar_pct"))

@@ -777,3 +777,34 @@ def q_cost_anomalies(spark, sf_dir):
         "job_id", "day", _r4("cost").alias("cost"), _r4("baseline").alias("baseline"),
         _r4("baseline_stddev").alias("baseline_stddev"),
     )
+
+
+# ---------------------------------------------------- F4 bars / P6 refresh
+
+
+@query("cost_over_time_bars")
+def q_cost_over_time_bars(spark, sf_dir):
+    """G6 + F4: daily series with bar widths (floor 8%)."""
+    b = summaries.cost_over_time_bars(_dash(spark, sf_dir).costed, 8.0)
+    return b.select("date", "total_cost", "run_count", _r4("bar_pct").alias("bar_pct"))
+
+
+@query("top_jobs_bars")
+def q_top_jobs_bars(spark, sf_dir):
+    """K6 + F4: eight most expensive jobs with bar widths (floor 10%)."""
+    b = summaries.top_jobs_bars(_dash(spark, sf_dir).job_summaries(), 8, 10.0)
+    return b.select("job_id", "job_name", "total_cost", _r4("bar_pct").alias("bar_pct"))
+
+
+@query("pricing_config_refresh")
+def q_config_refresh(spark, sf_dir):
+    """Encode the config entries, refresh the discovered node types from
+    the clusters (I12), decode again: the refreshed discovery list."""
+    from fleetlens.sources import ingest
+
+    ws = _ws(spark, sf_dir)
+    stored = pricing.encode_config(ws.pricing_config, None, None)
+    refreshed = pricing.refresh_discovered(stored, ingest.distinct_node_types(ws.clusters), "2024-01-31T00:00:00+00:00")
+    entries, disc = pricing.decode_config(refreshed)
+    n_entries = entries.agg(F.count("*")).scalar()
+    return disc.select(F.col("ordinal").cast("long").alias("ordinal"), "node_type_id", n_entries.alias("entry_count"))

@@ -9,6 +9,7 @@ columns a view does not read.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -47,10 +48,16 @@ class Dashboard:
             )
         return self._costed
 
-    def materialize(self) -> "Dashboard":
-        """Write the costed fact to the shared checkpoint folder and cut its lineage."""
-        ensure_checkpoint_dir(self.costed.sparkSession)
-        self._costed = self.costed.checkpoint(eager=True)
+    def materialize(self, path: str | None = None) -> "Dashboard":
+        """Write the costed fact as Parquet (default: a new folder under the
+        shared ``spark.checkpoint.dir``) and read the views from it: lineage is
+        cut, a lost executor re-reads files instead of re-costing, and each
+        view prunes the columns it needs from the columnar copy."""
+        spark = self.costed.sparkSession
+        if path is None:
+            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlens-costed-{uuid.uuid4().hex}"
+        self.costed.write.mode("errorifexists").parquet(path)
+        self._costed = spark.read.parquet(path)
         return self
 
     def diagnosed(self) -> DataFrame:

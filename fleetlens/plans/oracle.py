@@ -408,6 +408,22 @@ SELECT node_type_id, {r('rate', 4)} AS dbu_rate_per_hour, currency, 0.0::DOUBLE
   {r('rate + 0.0::DOUBLE', 4)} AS total_rate_per_hour FROM rates"""
     q.update(more_queries())
     q.update(tier_b_queries())
+    q["cost_over_time_bars"] = costed_sql(f"""
+SELECT date, total_cost, run_count,
+  {r('greatest(8.0::DOUBLE, total_cost / greatest((SELECT max(total_cost) FROM s), 1.0::DOUBLE) * 100.0::DOUBLE)', 4)} AS bar_pct
+FROM s""", extra=(f"""s AS (
+  SELECT strftime(make_timestamp(start_time * 1000), '%Y-%m-%d') AS date, {r(msum('estimated_cost'), 2)} AS total_cost,
+    count(*) AS run_count FROM costed WHERE start_time IS NOT NULL GROUP BY 1
+)""",))
+    q["top_jobs_bars"] = costed_sql(f"""
+SELECT job_id, job_name, total_cost,
+  {r('greatest(10.0::DOUBLE, total_cost / greatest((SELECT max(total_cost) FROM p), 1.0::DOUBLE) * 100.0::DOUBLE)', 4)} AS bar_pct
+FROM p ORDER BY total_cost DESC, last_run_time DESC NULLS LAST, job_id LIMIT 8""",
+        extra=(JOB_AGG, f"p AS (SELECT job_id, job_name, {r('total_cost', 2)} AS total_cost, last_run_time FROM job_sum)"))
+    q["pricing_config_refresh"] = with_ctes() + f"""
+SELECT CAST(row_number() OVER (ORDER BY node_type) - 1 AS BIGINT) AS ordinal, node_type AS node_type_id,
+  (SELECT count(*) FROM pricing_config) AS entry_count
+FROM {_node_types_sql()}"""
     q["pricing_reference_rates"] = with_ctes() + f"""
 SELECT node_type_id, dbus_per_hour, plan,
   {r("dbus_per_hour * CASE WHEN plan = 'premium' THEN 0.15::DOUBLE ELSE 0.20::DOUBLE END", 4)} AS jobs_rate_per_hour,
