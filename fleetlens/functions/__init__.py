@@ -13,6 +13,7 @@ from fleetlens.functions.columns import (
     py_round,
     utc_day,
     worker_count,
+    workers_from,
 )
 from fleetlens.functions.tags import (
     PIPELINE_TAG_KEYS,
@@ -42,4 +43,5 @@ __all__ = [
     "tag_values",
     "utc_day",
     "worker_count",
+    "workers_from",
 ]

@@ -85,19 +85,20 @@ def utc_day(ms: Column | str) -> Column:
     return F.date_format(F.timestamp_millis(_col(ms)), "yyyy-MM-dd")
 
 
-def worker_count(spec: Column | str, strategy: str = "average") -> Column:
-    """Workers billed for a cluster spec.
-
-    ``num_workers`` when set (0 counts), else the autoscale bounds by strategy
-    (``max``, ``min``, anything else = midpoint), else 0.
-    """
-    spec = _col(spec)
-    lo = spec["autoscale"]["min_workers"].cast("double")
-    hi = spec["autoscale"]["max_workers"].cast("double")
+def workers_from(num_workers: Column, min_workers: Column, max_workers: Column, strategy: str = "average") -> Column:
+    """Workers billed: ``num_workers`` when set (0 counts), else the autoscale
+    bounds by strategy (``max``, ``min``, anything else = midpoint), else 0."""
+    lo, hi = min_workers.cast("double"), max_workers.cast("double")
     if strategy == "max":
         scaled = hi
     elif strategy == "min":
         scaled = lo
     else:
         scaled = (lo + hi) / F.lit(2.0)
-    return F.coalesce(spec["num_workers"].cast("double"), scaled, F.lit(0.0))
+    return F.coalesce(num_workers.cast("double"), scaled, F.lit(0.0))
+
+
+def worker_count(spec: Column | str, strategy: str = "average") -> Column:
+    """Workers billed for a cluster spec struct (see :func:`workers_from`)."""
+    spec = _col(spec)
+    return workers_from(spec["num_workers"], spec["autoscale"]["min_workers"], spec["autoscale"]["max_workers"], strategy)

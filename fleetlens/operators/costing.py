@@ -29,7 +29,7 @@ from fleetlens.functions import (
     blank_to_null,
     merge_tag_values,
     tag_values,
-    worker_count,
+    workers_from,
 )
 from fleetlens.plans.joins import DEFAULT_BROADCAST_ROWS, DEFAULT_SALT_BUCKETS, join_dimension
 
@@ -110,16 +110,26 @@ def window_start(as_of_ms: int, window_days: int) -> int:
 # ------------------------------------------------------------------ dimensions
 
 
+# Pricing fields of a spec, resolved one scalar column at a time (no struct is
+# built per run): (name, field accessor on a spec struct).
+_SPEC_FIELDS = (
+    ("node", lambda s: s["node_type_id"]),
+    ("driver", lambda s: s["driver_node_type_id"]),
+    ("workers", lambda s: s["num_workers"].cast("int")),
+    ("as_min", lambda s: s["autoscale"]["min_workers"]),
+    ("as_max", lambda s: s["autoscale"]["max_workers"]),
+)
+
+
+def _spec_cols(spec: Column, prefix: str) -> list[Column]:
+    return [get(spec).alias(f"{prefix}_{name}") for name, get in _SPEC_FIELDS]
+
+
 def cluster_dimension(clusters: DataFrame) -> DataFrame:
-    """C4 lookup side: cluster_id -> pricing spec (always a non-null struct)."""
+    """C4 lookup side: cluster_id -> flattened pricing spec, ``cl_found`` = true."""
+    spec = F.struct(F.col("node_type_id"), F.col("driver_node_type_id"), F.col("num_workers"), F.col("autoscale"))
     return clusters.where(F.col("cluster_id").isNotNull() & (F.col("cluster_id") != "")).select(
-        F.col("cluster_id"),
-        F.struct(
-            F.col("node_type_id"),
-            F.col("driver_node_type_id"),
-            F.col("num_workers").cast("int").alias("num_workers"),
-            F.col("autoscale"),
-        ).alias("lookup_spec"),
+        F.col("cluster_id"), *_spec_cols(spec, "cl"), F.lit(True).alias("cl_found")
     )
 
 
@@ -151,14 +161,18 @@ def job_cluster_spec(tasks: str = "tasks", job_clusters: str = "job_clusters") -
 
 
 def job_dimension(jobs: DataFrame, with_keys: bool = True) -> DataFrame:
-    """Per job, computed once: resolved job-cluster spec and the job's tag keys."""
+    """Per job, computed once: resolved job-cluster spec (flattened, with
+    ``js_present``) and the job's tag keys."""
     cols = [F.col("job_id"), job_cluster_spec().alias("job_spec")]
     if with_keys:
         cols += [
             tag_values("tags", PIPELINE_TAG_KEYS).alias("job_pipeline_keys"),
             tag_values("tags", TABLE_TAG_KEYS).alias("job_table_keys"),
         ]
-    return jobs.select(*cols)
+    dim = jobs.select(*cols)
+    spec = F.col("job_spec")
+    keys = ["job_pipeline_keys", "job_table_keys"] if with_keys else []
+    return dim.select("job_id", *_spec_cols(spec, "js"), spec.isNotNull().alias("js_present"), *keys)
 
 
 def job_cluster_resolution(jobs: DataFrame) -> DataFrame:
@@ -190,7 +204,8 @@ def _narrow_runs(runs: DataFrame, with_keys: bool, carry: tuple[str, ...] = ())
         F.col("job_id"),
         F.col("start_time"),
         F.col("duration_ms"),
-        _narrow_spec(F.col("cluster_spec")).alias("run_spec"),
+        *_spec_cols(F.col("cluster_spec"), "rs"),
+        F.col("cluster_spec").isNotNull().alias("rs_present"),
         blank_to_null(F.col("cluster_instance.cluster_id")).alias("cluster_id"),
     ]
     if with_keys:
@@ -208,24 +223,28 @@ def _resolve(narrow: DataFrame, jobs: DataFrame, clusters: DataFrame, cfg: CostC
         salt_by="run_id", salt_buckets=cfg.salt_buckets,
     )
     joined = join_dimension(
-        joined, job_dimension(jobs, with_keys).withColumn("job_found", F.lit(True)), "job_id", "left",
+        joined, job_dimension(jobs, with_keys), "job_id", "left",
         max_broadcast_rows=cfg.max_broadcast_rows, salt_by="run_id", salt_buckets=cfg.salt_buckets,
     )
-    run_spec, lookup, job_spec = F.col("run_spec"), F.col("lookup_spec"), F.col("job_spec")
-    spec = F.when(run_spec.isNotNull(), run_spec).when(lookup.isNotNull(), lookup).otherwise(job_spec)
+    has_run, has_lookup, has_job = F.col("rs_present"), F.col("cl_found").isNotNull(), F.coalesce(F.col("js_present"), F.lit(False))
+
+    def pick(name: str) -> Column:
+        # presence decides, not content: a run spec without node type does not fall through
+        return F.when(has_run, F.col(f"rs_{name}")).when(has_lookup, F.col(f"cl_{name}")).otherwise(F.col(f"js_{name}"))
+
     source = (
-        F.when(run_spec.isNotNull(), F.lit(SOURCE_RUN_SPEC))
-        .when(lookup.isNotNull(), F.lit(SOURCE_CLUSTER_LOOKUP))
-        .when(job_spec.isNotNull(), F.lit(SOURCE_JOB_CLUSTERS))
+        F.when(has_run, F.lit(SOURCE_RUN_SPEC))
+        .when(has_lookup, F.lit(SOURCE_CLUSTER_LOOKUP))
+        .when(has_job, F.lit(SOURCE_JOB_CLUSTERS))
         .otherwise(F.lit(SOURCE_UNRESOLVED))
     )
-    node = blank_to_null(spec["node_type_id"])
+    node = blank_to_null(pick("node"))
     out = joined.select(
         "*",
         source.alias("source"),
         node.alias("node_type_id"),
-        F.coalesce(blank_to_null(spec["driver_node_type_id"]), node).alias("driver_node_type_id"),
-        worker_count(spec, cfg.autoscale_strategy).alias("workers"),
+        F.coalesce(blank_to_null(pick("driver")), node).alias("driver_node_type_id"),
+        workers_from(pick("workers"), pick("as_min"), pick("as_max"), cfg.autoscale_strategy).alias("workers"),
     )
     if with_keys:
         out = out.withColumn("pipeline_keys", merge_tag_values("run_pipeline_keys", "job_pipeline_keys")).withColumn(

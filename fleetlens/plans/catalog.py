@@ -125,8 +125,8 @@ def q_cluster_lookup(spark, sf_dir):
 
     j = join_dimension(runs, dim, "cluster_id", "left", salt_by="run_id")
     return j.select(
-        "run_id", "cluster_id", F.col("lookup_spec.node_type_id").alias("node_type_id"),
-        F.col("lookup_spec").isNotNull().alias("found"),
+        "run_id", "cluster_id", F.col("cl_node").alias("node_type_id"),
+        F.col("cl_found").isNotNull().alias("found"),
     )
 
 
