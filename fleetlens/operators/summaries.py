@@ -9,6 +9,7 @@ partition or a cross join.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -50,17 +51,19 @@ def _first_currency_aggs() -> list[Column]:
 
 
 def materialize(agg: DataFrame) -> DataFrame:
-    """Write a key-grain aggregate to the shared checkpoint folder and cut its
-    lineage (reliable ``checkpoint``; the cluster names the folder in
-    ``spark.checkpoint.dir``).
+    """Write a key-grain aggregate as Parquet into a new folder under the
+    shared checkpoint directory (``spark.checkpoint.dir``) and read it back.
 
     The grand total and the shares are then both read from the written
     aggregate: the costed runs are scanned once, and a lost executor re-reads
-    the small checkpoint instead of recomputing the costing. (A scalar
-    subquery over the unmaterialised aggregate would be planned separately by
-    AQE and re-run the whole scan.)"""
-    ensure_checkpoint_dir(agg.sparkSession)
-    return agg.checkpoint(eager=True)
+    the small files instead of recomputing the costing. (A scalar subquery
+    over the unwritten aggregate is planned separately by AQE and re-runs the
+    whole scan; ``checkpoint(eager=True)`` without a cache computes the plan
+    twice, once for its count and once for the write.)"""
+    spark = agg.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlens-agg-{uuid.uuid4().hex}"
+    agg.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def _totals(agg: DataFrame, default_currency: str) -> Column:
@@ -100,7 +103,11 @@ def job_summaries(costed: DataFrame, jobs: DataFrame, cfg: CostConfig = CostConf
     """G3 + C12: job_id, job_name, currency, total_cost, cost_share, run_count,
     avg_cost_per_run, last_run_time (raw doubles). Names are joined after the
     aggregation, at job grain."""
-    agg = materialize(job_aggregate(costed))
+    return job_summaries_from(materialize(job_aggregate(costed)), jobs, cfg)
+
+
+def job_summaries_from(agg: DataFrame, jobs: DataFrame, cfg: CostConfig = CostConfig()) -> DataFrame:
+    """G3 from a materialised per-job aggregate (``job_aggregate`` shape)."""
     t = _totals(agg, cfg.currency)
     names = jobs.select("job_id", F.col("name").alias("_name"))
     named = join_dimension(agg, names, "job_id", "left", max_broadcast_rows=cfg.max_broadcast_rows)
@@ -158,7 +165,12 @@ def named_summaries(
     """G4 (pipeline_keys) / G5 (table_keys): key, label, currency, total_cost,
     cost_share (vs. the grand total of all costed runs), run_count,
     avg_cost_per_run, cost_per_day, attribution_count, last_seen_time."""
-    agg = materialize(named_aggregate(costed, keys_col))
+    return named_summaries_from(materialize(named_aggregate(costed, keys_col)), window_days, cfg)
+
+
+def named_summaries_from(agg: DataFrame, window_days: int | None, cfg: CostConfig = CostConfig()) -> DataFrame:
+    """G4/G5 from a materialised key aggregate (``named_aggregate`` shape,
+    including the NULL key of untagged runs)."""
     t = _totals(agg, cfg.currency)
     days = float(max(1, window_days or 1))
     return agg.where(F.col("key").isNotNull()).select(
@@ -199,6 +211,59 @@ def top_named(summaries: DataFrame, n: int = 8) -> DataFrame:
     return present_named(summaries.orderBy(*rank_named()).limit(n))
 
 
+# -------------------------------------------------- fused (one pass, all three)
+
+DIM_JOB, DIM_PIPELINE, DIM_TABLE = "job", "pipeline", "table"
+
+
+def fused_aggregate(costed: DataFrame) -> DataFrame:
+    """G3 + G4 + G5 accumulated in one pass over the costed runs.
+
+    Each run becomes one ``job`` row, one ``pipeline`` row per pipeline key
+    and one ``table`` row per table key (a run without keys gives one row
+    with a NULL key and its full cost, so each dimension also carries the
+    grand total). One partial (map-side) hash aggregation on
+    (dim, job_id, key) then replaces three scans. Split the result with
+    :func:`fused_part`."""
+    cost = F.col("estimated_cost")
+
+    def per_key(dim: str, keys: str):
+        n = F.size(keys)
+        tagged = F.transform(
+            keys,
+            lambda k: F.struct(F.lit(dim).alias("dim"), F.lit(None).cast("long").alias("job_id"), k.alias("key"),
+                               (cost / n).alias("share")),
+        )
+        untagged = F.array(
+            F.struct(F.lit(dim).alias("dim"), F.lit(None).cast("long").alias("job_id"), F.lit(None).cast("string").alias("key"),
+                     cost.alias("share"))
+        )
+        return F.when(n > 0, tagged).otherwise(untagged)
+
+    job_row = F.array(
+        F.struct(F.lit(DIM_JOB).alias("dim"), F.col("job_id").alias("job_id"), F.lit(None).cast("string").alias("key"),
+                 cost.alias("share"))
+    )
+    rows = F.concat(job_row, per_key(DIM_PIPELINE, "pipeline_keys"), per_key(DIM_TABLE, "table_keys"))
+    exploded = costed.select("start_time", "currency", F.inline(rows))
+    return exploded.groupBy("dim", "job_id", "key").agg(
+        F.sum(money_units("share")).alias("cost_units"),
+        F.count("*").alias("run_count"),
+        F.max("start_time").alias("last_time"),
+        *_first_currency_aggs(),
+    ).withColumn("total_cost", from_units("cost_units"))
+
+
+def fused_part(fused: DataFrame, dim: str) -> DataFrame:
+    """One dimension of :func:`fused_aggregate`, in the shape of
+    ``job_aggregate`` (dim 'job') or ``named_aggregate`` (others)."""
+    part = fused.where(F.col("dim") == dim)
+    common = ["cost_units", "run_count", "first_currency", "first_order", "total_cost"]
+    if dim == DIM_JOB:
+        return part.select("job_id", F.col("last_time").alias("last_run_time"), *common)
+    return part.select("key", F.col("last_time").alias("last_seen_time"), *common)
+
+
 # ------------------------------------------------------------ report level
 
 
@@ -234,32 +299,56 @@ def summary_kpis(
     window_days: int,
     cfg: CostConfig = CostConfig(),
     last_sync_at: str | None = None,
+    fused: DataFrame | None = None,
 ) -> DataFrame:
-    """One row of headline numbers (zero state when nothing is costed)."""
-    js = job_summaries(costed, jobs, cfg)
-    ps = named_summaries(costed, "pipeline_keys", window_days, cfg)
-    ts = named_summaries(costed, "table_keys", window_days, cfg)
-    agg = materialize(job_aggregate(costed))
-    head = agg.agg(
-        F.coalesce(from_units(F.sum("cost_units")), F.lit(0.0)).alias("total"),
-        F.coalesce(F.sum("run_count"), F.lit(0)).alias("run_count"),
-        F.count("*").alias("job_count"),
-        F.coalesce(currency_text(F.max_by("first_currency", "first_order")), F.lit(cfg.currency)).alias("currency"),
+    """One row of headline numbers (zero state when nothing is costed).
+    All of it comes from one materialised fused aggregate (one pass)."""
+    fused = fused if fused is not None else materialize(fused_aggregate(costed))
+    dim, key = F.col("dim"), F.col("key")
+    is_job = dim == DIM_JOB
+
+    def rank_key(label_tie: Column) -> Column:
+        # min of (total desc, last seen desc with NULL last, label/id asc) == first in K2/K3 order
+        last = F.when(F.col("last_time").isNull(), F.lit(_LONG_MAX)).otherwise(-F.col("last_time"))
+        return F.struct(-F.col("total_cost"), last, label_tie)
+
+    def top_key(d: str) -> Column:
+        return F.min_by(key, F.when((dim == d) & key.isNotNull(), rank_key(key)))
+
+    # one aggregate over the small fused table gives every headline number
+    head = fused.agg(
+        F.coalesce(from_units(F.sum(F.when(is_job, F.col("cost_units")))), F.lit(0.0)).alias("total"),
+        F.coalesce(F.sum(F.when(is_job, F.col("run_count"))), F.lit(0)).alias("run_count"),
+        F.count_if(is_job).alias("job_count"),
+        F.count_if((dim == DIM_PIPELINE) & key.isNotNull()).alias("pipeline_count"),
+        F.count_if((dim == DIM_TABLE) & key.isNotNull()).alias("table_count"),
+        F.coalesce(
+            currency_text(F.max_by(F.when(is_job, F.col("first_currency")), F.when(is_job, F.col("first_order")))),
+            F.lit(cfg.currency),
+        ).alias("currency"),
+        F.min_by(F.col("job_id"), F.when(is_job, rank_key(F.col("job_id")))).alias("top_job_id"),
+        top_key(DIM_PIPELINE).alias("most_expensive_pipeline"),
+        top_key(DIM_TABLE).alias("most_expensive_table"),
     )
+    names = jobs.select(F.col("job_id").alias("top_job_id"), F.col("name").alias("_name"))
+    head = join_dimension(head, names, "top_job_id", "left", max_broadcast_rows=cfg.max_broadcast_rows)
     return head.select(
         F.lit(int(window_days)).alias("window_days"),
         "currency",
         py_round("total", 2).alias("total_cost"),
         "run_count",
         "job_count",
-        ps.agg(F.count("*")).scalar().alias("pipeline_count"),
-        ts.agg(F.count("*")).scalar().alias("table_count"),
+        "pipeline_count",
+        "table_count",
         F.when(F.col("run_count") > 0, py_round(F.col("total") / F.col("run_count"), 2))
         .otherwise(F.lit(0.0))
         .alias("avg_cost_per_run"),
-        _top_label(js, "job_name", rank_jobs(js)).alias("most_expensive_job"),
-        _top_label(ps, "label", rank_named()).alias("most_expensive_pipeline"),
-        _top_label(ts, "label", rank_named()).alias("most_expensive_table"),
+        F.when(
+            F.col("top_job_id").isNotNull(),
+            F.coalesce(F.col("_name"), F.concat(F.lit("job-"), F.col("top_job_id").cast("string"))),
+        ).alias("most_expensive_job"),
+        "most_expensive_pipeline",
+        "most_expensive_table",
         F.lit(last_sync_at).cast("string").alias("last_sync_at"),
     )
 

@@ -13,6 +13,7 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fleetlens.operators import costing, insights, pricing, summaries
 from fleetlens.operators.costing import CostConfig
@@ -30,6 +31,7 @@ class Dashboard:
     cfg: CostConfig = field(default_factory=CostConfig)
     last_sync_at: str | None = None
     _costed: DataFrame | None = None
+    _fused: DataFrame | None = None
 
     @classmethod
     def from_config(cls, runs, jobs, clusters, pricing_config, as_of_ms, **kw) -> "Dashboard":
@@ -65,14 +67,32 @@ class Dashboard:
             self.runs, self.jobs, self.clusters, self.rates, self.cfg, window_start_ms=self.window_start_ms
         )
 
+    def fused(self) -> DataFrame:
+        """Job, pipeline and table accumulators from one pass over the costed
+        runs, written once to the shared checkpoint folder and reused by every
+        view of this bundle."""
+        if self._fused is None:
+            self._fused = summaries.materialize(summaries.fused_aggregate(self.costed))
+        return self._fused
+
     # views ---------------------------------------------------------------
+    # A single view aggregates only its own dimension; once the fused
+    # aggregate exists (summary / insights), every view reads it instead.
     def job_summaries(self) -> DataFrame:
+        if self._fused is not None:
+            return summaries.job_summaries_from(summaries.fused_part(self._fused, summaries.DIM_JOB), self.jobs, self.cfg)
         return summaries.job_summaries(self.costed, self.jobs, self.cfg)
 
     def pipeline_summaries(self) -> DataFrame:
+        if self._fused is not None:
+            part = summaries.fused_part(self._fused, summaries.DIM_PIPELINE)
+            return summaries.named_summaries_from(part, self.window_days, self.cfg)
         return summaries.named_summaries(self.costed, "pipeline_keys", self.window_days, self.cfg)
 
     def table_summaries(self) -> DataFrame:
+        if self._fused is not None:
+            part = summaries.fused_part(self._fused, summaries.DIM_TABLE)
+            return summaries.named_summaries_from(part, self.window_days, self.cfg)
         return summaries.named_summaries(self.costed, "table_keys", self.window_days, self.cfg)
 
     def top_jobs(self, n: int = 10) -> DataFrame:
@@ -88,7 +108,9 @@ class Dashboard:
         return summaries.cost_over_time(self.costed)
 
     def summary(self) -> DataFrame:
-        return summaries.summary_kpis(self.costed, self.jobs, self.window_days, self.cfg, self.last_sync_at)
+        return summaries.summary_kpis(
+            self.costed, self.jobs, self.window_days, self.cfg, self.last_sync_at, fused=self.fused()
+        )
 
     def coverage(self) -> DataFrame:
         return summaries.coverage(self.diagnosed(), self.rates)
@@ -97,7 +119,8 @@ class Dashboard:
         return summaries.recent_runs(self.costed, self.jobs, n)
 
     def insights(self) -> DataFrame:
-        total = summaries.grand_total(self.costed)
+        jobs_part = summaries.fused_part(self.fused(), summaries.DIM_JOB)
+        total = jobs_part.agg(F.coalesce(summaries.from_units(F.sum("cost_units")), F.lit(0.0))).scalar()
         return insights.all_insights(
             self.job_summaries(), self.pipeline_summaries(), self.table_summaries(), total, self.cfg
         )

@@ -17,6 +17,7 @@ session's ``spark.checkpoint.dir``), never from a machine-local temp dir.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,8 +99,9 @@ def upsert_partitions(
     The touched partition values are a bounded list (days in one batch); the
     current rows of those partitions (and of the NULL partition, where runs
     without a start live) are merged with the batch latest-by-key, the result
-    is checkpointed to the shared folder (cutting the lineage to the files
-    about to be replaced), and written with dynamic partition overwrite. Cost
+    is staged as Parquet in the shared checkpoint folder (cutting the lineage
+    to the files about to be replaced), and written with dynamic partition
+    overwrite. Cost
     is proportional to the batch's partitions, not to the table. A run's
     start day must not change between syncs (completed runs never do).
     Returns the rows offered."""
@@ -115,8 +117,9 @@ def upsert_partitions(
     affected = current.where(part.isin(*values) | part.isNull()) if values else current.where(part.isNull())
     from fleetlens.session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(spark)
-    merged = merge_latest(affected, batch.select(*current.columns), keys, order_by).checkpoint(eager=True)
+    staged = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlens-upsert-{uuid.uuid4().hex}"
+    merge_latest(affected, batch.select(*current.columns), keys, order_by).write.parquet(staged)
+    merged = spark.read.parquet(staged)
     (
         merged.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
