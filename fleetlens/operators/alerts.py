@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import money_sum
+from fleetlens.plans.joins import join_dimension
 
 # Comparison operators understood by the rules.
 OPS = (">=", ">", "<=", "<", "==")
@@ -28,7 +29,7 @@ def melt_metrics(df: DataFrame, subject_type: str, key: str, metrics: Sequence[s
 def threshold_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Every (subject, rule) whose metric satisfies the rule; ``>=``
     fires at equality (T10). NULL metrics never fire."""
-    j = metrics.join(F.broadcast(rules), ["subject_type", "metric"])
+    j = join_dimension(metrics, rules, ["subject_type", "metric"], "inner")
     v, t, op = F.col("value"), F.col("threshold"), F.col("op")
     fires = (
         F.when(op == ">=", v >= t)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.plans.joins import join_dimension
+
 # Issue classes.
 ISSUE_STALE = "stale"
 ISSUE_INCONSISTENT = "inconsistent"
@@ -25,7 +27,7 @@ def table_freshness(updates: DataFrame, sla: DataFrame, as_of: Column) -> DataFr
     last = updates.groupBy("table_name").agg(F.max("updated_at").alias("last_updated_at"))
     lag = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("last_updated_at").cast("timestamp"))) / F.lit(3.6e9)
     return (
-        last.join(F.broadcast(sla), "table_name", "left")
+        join_dimension(last, sla, "table_name", "left")
         .withColumn("lag_hours", lag)
         .withColumn("stale", F.col("lag_hours") > F.col("sla_hours"))
         .withColumn("hours_late", F.greatest(F.col("lag_hours") - F.col("sla_hours"), F.lit(0.0)))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import MS_PER_DAY, money_sum
 from fleetlens.operators.costing import runs_in_window
+from fleetlens.plans.joins import join_dimension
 
 # Result states counted as success / failure.
 SUCCESS_STATES = ("SUCCESS",)
@@ -211,11 +212,11 @@ def usage_units(costed: DataFrame, pricing_config: DataFrame, include_driver: bo
     once with :func:`dbus_from_ms`; for rates that are multiples of a binary
     fraction the sum is exact, so totals do not depend on summation order."""
     cfg = pricing_config.select("node_type_id", F.coalesce("dbus_per_hour", F.lit(0.0)).alias("w_dbus"))
-    out = costed.join(F.broadcast(cfg), "node_type_id", "left")
+    out = join_dimension(costed, cfg, "node_type_id", "left")
     per_hour = F.col("w_dbus") * F.col("workers")
     if include_driver:
         dcfg = cfg.select(F.col("node_type_id").alias("driver_node_type_id"), F.col("w_dbus").alias("d_dbus"))
-        out = out.join(F.broadcast(dcfg), "driver_node_type_id", "left")
+        out = join_dimension(out, dcfg, "driver_node_type_id", "left")
         per_hour = per_hour + F.col("d_dbus")
     return out.select(
         "run_id",
