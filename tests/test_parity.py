@@ -26,3 +26,15 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert 0 < len(rows) <= 10
     assert df.columns == ["job_id", "job_name", "total_cost", "cost_share", "run_count", "avg_cost_per_run", "last_run_time"]
+
+
+def test_no_python_or_pairwise_operators_in_any_plan(spark):
+    """Every registered query stays JVM-side and never forms all pairs."""
+    banned = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF")
+    offenders = {}
+    for name, fn in E.queries().items():
+        plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        hits = [b for b in banned if b in plan]
+        if hits:
+            offenders[name] = hits
+    assert not offenders
