@@ -222,31 +222,34 @@ def fused_aggregate(costed: DataFrame) -> DataFrame:
     Each run becomes one ``job`` row, one ``pipeline`` row per pipeline key
     and one ``table`` row per table key (a run without keys gives one row
     with a NULL key and its full cost, so each dimension also carries the
-    grand total). One partial (map-side) hash aggregation on
-    (dim, job_id, key) then replaces three scans. Split the result with
-    :func:`fused_part`."""
-    cost = F.col("estimated_cost")
-
-    def per_key(dim: str, keys: str):
-        n = F.size(keys)
-        tagged = F.transform(
-            keys,
-            lambda k: F.struct(F.lit(dim).alias("dim"), F.lit(None).cast("long").alias("job_id"), k.alias("key"),
-                               (cost / n).alias("share")),
-        )
-        untagged = F.array(
-            F.struct(F.lit(dim).alias("dim"), F.lit(None).cast("long").alias("job_id"), F.lit(None).cast("string").alias("key"),
-                     cost.alias("share"))
-        )
-        return F.when(n > 0, tagged).otherwise(untagged)
-
-    job_row = F.array(
-        F.struct(F.lit(DIM_JOB).alias("dim"), F.col("job_id").alias("job_id"), F.lit(None).cast("string").alias("key"),
-                 cost.alias("share"))
+    grand total). The rows come from one ``posexplode`` of a flat key array
+    (slot 0 = the job, then pipeline keys, then table keys) and plain column
+    expressions, so the per-row work stays in generated code. One partial
+    (map-side) hash aggregation on (dim, job_id, key) then replaces three
+    scans. Split the result with :func:`fused_part`."""
+    n_p, n_t = F.size("pipeline_keys"), F.size("table_keys")
+    none = F.array(F.lit(None).cast("string"))
+    slots = F.concat(
+        none,
+        F.when(n_p > 0, F.col("pipeline_keys")).otherwise(none),
+        F.when(n_t > 0, F.col("table_keys")).otherwise(none),
     )
-    rows = F.concat(job_row, per_key(DIM_PIPELINE, "pipeline_keys"), per_key(DIM_TABLE, "table_keys"))
-    exploded = costed.select("start_time", "currency", F.inline(rows))
-    return exploded.groupBy("dim", "job_id", "key").agg(
+    exploded = costed.select(
+        "job_id", "start_time", "currency", "estimated_cost",
+        F.greatest(n_p, F.lit(1)).alias("_np"), F.greatest(n_t, F.lit(1)).alias("_nt"),
+        F.posexplode(slots).alias("_pos", "key"),
+    )
+    pos, cost = F.col("_pos"), F.col("estimated_cost")
+    in_pipeline = pos <= F.col("_np")
+    rows = exploded.select(
+        F.when(pos == 0, F.lit(DIM_JOB)).when(in_pipeline, F.lit(DIM_PIPELINE)).otherwise(F.lit(DIM_TABLE)).alias("dim"),
+        F.when(pos == 0, F.col("job_id")).alias("job_id"),
+        "key",
+        F.when(pos == 0, cost).when(in_pipeline, cost / F.col("_np")).otherwise(cost / F.col("_nt")).alias("share"),
+        "start_time",
+        "currency",
+    )
+    return rows.groupBy("dim", "job_id", "key").agg(
         F.sum(money_units("share")).alias("cost_units"),
         F.count("*").alias("run_count"),
         F.max("start_time").alias("last_time"),
