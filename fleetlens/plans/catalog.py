@@ -808,3 +808,13 @@ def q_config_refresh(spark, sf_dir):
     entries, disc = pricing.decode_config(refreshed)
     n_entries = entries.agg(F.count("*")).scalar()
     return disc.select(F.col("ordinal").cast("long").alias("ordinal"), "node_type_id", n_entries.alias("entry_count"))
+
+
+@query("data_issues_upstream")
+def q_data_issues_upstream(spark, sf_dir):
+    """B13 + B14: data issues with the one-hop upstream tables of their table."""
+    H, X, orders = _health(spark, sf_dir)
+    edges = X.lineage_edges(orders, X.table(spark, sf_dir, "lineitem"))
+    issues = q_data_issues(spark, sf_dir)
+    out = H.with_upstream(issues, edges)
+    return out.select("issue_type", "table_name", "detail", F.array_join("upstream_tables", ",").alias("upstream_tables"))

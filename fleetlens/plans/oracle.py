@@ -781,6 +781,23 @@ FROM anom"""
         f"SELECT rule_id, severity, subject_type, subject_key, metric, {r('value', 4)} AS value FROM hits",
         extra=(STATS, FRESH, ALERTS),
     )
+    q["data_issues_upstream"] = with_ctes(FRESH) + """,
+issues AS (
+  SELECT 'stale' AS issue_type, table_name, 'missed its SLA by ' || printf('%.1f', hours_late) || ' hours' AS detail
+  FROM fresh2 WHERE stale
+  UNION ALL
+  SELECT 'inconsistent', table_name, change || ' column ' || column_name FROM changes WHERE change IN ('removed', 'retyped')
+  UNION ALL
+  SELECT 'volume_anomaly', table_name,
+    'volume dropped ' || printf('%.0f', drop_pct * 100.0::DOUBLE) || '% below expected on ' || CAST(day AS VARCHAR)
+  FROM anom
+),
+edges AS (
+  SELECT DISTINCT o.o_orderpriority AS table_name, 'lineitem_' || l.l_returnflag AS upstream_table
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+),
+up AS (SELECT table_name, string_agg(upstream_table, ',' ORDER BY upstream_table) AS upstream_tables FROM edges GROUP BY table_name)
+SELECT i.issue_type, i.table_name, i.detail, u.upstream_tables FROM issues i LEFT JOIN up u ON i.table_name = u.table_name"""
     q["alert_counts"] = costed_sql(
         "SELECT severity, count(*) AS alert_count FROM hits GROUP BY severity", extra=(STATS, FRESH, ALERTS)
     )

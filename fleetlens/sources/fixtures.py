@@ -383,3 +383,18 @@ def schema_observations(orders: DataFrame) -> DataFrame:
         F.col("o_orderstatus").alias("data_type"),
         F.col("o_orderdate").alias("observed_at"),
     )
+
+
+def lineage_edges(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """Upstream edges <- lineitem joined to orders: the table named by an
+    order's priority is fed by the line-item slice of each return flag its
+    lines carry (table_name, upstream_table), distinct."""
+    return (
+        lineitem.select("l_orderkey", "l_returnflag")
+        .join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey")
+        .select(
+            F.col("o_orderpriority").alias("table_name"),
+            F.concat(F.lit("lineitem_"), F.col("l_returnflag")).alias("upstream_table"),
+        )
+        .distinct()
+    )
