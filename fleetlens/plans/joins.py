@@ -25,12 +25,12 @@ _SALT = "__salt"
 # Size checks are remembered per (plan, bound) for a short while, so the many
 # views built over one dimension in a session do not recount it each time.
 SIZE_CHECK_TTL_SEC = 600.0
-_size_checks: dict[tuple[int, int], tuple[float, bool]] = {}
+_size_checks: dict[tuple[str, int, int], tuple[float, bool]] = {}
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
-    key = (df.semanticHash(), int(max_rows))
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), int(max_rows))
     now = time.monotonic()
     hit = _size_checks.get(key)
     if hit is not None and now - hit[0] < SIZE_CHECK_TTL_SEC:

@@ -9,7 +9,6 @@ The DuckDB oracle in ``__spark_entry__`` repeats the same rules.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -189,26 +188,33 @@ class Workspace:
     as_of_ms: int
 
 
-@lru_cache(maxsize=8)
-def _as_of_ms(sf_dir: str, spark_id: int) -> int:
-    spark = SparkSession.getActiveSession()
-    assert spark is not None
+_AS_OF: dict[tuple[str, str], int] = {}
+
+
+def _as_of_ms(spark: SparkSession, sf_dir: str) -> int:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _AS_OF:
+        _AS_OF[key] = _compute_as_of_ms(spark, sf_dir)
+    return _AS_OF[key]
+
+
+def _compute_as_of_ms(spark: SparkSession, sf_dir: str) -> int:
     row = _table(spark, sf_dir, "events").agg(F.unix_millis(F.max(F.col("ts").cast("timestamp"))).alias("m")).first()
     return int(row["m"]) if row and row["m"] is not None else 0
 
 
 def as_of_ms(spark: SparkSession, sf_dir: str) -> int:
     """Analysis clock for the fixtures: the latest event time (one-row aggregate)."""
-    return _as_of_ms(sf_dir, id(spark))
+    return _as_of_ms(spark, sf_dir)
 
 
-_WORKSPACES: dict[tuple[int, str], Workspace] = {}
+_WORKSPACES: dict[tuple[str, str], Workspace] = {}
 
 
 def load_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     """The derived workspace of ``sf_dir`` (lazy DataFrames, built once per
     session and folder: they are immutable plans, reused by every view)."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     ws = _WORKSPACES.get(key)
     if ws is None:
         ws = _WORKSPACES[key] = _build_workspace(spark, sf_dir)
