@@ -19,9 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fleetlens import schemas as S
 from fleetlens.functions import (
     MS_PER_HOUR,
     PIPELINE_TAG_KEYS,
@@ -62,29 +60,6 @@ class CostConfig:
     salt_buckets: int = DEFAULT_SALT_BUCKETS
 
 
-SPEC = T.StructType(
-    [
-        T.StructField("node_type_id", T.StringType()),
-        T.StructField("driver_node_type_id", T.StringType()),
-        T.StructField("num_workers", T.IntegerType()),
-        T.StructField("autoscale", S.AUTOSCALE),
-    ]
-)
-
-
-def _narrow_spec(spec: Column) -> Column:
-    """Keep the four pricing fields; a NULL spec stays NULL, ``{}`` stays a struct."""
-    return F.when(
-        spec.isNotNull(),
-        F.struct(
-            spec["node_type_id"].alias("node_type_id"),
-            spec["driver_node_type_id"].alias("driver_node_type_id"),
-            spec["num_workers"].cast("int").alias("num_workers"),
-            spec["autoscale"].alias("autoscale"),
-        ),
-    )
-
-
 # --------------------------------------------------------------------- filters
 
 

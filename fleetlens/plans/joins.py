@@ -16,8 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Default bound for broadcasting a dimension (rows); tuned per call site.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Default bound for broadcasting a dimension: 500k rows of the narrow
+# dimensions used here (~100 bytes each) is ~50 MB per executor; beyond it the
+# salted shuffle join is used. Tune per call site.
+DEFAULT_BROADCAST_ROWS = 500_000
 DEFAULT_SALT_BUCKETS = 16
 _SALT = "__salt"
 

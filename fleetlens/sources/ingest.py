@@ -84,10 +84,6 @@ def tag_map(raw: Column) -> Column:
     return F.when(F.size(clean) > 0, clean)
 
 
-def _parse(raw: DataFrame, schema: str, value_col: str) -> DataFrame:
-    return raw.select(F.from_json(F.col(value_col), schema).alias("r"))
-
-
 def normalise_jobs(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(typed jobs, quarantined raw rows without a parsable job_id)."""
     parsed = raw.select(F.col(value_col).alias("_raw"), F.from_json(F.col(value_col), RAW_JOB).alias("r"))
