@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.session import app_id, default_parallelism
+
 # Default bound for broadcasting a dimension: 500k rows of the narrow
 # dimensions used here (~100 bytes each) is ~50 MB per executor; beyond it the
 # salted shuffle join is used. Tune per call site.
@@ -32,7 +34,7 @@ _size_checks: dict[tuple[str, int, int], tuple[float, bool]] = {}
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), int(max_rows))
+    key = (app_id(df.sparkSession), df.semanticHash(), int(max_rows))
     now = time.monotonic()
     hit = _size_checks.get(key)
     if hit is not None and now - hit[0] < SIZE_CHECK_TTL_SEC:
@@ -79,7 +81,11 @@ def spread_small_input(df: DataFrame, min_partitions: int | None = None) -> Data
     cores (e.g. one file with one row group), so the per-row work after it
     runs in parallel. Inputs already split at least that finely (any large
     table) are returned unchanged: no shuffle is added at scale."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    want = min_partitions or default_parallelism(df.sparkSession)
+    try:
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the scan as it is
+        return df
+    if have >= want:
         return df
     return df.repartition(want)

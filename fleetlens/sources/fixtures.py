@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
+from fleetlens.session import app_id
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -192,7 +193,7 @@ _AS_OF: dict[tuple[str, str], int] = {}
 
 
 def _as_of_ms(spark: SparkSession, sf_dir: str) -> int:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (app_id(spark), sf_dir)
     if key not in _AS_OF:
         _AS_OF[key] = _compute_as_of_ms(spark, sf_dir)
     return _AS_OF[key]
@@ -214,7 +215,7 @@ _WORKSPACES: dict[tuple[str, str], Workspace] = {}
 def load_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     """The derived workspace of ``sf_dir`` (lazy DataFrames, built once per
     session and folder: they are immutable plans, reused by every view)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (app_id(spark), sf_dir)
     ws = _WORKSPACES.get(key)
     if ws is None:
         ws = _WORKSPACES[key] = _build_workspace(spark, sf_dir)
