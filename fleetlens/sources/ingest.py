@@ -84,11 +84,19 @@ def tag_map(raw: Column) -> Column:
     return F.when(F.size(clean) > 0, clean)
 
 
+def _parse_once(raw: DataFrame, value_col: str, schema: str) -> DataFrame:
+    """Raw text + the parsed record's fields as columns, each document parsed
+    exactly once: the generator keeps Catalyst from inlining ``from_json``
+    into every later filter and projection. A document that does not parse
+    gives a row of NULLs (so it reaches the quarantine)."""
+    return raw.select(F.col(value_col).alias("_raw"), F.inline(F.array(F.from_json(F.col(value_col), schema))))
+
+
 def normalise_jobs(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(typed jobs, quarantined raw rows without a parsable job_id)."""
-    parsed = raw.select(F.col(value_col).alias("_raw"), F.from_json(F.col(value_col), RAW_JOB).alias("r"))
-    job_id = _long(F.col("r.job_id"))
-    st = F.col("r.settings")
+    parsed = _parse_once(raw, value_col, RAW_JOB)
+    job_id = _long(F.col("job_id"))
+    st = F.col("settings")
     tasks = F.transform(
         st["tasks"],
         lambda t: F.struct(
@@ -114,9 +122,9 @@ def normalise_jobs(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame,
     )
     typed = parsed.where(job_id.isNotNull()).select(
         job_id.alias("job_id"),
-        F.coalesce(blank_to_null(st["name"]), F.col("r.job_id")).alias("name"),
-        F.col("r.creator_user_name").alias("creator_user_name"),
-        _long(F.col("r.created_time")).alias("created_time"),
+        F.coalesce(blank_to_null(st["name"]), F.col("job_id")).alias("name"),
+        F.col("creator_user_name").alias("creator_user_name"),
+        _long(F.col("created_time")).alias("created_time"),
         tag_map(st["tags"]).alias("tags"),
         st["schedule"].alias("schedule"),
         _int(st["max_concurrent_runs"]).alias("max_concurrent_runs"),
@@ -136,25 +144,25 @@ def run_duration(run_duration: Column, execution_duration: Column, start: Column
 
 def normalise_runs(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(typed runs, quarantined raw rows without a parsable run_id)."""
-    parsed = raw.select(F.col(value_col).alias("_raw"), F.from_json(F.col(value_col), RAW_RUN).alias("r"))
-    run_id = _long(F.col("r.run_id"))
-    start, end = _long(F.col("r.start_time")), _long(F.col("r.end_time"))
-    spec = F.col("r.cluster_spec")
+    parsed = _parse_once(raw, value_col, RAW_RUN)
+    run_id = _long(F.col("run_id"))
+    start, end = _long(F.col("start_time")), _long(F.col("end_time"))
+    spec = F.col("cluster_spec")
     unwrapped = F.when(spec["new_cluster"].isNotNull(), spec["new_cluster"]).otherwise(spec.dropFields("new_cluster"))
     typed = parsed.where(run_id.isNotNull()).select(
         run_id.alias("run_id"),
-        _long(F.col("r.job_id")).alias("job_id"),
-        F.col("r.run_name").alias("run_name"),
-        F.col("r.creator_user_name").alias("creator_user_name"),
-        F.col("r.run_page_url").alias("run_page_url"),
-        F.col("r.trigger").alias("trigger"),
+        _long(F.col("job_id")).alias("job_id"),
+        F.col("run_name").alias("run_name"),
+        F.col("creator_user_name").alias("creator_user_name"),
+        F.col("run_page_url").alias("run_page_url"),
+        F.col("trigger").alias("trigger"),
         start.alias("start_time"),
         end.alias("end_time"),
-        run_duration(_long(F.col("r.run_duration")), _long(F.col("r.execution_duration")), start, end).alias("duration_ms"),
-        F.col("r.state").alias("state"),
-        F.col("r.cluster_instance").alias("cluster_instance"),
+        run_duration(_long(F.col("run_duration")), _long(F.col("execution_duration")), start, end).alias("duration_ms"),
+        F.col("state").alias("state"),
+        F.col("cluster_instance").alias("cluster_instance"),
         F.when(spec.isNotNull(), cluster_spec(unwrapped)).cast(S.CLUSTER_SPEC).alias("cluster_spec"),
-        tag_map(F.col("r.tags")).alias("tags"),
+        tag_map(F.col("tags")).alias("tags"),
     )
     quarantine = parsed.where(run_id.isNull()).select(F.col("_raw").alias(value_col))
     return typed, quarantine
@@ -162,17 +170,17 @@ def normalise_runs(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame,
 
 def normalise_clusters(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(typed clusters, quarantined rows without a cluster_id)."""
-    parsed = raw.select(F.col(value_col).alias("_raw"), F.from_json(F.col(value_col), RAW_CLUSTER).alias("r"))
-    cid = F.col("r.cluster_id")
+    parsed = _parse_once(raw, value_col, RAW_CLUSTER)
+    cid = F.col("cluster_id")
     typed = parsed.where(cid.isNotNull()).select(
         cid.alias("cluster_id"),
-        F.col("r.cluster_name").alias("cluster_name"),
-        F.col("r.spark_version").alias("spark_version"),
-        F.col("r.node_type_id").alias("node_type_id"),
-        F.col("r.driver_node_type_id").alias("driver_node_type_id"),
-        _int(F.col("r.num_workers")).alias("num_workers"),
-        autoscale(F.col("r.autoscale")).alias("autoscale"),
-        _int(F.col("r.autotermination_minutes")).alias("autotermination_minutes"),
+        F.col("cluster_name").alias("cluster_name"),
+        F.col("spark_version").alias("spark_version"),
+        F.col("node_type_id").alias("node_type_id"),
+        F.col("driver_node_type_id").alias("driver_node_type_id"),
+        _int(F.col("num_workers")).alias("num_workers"),
+        autoscale(F.col("autoscale")).alias("autoscale"),
+        _int(F.col("autotermination_minutes")).alias("autotermination_minutes"),
     )
     quarantine = parsed.where(cid.isNull()).select(F.col("_raw").alias(value_col))
     return typed, quarantine
