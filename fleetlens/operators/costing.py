@@ -214,18 +214,23 @@ def _resolve(narrow: DataFrame, jobs: DataFrame, clusters: DataFrame, cfg: CostC
         .otherwise(F.lit(SOURCE_UNRESOLVED))
     )
     node = blank_to_null(pick("node"))
-    out = joined.select(
+    keys = (
+        [
+            merge_tag_values("run_pipeline_keys", "job_pipeline_keys").alias("pipeline_keys"),
+            merge_tag_values("run_table_keys", "job_table_keys").alias("table_keys"),
+        ]
+        if with_keys
+        else []
+    )
+    # one projection (each DataFrame step re-analyses the whole plan on the driver)
+    return joined.select(
         "*",
         source.alias("source"),
         node.alias("node_type_id"),
         F.coalesce(blank_to_null(pick("driver")), node).alias("driver_node_type_id"),
         workers_from(pick("workers"), pick("as_min"), pick("as_max"), cfg.autoscale_strategy).alias("workers"),
+        *keys,
     )
-    if with_keys:
-        out = out.withColumn("pipeline_keys", merge_tag_values("run_pipeline_keys", "job_pipeline_keys")).withColumn(
-            "table_keys", merge_tag_values("run_table_keys", "job_table_keys")
-        )
-    return out
 
 
 def cost_runs(

@@ -17,6 +17,7 @@ from fleetlens.operators import costing, insights, pricing, summaries
 from fleetlens.operators.attribution import explode_costs
 from fleetlens.operators.costing import CostConfig
 from fleetlens.plans.dashboard import Dashboard
+from fleetlens.session import app_id
 from fleetlens.sources.fixtures import Workspace, load_workspace
 
 WINDOW_DAYS = 30
@@ -35,9 +36,20 @@ def _ws(spark: SparkSession, sf_dir: str) -> Workspace:
     return load_workspace(spark, sf_dir)
 
 
+# Costed-run *plans* (lazy DataFrames, no data) shared by the queries of one
+# session: building the plan costs ~1 s of driver-side analysis, computing it
+# happens again on every action. Materialised aggregates are never shared.
+_COSTED_PLANS: dict[tuple, DataFrame] = {}
+
+
 def _dash(spark: SparkSession, sf_dir: str, cfg: CostConfig = CostConfig(), window_days: int = WINDOW_DAYS) -> Dashboard:
     ws = _ws(spark, sf_dir)
-    return Dashboard.from_config(ws.runs, ws.jobs, ws.clusters, ws.pricing_config, ws.as_of_ms, window_days=window_days, cfg=cfg)
+    d = Dashboard.from_config(ws.runs, ws.jobs, ws.clusters, ws.pricing_config, ws.as_of_ms, window_days=window_days, cfg=cfg)
+    key = (app_id(spark), sf_dir, cfg, window_days)
+    if key not in _COSTED_PLANS:
+        _COSTED_PLANS[key] = d.costed
+    d._costed = _COSTED_PLANS[key]
+    return d
 
 
 def _r4(c):
