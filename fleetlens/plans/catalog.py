@@ -40,6 +40,7 @@ def _ws(spark: SparkSession, sf_dir: str) -> Workspace:
 # session: building the plan costs ~1 s of driver-side analysis, computing it
 # happens again on every action. Materialised aggregates are never shared.
 _COSTED_PLANS: dict[tuple, DataFrame] = {}
+_DIAGNOSED_PLANS: dict[tuple, DataFrame] = {}
 
 
 def _dash(spark: SparkSession, sf_dir: str, cfg: CostConfig = CostConfig(), window_days: int = WINDOW_DAYS) -> Dashboard:
@@ -48,7 +49,9 @@ def _dash(spark: SparkSession, sf_dir: str, cfg: CostConfig = CostConfig(), wind
     key = (app_id(spark), sf_dir, cfg, window_days)
     if key not in _COSTED_PLANS:
         _COSTED_PLANS[key] = d.costed
+        _DIAGNOSED_PLANS[key] = d.diagnosed()
     d._costed = _COSTED_PLANS[key]
+    d._diagnosed = _DIAGNOSED_PLANS[key]
     return d
 
 

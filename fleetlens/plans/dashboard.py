@@ -32,6 +32,7 @@ class Dashboard:
     last_sync_at: str | None = None
     _costed: DataFrame | None = None
     _fused: DataFrame | None = None
+    _diagnosed: DataFrame | None = None
 
     @classmethod
     def from_config(cls, runs, jobs, clusters, pricing_config, as_of_ms, **kw) -> "Dashboard":
@@ -63,9 +64,11 @@ class Dashboard:
         return self
 
     def diagnosed(self) -> DataFrame:
-        return costing.diagnose_runs(
-            self.runs, self.jobs, self.clusters, self.rates, self.cfg, window_start_ms=self.window_start_ms
-        )
+        if self._diagnosed is None:
+            self._diagnosed = costing.diagnose_runs(
+                self.runs, self.jobs, self.clusters, self.rates, self.cfg, window_start_ms=self.window_start_ms
+            )
+        return self._diagnosed
 
     def fused(self) -> DataFrame:
         """Job, pipeline and table accumulators from one pass over the costed
