@@ -121,9 +121,15 @@ class Dashboard:
     def recent_runs(self, n: int = 20) -> DataFrame:
         return summaries.recent_runs(self.costed, self.jobs, n)
 
-    def insights(self) -> DataFrame:
+    def insights(self, limit: int | None = None) -> DataFrame:
+        """N5 (and the K6 display slice: the first ``limit`` insights in order)."""
         jobs_part = summaries.fused_part(self.fused(), summaries.DIM_JOB)
         total = jobs_part.agg(F.coalesce(summaries.from_units(F.sum("cost_units")), F.lit(0.0))).scalar()
-        return insights.all_insights(
+        out = insights.all_insights(
             self.job_summaries(), self.pipeline_summaries(), self.table_summaries(), total, self.cfg
         )
+        if limit is not None:
+            if limit < 0:
+                raise ValueError("limit must be >= 0")
+            out = out.where(F.col("position") < int(limit))
+        return out

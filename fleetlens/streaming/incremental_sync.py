@@ -23,6 +23,9 @@ from fleetlens.session import ensure_checkpoint_dir
 from fleetlens.sources import ingest, snapshot
 
 # Per kind: parser, key, in-batch ordering for duplicate keys, partitioning.
+# Within one micro-batch a key seen twice keeps the record with the greatest
+# ordering (a run's later state has the later end time); across batches the
+# later batch always wins.
 KINDS: dict[str, tuple[Callable[[DataFrame], tuple[DataFrame, DataFrame]], list[str], list[str], list[str]]] = {
     "runs": (ingest.normalise_runs, ["run_id"], ["end_time", "start_time", "duration_ms"], ["start_date"]),
     "jobs": (ingest.normalise_jobs, ["job_id"], ["created_time"], []),

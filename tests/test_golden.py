@@ -140,6 +140,8 @@ def test_u7_dashboard(spark):
     assert d.top_pipelines().first().label == "serving"
     assert d.top_tables().first().label == "gold.orders"
     assert any(i.subject_type == "table" for i in d.insights().collect())
+    first = d.insights(limit=2).collect()
+    assert sorted(i.position for i in first) == [0, 1]
     assert d.recent_runs(20).count() == 2
 
 
