@@ -363,7 +363,7 @@ SELECT job_id, CAST(pos - 1 AS BIGINT) AS pos, value FROM (
 SELECT CAST({WINDOW_DAYS} AS INTEGER) AS window_days,
   coalesce((SELECT arg_max(currency, coalesce(start_time, -9223372036854775808)) FROM costed), 'USD') AS currency,
   {r('coalesce(sum(units) / 1000000.0::DOUBLE, 0.0)', 2)} AS total_cost,
-  coalesce(sum(run_count), 0) AS run_count,
+  CAST(coalesce(sum(run_count), 0) AS BIGINT) AS run_count,
   count(*) AS job_count,
   (SELECT count(*) FROM pipe_sum) AS pipeline_count,
   (SELECT count(*) FROM tab_sum) AS table_count,

@@ -40,6 +40,25 @@ def _digest(rows, cols):
     return hashlib.sha256("\n".join(lines).encode()).hexdigest(), lines
 
 
+SPARK_TO_DUCK = {
+    "LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+    "BooleanType": "BOOLEAN", "DateType": "DATE", "TimestampNTZType": "TIMESTAMP", "ShortType": "SMALLINT",
+    "FloatType": "FLOAT", "TimestampType": "TIMESTAMP WITH TIME ZONE",
+}
+
+
+def type_mismatches(sdf, cur):
+    """Columns whose Spark type does not map to the DuckDB result type."""
+    duck_types = {d[0]: str(d[1]) for d in cur.description}
+    out = []
+    for f in sdf.schema.fields:
+        want = SPARK_TO_DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__)
+        got = duck_types.get(f.name)
+        if got is not None and want != got:
+            out.append((f.name, want, got))
+    return out
+
+
 def duck(sf_dir):
     import duckdb
 
@@ -84,8 +103,10 @@ def check(spark, sf_dir, keys=None, verbose=True):
         hd, ld = _digest(drows, dcols)
         ok_cols = sorted(scols) == sorted(dcols)
         status = "OK" if (ok_cols and hs == hd and len(srows) == len(drows)) else "MISMATCH"
+        types = type_mismatches(df, cur)
         results[k] = (status, len(srows), len(drows))
-        print(f"{k:32s} {status:8s} spark={len(srows):6d} duck={len(drows):6d} cols_ok={ok_cols} {st:.1f}s", flush=True)
+        print(f"{k:32s} {status:8s} spark={len(srows):6d} duck={len(drows):6d} cols_ok={ok_cols} {st:.1f}s"
+              + (f" types={types}" if types else ""), flush=True)
         if status != "OK" and verbose:
             if not ok_cols:
                 print("   spark cols", sorted(scols), "\n   duck cols ", sorted(dcols))
