@@ -27,6 +27,7 @@ from fleetlens.functions import (
     blank_to_null,
     merge_tag_values,
     tag_values,
+    utc_day,
     workers_from,
 )
 from fleetlens.plans.joins import DEFAULT_BROADCAST_ROWS, DEFAULT_SALT_BUCKETS, join_dimension
@@ -64,10 +65,17 @@ class CostConfig:
 
 
 def runs_in_window(runs: DataFrame, window_start_ms: int | None) -> DataFrame:
-    """Drop a run only when it has a start before the window; NULL starts stay."""
+    """Drop a run only when it has a start before the window; NULL starts stay.
+
+    On a snapshot partitioned by UTC ``start_date`` the implied day predicate
+    is added as well, so the scan prunes whole partitions (the NULL-start
+    partition is kept); the exact predicate then filters rows."""
     if window_start_ms is None:
         return runs
-    return runs.where(F.col("start_time").isNull() | (F.col("start_time") >= F.lit(int(window_start_ms))))
+    w = F.lit(int(window_start_ms))
+    if "start_date" in runs.columns:
+        runs = runs.where(F.col("start_date").isNull() | (F.col("start_date") >= utc_day(w)))
+    return runs.where(F.col("start_time").isNull() | (F.col("start_time") >= w))
 
 
 def billable_runs(runs: DataFrame) -> DataFrame:

@@ -77,6 +77,16 @@ def test_window_filter_reaches_scan(spark, scratch):
     assert "PartitionFilters: [" in p and "start_date" in p.split("PartitionFilters: [")[1].split("]")[0]
     assert "PushedFilters" in p
     assert loaded.count() == costing.runs_in_window(ws.runs, w).count()
+    # costing over the partitioned snapshot prunes days too, and pushes the row predicates
+    from fleetlens.operators import pricing
+
+    costed = costing.cost_runs(stored, ws.jobs, ws.clusters, pricing.effective_rates(ws.pricing_config), window_start_ms=w)
+    cp = _plan(costed)
+    assert "start_date" in cp.split("PartitionFilters: [")[1].split("]")[0]
+    assert "PushedFilters: [IsNotNull(duration_ms)" in cp  # the row predicates reach the scan (string is truncated)
+    assert costed.count() == costing.cost_runs(
+        ws.runs, ws.jobs, ws.clusters, pricing.effective_rates(ws.pricing_config), window_start_ms=w
+    ).count()
 
 
 def test_materialized_dashboard_gives_same_views(spark):
