@@ -149,8 +149,8 @@ def runtime_degradation(
     in both halves."""
     start = int(as_of_ms) - int(window_days) * MS_PER_DAY
     mid = int(as_of_ms) - int(window_days) * MS_PER_DAY // 2
-    base = runs.where(
-        F.col("job_id").isNotNull() & F.col("duration_ms").isNotNull() & (F.col("start_time") >= F.lit(start))
+    base = runs_in_window(runs, start).where(
+        F.col("job_id").isNotNull() & F.col("duration_ms").isNotNull() & F.col("start_time").isNotNull()
     ).select("job_id", "start_time", F.col("duration_ms").cast("double").alias("d"))
     recent = F.col("start_time") >= F.lit(mid)
     agg = base.groupBy("job_id").agg(
