@@ -27,6 +27,7 @@ from fleetlens.functions import utc_day
 from fleetlens.operators.dedupe import latest_by_key
 
 POINTER = "_current"
+MAX_TOUCHED_PARTITIONS = 10_000
 SEQ = "_sync_seq"
 
 
@@ -110,11 +111,19 @@ def upsert_partitions(
     if not _exists(spark, path):
         merge_latest(None, batch, keys, order_by).write.mode("errorifexists").partitionBy(partition_col).parquet(path)
         return offered
-    touched = [r[0] for r in batch.select(partition_col).distinct().collect()]
+    # The touched days of one batch are few; the list is capped, and a batch
+    # touching more partitions than that merges against the whole table
+    # instead (exact, just not pruned).
+    touched = [r[0] for r in batch.select(partition_col).distinct().limit(MAX_TOUCHED_PARTITIONS + 1).collect()]
     values = [v for v in touched if v is not None]
     current = spark.read.parquet(path)
     part = F.col(partition_col)
-    affected = current.where(part.isin(*values) | part.isNull()) if values else current.where(part.isNull())
+    if len(touched) > MAX_TOUCHED_PARTITIONS:
+        affected = current
+    elif values:
+        affected = current.where(part.isin(*values) | part.isNull())
+    else:
+        affected = current.where(part.isNull())
     from fleetlens.session import ensure_checkpoint_dir
 
     staged = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlens-upsert-{uuid.uuid4().hex}"
