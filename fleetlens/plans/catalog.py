@@ -833,3 +833,15 @@ def q_data_issues_upstream(spark, sf_dir):
     issues = q_data_issues(spark, sf_dir)
     out = H.with_upstream(issues, edges)
     return out.select("issue_type", "table_name", "detail", F.array_join("upstream_tables", ",").alias("upstream_tables"))
+
+
+@query("load_clusters_ordered")
+def q_load_clusters(spark, sf_dir):
+    """Clusters by id (the lookup side of C4, flattened)."""
+    from fleetlens.sources import snapshot
+
+    c = snapshot.load_clusters(_ws(spark, sf_dir).clusters)
+    return c.select(
+        "cluster_id", "node_type_id", "driver_node_type_id", "num_workers",
+        F.col("autoscale.min_workers").alias("as_min"), F.col("autoscale.max_workers").alias("as_max"),
+    )

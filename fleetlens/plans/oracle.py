@@ -538,6 +538,8 @@ SELECT * EXCLUDE (rn) FROM (
     ORDER BY l_shipdate DESC, l_extendedprice DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM lineitem
 ) WHERE rn = 1"""
     q["load_jobs_ordered"] = with_ctes() + "\nSELECT job_id, name FROM jobs ORDER BY name, job_id"
+    q["load_clusters_ordered"] = with_ctes() + """
+SELECT cluster_id, node_type_id, driver_node_type_id, num_workers, as_min, as_max FROM clusters ORDER BY cluster_id"""
     q["load_runs_window"] = with_ctes() + """
 SELECT run_id, start_time, strftime(make_timestamp(start_time * 1000), '%Y-%m-%d') AS start_date
 FROM runs, params p WHERE start_time IS NULL OR start_time >= p.as_of_ms - 14 * CAST(86400000 AS BIGINT)"""
