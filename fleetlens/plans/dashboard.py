@@ -133,3 +133,22 @@ class Dashboard:
                 raise ValueError("limit must be >= 0")
             out = out.where(F.col("position") < int(limit))
         return out
+
+    def views(self, *, recent_runs_limit: int = 20, materialize: bool = True) -> dict[str, DataFrame]:
+        """Every dashboard view at once (the source's dashboard payload, as
+        DataFrames): summary, cost_over_time, top_jobs, top_pipelines,
+        top_tables, recent_runs, insights, coverage. With ``materialize`` the
+        costed fact is written once first, so the views read it instead of
+        re-costing; the fused aggregate is shared by summary and insights."""
+        if materialize and self._costed is None:
+            self.materialize()
+        return {
+            "summary": self.summary(),
+            "cost_over_time": self.cost_over_time(),
+            "top_jobs": self.top_jobs(),
+            "top_pipelines": self.top_pipelines(),
+            "top_tables": self.top_tables(),
+            "recent_runs": self.recent_runs(recent_runs_limit),
+            "insights": self.insights(),
+            "coverage": self.coverage(),
+        }

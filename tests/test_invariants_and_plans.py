@@ -98,3 +98,14 @@ def test_materialized_dashboard_gives_same_views(spark):
     # views over the written fact read only the columns they need
     p = mat.cost_over_time()._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<start_time:bigint,estimated_cost:double>" in p
+
+
+def test_dashboard_views_bundle(spark):
+    ws = load_workspace(spark, SF)
+    d = Dashboard.from_config(ws.runs, ws.jobs, ws.clusters, ws.pricing_config, ws.as_of_ms)
+    v = d.views()
+    assert set(v) == {"summary", "cost_over_time", "top_jobs", "top_pipelines", "top_tables", "recent_runs", "insights", "coverage"}
+    s = v["summary"].first()
+    assert s.run_count == 708 and s.most_expensive_job == v["top_jobs"].first().job_name
+    assert v["coverage"].first().costed_runs == 708
+    assert v["recent_runs"].count() == 20
