@@ -1,7 +1,7 @@
 """Join strategies for fact x dimension joins with a checked broadcast size.
 
-A dimension is broadcast only after a bounded count proves it is below
-``max_rows`` (the count reads at most ``max_rows + 1`` rows). Beyond that the
+A dimension is broadcast only after a count proves it is below ``max_rows``
+(a distributed count, remembered per plan). Beyond that the
 join is a salted shuffle join: each fact row gets a deterministic salt in
 ``[0, buckets)`` and the (unique-keyed) dimension is replicated once per salt,
 so a hot key that holds a third of the fact rows is spread over ``buckets``
@@ -33,13 +33,18 @@ _size_checks: dict[tuple[str, int, int], tuple[float, bool]] = {}
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    A plain ``count()``: partial counts per partition, one row each to the
+    final sum. (``limit(n + 1).count()`` would gather up to n rows from
+    *every* partition into one task before limiting.) One scan of the
+    dimension, remembered per plan."""
     key = (app_id(df.sparkSession), df.semanticHash(), int(max_rows))
     now = time.monotonic()
     hit = _size_checks.get(key)
     if hit is not None and now - hit[0] < SIZE_CHECK_TTL_SEC:
         return hit[1]
-    ok = df.limit(max_rows + 1).count() <= max_rows
+    ok = df.count() <= max_rows
     _size_checks[key] = (now, ok)
     return ok
 
