@@ -291,11 +291,6 @@ def cost_over_time(costed: DataFrame) -> DataFrame:
     )
 
 
-def _top_label(summaries: DataFrame, label: str, rank: Sequence[Column]) -> Column:
-    """Label of the first row in ``rank`` order, as a scalar subquery (NULL if none)."""
-    return summaries.orderBy(*rank).limit(1).select(label).scalar()
-
-
 def summary_kpis(
     costed: DataFrame,
     jobs: DataFrame,
