@@ -383,7 +383,8 @@ def recent_runs(costed: DataFrame, jobs: DataFrame, n: int = 20) -> DataFrame:
         F.desc(F.coalesce(F.col("start_time"), F.lit(0))), F.desc("estimated_cost"), F.asc("run_id")
     ).limit(n)
     names = jobs.select("job_id", F.col("name").alias("_name"))
-    return top.join(names, "job_id", "left").select(
+    # names are broadcast when the job table is within the checked bound
+    return join_dimension(top, names, "job_id", "left").select(
         "run_id",
         "job_id",
         F.coalesce(F.col("_name"), F.concat(F.lit("job-"), F.col("job_id").cast("string"))).alias("job_name"),
