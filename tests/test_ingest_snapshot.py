@@ -166,3 +166,14 @@ def test_streaming_sync_small_table_versions(spark, scratch):
     cur = {r.cluster_id: (r.node_type_id, r.num_workers) for r in snapshot.read_snapshot(spark, store, "clusters").collect()}
     assert cur == {"a": ("n2", 4), "b": ("n3", None)}
     assert snapshot.current_version(spark, store, "clusters")[0] == 2
+
+
+def test_partition_upsert_fallback_is_exact(spark, scratch, monkeypatch):
+    """A batch touching more days than the cap merges against the whole table."""
+    monkeypatch.setattr(snapshot, "MAX_TOUCHED_PARTITIONS", 1)
+    path = os.path.join(scratch, "runs_fb")
+    b1 = spark.createDataFrame([(1, "2024-01-01", "a"), (2, "2024-01-02", "b")], "run_id long, start_date string, v string")
+    snapshot.upsert_partitions(b1, path, ["run_id"])
+    b2 = spark.createDataFrame([(1, "2024-01-01", "a2"), (3, "2024-01-03", "c")], "run_id long, start_date string, v string")
+    snapshot.upsert_partitions(b2, path, ["run_id"])
+    assert {r.run_id: r.v for r in spark.read.parquet(path).collect()} == {1: "a2", 2: "b", 3: "c"}
