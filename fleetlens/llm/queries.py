@@ -5,16 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .licenses import license_scan, op5_sql
+from .mixing import OP3_SQL, op3_mixing
 from .quality_rules import quality_rules
 
 
+def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pareto order mix of all documents to source weights 1, 2, 3, ..."""
+    return op3_mixing(documents(spark, sf_dir))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence rules found in all documents."""
+    return license_scan(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first quality rules over all documents."""
     return quality_rules(documents(spark, sf_dir)).drop("clean_text")
 
 
 QUERIES = {
+    "op3_pareto_mix": op3_pareto_mix,
+    "op5_license_scan": op5_license_scan,
     "op6_quality_rules": op6_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_pareto_mix": OP3_SQL,
+    "op5_license_scan": op5_sql(),
+}
