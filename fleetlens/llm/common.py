@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +74,24 @@ def discard(*frames: DataFrame) -> None:
         where.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(where, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once an application
+    (``addPyFile``), so the caller need not install it on every machine."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp()) / f"{package.name}-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in package.rglob("*.py"):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
 

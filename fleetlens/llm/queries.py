@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .jaccard_join import jaccard_classes
 from .licenses import license_scan, op5_sql
 from .mixing import OP3_SQL, op3_mixing
 from .quality_rules import quality_rules
+from .token_counts import op9_token_counts
+from .token_files import op7_token_files
 
 
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +18,11 @@ def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_mixing(documents(spark, sf_dir))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets are 80 % alike."""
+    return jaccard_classes(documents(spark, sf_dir))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence rules found in all documents."""
     return license_scan(documents(spark, sf_dir))
@@ -25,13 +33,27 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("clean_text")
 
 
+def op7_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to plane-shuffled files and read back."""
+    return op7_token_files(documents(spark, sf_dir))
+
+
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all documents by source, language and tokenizer version."""
+    return op9_token_counts(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op3_pareto_mix": op3_pareto_mix,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_license_scan": op5_license_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_bit_planes": op7_bit_planes,
+    "op9_token_rollup": op9_token_rollup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_pareto_mix": OP3_SQL,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_license_scan": op5_sql(),
 }

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -124,3 +125,13 @@ class PieceEncoder:
                     parts.append(np.array(self._whole(t), np.uint32))
             lengths, flat = np.array([len(p) for p in parts], np.int64), np.concatenate(parts)
         return flat, lengths
+
+    def encode_slices(self, texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(from, to, ids, lengths) for runs of texts of about ``limit``
+        characters, so working memory does not follow the batch size."""
+        start = size = 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= limit or i == len(texts) - 1:
+                yield (start, i + 1, *self.encode(texts[start : i + 1]))
+                start, size = i + 1, 0
