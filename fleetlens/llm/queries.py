@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .decontamination import leaks
 from .jaccard_join import jaccard_classes
 from .licenses import license_scan, op5_sql
 from .mixing import OP3_SQL, op3_mixing
 from .quality_rules import quality_rules
 from .token_counts import op9_token_counts
 from .token_files import op7_token_files
+from .toxicity import op1_toxicity as toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, from noisy-or sentence scores."""
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,21 +45,29 @@ def op7_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_token_files(documents(spark, sf_dir))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that leak benchmark items, whole or nearly."""
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals of all documents by source, language and tokenizer version."""
     return op9_token_counts(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_pareto_mix": op3_pareto_mix,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_license_scan": op5_license_scan,
     "op6_quality_rules": op6_quality_rules,
     "op7_bit_planes": op7_bit_planes,
+    "op8_decontamination": op8_decontamination,
     "op9_token_rollup": op9_token_rollup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_toxicity": op1_toxicity,
     "op3_pareto_mix": OP3_SQL,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_license_scan": op5_sql(),
