@@ -10,6 +10,7 @@ from .jaccard_join import jaccard_classes
 from .licenses import license_scan, op5_sql
 from .mixing import OP3_SQL, op3_mixing
 from .quality_rules import quality_rules
+from .substring_dedup import substring_dedup
 from .token_counts import op9_token_counts
 from .token_files import op7_token_files
 from .toxicity import op1_toxicity as toxicity
@@ -20,6 +21,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-word windows of smaller ids' documents."""
+    return substring_dedup(documents(spark, sf_dir)).drop("kept_text")
+
+
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pareto order mix of all documents to source weights 1, 2, 3, ..."""
     return op3_mixing(documents(spark, sf_dir))
@@ -57,6 +63,7 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_pareto_mix": op3_pareto_mix,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_license_scan": op5_license_scan,
@@ -68,6 +75,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_toxicity": op1_toxicity,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_pareto_mix": OP3_SQL,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_license_scan": op5_sql(),
