@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_path, ship_code
-from .tokenize import PieceEncoder
+from .tokenize import encoder
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -40,7 +40,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str], text_col: str = "t
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col] + [f"`{n}` long" for n in names])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = [PieceEncoder(tokenizers[n], limit=400_000) for n in names]
+        encoders = [encoder(tokenizers[n]) for n in names]
         for b in batches:
             texts = [t or "" for t in b[text_col].to_pylist()]
             counts = [pa.array([n for x in e.encode_slices(texts) for n in x[3].tolist()], pa.int64()) for e in encoders]

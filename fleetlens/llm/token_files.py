@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_path, ship_code, shuffle_partitions
-from .tokenize import PieceEncoder
+from .tokenize import encoder
 
 MAGIC = b"BPLANES1"
 BLOCK = 1 << 16
@@ -179,7 +179,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     folder = _uri(folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        pieces = encoder(tokenizer)
         writer, first, n_docs = None, None, 0
         for b in batches:
             if not b.num_rows:
@@ -192,7 +192,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                 shard = b["shard"][0].as_py()
             known = b["doc_id"].is_valid().to_numpy(zero_copy_only=False)
             doc_ids = b["doc_id"].fill_null(0).to_numpy()
-            for i, j, ids, lengths in encoder.encode_slices([t or "" for t in b["text"].to_pylist()]):
+            for i, j, ids, lengths in pieces.encode_slices([t or "" for t in b["text"].to_pylist()]):
                 ids = np.insert(ids, np.cumsum(lengths), np.uint32(end_id))
                 writer.add(doc_ids[i:j], known[i:j], lengths + 1, ids)
             first, n_docs = b["doc_id"][0].as_py() if first is None else first, n_docs + b.num_rows
