@@ -15,10 +15,12 @@ in. By the pigeonhole principle a linked pair agrees on some segment among any
 * Keys of all segments go to buckets as packed arrays; a bucket task sorts its
   keys and reports classes that meet under a key.
 * Candidates are verified exactly, on the whole sets, in two rounds: first every
-  class against the few others it meets most often, then, between the
-  components found so far, all pairs that met. Pairs inside a component cannot
-  change the result and are not tested, so no link between components is lost
-  and groups of copies are never expanded into all pairs.
+  class against the few others it meets most often, then classes that met and
+  are still in different components, in blocks: a task takes two blocks of a
+  bounded size, compares the sets of different components and reports the few
+  links that join them. Pairs inside a component cannot change the result and
+  are not tested, so no link between components is lost and no group of copies
+  is expanded into pairs.
 
 Documents with equal sets form one class from the start; a task sends each
 class once. Shingles are compared by 64-bit hashes.
@@ -46,6 +48,8 @@ WORDS = 5
 NEIGHBOURHOOD_SIZE = 40
 #: Classes each class is verified against in the first round.
 FIRST_PARTNERS = 3
+#: Classes and shingles of a block of the second round.
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 300_000
 #: Keys a task gathers before it sends them.
 FLUSH_KEYS = 2_000_000
 
@@ -215,8 +219,8 @@ def _send(values: list[int]):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes that meet under a key: pairs of each group's first class with the
-    others (a, b, number of keys), and groups of three or more as arrays."""
+    """Classes that meet under a key: pairs of each group's centre with the others
+    (a, b, number of keys), and groups of three or more as arrays."""
     keys, tags = [], []
     for b in batches:
         keys += [np.frombuffer(x, U64) for x in b["keys"].to_pylist()]
@@ -244,8 +248,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     looked = np.bitwise_or.reduceat(flag, head) & U64(2) > 0
     of = np.repeat(np.arange(len(head)), size)
     use = (looked & (size > 1))[of]
-    other = use & (np.arange(len(key)) != head[of])
-    a, b = who[head[of[other]]], who[other]
+    # a group's centre: the class that met most others in this bucket, as the
+    # unedited original of near copies does
+    _, number = np.unique(who, return_inverse=True)
+    met = np.bincount(number, weights=(size[of] - 1) * use)[number]
+    centre = np.lexsort((-who, met, of))[head + size - 1]
+    other = use & (np.arange(len(key)) != centre[of])
+    a, b = who[centre[of[other]]], who[other]
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
@@ -255,7 +264,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     groups: set[bytes] = set()
     for g in np.flatnonzero(looked & (size > 2)).tolist():
         i = head[g]
-        groups.add(np.concatenate([who[i : i + size[g]], flag[i : i + size[g]].astype(np.int64)]).tobytes())
+        groups.add(who[i : i + size[g]].tobytes())
     some = list(groups)
     for k in range(0, len(some), 1000):
         part = some[k : k + 1000]
@@ -308,25 +317,67 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("class", "label")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of members of a group that are in different components and of
-    which one looked up the other."""
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks that meet in a group with classes of different components."""
     for batch in batches:
-        for raw_members, raw_flags, raw_labels in zip(batch["classes"].to_pylist(), batch["flags"].to_pylist(), batch["labels"].to_pylist(), strict=True):
-            who, flag, label = np.array(raw_members), np.array(raw_flags), np.array(raw_labels)
-            for i in range(len(who) - 1):
-                j = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & ((flag[i + 1 :] | flag[i]) & 2 > 0))
-                if len(j):
-                    a, b = np.minimum(who[i], who[j]), np.maximum(who[i], who[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        found: set[tuple[int, int]] = set()
+        for members in batch["m"].to_pylist():
+            labels: dict[int, set[int]] = {}
+            for x in members:
+                labels.setdefault(x["block"], set()).add(x["label"])
+            blocks = sorted(labels)
+            for i, p in enumerate(blocks):
+                found.update((p, q) for q in blocks[i:] if len(labels[p] | labels[q]) > 1)
+        p, q = zip(*sorted(found), strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], ["p", "q"])
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for g, m in zip(batch["g"].to_pylist(), batch["members"].to_pylist(), strict=True):
             x = np.frombuffer(m, np.int64)
-            n = len(x) // 2
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g)), pa.array(x[:n]), pa.array(x[n:])], ["g", "class", "flag"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), g)), pa.array(x)], ["g", "class"])
+
+
+def _link_blocks(percent: int):
+    """Links between classes of different components of two blocks: enough of
+    them to join what is linked, each tested on the whole sets."""
+
+    def link(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        classes, labels = table["class"].to_numpy(), table["label"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), U64) for x in table["shingles"]]
+        n = np.array([len(x) for x in sets])
+        tokens, dense = np.unique(np.concatenate(sets), return_inverse=True)
+        first = np.cumsum(n) - n
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if (side == 1).any() else 0))
+        there = dense[np.repeat(first[right] - (np.cumsum(n[right]) - n[right]), n[right]) + np.arange(n[right].sum())]
+        starts = np.cumsum(n[right]) - n[right]
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        out = []
+        mark = np.zeros(len(tokens), bool)
+        for i in left.tolist():
+            if (labels[right] == labels[i]).all():
+                continue
+            own = dense[first[i] : first[i] + n[i]]
+            mark[own] = True
+            common = np.add.reduceat(mark[there], starts, dtype=np.int64)
+            mark[own] = False
+            linked = (100 * common >= percent * (n[i] + n[right] - common)) & (labels[right] != labels[i])
+            for j in right[linked].tolist():
+                x, y = root(int(labels[i])), root(int(labels[j]))
+                if x != y:
+                    joined[x] = y
+                    out.append((int(classes[i]), int(classes[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return link
 
 
 def jaccard_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -355,18 +406,32 @@ def jaccard_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     links = materialize(verified(first, sets, percent), "links")
     labels = components(links)
 
-    # second round: whatever met and is still in different components
-    def label_of(frame: DataFrame, column: str, name: str) -> DataFrame:
-        return frame.join(labels.select(F.col("class").alias(column), F.col("label").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
-
-    rest = label_of(label_of(pairs, "a", "label_a"), "b", "label_b").filter("label_a <> label_b").select("a", "b")
-    groups = met.filter("members IS NOT NULL").select("members").distinct().withColumn("g", F.xxhash64("members"))
-    members = label_of(groups.select("g", "members").mapInArrow(_members, "g long, class long, flag long"), "class", "label")
-    mixed = members.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.collect_list(F.struct("class", "flag", "label")).alias("m")).filter("lo <> hi")
-    across = mixed.select(F.col("m.class").alias("classes"), F.col("m.flag").alias("flags"), F.col("m.label").alias("labels")).mapInArrow(_across, "a long, b long")
-    second = rest.union(across).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialize(verified(second, sets, percent), "links")
-    labels = components(links.union(more))
+    # second round: whatever met and is still in different components, in blocks
+    # of a bounded number of shingles
+    best = pairs.groupBy(F.col("b").alias("class")).agg(F.max_by("a", F.struct("n_keys", "a")).alias("hub"))
+    info = sets.select("class", (F.octet_length("shingles") / 8).alias("n")).join(labels, "class", "left").join(best, "class", "left")
+    info = materialize(info.select("class", "n", F.coalesce("label", "class").alias("label"), F.coalesce("hub", "class").alias("hub")), "partners")
+    # two steps towards the component that a class has most in common with, so
+    # the unlinked copies of a text share blocks with the linked ones
+    onward = info.select(F.col("class").alias("hub"), F.col("label").alias("home"))
+    near = materialize(info.join(onward, "hub").select("class", "n", "label", "home"), "homes")
+    onward = near.select(F.col("class").alias("home"), F.col("home").alias("family"))
+    near = near.join(onward, "home")
+    parts = near.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    info = near.join(parts, "family").select("class", "label", F.xxhash64("family", F.pmod(F.xxhash64("class"), "parts")).alias("block"))
+    info = materialize(info, "blocks")
+    groups = met.filter("members IS NOT NULL").select("members").distinct().select(F.xxhash64("members").alias("g"), "members")
+    pairs_too = pairs.select(F.xxhash64("a", "b").alias("g"), F.explode(F.array("a", "b")).alias("class"))
+    members = groups.mapInArrow(_members, "g long, class long").union(pairs_too).join(info, "class")
+    mixed = members.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.collect_set(F.struct("block", "label")).alias("m")).filter("lo <> hi")
+    meeting = mixed.select("m").mapInArrow(_block_pairs, "p long, q long").distinct()
+    sides = F.when(F.col("p") == F.col("q"), F.array(F.struct(F.col("p").alias("block"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("p").alias("block"), F.lit(0).alias("side")), F.struct(F.col("q").alias("block"), F.lit(1).alias("side")))
+    )
+    meeting = meeting.select(F.col("p"), F.col("q"), F.explode(sides).alias("s")).select("p", "q", "s.block", "s.side")
+    blocks = meeting.join(info, "block").join(sets.select("class", "shingles"), "class").select("p", "q", "side", "class", "label", "shingles")
+    more = blocks.groupBy("p", "q").applyInArrow(_link_blocks(percent), "a long, b long")
+    labels = components(links.union(materialize(more, "links")))
 
     # the smallest id of each component
     named = own.groupBy("class").agg(F.min("doc_id").alias("least")).join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
