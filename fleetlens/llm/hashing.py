@@ -63,6 +63,14 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
+def range_hashes(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hash of each run of word hashes from ``low`` up to before ``high``."""
+    total = np.zeros(len(hashes) + 1, U64)
+    np.cumsum(hashes * _power_table(_BASE, len(hashes) + 1)[: len(hashes)], out=total[1:])
+    value = (total[high] - total[low]) * _power_table(_INVERSE, len(hashes) + 1)[low]
+    return mix64(value + (high - low).astype(U64))
+
+
 def slices(texts: list[bytes], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``limit`` bytes (one text at least)."""
     start = size = 0

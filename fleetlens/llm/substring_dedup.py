@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, materialize, mix64, ship_code, shuffle_partitions
 from .fm_index import FMIndex
-from .hashing import slices, window_hashes, word_hashes
+from .hashing import range_hashes, slices, window_hashes, word_hashes
 from .jaccard_join import bucket_values
 
 WINDOW = 50
@@ -46,7 +46,10 @@ HOT_DOCUMENTS = 1000
 RUN = 8
 #: Words of one FM-index, at most (a single anchor may have more).
 INDEX_WORDS = 400_000
-FLUSH = 2_000_000
+FLUSH = 1_000_000
+#: Bytes of text worked on at a time.
+SLICE = 1_500_000
+_TEXT = U64(0x9E3779B97F4A7C55)
 FLUSH_PASSAGES = 50_000
 
 
@@ -96,7 +99,7 @@ def _send_anchors(values: list[int], window: int):
 
         for b in batches:
             texts, ids = _bytes_of(b["text"]), b["doc_id"].to_numpy()
-            for i, j in slices(texts):
+            for i, j in slices(texts, SLICE):
                 hashes, firsts, _, _ = word_hashes(texts[i:j])
                 text, anchor, _, _ = anchors(hashes, firsts, window)
                 if len(text):
@@ -162,46 +165,50 @@ def _passages(window: int):
 
         names = ["shard", "passage", "words", "least", "greatest", "row_key", "at"]
         for b in batches:
-            texts, ids, keys = _bytes_of(b["text"]), b["doc_id"].to_pylist(), b["row_key"].to_pylist()
+            texts, doc_ids, row_keys = _bytes_of(b["text"]), b["doc_id"].to_numpy(), b["row_key"].to_numpy()
             wanted = [np.concatenate([np.frombuffer(x, U64) for x in some]) for some in b["anchors"].to_pylist()]
-            for i, j in slices(texts):
+            for i, j in slices(texts, SLICE):
                 part = texts[i:j]
                 data = b"\n".join([*part, b""])
                 hashes, firsts, starts, ends = word_hashes(part)
                 text, anchor, low, high = anchors(hashes, firsts, window)
                 # keep passages whose anchor the document shares
-                cuts = np.searchsorted(text, np.arange(len(part) + 1))
-                pieces = []
-                for t in range(len(part)):
-                    own = slice(cuts[t], cuts[t + 1])
-                    w = wanted[i + t]
-                    mine = anchor[own] & ~U64(1)
-                    hot = np.isin(mine, w[w & U64(1) == 1] & ~U64(1))
-                    cold = np.isin(mine, w[w & U64(1) == 0])
-                    for a, lo, hi, h in zip(mine[hot | cold].tolist(), low[own][hot | cold].tolist(), high[own][hot | cold].tolist(), hot[hot | cold].tolist(), strict=True):
-                        pieces.append((t, a, lo, hi, h))
-                held = []
-                for t, a, lo, hi, h in pieces:
-                    runs = [(lo, hi)] if not h else [(max(lo, x), min(hi, x + RUN - 1)) for x in range(lo - lo % RUN, hi + 1, RUN)]
-                    for x, y in runs:
-                        whole = hashes[x : y + window]
-                        shard = a
-                        if h:
-                            core = hashes[y : x + window]
-                            shard = int(window_hashes(core, len(core))[0]) ^ a
-                        passage = int(window_hashes(whole, len(whole))[0] ^ U64(a)) >> 1
-                        shard = shard >> 1 & 0x7FFFFFFFFFFFFFFF
-                        doc = ids[i + t]
-                        seen = known.get(passage)
-                        if seen is None:
-                            known[passage] = [shard, data[starts[x] : ends[y + window - 1]], doc, doc]
-                        else:
-                            seen[2], seen[3] = min(seen[2], doc), max(seen[3], doc)
-                        held.append((passage, doc, keys[i + t], x - int(firsts[t])))
-                if held:
-                    p, doc, key, at = zip(*held, strict=True)
-                    none = pa.nulls(len(held), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, pa.array(p, pa.int64()), pa.nulls(len(held), pa.binary()), pa.array(doc, pa.int64()), none, pa.array(key, pa.int64()), pa.array(at, pa.int64())], names)
+                sent = [wanted[i + t] for t in range(len(part))]
+                sent_of = np.repeat(np.arange(len(part)), [len(w) for w in sent])
+                sent = np.concatenate(sent)
+                there = mix64((sent & ~U64(1)) + sent_of.astype(U64) * _TEXT)
+                order = np.argsort(there)
+                there, very = there[order], (sent & U64(1) == 1)[order]
+                mine = anchor & ~U64(1)
+                wants = mix64(mine + text.astype(U64) * _TEXT)
+                k = np.minimum(np.searchsorted(there, wants), max(len(there) - 1, 0))
+                keep = there[k] == wants if len(there) else np.zeros(len(wants), bool)
+                text, mine, low, high, hot = text[keep], mine[keep], low[keep], high[keep], very[k[keep]]
+                # an anchor of very many documents: runs of RUN windows
+                n_runs = np.where(hot, high // RUN - low // RUN + 1, 1)
+                of = np.repeat(np.arange(len(text)), n_runs)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
+                run = (low // RUN)[of] + nth
+                first = np.where(hot[of], np.maximum(low[of], run * RUN), low[of])
+                last = np.where(hot[of], np.minimum(high[of], run * RUN + RUN - 1), high[of])
+                text, mine, hot = text[of], mine[of], hot[of]
+                passage = range_hashes(hashes, first, last + window) + mine
+                # all windows of a run share the words from the last one's first on
+                core = range_hashes(hashes, last, first + window)
+                shard = np.where(hot, core + mine, mine)
+                passage, shard = (mix64(passage) >> U64(1)).astype(np.int64), (mix64(shard) >> U64(1)).astype(np.int64)
+                doc = doc_ids[i:j][text]
+                for p, sh, x, y, d in zip(passage.tolist(), shard.tolist(), starts[first].tolist(), ends[last + window - 1].tolist(), doc.tolist(), strict=True):
+                    seen = known.get(p)
+                    if seen is None:
+                        known[p] = [sh, data[x:y], d, d]
+                    elif d < seen[2]:
+                        seen[2] = d
+                    elif d > seen[3]:
+                        seen[3] = d
+                if len(passage):
+                    none = pa.nulls(len(passage), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, pa.array(passage), pa.nulls(len(passage), pa.binary()), pa.array(doc), none, pa.array(row_keys[i:j][text]), pa.array(first - firsts[text])], names)
                 if len(known) >= FLUSH_PASSAGES:
                     yield flush()
         if known:
@@ -246,22 +253,31 @@ def _search(window: int):
     return search
 
 
-def _clean(window: int):
+def _clean(window: int, texts: bool):
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if texts else [])]
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            size = start = 0
             rows = []
-            for text, starts in zip(b["text"].to_pylist(), b["starts"].to_pylist(), strict=True):
-                words = (text or "").encode().split()
-                gone = np.zeros(len(words) + 1, np.int64)
+            for i in range(b.num_rows):
+                words = (b["text"][i].as_py() or "").encode().split()
+                size += sum(map(len, words))
+                starts = b["starts"][i].as_py()
+                n_lost, kept = 0, words
                 if starts:
                     s = np.unique(np.array(starts, np.int64))
+                    gone = np.zeros(len(words) + 1, np.int64)
                     gone[s] += 1
                     np.subtract.at(gone, s + window, 1)
-                lost = np.cumsum(gone)[:-1] > 0
-                kept = words if not starts else [w for w, x in zip(words, lost.tolist(), strict=True) if not x]
-                rows.append((len(words), int(lost.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), b" ".join(kept).decode()))
-            n, r, d, k = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(d, pa.string()), pa.array(k, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                    lost = np.cumsum(gone)[:-1] > 0
+                    n_lost, kept = int(lost.sum()), [w for w, x in zip(words, lost.tolist(), strict=True) if not x]
+                joined = b" ".join(kept)
+                rows.append((len(words), n_lost, hashlib.sha256(joined).hexdigest(), *([joined.decode()] if texts else [])))
+                if size >= SLICE or i == b.num_rows - 1:
+                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([b["doc_id"][start : i + 1], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]], names)
+                    rows, size, start = [], 0, i + 1
 
     return clean
 
@@ -287,10 +303,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return starts.filter("least < doc_id").select("doc_id", "row_key", (F.col("at") + F.col("k")).alias("start"))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """A row per document: doc_id, n_words, n_removed, kept_sha256, kept_text."""
+def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
+    """A row per document: doc_id, n_words, n_removed, kept_sha256 and, with
+    ``texts``, kept_text."""
     starts = repeated_windows(docs, window).groupBy("doc_id", "row_key").agg(F.collect_list("start").alias("starts"))
     starts = materialize(starts.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "starts"), "starts")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = rows.join(starts, (F.col("doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("k")), "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(_clean(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
+    return joined.mapInArrow(_clean(window, texts), schema)
