@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words_of
+from .common import WORD, materialize, n_words_of
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -55,15 +55,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_cop
     return s.select("source", "n_docs", "source_size", target.alias("target"))
 
 
-def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = "", weight_col: str | None = None) -> DataFrame:
+def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = "", weight_col: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` has doc_id, source and size (long, not NULL); one row per
     document: doc_id, source, size, source_size, target, ``taken`` (words) and
     ``copies`` (whole copies).
 
     ``weight_col`` names positive relative inclusion odds within a source
-    (default: equal, so inclusion differs between sources only)."""
+    (default: equal, so inclusion differs between sources only); ``keep`` names
+    columns to carry along."""
     relative = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    base = materialize(docs.select("doc_id", "source", "size", relative.alias("g")), "mix")
+    base = materialize(docs.select("doc_id", "source", "size", relative.alias("g"), *keep), "mix")
     targets = source_targets(base, weights, max_copies)
     u = random_unit(F.col("doc_id"), seed)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -90,6 +91,7 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies:
         "target",
         (F.col("whole") * F.col("size") + extra).alias("taken"),
         F.col("whole").alias("copies"),
+        *keep,
     )
 
 
@@ -98,6 +100,35 @@ def op3_mixing(docs: DataFrame) -> DataFrame:
     return pareto_mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mix_documents(docs: DataFrame) -> DataFrame:
+    """Pipeline form: the documents of the mix in the columns of ``docs``, a row
+    for each time one is taken. The document at a source's boundary has its last
+    time cut after the words that are taken (``n_chars`` follows).
+
+    Decisions are made on narrow rows; texts are shuffled once, by a hash of the
+    row. Rows that are equal in all columns share their decisions."""
+    columns = docs.columns
+    key = F.xxhash64(*columns)
+    narrow = docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size"), key.alias("_key"))
+    mixed = pareto_mix(narrow, keep=("_key",)).filter("taken > 0")
+    mixed = mixed.groupBy("_key").agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"))
+    rows = docs.select(key.alias("_key"), F.struct(*columns).alias("_row")).groupBy("_key").agg(F.first("_row").alias("_row"))
+    rows = rows.join(mixed, "_key")
+    whole, part = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
+    times = F.concat(F.array_repeat(F.lit(0), whole), F.array_repeat(part, (part > 0).cast("int")))
+    out = rows.select("_row", F.explode(times).alias("_words"))
+    space = r"[\x20\x09-\x0D]"
+    pieces = F.split(F.col("_row.text"), f"(?<={space})(?={WORD})")  # words with the white space after them
+    leading = F.col("_row.text").rlike(f"^{space}").cast("int")
+    cut = F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), F.col("_words") + leading), ""), f"{space}+$", "")
+    out = out.withColumn("_text", F.when(F.col("_words") > 0, cut).otherwise(F.col("_row.text")))
+    fields = {c: F.col("_row").getField(c).alias(c) for c in columns}
+    fields["text"] = F.col("_text").alias("text")
+    if "n_chars" in columns:
+        fields["n_chars"] = F.when(F.col("_words") > 0, F.length("_text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[fields[c] for c in columns])
+
+
 #: DuckDB SQL for ``op3_mixing``: the same rule with plain running sums.
 OP3_SQL = r"""
 WITH d AS (

@@ -172,9 +172,13 @@ def keep_documents(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> Dat
     """Pipeline form: rejected documents go, kept ones continue with their
     cleaned text, in the columns of ``docs`` (``n_chars`` follows the text)."""
     columns = docs.columns
-    judged = quality_rules(docs, cfg, keep=tuple(columns)).filter("kept")
+    judged = quality_rules(docs, cfg, keep=tuple(columns))
     out = {c: F.col(c) for c in columns}
     out["text"] = F.col("clean_text").alias("text")
     if "n_chars" in columns:
         out["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return judged.select(*[out[c] for c in columns])
+    # a filter on ``kept`` would be pushed below the projections and repeat
+    # their work; an array of one row or none is not
+    row = F.struct("kept", F.struct(*[out[c] for c in columns]).alias("row"))
+    kept = judged.select(F.explode(F.filter(F.array(row), lambda r: r["kept"])).alias("r"))
+    return kept.select(*[F.col("r.row").getField(c).alias(c) for c in columns])

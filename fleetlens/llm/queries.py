@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .decontamination import leaks
 from .jaccard_join import jaccard_classes
+from .language_model import op10_lm_scores as lm_scores
 from .licenses import license_scan, op5_sql
 from .mixing import OP3_SQL, op3_mixing
 from .quality_rules import quality_rules
@@ -23,7 +24,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 50-word windows of smaller ids' documents."""
-    return substring_dedup(documents(spark, sf_dir)).drop("kept_text")
+    return substring_dedup(documents(spark, sf_dir), texts=False)
 
 
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,11 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_token_counts(documents(spark, sf_dir))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of all documents under an attention model and unigrams."""
+    return lm_scores(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -71,6 +77,7 @@ QUERIES = {
     "op7_bit_planes": op7_bit_planes,
     "op8_decontamination": op8_decontamination,
     "op9_token_rollup": op9_token_rollup,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {
