@@ -53,13 +53,14 @@ _TEXT = U64(0x9E3779B97F4A7C55)
 FLUSH_PASSAGES = 50_000
 
 
-def anchors(hashes: np.ndarray, firsts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(hashes: np.ndarray, firsts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Passages of texts given by their word hashes: (text, anchor's hash, first
-    window, last window), windows by their first word."""
+    window, last window, anchor), windows and anchors by their first word."""
     span = window - GROUP + 1
     starts = np.concatenate([np.arange(i, j - window + 1) for i, j in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)] or [np.empty(0, np.int64)])
     if not len(starts):
-        return (np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64))
+        none = np.empty(0, np.int64)
+        return none, np.empty(0, U64), none, none, none
     group = window_hashes(hashes, GROUP)
     # sliding minimum with the leftmost place, doubling the width
     value, place, width = group, np.arange(len(group)), 1
@@ -74,7 +75,7 @@ def anchors(hashes: np.ndarray, firsts: np.ndarray, window: int) -> tuple[np.nda
     at = place[starts]
     head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
     last = np.append(head[1:], len(starts)) - 1
-    return text[head], group[at[head]], starts[head], starts[last]
+    return text[head], group[at[head]], starts[head], starts[last], at[head]
 
 
 def _bytes_of(column: pa.Array) -> list[bytes]:
@@ -101,7 +102,7 @@ def _send_anchors(values: list[int], window: int):
             texts, ids = _bytes_of(b["text"]), b["doc_id"].to_numpy()
             for i, j in slices(texts, SLICE):
                 hashes, firsts, _, _ = word_hashes(texts[i:j])
-                text, anchor, _, _ = anchors(hashes, firsts, window)
+                text, anchor, _, _, _ = anchors(hashes, firsts, window)
                 if len(text):
                     held.append((anchor, ids[i:j][text]))
                     n += len(text)
@@ -171,7 +172,7 @@ def _passages(window: int):
                 part = texts[i:j]
                 data = b"\n".join([*part, b""])
                 hashes, firsts, starts, ends = word_hashes(part)
-                text, anchor, low, high = anchors(hashes, firsts, window)
+                text, anchor, low, high, at = anchors(hashes, firsts, window)
                 # keep passages whose anchor the document shares
                 sent = [wanted[i + t] for t in range(len(part))]
                 sent_of = np.repeat(np.arange(len(part)), [len(w) for w in sent])
@@ -183,18 +184,20 @@ def _passages(window: int):
                 wants = mix64(mine + text.astype(U64) * _TEXT)
                 k = np.minimum(np.searchsorted(there, wants), max(len(there) - 1, 0))
                 keep = there[k] == wants if len(there) else np.zeros(len(wants), bool)
-                text, mine, low, high, hot = text[keep], mine[keep], low[keep], high[keep], very[k[keep]]
-                # an anchor of very many documents: runs of RUN windows
-                n_runs = np.where(hot, high // RUN - low // RUN + 1, 1)
+                text, mine, low, high, at, hot = text[keep], mine[keep], low[keep], high[keep], at[keep], very[k[keep]]
+                # an anchor of very many documents: runs of RUN windows, counted by
+                # their distance to the anchor so that equal windows are in equal
+                # runs; all windows of a run share the words of its core
+                near, far = (at - high) // RUN, (at - low) // RUN
+                n_runs = np.where(hot, far - near + 1, 1)
                 of = np.repeat(np.arange(len(text)), n_runs)
-                nth = np.arange(len(of)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
-                run = (low // RUN)[of] + nth
-                first = np.where(hot[of], np.maximum(low[of], run * RUN), low[of])
-                last = np.where(hot[of], np.minimum(high[of], run * RUN + RUN - 1), high[of])
+                run = near[of] + np.arange(len(of)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
+                first = np.where(hot[of], np.maximum(low[of], at[of] - run * RUN - RUN + 1), low[of])
+                last = np.where(hot[of], np.minimum(high[of], at[of] - run * RUN), high[of])
+                core_at = np.where(hot[of], at[of] - run * RUN, first)
                 text, mine, hot = text[of], mine[of], hot[of]
                 passage = range_hashes(hashes, first, last + window) + mine
-                # all windows of a run share the words from the last one's first on
-                core = range_hashes(hashes, last, first + window)
+                core = range_hashes(hashes, core_at, core_at + window - RUN + 1)
                 shard = np.where(hot, core + mine, mine)
                 passage, shard = (mix64(passage) >> U64(1)).astype(np.int64), (mix64(shard) >> U64(1)).astype(np.int64)
                 doc = doc_ids[i:j][text]
