@@ -49,7 +49,7 @@ NEIGHBOURHOOD_SIZE = 40
 #: Classes each class is verified against in the first round.
 FIRST_PARTNERS = 3
 #: Classes and shingles of a block of the second round.
-BLOCK_CLASSES, BLOCK_SHINGLES = 512, 300_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 256, 200_000
 #: Keys a task gathers before it sends them.
 FLUSH_KEYS = 2_000_000
 
@@ -318,16 +318,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of blocks that meet in a group with classes of different components."""
+    """Pairs of blocks that meet in a group with classes of different components
+    whose sizes allow a link (4/5 at least)."""
     for batch in batches:
         found: set[tuple[int, int]] = set()
-        for members in batch["m"].to_pylist():
-            labels: dict[int, set[int]] = {}
-            for x in members:
-                labels.setdefault(x["block"], set()).add(x["label"])
-            blocks = sorted(labels)
-            for i, p in enumerate(blocks):
-                found.update((p, q) for q in blocks[i:] if len(labels[p] | labels[q]) > 1)
+        for members in batch["m"]:
+            fields = members.values
+            block, label, n = (fields.field(k).to_numpy() for k in ("block", "label", "n"))
+            for i in range(len(block)):
+                ok = (label != label[i]) & (5 * n >= 4 * n[i]) & (4 * n <= 5 * n[i]) & (block >= block[i])
+                found.update((int(block[i]), q) for q in np.unique(block[ok]).tolist())
         p, q = zip(*sorted(found), strict=True) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], ["p", "q"])
 
@@ -418,12 +418,12 @@ def jaccard_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     onward = near.select(F.col("class").alias("home"), F.col("home").alias("family"))
     near = near.join(onward, "home")
     parts = near.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-    info = near.join(parts, "family").select("class", "label", F.xxhash64("family", F.pmod(F.xxhash64("class"), "parts")).alias("block"))
+    info = near.join(parts, "family").select("class", "label", F.col("n").cast("long").alias("n"), F.xxhash64("family", F.pmod(F.xxhash64("class"), "parts")).alias("block"))
     info = materialize(info, "blocks")
     groups = met.filter("members IS NOT NULL").select("members").distinct().select(F.xxhash64("members").alias("g"), "members")
     pairs_too = pairs.select(F.xxhash64("a", "b").alias("g"), F.explode(F.array("a", "b")).alias("class"))
     members = groups.mapInArrow(_members, "g long, class long").union(pairs_too).join(info, "class")
-    mixed = members.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.collect_set(F.struct("block", "label")).alias("m")).filter("lo <> hi")
+    mixed = members.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.collect_set(F.struct("block", "label", "n")).alias("m")).filter("lo <> hi")
     meeting = mixed.select("m").mapInArrow(_block_pairs, "p long, q long").distinct()
     sides = F.when(F.col("p") == F.col("q"), F.array(F.struct(F.col("p").alias("block"), F.lit(0).alias("side")))).otherwise(
         F.array(F.struct(F.col("p").alias("block"), F.lit(0).alias("side")), F.struct(F.col("q").alias("block"), F.lit(1).alias("side")))
