@@ -215,5 +215,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakCo
     told apart by their text)."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
     found = leaks(docs.select(F.xxhash64(key).alias("doc_id"), "text"), benchmark, cfg)
-    bad = materialize(found.select(F.col("doc_id").alias("_key")).distinct(), "leaks")
-    return docs.join(bad, F.xxhash64(key) == F.col("_key"), "left_anti")
+    bad = materialize(found.select(F.col("doc_id").alias("__leak_key")).distinct(), "leaks")
+    return docs.join(bad, F.xxhash64(key) == F.col("__leak_key"), "left_anti")

@@ -172,8 +172,9 @@ def keep_documents(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> Dat
     """Pipeline form: rejected documents go, kept ones continue with their
     cleaned text, in the columns of ``docs`` (``n_chars`` follows the text)."""
     columns = docs.columns
-    judged = quality_rules(docs, cfg, keep=tuple(columns))
-    out = {c: F.col(c) for c in columns}
+    # the row travels as a struct, so its columns cannot clash with those made here
+    judged = quality_rules(docs.select(F.struct(*columns).alias("_row"), "text"), cfg, keep=("_row",))
+    out = {c: F.col("_row").getField(c).alias(c) for c in columns}
     out["text"] = F.col("clean_text").alias("text")
     if "n_chars" in columns:
         out["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")

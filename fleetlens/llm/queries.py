@@ -81,9 +81,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_toxicity": op1_toxicity,
-    "op2_substring_dedup": op2_substring_dedup,
     "op3_pareto_mix": OP3_SQL,
-    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_license_scan": op5_sql(),
 }
