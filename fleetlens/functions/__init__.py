@@ -3,7 +3,7 @@
 from fleetlens.functions.columns import (
     MS_PER_DAY,
     MS_PER_HOUR,
-    MONEY_SCALE,
+    MONEY_TYPE,
     blank_to_null,
     from_units,
     money_sum,
@@ -29,7 +29,7 @@ __all__ = [
     "MS_PER_HOUR",
     "PIPELINE_TAG_KEYS",
     "TABLE_TAG_KEYS",
-    "MONEY_SCALE",
+    "MONEY_TYPE",
     "blank_to_null",
     "from_units",
     "money_sum",

@@ -21,19 +21,18 @@ def blank_to_null(c: Column | str) -> Column:
     return F.nullif(_col(c), F.lit(""))
 
 
-# Money is summed as integer micro-units: exact and independent of the order
-# in which partitions are combined (float sums are not), so totals and the
-# 2/4-decimal outputs are the same however the data is split.
-MONEY_SCALE = 1_000_000.0
+# Money is summed as DECIMAL(38, 18): exact, so totals do not depend on how the
+# data is split (float sums do), and with 18 places no small cost is lost.
+MONEY_TYPE = "decimal(38,18)"
 
 
 def money_units(c: Column | str) -> Column:
-    """Amount -> integer micro-units (round half up)."""
-    return F.floor(_col(c) * F.lit(MONEY_SCALE) + F.lit(0.5))
+    """Amount as a decimal that sums exactly."""
+    return _col(c).cast(MONEY_TYPE)
 
 
 def from_units(units: Column | str) -> Column:
-    return _col(units) / F.lit(MONEY_SCALE)
+    return _col(units).cast("double")
 
 
 def money_sum(c: Column | str) -> Column:
@@ -81,8 +80,8 @@ def percent_text(c: Column | str) -> Column:
 
 
 def utc_day(ms: Column | str) -> Column:
-    """Epoch milliseconds -> 'yyyy-MM-dd' of the UTC day (session TZ must be UTC)."""
-    return F.date_format(F.timestamp_millis(_col(ms)), "yyyy-MM-dd")
+    """Epoch milliseconds -> 'yyyy-MM-dd' of the UTC day, in any session time zone."""
+    return F.date_from_unix_date(F.floor(_col(ms) / F.lit(MS_PER_DAY)).cast("int")).cast("string")
 
 
 def workers_from(num_workers: Column, min_workers: Column, max_workers: Column, strategy: str = "average") -> Column:

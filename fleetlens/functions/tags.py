@@ -29,7 +29,7 @@ TABLE_TAG_KEYS = (
 )
 # Separators of a multi-valued tag (comma, semicolon, newline).
 TAG_SEPARATOR_PATTERN = "[,;\n]"
-_EDGE_SPACE = r"^\s+|\s+$"
+_EDGE_SPACE = r"(?U)^\s+|\s+$"  # Unicode white space, as Python strips
 
 
 def _col(c: Column | str) -> Column:
@@ -80,7 +80,7 @@ def tag_values(tags: Column | str, keys: Sequence[str]) -> Column:
             "coalesce(flatten(transform("
             f"filter(transform(array_sort(filter({hits}, x -> NOT exists({hits}, y -> y.p = x.p AND y.i > x.i))), "
             "x -> x.v), v -> v IS NOT NULL AND v <> ''), "
-            "v -> filter(transform(split(v, '[,;\\n]'), s -> regexp_replace(s, '^\\\\s+|\\\\s+$', '')), s -> s <> ''))), "
+            "v -> filter(transform(split(v, '[,;\\n]'), s -> regexp_replace(s, '(?U)^\\\\s+|\\\\s+$', '')), s -> s <> ''))), "
             "cast(array() as array<string>))"
         )
         return F.expr(sql)

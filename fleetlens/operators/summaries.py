@@ -30,24 +30,21 @@ def load_key(start: Column | str = "start_time") -> Column:
     return F.coalesce(start, F.lit(-_LONG_MAX - 1))
 
 
-def currency_code(c: Column | str = "currency") -> Column:
-    """Currency text (<= 7 ASCII chars, e.g. ISO 4217) packed into a long.
-
-    Keeps every aggregation buffer fixed-width so grouped aggregates stay
-    hash-based (a string ``max_by`` buffer turns them into sort aggregates)."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.conv(F.hex(c), 16, 10).cast("long")
-
-
-def currency_text(code: Column) -> Column:
-    return F.unhex(F.conv(code.cast("string"), 10, 16)).cast("string")
-
-
-def _first_currency_aggs() -> list[Column]:
-    return [
-        F.max_by(currency_code(), load_key()).alias("first_currency"),
-        F.max(load_key()).alias("first_order"),
-    ]
+def _first_run() -> Column:
+    """Orders runs by load; the report currency is that of the greatest, ties by
+    currency text. The currency is a grouping key of the first aggregation (its
+    buffers then are fixed-width and hash-aggregated), resolved by ``_regroup``."""
+    return F.max(load_key()).alias("first_order")
+
+
+def _regroup(agg: DataFrame, keys: list[str], last: str) -> DataFrame:
+    """One row per key from an aggregate that is also grouped by currency."""
+    return agg.groupBy(*keys).agg(
+        F.sum("cost_units").alias("cost_units"),
+        F.sum("run_count").alias("run_count"),
+        F.max(last).alias(last),
+        F.max(F.struct("first_order", "currency")).alias("first"),
+    ).withColumn("total_cost", from_units("cost_units"))
 
 
 def materialize(agg: DataFrame) -> DataFrame:
@@ -71,7 +68,7 @@ def _totals(agg: DataFrame, default_currency: str) -> Column:
     return agg.agg(
         F.struct(
             F.coalesce(from_units(F.sum("cost_units")), F.lit(0.0)).alias("total"),
-            F.coalesce(currency_text(F.max_by("first_currency", "first_order")), F.lit(default_currency)).alias("currency"),
+            F.coalesce(F.max(F.struct("first_order", "currency"))["currency"], F.lit(default_currency)).alias("currency"),
         ).alias("t")
     ).scalar()
 
@@ -90,13 +87,13 @@ def _share(total: Column, grand: Column) -> Column:
 
 
 def job_aggregate(costed: DataFrame) -> DataFrame:
-    """G3 accumulate: per job total, count, last start, and its first run's currency."""
-    return costed.groupBy("job_id").agg(
+    """G3 accumulate: per job and currency total, count, last start, first run."""
+    return costed.groupBy("job_id", "currency").agg(
         F.sum(money_units("estimated_cost")).alias("cost_units"),
         F.count("*").alias("run_count"),
         F.max("start_time").alias("last_run_time"),
-        *_first_currency_aggs(),
-    ).withColumn("total_cost", from_units("cost_units"))
+        _first_run(),
+    )
 
 
 def job_summaries(costed: DataFrame, jobs: DataFrame, cfg: CostConfig = CostConfig()) -> DataFrame:
@@ -109,6 +106,7 @@ def job_summaries(costed: DataFrame, jobs: DataFrame, cfg: CostConfig = CostConf
 def job_summaries_from(agg: DataFrame, jobs: DataFrame, cfg: CostConfig = CostConfig()) -> DataFrame:
     """G3 from a materialised per-job aggregate (``job_aggregate`` shape)."""
     t = _totals(agg, cfg.currency)
+    agg = _regroup(agg, ["job_id"], "last_run_time")
     names = jobs.select("job_id", F.col("name").alias("_name"))
     named = join_dimension(agg, names, "job_id", "left", max_broadcast_rows=cfg.max_broadcast_rows)
     return named.select(
@@ -151,12 +149,12 @@ def top_jobs(summaries: DataFrame, n: int = 10) -> DataFrame:
 
 def named_aggregate(costed: DataFrame, keys_col: str) -> DataFrame:
     """G4/G5 accumulate over exploded keys; the NULL key holds untagged runs."""
-    return explode_costs(costed, keys_col, keep_untagged=True).groupBy("key").agg(
+    return explode_costs(costed, keys_col, keep_untagged=True).groupBy("key", "currency").agg(
         F.sum(money_units("share")).alias("cost_units"),
         F.count("*").alias("run_count"),
         F.max("start_time").alias("last_seen_time"),
-        *_first_currency_aggs(),
-    ).withColumn("total_cost", from_units("cost_units"))
+        _first_run(),
+    )
 
 
 def named_summaries(
@@ -172,6 +170,7 @@ def named_summaries_from(agg: DataFrame, window_days: int | None, cfg: CostConfi
     """G4/G5 from a materialised key aggregate (``named_aggregate`` shape,
     including the NULL key of untagged runs)."""
     t = _totals(agg, cfg.currency)
+    agg = _regroup(agg, ["key"], "last_seen_time")
     days = float(max(1, window_days or 1))
     return agg.where(F.col("key").isNotNull()).select(
         "key",
@@ -249,19 +248,19 @@ def fused_aggregate(costed: DataFrame) -> DataFrame:
         "start_time",
         "currency",
     )
-    return rows.groupBy("dim", "job_id", "key").agg(
+    return rows.groupBy("dim", "job_id", "key", "currency").agg(
         F.sum(money_units("share")).alias("cost_units"),
         F.count("*").alias("run_count"),
         F.max("start_time").alias("last_time"),
-        *_first_currency_aggs(),
-    ).withColumn("total_cost", from_units("cost_units"))
+        _first_run(),
+    )
 
 
 def fused_part(fused: DataFrame, dim: str) -> DataFrame:
     """One dimension of :func:`fused_aggregate`, in the shape of
     ``job_aggregate`` (dim 'job') or ``named_aggregate`` (others)."""
     part = fused.where(F.col("dim") == dim)
-    common = ["cost_units", "run_count", "first_currency", "first_order", "total_cost"]
+    common = ["cost_units", "run_count", "currency", "first_order"]
     if dim == DIM_JOB:
         return part.select("job_id", F.col("last_time").alias("last_run_time"), *common)
     return part.select("key", F.col("last_time").alias("last_seen_time"), *common)
@@ -273,7 +272,7 @@ def fused_part(fused: DataFrame, dim: str) -> DataFrame:
 def total_cost(costed: DataFrame, cfg: CostConfig = CostConfig()) -> DataFrame:
     """G1 + G2: one row (currency, total_cost, run_count); zero state when empty."""
     return costed.agg(
-        F.coalesce(currency_text(F.max_by(currency_code(), load_key())), F.lit(cfg.currency)).alias("currency"),
+        F.coalesce(F.max(F.struct(load_key().alias("o"), "currency"))["currency"], F.lit(cfg.currency)).alias("currency"),
         F.coalesce(money_sum("estimated_cost"), F.lit(0.0)).alias("total_cost"),
         F.count("*").alias("run_count"),
         F.count_distinct("currency").alias("currency_count"),
@@ -302,6 +301,7 @@ def summary_kpis(
     """One row of headline numbers (zero state when nothing is costed).
     All of it comes from one materialised fused aggregate (one pass)."""
     fused = fused if fused is not None else materialize(fused_aggregate(costed))
+    fused = _regroup(fused, ["dim", "job_id", "key"], "last_time")
     dim, key = F.col("dim"), F.col("key")
     is_job = dim == DIM_JOB
 
@@ -321,7 +321,7 @@ def summary_kpis(
         F.count_if((dim == DIM_PIPELINE) & key.isNotNull()).alias("pipeline_count"),
         F.count_if((dim == DIM_TABLE) & key.isNotNull()).alias("table_count"),
         F.coalesce(
-            currency_text(F.max_by(F.when(is_job, F.col("first_currency")), F.when(is_job, F.col("first_order")))),
+            F.max(F.when(is_job, F.col("first")))["currency"],
             F.lit(cfg.currency),
         ).alias("currency"),
         F.min_by(F.col("job_id"), F.when(is_job, rank_key(F.col("job_id")))).alias("top_job_id"),

@@ -17,14 +17,9 @@ def r(expr: str, n: int) -> str:
     return f"CAST(printf('%.{n}f', {expr}) AS DOUBLE)"
 
 
-def mu(expr: str) -> str:
-    """Amount -> integer micro-units (same rule as ``functions.money_units``)."""
-    return f"CAST(floor(({expr}) * 1000000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)"
-
-
 def msum(expr: str, filt: str = "") -> str:
-    """Exact money sum as a double (same rule as ``functions.money_sum``)."""
-    return f"(sum({mu(expr)}){filt} / 1000000.0::DOUBLE)"
+    """Sum of unrounded costs as exact decimals."""
+    return f"CAST(sum(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 18))){filt} AS DOUBLE)"
 
 
 def split_sql(expr: str) -> str:
@@ -173,7 +168,7 @@ RUN_COST_COLS = f"""run_id, job_id, currency, {r('estimated_cost', 4)} AS estima
 
 JOB_AGG = f"""
 job_agg AS (
-  SELECT job_id, sum({mu('estimated_cost')}) AS units, sum({mu('estimated_cost')}) / 1000000.0::DOUBLE AS total_cost,
+  SELECT job_id, {msum('estimated_cost')} AS units, {msum('estimated_cost')} AS total_cost,
     count(*) AS run_count, max(start_time) AS last_run_time
   FROM costed GROUP BY job_id
 ),
@@ -183,7 +178,7 @@ job_sum AS (
     a.run_count, a.total_cost / a.run_count AS avg_cost_per_run, a.last_run_time,
     (SELECT coalesce(arg_max(currency, coalesce(start_time, -9223372036854775808)), 'USD') FROM costed) AS currency
   FROM job_agg a LEFT JOIN jobs j ON a.job_id = j.job_id,
-    (SELECT coalesce(sum(units) / 1000000.0::DOUBLE, 0.0) AS total FROM job_agg) t
+    (SELECT coalesce({msum('estimated_cost')}, 0.0) AS total FROM costed) t
 )"""
 
 
@@ -198,7 +193,7 @@ def named_agg(keys: str, name: str, window_days: int = WINDOW_DAYS) -> str:
   SELECT c.run_id, c.start_time, c.currency, NULL, c.estimated_cost FROM costed c WHERE len(c.{keys}) = 0
 ),
 {name}_all AS (
-  SELECT key, sum({mu('share')}) / 1000000.0::DOUBLE AS total_cost, sum({mu('share')}) AS units,
+  SELECT key, {msum('share')} AS total_cost, {msum('share')} AS units,
     count(*) AS run_count, max(start_time) AS last_seen_time
   FROM {name}_x GROUP BY key
 ),
@@ -207,7 +202,7 @@ def named_agg(keys: str, name: str, window_days: int = WINDOW_DAYS) -> str:
     CASE WHEN g.t <> 0 THEN total_cost / g.t ELSE 0.0 END AS cost_share,
     run_count, total_cost / run_count AS avg_cost_per_run,
     total_cost / {days}::DOUBLE AS cost_per_day, run_count AS attribution_count, last_seen_time
-  FROM {name}_all, (SELECT sum(units) / 1000000.0::DOUBLE AS t FROM {name}_all) g
+  FROM {name}_all, (SELECT {msum('estimated_cost')} AS t FROM costed) g
   WHERE key IS NOT NULL
 )"""
 
@@ -362,12 +357,12 @@ SELECT job_id, CAST(pos - 1 AS BIGINT) AS pos, value FROM (
         f"""
 SELECT CAST({WINDOW_DAYS} AS INTEGER) AS window_days,
   coalesce((SELECT arg_max(currency, coalesce(start_time, -9223372036854775808)) FROM costed), 'USD') AS currency,
-  {r('coalesce(sum(units) / 1000000.0::DOUBLE, 0.0)', 2)} AS total_cost,
+  {r('coalesce(sum(units), 0.0)', 2)} AS total_cost,
   CAST(coalesce(sum(run_count), 0) AS BIGINT) AS run_count,
   count(*) AS job_count,
   (SELECT count(*) FROM pipe_sum) AS pipeline_count,
   (SELECT count(*) FROM tab_sum) AS table_count,
-  CASE WHEN coalesce(sum(run_count), 0) > 0 THEN {r('(sum(units) / 1000000.0::DOUBLE) / sum(run_count)', 2)} ELSE 0.0 END AS avg_cost_per_run,
+  CASE WHEN coalesce(sum(run_count), 0) > 0 THEN {r('(sum(units)) / sum(run_count)', 2)} ELSE 0.0 END AS avg_cost_per_run,
   (SELECT job_name FROM job_sum ORDER BY total_cost DESC, last_run_time DESC NULLS LAST, job_id LIMIT 1) AS most_expensive_job,
   (SELECT label FROM pipe_sum ORDER BY total_cost DESC, last_seen_time DESC NULLS LAST, key LIMIT 1) AS most_expensive_pipeline,
   (SELECT label FROM tab_sum ORDER BY total_cost DESC, last_seen_time DESC NULLS LAST, key LIMIT 1) AS most_expensive_table,
@@ -483,10 +478,9 @@ cleaned AS (
   FROM raw WHERE trim(node_type_id) <> ''
 ),
 latest AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_type_id ORDER BY ordinal DESC) AS rn FROM cleaned) WHERE rn = 1
+  SELECT * FROM (SELECT *, min(CASE WHEN dbus_per_hour < 0 THEN 'negative_dbus' WHEN plan NOT IN ('premium', 'enterprise') THEN 'unsupported_plan' END) OVER (PARTITION BY node_type_id) AS bad, row_number() OVER (PARTITION BY node_type_id ORDER BY ordinal DESC) AS rn FROM cleaned) WHERE rn = 1
 )
-SELECT node_type_id, dbus_per_hour, plan,
-  CASE WHEN dbus_per_hour < 0 THEN 'negative_dbus' WHEN plan NOT IN ('premium', 'enterprise') THEN 'unsupported_plan' END AS violation
+SELECT node_type_id, dbus_per_hour, plan, bad AS violation
 FROM latest"""
     q["pricing_config_counts"] = with_ctes() + f"""
 SELECT (SELECT count(*) FROM {_node_types_sql()}) AS discovered_count,
@@ -620,10 +614,16 @@ fresh AS (
 fresh2 AS (
   SELECT *, lag_hours > sla_hours AS stale, greatest(lag_hours - sla_hours, 0.0::DOUBLE) AS hours_late FROM fresh
 ),
-vol AS (
+seen AS (
   SELECT o_orderpriority AS table_name, CAST(o_orderdate AS DATE) AS day, CAST(count(*) AS BIGINT) AS volume
   FROM orders GROUP BY 1, 2
 ),
+vol AS (
+  SELECT d.table_name, d.day, coalesce(s.volume, 0) AS volume
+  FROM (SELECT table_name, CAST(unnest(generate_series(min(day), (SELECT max(day) FROM seen), INTERVAL 1 DAY)) AS DATE) AS day
+        FROM seen GROUP BY table_name) d
+  LEFT JOIN seen s ON s.table_name = d.table_name AND s.day = d.day
+),
 volw AS (
   SELECT *, avg(volume) OVER w AS expected, count(volume) OVER w AS n FROM vol
   WINDOW w AS (PARTITION BY table_name ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)

@@ -59,8 +59,13 @@ def test_costing_plan_is_one_broadcast_pipeline(dash):
 
 
 def test_job_summary_is_hash_aggregate(dash):
+    from fleetlens.operators import summaries
+
+    # the aggregation over the costed runs, not what is read back from it
+    for agg in (summaries.job_aggregate(dash.costed), summaries.named_aggregate(dash.costed, "table_keys"), summaries.fused_aggregate(dash.costed)):
+        p = _plan(agg)
+        assert "HashAggregate" in p and "SortAggregate" not in p
     p = _plan(dash.job_summaries())
-    assert "HashAggregate" in p and "SortAggregate" not in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 

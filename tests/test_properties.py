@@ -6,6 +6,8 @@ job (one DataFrame), so the suite stays fast."""
 import math
 import random
 
+import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -95,9 +97,69 @@ def test_money_sum_is_exact_and_order_free(spark, amounts, parts):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     a = df.repartition(parts).agg(money_sum("x").alias("s")).first().s
     b = df.coalesce(1).agg(money_sum("x").alias("s")).first().s
-    # the documented rule: micro-units = floor(x * 1e6 + 0.5) in double arithmetic, summed exactly
-    expected = sum(math.floor(v * 1e6 + 0.5) for v in vals) / 1e6
-    assert a == b == expected
+    # the true sum of the amounts, to 18 decimal places each
+    assert a == b and abs(a - math.fsum(vals)) <= 1e-12 * max(math.fsum(vals), 1.0)
+
+
+def test_small_costs_and_any_currency_survive(spark):
+    """Many costs far below a cent add up, a three-way split adds up to the whole,
+    and the report currency may be any text."""
+    from fleetlens.operators import summaries as S
+    from fleetlens.functions import utc_day
+
+    small = spark.range(100_000).selectExpr("4e-7D AS x")
+    assert abs(small.agg(money_sum("x").alias("s")).first().s - 0.04) < 1e-12
+    thirds = spark.range(3_000).selectExpr("1.0D / 3 AS x")
+    assert round(thirds.agg(money_sum("x").alias("s")).first().s, 9) == 1000.0
+    costed = spark.createDataFrame([(1, 10, 1.0, "a currency of 30 characters .."), (2, 5, 2.0, "")], "job_id long, start_time long, estimated_cost double, currency string")
+    assert S.total_cost(costed).first()["currency"] == "a currency of 30 characters .."
+    assert S.total_cost(costed.filter("job_id = 2")).first()["currency"] == ""
+    for zone in ("UTC", "America/Los_Angeles", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        days = spark.sql("SELECT * FROM VALUES (0L), (-1L), (86400000L) AS t(ms)").select(utc_day("ms").alias("d")).collect()
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert [r.d for r in days] == ["1970-01-01", "1969-12-31", "1970-01-02"]
+
+
+def test_day_without_rows_is_a_volume_drop(spark):
+    from fleetlens.operators.freshness import daily_volume, volume_anomalies
+
+    rows = [("t", f"2024-01-{d:02d}", 100) for d in range(1, 11) if d != 9]
+    log = spark.createDataFrame(rows, "table_name string, d string, row_count long").selectExpr("table_name", "CAST(d AS timestamp) AS updated_at", "row_count")
+    assert [str(r.day) for r in volume_anomalies(daily_volume(log)).collect()] == ["2024-01-09"]
+
+
+def test_bad_pricing_entries_are_not_hidden(spark):
+    from fleetlens.operators.pricing import decode_config, normalise_config
+
+    raw = spark.createDataFrame([("n", -1.0, "premium", 1), ("n", 2.0, "premium", 2)], "node_type_id string, dbus_per_hour double, plan string, ordinal long")
+    assert [r.violation for r in normalise_config(raw).collect()] == ["negative_dbus"]
+    with pytest.raises(Exception, match="not a JSON object"):
+        decode_config(spark.createDataFrame([("[1]",)], "value string"))[0].collect()
+
+
+def test_no_private_folder_off_a_local_master():
+    from fleetlens import session
+
+    class Context:
+        master = "spark://host:7077"
+        applicationId = "a"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
 
 
 @settings(max_examples=5, deadline=None)
