@@ -48,14 +48,21 @@ def default_parallelism(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Driver and executors in one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 _LOCAL_CKPT: dict[str, str] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names the folder; only when it is unset (local tests) do we
-    create a private one under /tmp.
+    The cluster names the folder; only when it is unset under a local master
+    (tests) do we create a private one under /tmp. Elsewhere executors would not
+    share it, so a missing setting is an error.
     """
     try:
         sc = spark.sparkContext
@@ -67,6 +74,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured and sc is not None:
         configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not is_local(spark):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not configured:
         configured = _LOCAL_CKPT.setdefault(app_id(spark), tempfile.mkdtemp(prefix="fleetlens-ckpt-", dir="/tmp"))
     if sc is not None:

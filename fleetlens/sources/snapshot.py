@@ -20,6 +20,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,6 @@ from fleetlens.functions import utc_day
 from fleetlens.operators.dedupe import latest_by_key
 
 POINTER = "_current"
-MAX_TOUCHED_PARTITIONS = 10_000
 SEQ = "_sync_seq"
 
 
@@ -36,19 +36,26 @@ def _pointer_path(root: str, name: str) -> str:
 
 
 def current_version(spark: SparkSession, root: str, name: str) -> tuple[int, str] | None:
-    """(version, path) of the current snapshot, or None when there is none."""
+    """(version, path) of the current snapshot, or None when there is none.
+    Any other failure to read the pointer is raised, so it is never taken for an
+    empty store."""
     try:
-        row = spark.read.json(_pointer_path(root, name)).first()
-    except Exception:  # noqa: BLE001 - no pointer written yet
+        row = spark.read.schema("version long, path string").json(_pointer_path(root, name)).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return (int(row["version"]), str(row["path"])) if row else None
 
 
-def write_snapshot(df: DataFrame, root: str, name: str, partition_by: Sequence[str] = ()) -> str:
-    """Write ``df`` as the next version of snapshot ``name`` and repoint to it."""
+def write_snapshot(df: DataFrame, root: str, name: str, partition_by: Sequence[str] = (), after: int | None = None) -> str:
+    """Write ``df`` as the version after ``after`` (default: the current one) of
+    snapshot ``name`` and repoint to it."""
     spark = df.sparkSession
-    cur = current_version(spark, root, name)
-    version = (cur[0] + 1) if cur else 1
+    if after is None:
+        cur = current_version(spark, root, name)
+        after = cur[0] if cur else 0
+    version = after + 1
     path = f"{root.rstrip('/')}/{name}/v{version:08d}"
     writer = df.write.mode("errorifexists")
     if partition_by:
@@ -78,8 +85,9 @@ def upsert(batch: DataFrame, root: str, name: str, keys: Sequence[str], order_by
     """Merge ``batch`` into snapshot ``name``; returns rows offered (duplicates counted)."""
     spark = batch.sparkSession
     offered = batch.count()
-    merged = merge_latest(read_snapshot(spark, root, name), batch, keys, order_by)
-    write_snapshot(merged, root, name, partition_by)
+    cur = current_version(spark, root, name)
+    merged = merge_latest(spark.read.parquet(cur[1]) if cur else None, batch, keys, order_by)
+    write_snapshot(merged, root, name, partition_by, cur[0] if cur else 0)
     return offered
 
 
@@ -87,43 +95,42 @@ def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path).schema  # noqa: B018 - resolves the file listing only
         return True
-    except Exception:  # noqa: BLE001 - missing or empty path
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return False
 
 
+def _drop_partition(spark: SparkSession, path: str, column: str, value) -> None:
+    folder = f"{column}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{folder}")
+    where.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(where, True)
+
+
 def upsert_partitions(
     batch: DataFrame, path: str, keys: Sequence[str], order_by: Sequence[str] = (), partition_col: str = "start_date"
 ) -> int:
     """S2 at scale: merge ``batch`` into the table at ``path`` (partitioned by
-    ``partition_col``) rewriting only the partitions the batch touches.
-
-    The touched partition values are a bounded list (days in one batch); the
-    current rows of those partitions (and of the NULL partition, where runs
-    without a start live) are merged with the batch latest-by-key, the result
-    is staged as Parquet in the shared checkpoint folder (cutting the lineage
-    to the files about to be replaced), and written with dynamic partition
-    overwrite. Cost
-    is proportional to the batch's partitions, not to the table. A run's
-    start day must not change between syncs (completed runs never do).
-    Returns the rows offered."""
+    ``partition_col``) rewriting only the partitions the batch concerns.
+
+    These are the partitions of the batch's rows and those that hold one of its
+    keys now, e.g. a run that had no start day, or another one, when it was last
+    synced (found from the key columns alone); there is one value per day.
+    Their rows are merged with the batch latest-by-key, staged as Parquet in the
+    shared checkpoint folder (cutting the lineage to the files about to be
+    replaced) and written with dynamic partition overwrite; partitions left
+    empty are dropped. Returns the rows offered."""
     spark = batch.sparkSession
     offered = batch.count()
     if not _exists(spark, path):
         merge_latest(None, batch, keys, order_by).write.mode("errorifexists").partitionBy(partition_col).parquet(path)
         return offered
-    # The touched days of one batch are few; the list is capped, and a batch
-    # touching more partitions than that merges against the whole table
-    # instead (exact, just not pruned).
-    touched = [r[0] for r in batch.select(partition_col).distinct().limit(MAX_TOUCHED_PARTITIONS + 1).collect()]
-    values = [v for v in touched if v is not None]
     current = spark.read.parquet(path)
     part = F.col(partition_col)
-    if len(touched) > MAX_TOUCHED_PARTITIONS:
-        affected = current
-    elif values:
-        affected = current.where(part.isin(*values) | part.isNull())
-    else:
-        affected = current.where(part.isNull())
+    held = current.select(*keys, partition_col).join(batch.select(*keys), list(keys), "left_semi").select(partition_col).distinct()
+    text = F.col(partition_col).cast("string")  # folder names are read back as dates
+    touched = {r[0] for r in held.union(batch.select(partition_col)).select(text).distinct().collect()}
+    affected = current.where(part.cast("string").isin(*[v for v in touched if v is not None]) | (part.isNull() if None in touched else F.lit(False)))
     from fleetlens.session import ensure_checkpoint_dir
 
     staged = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlens-upsert-{uuid.uuid4().hex}"
@@ -135,6 +142,9 @@ def upsert_partitions(
         .partitionBy(partition_col)
         .parquet(path)
     )
+    left = {r[0] for r in merged.select(text).distinct().collect()}
+    for value in touched - left:
+        _drop_partition(spark, path, partition_col, value)
     return offered
 
 

@@ -168,12 +168,29 @@ def test_streaming_sync_small_table_versions(spark, scratch):
     assert snapshot.current_version(spark, store, "clusters")[0] == 2
 
 
-def test_partition_upsert_fallback_is_exact(spark, scratch, monkeypatch):
-    """A batch touching more days than the cap merges against the whole table."""
-    monkeypatch.setattr(snapshot, "MAX_TOUCHED_PARTITIONS", 1)
+def test_partition_upsert_of_many_days(spark, scratch):
+    """One rule whatever the number of days a batch touches."""
     path = os.path.join(scratch, "runs_fb")
     b1 = spark.createDataFrame([(1, "2024-01-01", "a"), (2, "2024-01-02", "b")], "run_id long, start_date string, v string")
     snapshot.upsert_partitions(b1, path, ["run_id"])
     b2 = spark.createDataFrame([(1, "2024-01-01", "a2"), (3, "2024-01-03", "c")], "run_id long, start_date string, v string")
     snapshot.upsert_partitions(b2, path, ["run_id"])
     assert {r.run_id: r.v for r in spark.read.parquet(path).collect()} == {1: "a2", 2: "b", 3: "c"}
+
+
+def test_partition_upsert_moves_runs_between_days(spark, scratch):
+    """A run first synced without a start, and one whose day changed, are there
+    once; the partitions they leave empty are dropped."""
+    path = os.path.join(scratch, "runs_moved")
+    schema = "run_id long, start_date string, v string"
+    snapshot.upsert_partitions(spark.createDataFrame([(1, None, "a"), (2, "2024-01-01", "b"), (3, "2024-01-02", "c")], schema), path, ["run_id"])
+    snapshot.upsert_partitions(spark.createDataFrame([(1, "2024-01-03", "a2"), (2, "2024-01-02", "b2")], schema), path, ["run_id"])
+    rows = {(r.run_id, str(r.start_date), r.v) for r in spark.read.parquet(path).collect()}
+    assert rows == {(1, "2024-01-03", "a2"), (2, "2024-01-02", "b2"), (3, "2024-01-02", "c")}
+    assert sorted(x for x in os.listdir(path) if x.startswith("start_date")) == ["start_date=2024-01-02", "start_date=2024-01-03"]
+
+
+def test_unreadable_pointer_is_not_an_empty_store(spark, scratch):
+    snapshot.write_snapshot(spark.range(3).withColumnRenamed("id", "job_id"), scratch, "jobs")
+    assert snapshot.current_version(spark, scratch, "jobs")[0] == 1
+    assert snapshot.current_version(spark, scratch, "nothing") is None
