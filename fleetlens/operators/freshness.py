@@ -35,8 +35,13 @@ def table_freshness(updates: DataFrame, sla: DataFrame, as_of: Column) -> DataFr
 
 
 def daily_volume(updates: DataFrame) -> DataFrame:
-    """Rows per (table, UTC day) of the update log."""
-    return updates.groupBy("table_name", F.to_date("updated_at").alias("day")).agg(F.sum("row_count").alias("volume"))
+    """Rows per (table, day) of the update log, with 0 for the days between a
+    table's first day and the log's last one that it has no update on."""
+    seen = updates.groupBy("table_name", F.to_date("updated_at").alias("day")).agg(F.sum("row_count").alias("volume"))
+    last = updates.agg(F.max(F.to_date("updated_at"))).scalar()
+    days = updates.groupBy("table_name").agg(F.min(F.to_date("updated_at")).alias("first")).where(F.col("first").isNotNull())
+    days = days.select("table_name", F.explode(F.sequence("first", last)).alias("day"))
+    return days.join(seen, ["table_name", "day"], "left").select("table_name", "day", F.coalesce("volume", F.lit(0)).alias("volume"))
 
 
 def volume_anomalies(volume: DataFrame, trailing: int = 7, drop_threshold: float = 0.8) -> DataFrame:

@@ -125,8 +125,9 @@ def config_view(discovered: DataFrame, config: DataFrame) -> DataFrame:
 
 def normalise_config(raw: DataFrame, order_col: str = "ordinal") -> DataFrame:
     """Trim ids (blank skipped), default 0 DBU, trim+lower plans (default
-    premium); duplicates keep the last entry. Adds ``violation`` (NULL when
-    valid) so that one aggregate can count errors."""
+    premium); duplicates keep the last entry. Adds ``violation``: NULL when all
+    entries of the node type are valid, else the first violation among them, so
+    that a bad entry is not hidden by a later duplicate."""
     node = F.trim(F.col("node_type_id").cast("string"))
     plan = F.lower(F.trim(F.coalesce(F.col("plan").cast("string"), F.lit("premium"))))
     dbus = F.coalesce(F.col("dbus_per_hour").cast("double"), F.lit(0.0))
@@ -140,8 +141,10 @@ def normalise_config(raw: DataFrame, order_col: str = "ordinal") -> DataFrame:
         F.when(F.col("dbus_per_hour") < 0, F.lit("negative_dbus"))
         .when(~F.col("plan").isin(*PLANS), F.lit("unsupported_plan"))
     )
-    latest = latest_by_key(cleaned, ["node_type_id"], [order_col])
-    return latest.select("node_type_id", "dbus_per_hour", "plan", violation.alias("violation"))
+    cleaned = cleaned.withColumn("violation", violation)
+    latest = latest_by_key(cleaned.drop("violation"), ["node_type_id"], [order_col])
+    bad = cleaned.groupBy("node_type_id").agg(F.min("violation").alias("violation"))
+    return latest.join(bad, "node_type_id").select("node_type_id", "dbus_per_hour", "plan", "violation")
 
 
 def assert_valid_config(normalised: DataFrame) -> DataFrame:
@@ -158,7 +161,11 @@ def decode_config(kv: DataFrame, value_col: str = "value") -> tuple[DataFrame, D
     Missing value -> no rows; entries that are not objects decode to NULL and
     are dropped; blank node types are dropped.
     """
-    parsed = kv.select(F.from_json(F.col(value_col), CONFIG_JSON_SCHEMA).alias("c"))
+    text = F.trim(F.col(value_col))
+    checked = F.when(text.isNull() | text.startswith("{"), F.col(value_col)).otherwise(
+        F.raise_error(F.lit("the stored pricing config is not a JSON object")).cast("string")
+    )
+    parsed = kv.select(F.from_json(checked, CONFIG_JSON_SCHEMA).alias("c"))
     entries = (
         parsed.select(F.explode(F.coalesce(F.col("c.entries"), F.create_map().cast("map<string,string>"))).alias("node_type_id", "j"))
         .where(F.trim(F.col("j")).startswith("{") & (F.trim(F.col("node_type_id")) != ""))

@@ -76,7 +76,14 @@ def join_dimension(
     if salt_by is None or salt_buckets <= 1 or how not in ("left", "inner", "left_outer"):
         return fact.join(dim, keys, how)
     salt_src = F.col(salt_by) if isinstance(salt_by, str) else salt_by
-    salted_fact = fact.withColumn(_SALT, F.pmod(F.xxhash64(salt_src), F.lit(salt_buckets)).cast("int"))
+    # a NULL key matches nothing: such rows get salts beyond the replicated ones,
+    # which spreads them instead of sending all to salt_buckets tasks
+    null_key = F.lit(False)
+    for k in keys:
+        null_key = null_key | F.col(k).isNull()
+    h = F.xxhash64(salt_src)
+    salt = F.when(null_key, salt_buckets + F.pmod(h, F.lit(1 << 20))).otherwise(F.pmod(h, F.lit(salt_buckets)))
+    salted_fact = fact.withColumn(_SALT, salt.cast("int"))
     salted_dim = dim.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
     return salted_fact.join(salted_dim, [*keys, _SALT], how).drop(_SALT)
 
