@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_chars_in, n_word_chars, n_words_of, words_of
+from .common import materialize, n_chars_in, n_word_chars, n_words_of, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Marks that stand between the entries of a navigation line.
@@ -172,14 +172,12 @@ def keep_documents(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> Dat
     """Pipeline form: rejected documents go, kept ones continue with their
     cleaned text, in the columns of ``docs`` (``n_chars`` follows the text)."""
     columns = docs.columns
-    # the row travels as a struct, so its columns cannot clash with those made here
-    judged = quality_rules(docs.select(F.struct(*columns).alias("_row"), "text"), cfg, keep=("_row",))
+    # the row travels as a struct, so its columns cannot clash with those made
+    # here; verdicts are written before they are filtered on, as a filter would
+    # be pushed below the projections and repeat their work
+    judged = materialize(quality_rules(docs.select(F.struct(*columns).alias("_row"), "text"), cfg, keep=("_row",)), "judged")
     out = {c: F.col("_row").getField(c).alias(c) for c in columns}
     out["text"] = F.col("clean_text").alias("text")
     if "n_chars" in columns:
         out["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    # a filter on ``kept`` would be pushed below the projections and repeat
-    # their work; an array of one row or none is not
-    row = F.struct("kept", F.struct(*[out[c] for c in columns]).alias("row"))
-    kept = judged.select(F.explode(F.filter(F.array(row), lambda r: r["kept"])).alias("r"))
-    return kept.select(*[F.col("r.row").getField(c).alias(c) for c in columns])
+    return judged.filter("kept").select(*[out[c] for c in columns])
