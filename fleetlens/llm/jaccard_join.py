@@ -318,18 +318,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of blocks that meet in a group with classes of different components
-    whose sizes allow a link (4/5 at least)."""
+    """(p, q, class): classes to compare in a pair of blocks, as they meet a class
+    of another component there whose size allows a link (4/5 at least)."""
     for batch in batches:
-        found: set[tuple[int, int]] = set()
+        found: set[tuple[int, int, int]] = set()
         for members in batch["m"]:
             fields = members.values
-            block, label, n = (fields.field(k).to_numpy() for k in ("block", "label", "n"))
+            who, block, label, n = (fields.field(k).to_numpy() for k in ("class", "block", "label", "n"))
             for i in range(len(block)):
-                ok = (label != label[i]) & (5 * n >= 4 * n[i]) & (4 * n <= 5 * n[i]) & (block >= block[i])
-                found.update((int(block[i]), q) for q in np.unique(block[ok]).tolist())
-        p, q = zip(*sorted(found), strict=True) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], ["p", "q"])
+                ok = (label != label[i]) & (5 * n >= 4 * n[i]) & (4 * n <= 5 * n[i])
+                own = int(block[i])
+                found.update((min(own, q), max(own, q), int(who[i])) for q in np.unique(block[ok]).tolist())
+        p, q, c = zip(*sorted(found), strict=True) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64()), pa.array(c, pa.int64())], ["p", "q", "class"])
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,13 +424,10 @@ def jaccard_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     groups = met.filter("members IS NOT NULL").select("members").distinct().select(F.xxhash64("members").alias("g"), "members")
     pairs_too = pairs.select(F.xxhash64("a", "b").alias("g"), F.explode(F.array("a", "b")).alias("class"))
     members = groups.mapInArrow(_members, "g long, class long").union(pairs_too).join(info, "class")
-    mixed = members.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.collect_set(F.struct("block", "label", "n")).alias("m")).filter("lo <> hi")
-    meeting = mixed.select("m").mapInArrow(_block_pairs, "p long, q long").distinct()
-    sides = F.when(F.col("p") == F.col("q"), F.array(F.struct(F.col("p").alias("block"), F.lit(0).alias("side")))).otherwise(
-        F.array(F.struct(F.col("p").alias("block"), F.lit(0).alias("side")), F.struct(F.col("q").alias("block"), F.lit(1).alias("side")))
-    )
-    meeting = meeting.select(F.col("p"), F.col("q"), F.explode(sides).alias("s")).select("p", "q", "s.block", "s.side")
-    blocks = meeting.join(info, "block").join(sets.select("class", "shingles"), "class").select("p", "q", "side", "class", "label", "shingles")
+    mixed = members.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.collect_list(F.struct("class", "block", "label", "n")).alias("m")).filter("lo <> hi")
+    meeting = mixed.select("m").mapInArrow(_block_pairs, "p long, q long, class long").distinct()
+    blocks = meeting.join(info, "class").join(sets.select("class", "shingles"), "class")
+    blocks = blocks.select("p", "q", F.when(F.col("block") == F.col("p"), 0).otherwise(1).alias("side"), "class", "label", "shingles")
     more = blocks.groupBy("p", "q").applyInArrow(_link_blocks(percent), "a long, b long")
     labels = components(links.union(materialize(more, "links")))
 
