@@ -40,7 +40,7 @@ _MARK = 1e6
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    max_per_label: int = 4000
+    max_per_label: int = 2500
     #: Feature weights live in 2**bits slots, by hash.
     bits: int = 20
     #: A feature counts when so many sampled documents have it.
@@ -135,6 +135,7 @@ def train(texts: list[bytes], labels: np.ndarray, cfg: ToxicityConfig = Toxicity
     for w in per_doc:
         of_doc = np.concatenate([slot[by_word[k] : by_word[k + 1]] for k in w.tolist()])
         seen[np.unique(of_doc)] += 1
+    del features, per_doc
     keep = seen[slot] >= cfg.min_documents
     of_word, slot = of_word[keep], slot[keep]
     used, feature = np.unique(slot, return_inverse=True)
