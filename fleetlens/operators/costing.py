@@ -30,6 +30,7 @@ from fleetlens.functions import (
     utc_day,
     workers_from,
 )
+from fleetlens.operators.dedupe import latest_by_key
 from fleetlens.plans.joins import DEFAULT_BROADCAST_ROWS, DEFAULT_SALT_BUCKETS, join_dimension
 
 # Labels of where a run's cluster shape came from.
@@ -59,6 +60,9 @@ class CostConfig:
     top_n_dataset_insights: int = 3
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
     salt_buckets: int = DEFAULT_SALT_BUCKETS
+    #: Column that orders repeated clusters and jobs (the last one counts). Needed
+    #: where a table can hold a key more than once; snapshots hold it once.
+    dimension_order: str | None = None
 
 
 # --------------------------------------------------------------------- filters
@@ -93,6 +97,15 @@ def window_start(as_of_ms: int, window_days: int) -> int:
 # ------------------------------------------------------------------ dimensions
 
 
+def last_of_each(dim: DataFrame, key: str, cfg: CostConfig) -> DataFrame:
+    """The last row per key by ``cfg.dimension_order``, so that a repeated key
+    does not repeat the runs joined to it; as it is when no order is named."""
+    if cfg.dimension_order is None or cfg.dimension_order not in dim.columns:
+        return dim
+    return latest_by_key(dim, [key], [cfg.dimension_order])
+
+
+
 # Pricing fields of a spec, resolved one scalar column at a time (no struct is
 # built per run): (name, field accessor on a spec struct).
 _SPEC_FIELDS = (
@@ -202,11 +215,11 @@ def _narrow_runs(runs: DataFrame, with_keys: bool, carry: tuple[str, ...] = ())
 def _resolve(narrow: DataFrame, jobs: DataFrame, clusters: DataFrame, cfg: CostConfig, with_keys: bool) -> DataFrame:
     """Attach the lookup and job specs and pick one by presence."""
     joined = join_dimension(
-        narrow, cluster_dimension(clusters), "cluster_id", "left", max_broadcast_rows=cfg.max_broadcast_rows,
+        narrow, cluster_dimension(last_of_each(clusters, "cluster_id", cfg)), "cluster_id", "left", max_broadcast_rows=cfg.max_broadcast_rows,
         salt_by="run_id", salt_buckets=cfg.salt_buckets,
     )
     joined = join_dimension(
-        joined, job_dimension(jobs, with_keys), "job_id", "left",
+        joined, job_dimension(last_of_each(jobs, "job_id", cfg), with_keys), "job_id", "left",
         max_broadcast_rows=cfg.max_broadcast_rows, salt_by="run_id", salt_buckets=cfg.salt_buckets,
     )
     has_run, has_lookup, has_job = F.col("rs_present"), F.col("cl_found").isNotNull(), F.coalesce(F.col("js_present"), F.lit(False))

@@ -36,7 +36,9 @@ class Dashboard:
 
     @classmethod
     def from_config(cls, runs, jobs, clusters, pricing_config, as_of_ms, **kw) -> "Dashboard":
-        return cls(runs, jobs, clusters, pricing.effective_rates(pricing_config), as_of_ms, **kw)
+        order = kw.get("cfg", CostConfig()).dimension_order
+        order_by = [order] if order is not None and order in pricing_config.columns else None
+        return cls(runs, jobs, clusters, pricing.effective_rates(pricing_config, order_by=order_by), as_of_ms, **kw)
 
     @property
     def window_start_ms(self) -> int:

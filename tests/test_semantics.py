@@ -178,3 +178,19 @@ def test_zero_state(spark):
     assert d.recent_runs().count() == 0
     with pytest.raises(ValueError):
         d.recent_runs(-1)
+
+
+def test_repeated_dimension_rows_last_one_counts(spark):
+    """Two rows for one cluster, job and rate: the run is costed once, by the last."""
+    runs = H.runs(spark, [{"run_id": 1, "job_id": 1, "duration_ms": 3_600_000, "cluster_instance": {"cluster_id": "c"}}])
+    clusters = H.clusters(spark, [{"cluster_id": "c", "node_type_id": M5, "num_workers": n} for n in (3, 2)]).withColumn("seq", 9 - F.col("num_workers"))
+    jobs = H.jobs(spark, [{"job_id": 1, "name": "a"}, {"job_id": 1, "name": "b"}]).withColumn("seq", F.ascii("name"))
+    cfg = CostConfig(dimension_order="seq")
+    got = costing.cost_runs(runs, jobs, clusters, H.rates(spark, [(M5, 1.0)]), cfg).collect()
+    assert [(r.run_id, r.estimated_cost) for r in got] == [(1, 3.0)]
+    assert costing.diagnose_runs(runs, jobs, clusters, H.rates(spark, [(M5, 1.0)]), cfg).count() == 1
+
+
+def test_tag_values_strip_unicode_space(spark):
+    df = spark.createDataFrame([({"table": "a , a, b"},)], "tags map<string,string>")
+    assert df.select(tag_values("tags", TABLE_TAG_KEYS).alias("v")).first().v == ["a", "a", "b"]
