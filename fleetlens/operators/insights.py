@@ -7,6 +7,8 @@ explicit ordinal columns (group, rank, sub) so the output order is defined.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,19 @@ KIND_EXPENSIVE_TABLE = "expensive_table"
 SUBJECT_TYPES = ("job", "pipeline", "table")
 
 
-def _q(c: Column) -> Column:
-    return F.concat(F.lit("'"), c, F.lit("'"))
+# The message of each kind of insight.
+MESSAGES = {
+    KIND_EXPENSIVE_JOB: "Job '{name}' accounts for {share} of total cost with {total} {currency}.",
+    KIND_DOMINANT_SHARE: "Job '{name}' exceeds the configured cost share threshold at {share} of total spend.",
+    KIND_EXPENSIVE_PIPELINE: "Pipeline '{name}' accounts for {share} of total cost with {total} {currency}.",
+    KIND_EXPENSIVE_TABLE: "Table '{name}' costs {total} {currency} per day to maintain in this window.",
+}
+
+
+def _message(kind: str, **values: Column) -> Column:
+    """The kind's message with its {names} replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", MESSAGES[kind])
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)]).alias("message")
 
 
 def _with_rank(df: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -40,19 +53,13 @@ def job_insights(job_summaries: DataFrame, cfg: CostConfig = CostConfig()) -> Da
     name, share, total, cur = F.col("job_name"), F.col("cost_share"), F.col("total_cost"), F.col("currency")
     expensive = F.struct(
         F.lit(KIND_EXPENSIVE_JOB).alias("kind"),
-        F.concat(
-            F.lit("Job "), _q(name), F.lit(" accounts for "), percent_text(share), F.lit(" of total cost with "),
-            money_text(total), F.lit(" "), cur, F.lit("."),
-        ).alias("message"),
+        _message(KIND_EXPENSIVE_JOB, name=name, share=percent_text(share), total=money_text(total), currency=cur),
         total.alias("metric_value"),
         F.lit(0).alias("sub"),
     )
     dominant = F.struct(
         F.lit(KIND_DOMINANT_SHARE).alias("kind"),
-        F.concat(
-            F.lit("Job "), _q(name), F.lit(" exceeds the configured cost share threshold at "), percent_text(share),
-            F.lit(" of total spend."),
-        ).alias("message"),
+        _message(KIND_DOMINANT_SHARE, name=name, share=percent_text(share)),
         share.alias("metric_value"),
         F.lit(1).alias("sub"),
     )
@@ -79,10 +86,10 @@ def pipeline_insights(pipeline_summaries: DataFrame, cfg: CostConfig = CostConfi
         F.col("key").alias("subject_key"),
         F.col("currency"),
         F.lit(KIND_EXPENSIVE_PIPELINE).alias("kind"),
-        F.concat(
-            F.lit("Pipeline "), _q(F.col("label")), F.lit(" accounts for "), percent_text("cost_share"),
-            F.lit(" of total cost with "), money_text("total_cost"), F.lit(" "), F.col("currency"), F.lit("."),
-        ).alias("message"),
+        _message(
+            KIND_EXPENSIVE_PIPELINE,
+            name=F.col("label"), share=percent_text("cost_share"), total=money_text("total_cost"), currency=F.col("currency"),
+        ),
         F.col("total_cost").alias("metric_value"),
         F.lit(0).alias("sub"),
     )
@@ -98,10 +105,7 @@ def table_insights(table_summaries: DataFrame, cfg: CostConfig = CostConfig()) -
         F.col("key").alias("subject_key"),
         F.col("currency"),
         F.lit(KIND_EXPENSIVE_TABLE).alias("kind"),
-        F.concat(
-            F.lit("Table "), _q(F.col("label")), F.lit(" costs "), money_text("cost_per_day"), F.lit(" "),
-            F.col("currency"), F.lit(" per day to maintain in this window."),
-        ).alias("message"),
+        _message(KIND_EXPENSIVE_TABLE, name=F.col("label"), total=money_text("cost_per_day"), currency=F.col("currency")),
         F.col("cost_per_day").alias("metric_value"),
         F.lit(0).alias("sub"),
     )
