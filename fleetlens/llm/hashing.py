@@ -71,7 +71,7 @@ def range_hashes(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
     return mix64(value + (high - low).astype(U64))
 
 
-def slices(texts: list[bytes], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes], limit: int = 1_500_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``limit`` bytes (one text at least)."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -51,7 +51,7 @@ FIRST_PARTNERS = 3
 #: Classes and shingles of a block of the second round.
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 200_000
 #: Keys a task gathers before it sends them.
-FLUSH_KEYS = 2_000_000
+FLUSH_KEYS = 800_000
 
 _SEGMENT, _BAND, _SPACE = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F)
 NO_ID = -(2**63)
