@@ -218,6 +218,19 @@ def test_lm_gradient_and_distribution():
     assert np.allclose(model.log_probs(before, target, 0)[:, :4], model.log_probs(other, target, 0)[:, :4], atol=1e-5)
 
 
+def test_lm_trains_on_every_id():
+    import pyarrow as pa
+
+    from fleetlens.llm.language_model import LMConfig, _training_windows
+
+    cfg = LMConfig()
+    fine = np.arange(cfg.n_ids) % cfg.n_fine
+    texts = [np.arange(7, 7 + n, dtype="<u2") for n in (1, 23, 32, 33, 1000, 5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary())], ["ids"])
+    seen = np.concatenate([np.frombuffer(w, "<i2").reshape(-1, cfg.window + 1)[:, 1:].ravel() for b in _training_windows(cfg, fine)([batch]) for w in b["w"].to_pylist()])
+    assert seen[seen >= 0].tolist() == np.concatenate([fine[t] for t in texts]).tolist()
+
+
 def test_token_counts(spark, texts):
     import public_tokenizers
     from fleetlens.llm.tokenize import PieceEncoder
