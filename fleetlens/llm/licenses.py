@@ -1,10 +1,14 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case, only letters and
-digits) and mapped to the identifier of a known licence sentence; an ordered
-list of identifiers, the text's signature, is then matched against rules: a
-rule fires where its identifiers occur in that order, with no other licence
-sentence between them.
+A text is normalised (lower case, only letters and digits) with marks where a
+sentence or line may end; a known licence sentence starts after a mark and may run
+over marks (wrapped lines, 'free software: you can', 'v. 2.0'), but not over a blank
+line. The ordered list of their identifiers, the text's signature, is matched
+against rules: a rule fires where its identifiers occur in that order, with no
+other licence sentence between them.
+
+``op5_sql`` cuts at every line and sentence end, so it agrees where no known
+sentence runs over one.
 
 All in-row SQL on every text: no shuffle, no Python. The sentence table and the
 rules are fixed and small, so they travel inside the plan.
@@ -70,7 +74,7 @@ RULES = (
 )
 
 #: Every known sentence has one of these, so texts without any are skipped whole.
-TRIGGERS = ("licens", "permission", "copyright", "warrant", "as is", "redistribut", "holders", "public domain", "rights reserved")
+TRIGGERS = ("licens", "permission", "copyright", "warrant", "as is", "redistribut", "holders", "unencumbered", "reserved")
 
 
 def _tables() -> tuple[dict[str, str], list[tuple[str, str]]]:
@@ -88,20 +92,26 @@ def _pattern(identifiers: tuple[str, ...]) -> str:
     return " " + "  ".join(identifiers) + " "
 
 
-def _normalised_sentences(text: Column) -> Column:
-    """Sentences of a lower-case text: they end at a newline or at . ! ? ; : before white space."""
-    lower = F.regexp_replace(text, r"([.!?;:])[ \t]+", "$1\n")
-    clean = F.transform(F.split(lower, "\n"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    return F.filter(clean, lambda s: s != "")
+def _marked(text: Column) -> Column:
+    """Words of a lower-case text between single spaces; '|' where a line ends or
+    one of . ! ? ; : stands before white space, '#' for blank lines and the ends."""
+    t = F.regexp_replace(text, r"[.!?;:][ \t]+", "\u0001")
+    t = F.regexp_replace(t, "[^a-z0-9\n\u0001]+", " ")
+    t = F.regexp_replace(t, "[ \u0001]*\n[ \u0001]*\n[ \n\u0001]*", " # ")
+    t = F.regexp_replace(t, "[ \n\u0001]*[\n\u0001][ \n\u0001]*", " | ")
+    return F.concat(F.lit("# "), F.trim(t), F.lit(" #"))
 
 
-def _identifier(sentence: Column) -> Column:
+def _identifiers(marked: Column) -> Column:
+    """Identifiers of the known sentences in order; the longest counts where several start."""
     exact, prefix = _tables()
-    known = F.create_map(*[F.lit(x) for x in chain.from_iterable(exact.items())])
-    starts = F.lit(None).cast("string")
-    for form, ident in reversed(prefix):
-        starts = F.when(sentence.startswith(form), F.lit(ident)).otherwise(starts)
-    return F.coalesce(F.element_at(known, sentence), starts)
+    ident = {**dict(prefix), **exact}
+    forms = [(f, " [|#]") for f in exact] + [(f, "") for f, _ in prefix]
+    forms.sort(key=lambda x: -len(x[0]))
+    known = F.create_map(*[F.lit(x) for x in chain.from_iterable(ident.items())])
+    any_form = "|".join(f.replace(" ", "(?: [|])? ") + (f"(?={end})" if end else "") for f, end in forms)
+    found = F.regexp_extract_all(marked, F.lit(f"(?<=[|#] )(?:{any_form})"), F.lit(0))
+    return F.transform(found, lambda x: F.element_at(known, F.replace(x, F.lit(" |"), F.lit(""))))
 
 
 def license_scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -111,9 +121,7 @@ def license_scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     trigger = F.col("_t").contains(TRIGGERS[0])
     for t in TRIGGERS[1:]:
         trigger = trigger | F.col("_t").contains(t)
-    d = d.filter(trigger).withColumn("_s", _normalised_sentences(F.col("_t")))
-    ids = F.filter(F.transform("_s", _identifier), lambda x: x.isNotNull())
-    d = d.select("doc_id", ids.alias("_ids")).filter(F.size("_ids") > 0)
+    d = d.filter(trigger).select("doc_id", _identifiers(_marked(F.col("_t"))).alias("_ids")).filter(F.size("_ids") > 0)
     # two spaces between identifiers, one at each end of a pattern: equal
     # patterns side by side do not share a space
     d = d.select("doc_id", F.concat(F.lit("  "), F.array_join("_ids", "  "), F.lit("  ")).alias("_sig"))

@@ -256,6 +256,74 @@ def test_license_rules(spark):
     assert got == {(1, "MIT", "mit-short-grant", 1), (2, "MIT", "mit-notice", 1), (5, "Apache-2.0", "apache2-notice", 1), (5, "MIT", "mit-notice", 2)}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY. IN NO
+EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT OR OTHERWISE.
+"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+BSD3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one.\n"
+
+
+def test_wrapped_license_texts(spark):
+    from fleetlens.llm.licenses import license_scan
+
+    want = {"mit-full": MIT, "apache2-header": APACHE, "gpl3-header": GPL3, "bsd2-full": BSD2 % "", "bsd3-full": BSD2 % BSD3, "mpl2-notice": MPL, "unlicense-notice": "This is free and unencumbered software released into the public\ndomain.\n", "all-rights-reserved": "All rights\nreserved."}
+    docs = spark.createDataFrame(list(enumerate(want.values())), "doc_id long, text string")
+    got = {(r["doc_id"], r["rule"], r["n_matches"]) for r in license_scan(docs).collect()}
+    assert {(i, rule, 1) for i, rule in enumerate(want)} <= got
+    # a blank line ends a sentence
+    apart = spark.createDataFrame([(1, MPL.replace("Public\n", "Public\n\n"))], "doc_id long, text string")
+    assert license_scan(apart).count() == 0
+
+
 def test_pieces_give_the_librarys_ids():
     import public_tokenizers
     from fleetlens.llm.tokenize import PieceEncoder
