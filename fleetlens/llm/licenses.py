@@ -25,6 +25,22 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_LEADS = ("licensed under", "released under", "distributed under", "this project is licensed under", "this work is licensed under", "this software is licensed under")
+
+
+def _notices(*names: str) -> list[str]:
+    return [f"{lead} {name}" for lead in _LEADS for name in names]
+
+
+def _gnu_header(kind: str, version: str) -> list[str]:
+    """First sentence of the GNU headers up to the version."""
+    return [f"this {what} is free software you can redistribute it and or modify it under the terms of the gnu {kind} license as published by the free software foundation {either}version {version} of the license*" for what in ("program", "library") for either in ("either ", "")]
+
+
+def _cc(short: str, *long: str) -> list[str]:
+    return _notices(f"cc {short} 4 0", f"the cc {short} 4 0 license", *[f"a creative commons attribution {x} 4 0 international license*" for x in long])
+
+
 #: Identifier -> normalised sentence, or its start where it ends in '*'.
 SENTENCES = {
     "mit-name": ["mit license", "the mit license", "the mit license mit"],
@@ -38,12 +54,31 @@ SENTENCES = {
     "apache2-copy": ["you may obtain a copy of the license at*"],
     "apache2-as-is": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis*"],
     "gpl3-notice": ["this work is licensed under the gnu general public license version 3*", "licensed under the gnu general public license version 3*", "released under the gnu general public license version 3*"],
+    "gpl2-notice": _notices("the gnu general public license version 2*", "the gnu general public license v2*", "the gnu gpl v2*", "the gpl v2*"),
+    "lgpl21-notice": _notices("the gnu lesser general public license version 2 1*", "the gnu lesser general public license v2 1*", "the gnu lgpl v2 1*", "the lgpl v2 1*"),
+    "lgpl3-notice": _notices("the gnu lesser general public license version 3*", "the gnu lesser general public license v3*", "the gnu lgpl v3*", "the lgpl v3*"),
+    "agpl3-notice": _notices("the gnu affero general public license version 3*", "the gnu affero general public license v3*", "the gnu agpl v3*", "the agpl v3*"),
+    "gpl3-redistribute": _gnu_header("general public", "3"),
+    "gpl2-redistribute": _gnu_header("general public", "2"),
+    "lgpl21-redistribute": _gnu_header("lesser general public", "2 1"),
+    "lgpl3-redistribute": _gnu_header("lesser general public", "3"),
+    "agpl3-redistribute": _gnu_header("affero general public", "3"),
     "gpl-redistribute": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license*"],
-    "gpl-warranty": ["this program is distributed in the hope that it will be useful but without any warranty*"],
+    "gpl-warranty": ["this program is distributed in the hope that it will be useful but without any warranty*", "this library is distributed in the hope that it will be useful but without any warranty*"],
+    "lgpl-copy": ["you should have received a copy of the gnu lesser general public license along with this*"],
+    "agpl-copy": ["you should have received a copy of the gnu affero general public license along with this*"],
     "gpl-copy": ["you should have received a copy of the gnu general public license along with this program*"],
     "bsd-redistribute": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met*"],
     "bsd-endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products*"],
     "bsd-as-is": ["this software is provided by the copyright holders and contributors as is*"],
+    "isc-name": ["isc license", "the isc license"],
+    "isc-notice": _notices("the isc license"),
+    "isc-grant": [f"permission to use copy modify and {x}distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies" for x in ("or ", "")],
+    "isc-as-is": ["the software is provided as is and the author disclaims all warranties*", "the software is provided as is and isc disclaims all warranties*"],
+    "ccbyncsa4-notice": _cc("by nc sa", "noncommercial sharealike", "non commercial share alike"),
+    "ccbyncnd4-notice": _cc("by nc nd", "noncommercial noderivatives", "non commercial no derivatives"),
+    "ccbync4-notice": _cc("by nc", "noncommercial", "non commercial"),
+    "ccbynd4-notice": _cc("by nd", "noderivatives", "no derivatives"),
     "ccby4-notice": ["this work is licensed under a creative commons attribution 4 0 international license*", "licensed under cc by 4 0"],
     "ccbysa4-notice": ["this work is licensed under a creative commons attribution sharealike 4 0 international license*", "licensed under cc by sa 4 0"],
     "cc0-notice": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work*"],
@@ -61,12 +96,28 @@ RULES = (
     ("mit-name", "MIT", ("mit-name",)),
     ("apache2-header", "Apache-2.0", ("apache2-notice", "apache2-use", "apache2-copy", "apache2-as-is")),
     ("apache2-notice", "Apache-2.0", ("apache2-notice",)),
-    ("gpl3-header", "GPL-3.0", ("gpl-redistribute", "gpl-warranty", "gpl-copy")),
+    ("gpl3-header", "GPL-3.0", ("gpl3-redistribute", "gpl-warranty", "gpl-copy")),
     ("gpl3-notice", "GPL-3.0", ("gpl3-notice",)),
+    ("gpl2-header", "GPL-2.0", ("gpl2-redistribute", "gpl-warranty", "gpl-copy")),
+    ("gpl2-notice", "GPL-2.0", ("gpl2-notice",)),
+    ("gpl-header", "GPL", ("gpl-redistribute", "gpl-warranty", "gpl-copy")),
+    ("lgpl21-header", "LGPL-2.1", ("lgpl21-redistribute", "gpl-warranty", "lgpl-copy")),
+    ("lgpl21-notice", "LGPL-2.1", ("lgpl21-notice",)),
+    ("lgpl3-header", "LGPL-3.0", ("lgpl3-redistribute", "gpl-warranty", "lgpl-copy")),
+    ("lgpl3-notice", "LGPL-3.0", ("lgpl3-notice",)),
+    ("agpl3-header", "AGPL-3.0", ("agpl3-redistribute", "gpl-warranty", "agpl-copy")),
+    ("agpl3-notice", "AGPL-3.0", ("agpl3-notice",)),
+    ("isc-full", "ISC", ("isc-grant", "isc-as-is")),
+    ("isc-notice", "ISC", ("isc-notice",)),
+    ("isc-name", "ISC", ("isc-name",)),
     ("bsd3-full", "BSD-3-Clause", ("bsd-redistribute", "bsd-endorse", "bsd-as-is")),
     ("bsd2-full", "BSD-2-Clause", ("bsd-redistribute", "bsd-as-is")),
     ("ccby4-notice", "CC-BY-4.0", ("ccby4-notice",)),
     ("ccbysa4-notice", "CC-BY-SA-4.0", ("ccbysa4-notice",)),
+    ("ccbync4-notice", "CC-BY-NC-4.0", ("ccbync4-notice",)),
+    ("ccbynd4-notice", "CC-BY-ND-4.0", ("ccbynd4-notice",)),
+    ("ccbyncsa4-notice", "CC-BY-NC-SA-4.0", ("ccbyncsa4-notice",)),
+    ("ccbyncnd4-notice", "CC-BY-NC-ND-4.0", ("ccbyncnd4-notice",)),
     ("cc0-notice", "CC0-1.0", ("cc0-notice",)),
     ("mpl2-notice", "MPL-2.0", ("mpl2-notice",)),
     ("unlicense-notice", "Unlicense", ("unlicense-notice",)),

@@ -324,6 +324,23 @@ def test_wrapped_license_texts(spark):
     assert license_scan(apart).count() == 0
 
 
+def test_every_notice_of_the_documents_is_reported(spark, texts):
+    notices = {i: last for i, t in texts.items() if re.match(r"(licen[sc]ed|released) under\b", last := re.split(r"\n|(?<=[.!?]) (?=[A-Z])", t.strip())[-1], re.I)}
+    assert notices and set(notices) <= {r["doc_id"] for r in rows(spark, "op5_license_scan")}
+
+
+def test_license_families(spark):
+    from fleetlens.llm.licenses import license_scan
+
+    gpl2 = GPL3.replace("software:", "software;").replace("version 3", "version 2")
+    lgpl = gpl2.replace("General Public", "Lesser General Public").replace("This program", "This library").replace("version 2", "version 2.1")
+    isc = "ISC License\n\nCopyright (c) 2020\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\n"
+    want = {"CC-BY-NC-4.0": "A text. Licensed under CC BY-NC 4.0.", "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.", "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC-BY-4.0": "Licensed under CC BY 4.0.", "GPL-2.0": gpl2, "GPL-3.0": GPL3, "LGPL-2.1": lgpl, "AGPL-3.0": GPL3.replace("General Public", "Affero General Public"), "ISC": isc}
+    docs = spark.createDataFrame(list(enumerate(want.values())), "doc_id long, text string")
+    got = license_scan(docs).collect()
+    assert {(r["doc_id"], r["license"]) for r in got if r["rule"] != "isc-name"} == set(enumerate(want))
+
+
 def test_pieces_give_the_librarys_ids():
     import public_tokenizers
     from fleetlens.llm.tokenize import PieceEncoder
