@@ -1,15 +1,16 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts are normalised (A-Z lower-cased, runs of other ASCII than letters and
-digits to one space). Every benchmark item is cut into overlapping windows of
-``window`` characters; a document leaks an item if one of its windows occurs in
-it with at most ``edits`` edit operations.
+digits to one space). Every start of a benchmark item (each ``step``-th, 1 by
+default) has a window of ``window`` characters; a document leaks an item if one of
+its windows occurs in it with at most ``edits`` edit operations.
 
 If it does, at least window + 1 - q * (edits + 1) of the window's q-grams are
 found unchanged, and on diagonals (place in the text minus place in the window)
-no more than ``edits`` apart. So the shared q-grams are counted in overlapping
-bands of diagonals, only bands reaching that bound are kept, and each is verified
-by an alignment confined to its diagonals. The bound is a lemma: no leak is lost.
+no more than ``edits`` apart. So the q-grams shared with an item are put in
+overlapping bands of diagonals, in order of their place; the windows that hold
+enough of a band are verified by an alignment confined to its diagonals. Windows of
+an item share its q-grams. The bound is a lemma: no leak is lost.
 
 The q-grams of the benchmark are a small table; it is sent to the tasks in blocks
 of at most ``block_grams``, each block against all documents, whatever its size.
@@ -44,7 +45,7 @@ class LeakConfig:
     q: int = 10
     window: int = 64
     edits: int = 4
-    step: int = 32
+    step: int = 1
     band: int = 8
     min_length: int = 24
     block_grams: int = 2_000_000
@@ -56,15 +57,17 @@ def normalise(text: str | None) -> bytes:
 
 @dataclass
 class Index:
-    """Windows of a block of items and their q-grams."""
+    """Items of a block, one text after the other, and their q-grams."""
 
-    items: np.ndarray  # item id of each window
-    windows: list[np.ndarray]  # bytes of each window
-    edits: np.ndarray  # allowed edits of each window
+    ids: np.ndarray  # id of each item
+    text: np.ndarray  # bytes of all items
+    begin: np.ndarray  # where each item begins, and the end
+    size: np.ndarray  # length of each item's windows
+    edits: np.ndarray  # edits allowed in them
     bound: np.ndarray  # q-grams that must be shared
     grams: np.ndarray  # sorted distinct q-gram hashes
     first: np.ndarray  # per gram: first entry below
-    entry_window: np.ndarray
+    entry_item: np.ndarray
     entry_place: np.ndarray
     maybe: np.ndarray  # filter by a hash's top bits
 
@@ -74,34 +77,35 @@ def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
 
 
 def build_index(items: list[tuple[int, bytes]], cfg: LeakConfig) -> Index:
-    owner, windows, edits = [], [], []
-    for item, text in items:
+    edits = []
+    for _, text in items:
         n = min(cfg.window, len(text))
-        starts = sorted({*range(0, len(text) - n + 1, cfg.step), len(text) - n})
         allowed = cfg.edits * n // cfg.window
         while n + 1 - cfg.q * (allowed + 1) < 1:
             allowed -= 1
-        for s in starts:
-            owner.append(item)
-            windows.append(np.frombuffer(text[s : s + n], np.uint8))
-            edits.append(allowed)
-    hashes = [gram_hashes(w, cfg.q) for w in windows]
+        edits.append(allowed)
+    texts = [np.frombuffer(text, np.uint8) for _, text in items]
+    hashes = [gram_hashes(t, cfg.q) for t in texts]
     every = np.concatenate(hashes) if hashes else np.empty(0, U64)
     order = np.argsort(every, kind="stable")
     grams, first = np.unique(every[order], return_index=True)
     n = np.array([len(h) for h in hashes], np.int64)
-    window = np.repeat(np.arange(len(windows)), n)[order]
+    item = np.repeat(np.arange(len(items)), n)[order]
     place = (np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n))[order]
     maybe = np.zeros(1 << 20, bool)
     maybe[grams >> U64(44)] = True
     e = np.array(edits, np.int64)
-    size = np.array([len(w) for w in windows], np.int64)
-    return Index(np.array(owner, np.int64), windows, e, size + 1 - cfg.q * (e + 1), grams, np.append(first, len(every)), window, place, maybe)
+    length = np.array([len(t) for t in texts], np.int64)
+    size = np.minimum(length, cfg.window)
+    text = np.concatenate(texts) if texts else np.empty(0, np.uint8)
+    return Index(np.array([i for i, _ in items], np.int64), text, np.concatenate([[0], np.cumsum(length)]), size, e, size + 1 - cfg.q * (e + 1), grams, np.append(first, len(every)), item, place, maybe)
 
 
-def candidate_bands(data: np.ndarray, index: Index, cfg: LeakConfig, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """(window, band number) of the bands of diagonals that reach the bound; band
-    k has the diagonals from k * band, band + edits of them."""
+def candidate_bands(data: np.ndarray, index: Index, cfg: LeakConfig, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, start of the window, band number) of the windows that reach the
+    bound in a band of diagonals; band k has the diagonals from k * band, band +
+    edits of them."""
+    none = np.empty(0, np.int64)
     at, gram = [], []
     for start in range(0, max(len(data) - cfg.q + 1, 0), chunk):
         h = gram_hashes(data[start : start + chunk + cfg.q - 1], cfg.q)
@@ -112,38 +116,58 @@ def candidate_bands(data: np.ndarray, index: Index, cfg: LeakConfig, chunk: int
         at.append(some[hit] + start)
         gram.append(g[hit])
     if not at:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return none, none, none
     at, gram = np.concatenate(at), np.concatenate(gram)
     n = index.first[gram + 1] - index.first[gram]
     entry = np.arange(n.sum()) + np.repeat(index.first[gram] - (np.cumsum(n) - n), n)
-    window = index.entry_window[entry]
-    diagonal = np.repeat(at, n) - index.entry_place[entry]
-    band, inside = np.divmod(diagonal, cfg.band)
+    item, place = index.entry_item[entry], index.entry_place[entry]
+    band, inside = np.divmod(np.repeat(at, n) - place, cfg.band)
     also = np.flatnonzero(inside < cfg.edits)
-    window, band = np.concatenate([window, window[also]]), np.concatenate([band, band[also] - 1])
-    low = int(band.min()) if len(band) else 0
-    width = int(band.max()) - low + 1 if len(band) else 1
-    key, count = np.unique(window * width + (band - low), return_counts=True)
-    window, band = key // width, key % width + low
-    enough = count >= index.bound[window]
-    return window[enough], band[enough]
-
-
-def align(data: np.ndarray, index: Index, window: np.ndarray, band: np.ndarray, cfg: LeakConfig) -> tuple[np.ndarray, np.ndarray]:
+    item, place, band = np.concatenate([item, item[also]]), np.concatenate([place, place[also]]), np.concatenate([band, band[also] - 1])
+    if not len(band):
+        return none, none, none
+    low = int(band.min())
+    width = int(band.max()) - low + 1
+    key = item * width + (band - low)
+    # only groups with enough q-grams in all are put in order
+    _, number, total = np.unique(key, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(total[number] >= index.bound[item])
+    some = some[np.lexsort((place[some], key[some]))]
+    key, place, item = key[some], place[some], item[some]
+    # a window reaches the bound if it holds some q-gram and the (bound - 1) next
+    # ones: the starts that do are a range, and the ranges of a group rise
+    last = np.arange(len(key)) + index.bound[item] - 1
+    ok = np.flatnonzero(last < len(key))
+    ok = ok[(key[last[ok]] == key[ok]) & (place[last[ok]] - place[ok] <= index.size[item[ok]] - cfg.q)]
+    if not len(ok):
+        return none, none, none
+    key, item, final = key[ok], item[ok], np.diff(index.begin)[item[ok]] - index.size[item[ok]]
+    start = np.maximum(place[last[ok]] - (index.size[item] - cfg.q), 0)
+    stop = np.minimum(place[ok], final) + 1
+    same = np.flatnonzero(key[1:] == key[:-1]) + 1
+    start[same] = np.maximum(start[same], stop[same - 1])
+    n = np.maximum(stop - start, 0)
+    start = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+    key, item, final = np.repeat(key, n), np.repeat(item, n), np.repeat(final, n)
+    use = (start % cfg.step == 0) | (start == final)
+    return item[use], start[use], key[use] % width + low
+
+
+def align(data: np.ndarray, index: Index, item: np.ndarray, start: np.ndarray, band: np.ndarray, cfg: LeakConfig) -> tuple[np.ndarray, np.ndarray]:
     """Least edits of each window within its band, and where that match ends.
 
     All candidates of one window length advance together, a row per window
     character, holding only the diagonals of the band and its margins."""
-    best, end = np.full(len(window), 1 << 30), np.zeros(len(window), np.int64)
-    size = np.array([len(w) for w in index.windows], np.int64)[window]
+    best, end = np.full(len(item), 1 << 30), np.zeros(len(item), np.int64)
+    size, begin = index.size[item], index.begin[item] + start
     width = cfg.band + 3 * cfg.edits
     padded = np.concatenate([np.zeros(cfg.window + 2 * width, np.uint8), data, np.zeros(cfg.window + 2 * width, np.uint8)])
     shift = cfg.window + 2 * width
     step = np.arange(width)
     for n in np.unique(size).tolist():
         for part in np.array_split(which := np.flatnonzero(size == n), len(which) // 20_000 + 1):
-            patterns = np.stack([index.windows[w] for w in window[part].tolist()])
-            low = band[part] * cfg.band - cfg.edits
+            patterns = index.text[begin[part][:, None] + np.arange(n)]
+            low = band[part] * cfg.band + start[part] - cfg.edits
             cost = np.zeros((len(part), width), np.int32)
             for i in range(n):
                 text = padded[low[:, None] + (i + shift + step)]
@@ -160,20 +184,20 @@ def find_leaks(texts: list[bytes], index: Index, cfg: LeakConfig) -> list[tuple[
     """(text number, item, windows found, least edits, end of the first match)."""
     gap = b"\x00" * (cfg.edits + 1)  # a match cannot reach over it
     data = np.frombuffer(gap.join([*texts, b""]), np.uint8)
-    window, band = candidate_bands(data, index, cfg)
-    if not len(window):
+    item, start, band = candidate_bands(data, index, cfg)
+    if not len(item):
         return []
-    best, end = align(data, index, window, band, cfg)
-    ok = best <= index.edits[window]
-    window, best, end = window[ok], best[ok], end[ok]
+    best, end = align(data, index, item, start, band, cfg)
+    ok = best <= index.edits[item]
+    item, window, best, end = item[ok], start[ok], best[ok], end[ok]
     starts = np.cumsum([0, *[len(t) + len(gap) for t in texts]])
     text = np.searchsorted(starts, end - 1, "right") - 1
     found: dict[tuple[int, int], list] = {}
-    for t, w, b, e in zip(text.tolist(), window.tolist(), best.tolist(), (end - starts[text]).tolist(), strict=True):
-        f = found.setdefault((t, int(index.items[w])), [set(), b, e])
+    for t, i, w, b, e in zip(text.tolist(), item.tolist(), window.tolist(), best.tolist(), (end - starts[text]).tolist(), strict=True):
+        f = found.setdefault((t, i), [set(), b, e])
         f[0].add(w)
         f[1], f[2] = min(f[1], b), min(f[2], e)
-    return [(t, item, len(ws), b, e) for (t, item), (ws, b, e) in sorted(found.items())]
+    return [(t, int(index.ids[i]), len(ws), b, e) for (t, i), (ws, b, e) in sorted(found.items())]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig()) -> DataFrame:
@@ -185,7 +209,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig())
     # blocks of items whose lengths add up to at most block_grams each
     sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     total = sized.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    n_blocks = int(total) * (cfg.window // cfg.step) // cfg.block_grams + 1
+    n_blocks = int(total) // cfg.block_grams + 1
 
     def scan(items: list[tuple[int, bytes]]) -> DataFrame:
         index = spark.sparkContext.broadcast(build_index(items, cfg))

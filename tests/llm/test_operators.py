@@ -158,6 +158,19 @@ def test_leaks_are_found_and_no_others(spark, texts):
     assert found == want and found
 
 
+def test_leaks_at_every_offset():
+    from fleetlens.llm.decontamination import LeakConfig, build_index, find_leaks
+
+    cfg, rng = LeakConfig(), np.random.default_rng(4)
+    letters = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    item = letters(400)
+    index = build_index([(7, letters(300)), (9, item), (11, letters(30))], cfg)
+    for n in (64, 75, 80, 86):
+        for at in range(0, 400 - n + 1):
+            got = find_leaks([letters(200), letters(100) + item[at : at + n] + letters(100)], index, cfg)
+            assert [(t, i, least) for t, i, _, least, _ in got] == [(1, 9, 0)]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
