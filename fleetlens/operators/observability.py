@@ -2,10 +2,10 @@
 rules below are ours and every threshold is a parameter.
 
 Scale notes: all per-job statistics are partial (map-side) aggregations, so a
-job holding a third of all runs is pre-reduced per task. Percentiles use the
-mergeable quantile sketch of ``percentile_approx`` (bounded memory per group;
-exact -- nearest rank -- while a group holds fewer than ``accuracy`` values,
-within ``1/accuracy`` of the rank beyond), never a collect of the group. Gaps
+job holding a third of all runs is pre-reduced per task. Percentiles are the
+exact nearest rank at every size: counts per (job, value bucket) name the bucket
+that holds the rank, counts per value within that bucket name the value; no group
+is collected. Gaps
 between consecutive runs are computed inside (job, time bucket) partitions
 and stitched across bucket edges on a bucket-grain table, so no window ever
 holds a whole job.
@@ -23,7 +23,8 @@ from fleetlens.plans.joins import join_dimension
 # Result states counted as success / failure.
 SUCCESS_STATES = ("SUCCESS",)
 FAILURE_STATES = ("FAILED", "TIMEDOUT")
-QUANTILE_ACCURACY = 10_000
+#: Values (ms) of a percentile's bucket: at most so many distinct ones are ranked.
+RANK_BUCKET = 65_536
 MS_PER_HOUR_INT = 3_600_000
 
 
@@ -31,6 +32,25 @@ def _result(runs: DataFrame) -> Column:
     return F.col("state.result_state") if "state" in runs.columns else F.col("result_state")
 
 
+def exact_percentile(df: DataFrame, key: str, value: str, p: float, name: str) -> DataFrame:
+    """(key, name): the nearest-rank percentile, value number ceil(p * n), of each
+    key's non-NULL values; keys without any have no row."""
+    v = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"), F.floor(F.col(value) / F.lit(RANK_BUCKET)).alias("_b"))
+    per_key = Window.partitionBy(key)
+    so_far = per_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    buckets = v.groupBy(key, "_b").agg(F.count("*").alias("_n")).select(
+        key, "_b", "_n",
+        F.sum("_n").over(so_far.orderBy("_b")).alias("_upto"),
+        F.greatest(F.ceil(F.lit(p) * F.sum("_n").over(per_key)), F.lit(1)).alias("_rank"),
+    )
+    held = buckets.where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))).select(
+        key, "_b", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_inside")
+    )
+    values = v.groupBy(key, "_b", "_v").agg(F.count("*").alias("_n")).join(held, [key, "_b"])
+    ranked = values.withColumn("_upto", F.sum("_n").over(so_far.orderBy("_v")))
+    return ranked.where(F.col("_upto") >= F.col("_inside")).groupBy(key).agg(F.min("_v").alias(name))
+
+
 def job_stats(
     runs: DataFrame,
     costed: DataFrame | None,
@@ -38,7 +58,6 @@ def job_stats(
     window_days: int,
     *,
     failure_states: tuple[str, ...] = FAILURE_STATES,
-    accuracy: int = QUANTILE_ACCURACY,
 ) -> DataFrame:
     """B1: per job run/success/failure counts, failure rate, mean and p95
     duration (ms, rounded), last run/success/failure start, and cost."""
@@ -53,11 +72,11 @@ def job_stats(
         F.count_if(ok).alias("success_count"),
         F.count_if(bad).alias("failure_count"),
         F.round(F.avg("duration_ms")).cast("long").alias("avg_duration_ms"),
-        F.percentile_approx("duration_ms", 0.95, accuracy).alias("p95_duration_ms"),
         F.max("start_time").alias("last_run_time"),
         F.max(F.when(ok, F.col("start_time"))).alias("last_success_time"),
         F.max(F.when(bad, F.col("start_time"))).alias("last_failure_time"),
     )
+    stats = stats.join(exact_percentile(base, "job_id", "duration_ms", 0.95, "p95_duration_ms"), "job_id", "left")
     stats = stats.withColumn("failure_rate", F.col("failure_count") / F.col("run_count")).withColumn(
         "window_days", F.lit(int(window_days))
     )
@@ -104,17 +123,13 @@ def run_gaps(runs: DataFrame, window_start_ms: int | None, bucket_ms: int = MS_P
     return inner.unionByName(edges)
 
 
-def execution_frequency(
-    runs: DataFrame, window_start_ms: int | None, window_days: int, *, accuracy: int = QUANTILE_ACCURACY
-) -> DataFrame:
+def execution_frequency(runs: DataFrame, window_start_ms: int | None, window_days: int) -> DataFrame:
     """Runs per day over the window and the median gap between starts
     (nearest-rank median, hours)."""
     counts = runs_in_window(runs, window_start_ms).where(F.col("job_id").isNotNull()).groupBy("job_id").agg(
         F.count("*").alias("run_count")
     )
-    gaps = run_gaps(runs, window_start_ms).groupBy("job_id").agg(
-        F.percentile_approx("gap_ms", 0.5, accuracy).alias("median_gap_ms")
-    )
+    gaps = exact_percentile(run_gaps(runs, window_start_ms), "job_id", "gap_ms", 0.5, "median_gap_ms")
     days = float(max(1, window_days))
     return counts.join(gaps, "job_id", "left").select(
         "job_id",

@@ -194,3 +194,29 @@ def test_repeated_dimension_rows_last_one_counts(spark):
 def test_tag_values_strip_unicode_space(spark):
     df = spark.createDataFrame([({"table": "a , a, b"},)], "tags map<string,string>")
     assert df.select(tag_values("tags", TABLE_TAG_KEYS).alias("v")).first().v == ["a", "a", "b"]
+
+
+def test_percentiles_are_exact_for_large_jobs(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from fleetlens.operators.observability import execution_frequency, job_stats
+
+    n = 40_000
+    runs = spark.range(3 * n).select(
+        (F.col("id") % 3).cast("string").alias("job_id"),
+        (F.col("id") * F.col("id") % 1_000_003 * 977).alias("start_time"),
+        (F.col("id") * F.col("id") * 31 % 100_000_007).alias("duration_ms"),
+        F.lit("SUCCESS").alias("result_state"),
+    )
+    by = {}
+    for r in runs.collect():
+        by.setdefault(r["job_id"], []).append((r["start_time"], r["duration_ms"]))
+    p95 = {j: sorted(d for _, d in v)[math.ceil(0.95 * n) - 1] for j, v in by.items()}
+    gaps = {j: sorted(b - a for a, b in zip(s, s[1:])) for j, v in by.items() for s in [sorted(t for t, _ in v)]}
+    assert {r["job_id"]: r["p95_duration_ms"] for r in job_stats(runs, None, None, 30).collect()} == p95
+    median = {r["job_id"]: r["median_gap_ms"] for r in execution_frequency(runs, None, 30).collect()}
+    assert median == {j: g[math.ceil(0.5 * len(g)) - 1] for j, g in gaps.items()}
+    sketch = runs.groupBy("job_id").agg(F.percentile_approx("duration_ms", 0.95, 10_000).alias("x")).collect()
+    assert {r["job_id"]: r["x"] for r in sketch} != p95  # what the sketch gives is not exact here
