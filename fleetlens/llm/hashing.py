@@ -32,15 +32,16 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return table
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, firsts, starts, ends): a 64-bit hash of each word of all texts in
     order, the index of each text's first word (and one past the last), and the
-    words' byte ranges in the texts joined by a newline.
+    words' byte ranges in the texts joined by a newline. ``breaks`` marks the
+    bytes between words (a newline always is one).
 
     A word's hash is a polynomial over random byte values, taken from one
     running sum over all bytes."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    space = _SPACE[data]
+    space = breaks[data]
     starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(data) else np.empty(0, np.int64)
     ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1 if len(data) else starts
     total = np.zeros(len(data) + 1, U64)

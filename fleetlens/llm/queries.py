@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import OP11_SQL, mine_collocations
 from .common import documents
 from .decontamination import leaks
 from .jaccard_join import jaccard_classes
@@ -67,6 +68,11 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two to four words of every language of all documents."""
+    return mine_collocations(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -78,9 +84,11 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_token_rollup": op9_token_rollup,
     "op10_lm_scores": op10_lm_scores,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_pareto_mix": OP3_SQL,
     "op5_license_scan": op5_sql(),
+    "op11_collocations": OP11_SQL,
 }
