@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .collocations import OP11_SQL, mine_collocations
 from .common import documents
+from .conversation_trie import conversation_trie, op12_sql
 from .decontamination import leaks
 from .jaccard_join import jaccard_classes
 from .language_model import op10_lm_scores as lm_scores
 from .licenses import license_scan, op5_sql
 from .mixing import OP3_SQL, op3_mixing
 from .quality_rules import quality_rules
+from .sharding import documents_sharded, op13_sql
 from .substring_dedup import substring_dedup
 from .token_counts import op9_token_counts
 from .token_files import op7_token_files
@@ -73,6 +75,16 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_collocations(documents(spark, sf_dir))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, a row per node."""
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards cut from a Hilbert curve over their metadata."""
+    return documents_sharded(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -85,10 +97,14 @@ QUERIES = {
     "op9_token_rollup": op9_token_rollup,
     "op10_lm_scores": op10_lm_scores,
     "op11_collocations": op11_collocations,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_hilbert_shards": op13_hilbert_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_pareto_mix": OP3_SQL,
     "op5_license_scan": op5_sql(),
     "op11_collocations": OP11_SQL,
+    "op12_conversation_trie": op12_sql(),
+    "op13_hilbert_shards": op13_sql(),
 }
