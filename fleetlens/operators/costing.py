@@ -31,7 +31,7 @@ from fleetlens.functions import (
     workers_from,
 )
 from fleetlens.operators.dedupe import latest_by_key
-from fleetlens.plans.joins import DEFAULT_BROADCAST_ROWS, DEFAULT_SALT_BUCKETS, join_dimension
+from fleetlens.plans.joins import DEFAULT_BROADCAST_ROWS, DEFAULT_SALT_BUCKETS, has_unique_key, join_dimension
 
 # Labels of where a run's cluster shape came from.
 SOURCE_RUN_SPEC = "run.cluster_spec"
@@ -60,9 +60,9 @@ class CostConfig:
     top_n_dataset_insights: int = 3
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
     salt_buckets: int = DEFAULT_SALT_BUCKETS
-    #: Column that orders repeated clusters and jobs (the last one counts). Needed
-    #: where a table can hold a key more than once; snapshots hold it once.
-    dimension_order: str | None = None
+    #: Column that orders repeated clusters, jobs and rates (the last one counts).
+    #: Without such a column, rows count in the order they are stored.
+    dimension_order: str = "ordinal"
 
 
 # --------------------------------------------------------------------- filters
@@ -98,12 +98,14 @@ def window_start(as_of_ms: int, window_days: int) -> int:
 
 
 def last_of_each(dim: DataFrame, key: str, cfg: CostConfig) -> DataFrame:
-    """The last row per key by ``cfg.dimension_order``, so that a repeated key
-    does not repeat the runs joined to it; as it is when no order is named."""
-    if cfg.dimension_order is None or cfg.dimension_order not in dim.columns:
+    """The last row per key, so that a repeated key does not repeat the runs
+    joined to it. Keys proven unique (a remembered check) need no aggregation."""
+    if has_unique_key(dim, key):
         return dim
-    return latest_by_key(dim, [key], [cfg.dimension_order])
-
+    if cfg.dimension_order in dim.columns:
+        return latest_by_key(dim, [key], [cfg.dimension_order])
+    stored = dim.withColumn("_stored", F.monotonically_increasing_id())
+    return latest_by_key(stored, [key], ["_stored"]).drop("_stored")
 
 
 # Pricing fields of a spec, resolved one scalar column at a time (no struct is
@@ -273,6 +275,7 @@ def cost_runs(
     plus any ``carry`` columns of the run. Runs without a job id are dropped
     here (C11), before any join.
     """
+    rates = last_of_each(rates, "node_type_id", cfg)
     base = billable_runs(runs_in_window(runs, window_start_ms)).where(F.col("job_id").isNotNull())
     resolved = _resolve(_narrow_runs(base, with_keys, tuple(carry)), jobs, clusters, cfg, with_keys)
     priced = join_dimension(
@@ -321,6 +324,7 @@ def diagnose_runs(
     Same resolution as :func:`cost_runs` but with outer joins so that no run
     is lost; the reason is the first failing check in costing order.
     """
+    rates = last_of_each(rates, "node_type_id", cfg)
     loaded = runs_in_window(runs, window_start_ms)
     resolved = _resolve(_narrow_runs(loaded, False), jobs, clusters, cfg, False)
     priced = join_dimension(

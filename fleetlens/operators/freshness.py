@@ -83,6 +83,46 @@ def schema_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.withColumn("change", kind).where(F.col("change").isNotNull())
 
 
+def type_history(observations: DataFrame, period: Column | None = None) -> DataFrame:
+    """The last observed type of every column in every period it was observed in
+    (default: years). Observations without a time belong to no period."""
+    when = period if period is not None else F.year("observed_at")
+    return (
+        observations.withColumn("period", when.cast("long")).where(F.col("period").isNotNull())
+        .groupBy("table_name", "column_name", "period")
+        .agg(F.max_by("data_type", F.struct("observed_at", "data_type")).alias("data_type"))
+    )
+
+
+def schema_changes_by_period(history: DataFrame) -> DataFrame:
+    """B12 over a whole log: columns added, removed or retyped in each period
+    against the one before, from the log's second period to its last.
+
+    Gaps and islands: only periods a column was observed in are rows. Where the
+    one before it is further back, the column was removed after that one and added
+    again here; where none follows before the log ends, it was removed after this one."""
+    first, last = history.agg(F.min("period")).scalar(), history.agg(F.max("period")).scalar()
+    w = Window.partitionBy("table_name", "column_name").orderBy("period")
+    p, was, following = F.col("period"), F.lag("period").over(w), F.lead("period").over(w)
+    h = history.select(
+        "table_name", "column_name", "period", "data_type",
+        was.alias("was"), F.lag("data_type").over(w).alias("was_type"), following.alias("following"), first.alias("first"), last.alias("last"),
+    )
+    none = F.lit(None).cast("string")
+
+    def change(at: Column, old: Column, new: Column, kind: str) -> Column:
+        return F.struct(at.alias("period"), old.alias("old_type"), new.alias("new_type"), F.lit(kind).alias("change"))
+
+    gap = F.col("was") < p - 1
+    found = F.array(
+        F.when(gap, change(F.col("was") + 1, F.col("was_type"), none, "removed")),
+        F.when(gap | (F.col("was").isNull() & (p > F.col("first"))), change(p, none, F.col("data_type"), "added")),
+        F.when((F.col("was") == p - 1) & ~F.col("was_type").eqNullSafe(F.col("data_type")), change(p, F.col("was_type"), F.col("data_type"), "retyped")),
+        F.when(F.col("following").isNull() & (p < F.col("last")), change(p + 1, F.col("data_type"), none, "removed")),
+    )
+    return h.select("table_name", "column_name", F.explode(F.array_compact(found)).alias("c")).select("table_name", "column_name", "c.*")
+
+
 def data_issues(freshness: DataFrame, changes: DataFrame, anomalies: DataFrame) -> DataFrame:
     """Stale tables, inconsistent schemas (removed or retyped columns) and
     volume anomalies as one table of (issue_type, table_name, detail)."""
@@ -93,10 +133,11 @@ def data_issues(freshness: DataFrame, changes: DataFrame, anomalies: DataFrame)
             F.lit("missed its SLA by "), F.call_function("format_number", F.col("hours_late"), F.lit("0.0")), F.lit(" hours")
         ).alias("detail"),
     )
+    what = F.concat(F.col("change"), F.lit(" column "), F.col("column_name"))
+    if "period" in changes.columns:
+        what = F.concat(what, F.lit(" in "), F.col("period").cast("string"))
     inconsistent = changes.where(F.col("change").isin("removed", "retyped")).select(
-        F.lit(ISSUE_INCONSISTENT).alias("issue_type"),
-        "table_name",
-        F.concat(F.col("change"), F.lit(" column "), F.col("column_name")).alias("detail"),
+        F.lit(ISSUE_INCONSISTENT).alias("issue_type"), "table_name", what.alias("detail")
     )
     volume = anomalies.select(
         F.lit(ISSUE_VOLUME).alias("issue_type"),

@@ -9,7 +9,6 @@ partition or a cross join.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +18,7 @@ from fleetlens.functions import from_units, money_sum, money_units, py_round, ut
 from fleetlens.operators.attribution import explode_costs
 from fleetlens.operators.costing import CostConfig
 from fleetlens.plans.joins import join_dimension
-from fleetlens.session import ensure_checkpoint_dir
+from fleetlens.session import shared_folder
 
 _LONG_MAX = 9_223_372_036_854_775_807
 
@@ -49,7 +48,8 @@ def _regroup(agg: DataFrame, keys: list[str], last: str) -> DataFrame:
 
 def materialize(agg: DataFrame) -> DataFrame:
     """Write a key-grain aggregate as Parquet into a new folder under the
-    shared checkpoint directory (``spark.checkpoint.dir``) and read it back.
+    shared checkpoint directory (``spark.checkpoint.dir``) and read it back; the
+    folder is deleted when the application ends.
 
     The grand total and the shares are then both read from the written
     aggregate: the costed runs are scanned once, and a lost executor re-reads
@@ -58,7 +58,7 @@ def materialize(agg: DataFrame) -> DataFrame:
     whole scan; ``checkpoint(eager=True)`` without a cache computes the plan
     twice, once for its count and once for the write.)"""
     spark = agg.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlens-agg-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "agg")
     agg.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 

@@ -130,11 +130,9 @@ def q_billable_runs(spark, sf_dir):
 
 @query("cluster_lookup_join")
 def q_cluster_lookup(spark, sf_dir):
-    """C4: runs with a cluster instance id, left-joined to the clusters."""
+    """C4: all runs left-joined to the clusters (not found: no id, or unknown)."""
     ws = _ws(spark, sf_dir)
-    runs = ws.runs.select("run_id", F.nullif(F.col("cluster_instance.cluster_id"), F.lit("")).alias("cluster_id")).where(
-        F.col("cluster_id").isNotNull()
-    )
+    runs = ws.runs.select("run_id", F.nullif(F.col("cluster_instance.cluster_id"), F.lit("")).alias("cluster_id"))
     dim = costing.cluster_dimension(ws.clusters)
     from fleetlens.plans.joins import join_dimension
 
@@ -551,13 +549,187 @@ def q_runs_flattened(spark, sf_dir):
     return snapshot.flatten_runs(_ws(spark, sf_dir).runs)
 
 
+SYNCED_AT = "2024-01-31T00:00:00+00:00"
+
+
+def _landed_store(spark, sf_dir, *landings):
+    """A new workspace store fed by the stream from records landed in a new folder.
+    Each landing is (synced_at, [(kind, records), ...]): its records land in this order,
+    then one sync drains them. Returns the store and the landing folder."""
+    from fleetlens.session import shared_folder
+    from fleetlens.sources.store import WorkspaceStore
+    from fleetlens.streaming.incremental_sync import sync_once
+
+    landing, root, stream = (shared_folder(spark, x) for x in ("landing", "store", "stream"))
+    n = 0
+    for synced_at, records in landings:
+        for kind, rows in records:
+            n += 1
+            rows.write.text(f"{landing}/{kind}/{n:03d}")
+        sync_once(spark, landing, root, synced_at=synced_at, checkpoint_location=stream)
+    return WorkspaceStore(spark, root), landing
+
+
+@query("synced_runs")
+def q_synced_runs(spark, sf_dir):
+    """Run records landed in three files and drained in two syncs (the
+    second has two records of some runs), then an epoch run again. Restarted runs change
+    their day, runs without a start get one."""
+    from fleetlens.sources import fixtures as X
+    from fleetlens.streaming import incremental_sync as I
+
+    events = X.table(spark, sf_dir, "events")
+    store, landing = _landed_store(
+        spark, sf_dir,
+        ("2024-01-30T00:00:00+00:00", [("runs", X.raw_runs_json(events))]),
+        (SYNCED_AT, [("runs", X.raw_run_restarts(events)), ("runs", X.raw_run_corrections(events))]),
+    )
+    ((application, epoch),) = store.state()[1]["epochs"].items()
+    first = spark.read.text(f"{landing}/runs/001").select("value", *[F.col(f"_metadata.{c}").alias(c) for c in I._FILE])
+    assert I.merge_epoch(store, first, application, epoch, "never")["replayed"]
+    return store.read_runs().select("run_id", "job_id", "start_time", "duration_ms", "day", F.col("state.result_state").alias("result_state"), F.lit(store.metadata_get("last_sync_at")).alias("last_sync_at"))
+
+
+@query("synced_jobs")
+def q_synced_jobs(spark, sf_dir):
+    """Jobs and their renames landed for one sync; the last record of a job wins."""
+    from fleetlens.sources import fixtures as X
+
+    customer = X.table(spark, sf_dir, "customer")
+    store, _ = _landed_store(spark, sf_dir, (SYNCED_AT, [("jobs", X.raw_jobs_json(customer)), ("jobs", X.raw_job_renames(customer))]))
+    return store.read("jobs").select("job_id", "name", "creator_user_name", F.size(F.coalesce("job_clusters", F.array().cast(store.read("jobs").schema["job_clusters"].dataType))).alias("n_job_clusters"))
+
+
+@query("synced_clusters")
+def q_synced_clusters(spark, sf_dir):
+    """Clusters and their resizes landed before the runs that refer to some of
+    them; those enter the store, each as last landed."""
+    from fleetlens.sources import fixtures as X
+
+    supplier = X.table(spark, sf_dir, "supplier")
+    store, _ = _landed_store(
+        spark, sf_dir,
+        ("2024-01-30T00:00:00+00:00", [("clusters", X.raw_clusters_json(supplier)), ("clusters", X.raw_cluster_resizes(supplier))]),
+        (SYNCED_AT, [("runs", X.raw_runs_json(X.table(spark, sf_dir, "events")))]),
+    )
+    return store.read("clusters").select("cluster_id", "cluster_name", "node_type_id", "num_workers")
+
+
 @query("sync_counts")
 def q_sync_counts(spark, sf_dir):
-    """Rows of one sync (jobs, runs, referenced clusters)."""
-    from fleetlens.sources import ingest, snapshot
+    """What one sync of jobs, runs and referenced clusters saved, and what the
+    store then holds, all from one commit."""
+    from fleetlens.sources import fixtures as X
+
+    tables = [X.table(spark, sf_dir, t) for t in ("customer", "events", "supplier")]
+    records = [("jobs", X.raw_jobs_json(tables[0])), ("runs", X.raw_runs_json(tables[1])), ("clusters", X.raw_clusters_json(tables[2]))]
+    store, _ = _landed_store(spark, sf_dir, (SYNCED_AT, records))
+    _, state = store.state()
+    saved = state["last_sync"]
+    held = store.read_runs(state=state).agg(F.count("*").alias("runs"))
+    return held.select(
+        *[F.lit(saved[c]).cast("long").alias(c) for c in ("saved_jobs", "saved_runs", "saved_clusters")],
+        F.lit(saved["last_sync_at"]).alias("last_sync_at"),
+        "runs",
+        *[store.read(t, state).agg(F.count("*")).scalar().alias(t) for t in ("jobs", "clusters", "clusters_waiting")],
+    )
+
+
+@query("metadata_last_write")
+def q_metadata(spark, sf_dir):
+    """key/value writes in three commits (the last row of a key wins within one,
+    the later commit over all), with a writer that crashes before its commit."""
+    from fleetlens.session import shared_folder
+    from fleetlens.sources import fixtures as X
+    from fleetlens.sources.store import LANDED, WorkspaceStore
+
+    store = WorkspaceStore(spark, shared_folder(spark, "metadata"))
+    c = F.col("c_custkey")
+    rows = X.table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/"), (c % 1000).cast("string")).alias("key"), F.col("c_name").alias("value"), F.struct(c.alias("line")).alias(LANDED), (c % 3).alias("write"))
+    for i in range(3):
+        store._merged("metadata", rows.withColumn("value", F.lit("never")).drop("write"), store.state()[1])  # crashed
+        store.metadata_put(rows.where(F.col("write") == i).drop("write"))
+    return store.read("metadata").withColumn("commits", F.lit(store.state()[0]).cast("long"))
+
+
+@query("store_dashboard_summary")
+def q_store_dashboard(spark, sf_dir):
+    """Workspace and pricing config saved to a store, the headline numbers
+    read back from its commit."""
+    from fleetlens.session import shared_folder
+    from fleetlens.sources.store import Batch, WorkspaceStore
+
+    ws = _ws(spark, sf_dir)
+    store = WorkspaceStore(spark, shared_folder(spark, "store"))
+    store.save_pricing_config(ws.pricing_config.withColumn("ordinal", F.lit(0)))
+    store.sync(Batch(ws.jobs, ws.runs, ws.clusters), SYNCED_AT)
+    return Dashboard.from_store(store, ws.as_of_ms, WINDOW_DAYS).summary()
+
+
+@query("json_round_trip")
+def q_json_round_trip(spark, sf_dir):
+    """Jobs, runs and clusters to JSON lines and back: rows, rows that differ, and the
+    job clusters without a key that the import drops."""
+    from fleetlens.session import shared_folder
+    from fleetlens.sources import codec
 
     ws = _ws(spark, sf_dir)
-    return snapshot.sync_counts(ws.jobs, ws.runs, ingest.referenced_clusters(ws.clusters, ws.runs))
+    keyless = F.struct(F.lit(None).cast("string").alias("job_cluster_key"), F.col("job_clusters")[0]["new_cluster"].alias("new_cluster"))
+    jobs = ws.jobs.withColumn("job_clusters", F.when(F.col("job_id") % 3 == 0, F.concat("job_clusters", F.array(keyless))).otherwise(F.col("job_clusters")))
+    out = None
+    for name, df, want in (("jobs", jobs, ws.jobs), ("runs", ws.runs, ws.runs), ("clusters", ws.clusters, ws.clusters)):
+        path = shared_folder(spark, f"export-{name}")
+        codec.export_json(df, path)
+        back = codec.import_json(spark, path, df.schema)
+        differ = codec.differences(want, back)
+        kept = F.sum(F.size("job_clusters")) if name == "jobs" else F.lit(0)
+        row = back.agg(F.count("*").alias("rows"), kept.cast("long").alias("kept")).select(
+            F.lit(name).alias("table_name"), "rows",
+            differ.agg(F.max(F.col("only_left") + F.col("only_right"))).scalar().alias("differences"),
+            (df.agg((F.sum(F.size("job_clusters")) if name == "jobs" else F.lit(0)).cast("long")).scalar() - F.col("kept")).alias("dropped_job_clusters"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _line_history(spark, sf_dir):
+    """lineitem appended in three syncs (one per return flag), the last row per key of each."""
+    from fleetlens.operators.dedupe import latest_by_key
+    from fleetlens.session import shared_folder
+    from fleetlens.sources import snapshot
+    from fleetlens.sources.fixtures import table
+
+    root = shared_folder(spark, "history")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag")
+    for day, flag in enumerate("ANR", 1):
+        batch = latest_by_key(li.where(F.col("l_returnflag") == flag), LINE_KEYS, ["l_shipdate", "l_extendedprice", "l_partkey", "l_suppkey"])
+        snapshot.append_history(batch, root, "lines", f"2024-01-0{day}T00:00:00")
+    return snapshot.read_history(spark, root, "lines")
+
+
+LINE_KEYS = ["l_orderkey", "l_linenumber"]
+
+
+@query("history_as_of")
+def q_history_as_of(spark, sf_dir):
+    """The state after each of three syncs, from the history up to its time."""
+    from fleetlens.sources import snapshot
+
+    history = _line_history(spark, sf_dir)
+    out = None
+    for day in (1, 2, 3):
+        at = f"2024-01-0{day}T00:00:00"
+        state = snapshot.state_as_of(history, LINE_KEYS, at).select(F.lit(at).alias("as_of"), *LINE_KEYS, "l_quantity", "l_returnflag", "synced_at")
+        out = state if out is None else out.unionByName(state)
+    return out
+
+
+@query("history_validity")
+def q_history_validity(spark, sf_dir):
+    """From when until when each synced row held."""
+    from fleetlens.sources import snapshot
+
+    return snapshot.validity_intervals(_line_history(spark, sf_dir), LINE_KEYS).select(*LINE_KEYS, "l_quantity", "valid_from", "valid_to")
 
 
 @query("snapshot_history")
@@ -712,18 +884,16 @@ def q_volume(spark, sf_dir):
 
 
 def _schema_changes(spark, sf_dir):
+    """Every year of the log against the one before; the types per year are written
+    once, as first and last year and the changes all read them."""
     H, X, orders = _health(spark, sf_dir)
-    obs = X.schema_observations(orders)
-    ts = lambda s: F.lit(s).cast("timestamp_ntz")
-    before = H.schema_snapshot(obs, ts("1999-01-01 00:00:00"), ts("2000-01-01 00:00:00"))
-    after = H.schema_snapshot(obs, ts("2000-01-01 00:00:00"), ts("2001-01-01 00:00:00"))
-    return H.schema_changes(before, after)
+    return H.schema_changes_by_period(summaries.materialize(H.type_history(X.schema_observations(orders))))
 
 
 @query("schema_changes")
 def q_schema_changes(spark, sf_dir):
-    """Columns added / removed / retyped between the 1999 and 2000 snapshots."""
-    return _schema_changes(spark, sf_dir).select("table_name", "column_name", "old_type", "new_type", "change")
+    """Columns added / removed / retyped in each year against the one before."""
+    return _schema_changes(spark, sf_dir).select("table_name", "column_name", "period", "old_type", "new_type", "change")
 
 
 @query("data_issues")

@@ -9,7 +9,6 @@ columns a view does not read.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -17,7 +16,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import costing, insights, pricing, summaries
 from fleetlens.operators.costing import CostConfig
-from fleetlens.session import ensure_checkpoint_dir
+from fleetlens.session import shared_folder
+from fleetlens.sources.store import WorkspaceStore
 
 
 @dataclass
@@ -36,9 +36,21 @@ class Dashboard:
 
     @classmethod
     def from_config(cls, runs, jobs, clusters, pricing_config, as_of_ms, **kw) -> "Dashboard":
-        order = kw.get("cfg", CostConfig()).dimension_order
-        order_by = [order] if order is not None and order in pricing_config.columns else None
-        return cls(runs, jobs, clusters, pricing.effective_rates(pricing_config, order_by=order_by), as_of_ms, **kw)
+        # the last entry of a node type counts, also where it is unpriced
+        entries = costing.last_of_each(pricing_config, "node_type_id", kw.get("cfg", CostConfig()))
+        return cls(runs, jobs, clusters, pricing.effective_rates(entries), as_of_ms, **kw)
+
+    @classmethod
+    def from_store(cls, store: WorkspaceStore, as_of_ms: int, window_days: int = 30, **kw) -> "Dashboard":
+        """The dashboard of one commit of a workspace store: jobs, clusters, the
+        window's runs, the stored pricing config and the last sync time are all read
+        from the same commit."""
+        _, state = store.state()
+        runs = store.read_runs(costing.window_start(as_of_ms, window_days), state).drop("day")
+        meta = store.read("metadata", state)
+        config, _ = pricing.decode_config(meta.where(F.col("key") == pricing.CONFIG_KEY))
+        last = state.get("last_sync", {}).get("last_sync_at")
+        return cls.from_config(runs, store.read("jobs", state), store.read("clusters", state), config, as_of_ms, window_days=window_days, last_sync_at=last, **kw)
 
     @property
     def window_start_ms(self) -> int:
@@ -60,7 +72,7 @@ class Dashboard:
         view prunes the columns it needs from the columnar copy."""
         spark = self.costed.sparkSession
         if path is None:
-            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlens-costed-{uuid.uuid4().hex}"
+            path = shared_folder(spark, "costed")
         self.costed.write.mode("errorifexists").parquet(path)
         self._costed = spark.read.parquet(path)
         return self

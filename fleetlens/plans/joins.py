@@ -49,8 +49,26 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return ok
 
 
+_unique_checks: dict[tuple[str, int, str], tuple[float, bool]] = {}
+
+
+def has_unique_key(df: DataFrame, key: str) -> bool:
+    """True when no value of ``key`` (NULL aside) is there twice: one aggregation
+    by key, remembered per plan like the size checks."""
+    seen = (app_id(df.sparkSession), df.semanticHash(), key)
+    now = time.monotonic()
+    hit = _unique_checks.get(seen)
+    if hit is not None and now - hit[0] < SIZE_CHECK_TTL_SEC:
+        return hit[1]
+    per_key = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    ok = not per_key.agg(F.coalesce(F.max("n"), F.lit(0)) > 1).first()[0]
+    _unique_checks[seen] = (now, ok)
+    return ok
+
+
 def clear_size_checks() -> None:
     _size_checks.clear()
+    _unique_checks.clear()
 
 
 def join_dimension(

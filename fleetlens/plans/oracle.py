@@ -289,8 +289,7 @@ WHERE start_time IS NULL OR start_time >= p.as_of_ms - 7 * CAST(86400000 AS BIGI
     q["billable_runs"] = with_ctes() + "\nSELECT run_id, duration_ms FROM runs WHERE duration_ms > 0"
     q["cluster_lookup_join"] = with_ctes() + """
 SELECT r.run_id, r.cluster_id, c.node_type_id, c.cluster_id IS NOT NULL AS found
-FROM runs r LEFT JOIN clusters c ON r.cluster_id = c.cluster_id
-WHERE r.cluster_id IS NOT NULL AND r.cluster_id <> ''"""
+FROM runs r LEFT JOIN clusters c ON r.cluster_id = c.cluster_id"""
     q["job_cluster_resolution"] = with_ctes() + """
 SELECT job_id, CASE WHEN ambiguous THEN NULL ELSE 'etl' END AS cluster_ref,
   CASE WHEN ambiguous THEN NULL ELSE jc_node END AS node_type_id,
@@ -402,6 +401,7 @@ LEFT JOIN jobs j ON c.job_id = j.job_id"""
 SELECT node_type_id, {r('rate', 4)} AS dbu_rate_per_hour, currency, 0.0::DOUBLE AS infrastructure_rate_per_hour,
   {r('rate + 0.0::DOUBLE', 4)} AS total_rate_per_hour FROM rates"""
     q.update(more_queries())
+    q["store_dashboard_summary"] = q["summary_kpis"].replace("CAST(NULL AS VARCHAR) AS last_sync_at", "'2024-01-31T00:00:00+00:00' AS last_sync_at")
     q.update(tier_b_queries())
     q["cost_over_time_bars"] = costed_sql(f"""
 SELECT date, total_cost, run_count,
@@ -540,10 +540,60 @@ FROM runs, params p WHERE start_time IS NULL OR start_time >= p.as_of_ms - 14 *
     q["runs_flattened"] = with_ctes() + """
 SELECT run_id, job_id, 'run-' || event_type AS run_name, start_time, start_time + duration_ms AS end_time, duration_ms,
   life_cycle_state, result_state, cluster_id FROM runs"""
-    q["sync_counts"] = with_ctes() + """
-SELECT (SELECT count(*) FROM jobs) AS saved_jobs, (SELECT count(*) FROM runs) AS saved_runs,
-  (SELECT count(*) FROM clusters WHERE cluster_id IN (SELECT cluster_id FROM runs)) AS saved_clusters,
-  CAST(NULL AS VARCHAR) AS last_sync_at"""
+    q["synced_runs"] = with_ctes() + """,
+landed AS (
+  SELECT run_id, job_id, start_time, result_state, 1 AS landing,
+    coalesce(nullif(CASE WHEN run_id % 5 = 0 THEN 0 ELSE duration_ms END, 0),
+             CASE WHEN run_id % 7 = 0 THEN NULL ELSE duration_ms END,
+             CASE WHEN start_time IS NOT NULL AND duration_ms IS NOT NULL THEN greatest(0, duration_ms) END) AS duration_ms
+  FROM runs
+  UNION ALL
+  SELECT r.run_id, r.job_id, epoch_us(e.ts) // 1000 + 86400000, NULL, 2, nullif(r.duration_ms * 2, 0)
+  FROM runs r JOIN events e ON e.event_id = r.run_id WHERE run_id % 3 = 0 OR run_id % 89 = 0
+  UNION ALL
+  SELECT run_id, job_id, start_time, NULL, 3, nullif(duration_ms + 1, 0) FROM runs WHERE run_id % 5 = 0
+)
+SELECT run_id, job_id, start_time, duration_ms, result_state, '2024-01-31T00:00:00+00:00' AS last_sync_at,
+  coalesce(strftime(make_timestamp(start_time * 1000), '%Y-%m-%d'), 'none') AS day
+FROM landed QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY landing DESC) = 1"""
+    q["synced_jobs"] = """
+SELECT c_custkey AS job_id,
+  CASE WHEN c_custkey % 4 = 0 THEN 'a new name of ' || c_name WHEN c_custkey % 23 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE c_name END AS name,
+  CASE WHEN c_custkey % 4 = 0 OR c_custkey % 17 = 0 THEN NULL ELSE 'owner' || c_custkey END AS creator_user_name,
+  CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 1 END AS n_job_clusters
+FROM customer"""
+    q["synced_clusters"] = with_ctes() + """
+SELECT s_name AS cluster_id, CASE WHEN s_suppkey % 3 = 0 THEN 'A' ELSE s_name END AS cluster_name, 'NATION_' || s_nationkey AS node_type_id,
+  CASE WHEN s_suppkey % 3 = 0 THEN 9 WHEN s_suppkey % 5 <> 0 THEN CAST(s_suppkey % 8 AS INTEGER) END AS num_workers
+FROM supplier WHERE s_name IN (SELECT cluster_id FROM runs)"""
+    q["sync_counts"] = with_ctes() + """,
+wanted AS (SELECT count(*) AS n FROM supplier WHERE s_name IN (SELECT cluster_id FROM runs))
+SELECT (SELECT count(*) FROM customer) AS saved_jobs, (SELECT count(*) FROM runs) AS saved_runs, n AS saved_clusters,
+  '2024-01-31T00:00:00+00:00' AS last_sync_at, (SELECT count(*) FROM runs) AS runs, (SELECT count(*) FROM customer) AS jobs,
+  n AS clusters, (SELECT count(*) FROM supplier) - n AS clusters_waiting
+FROM wanted"""
+    q["metadata_last_write"] = """
+SELECT 'customer/' || c_custkey % 1000 AS key, c_name AS value, CAST(3 AS BIGINT) AS commits
+FROM customer QUALIFY row_number() OVER (PARTITION BY c_custkey % 1000 ORDER BY c_custkey % 3 DESC, c_custkey DESC) = 1"""
+    q["json_round_trip"] = with_ctes() + """
+SELECT 'jobs' AS table_name, count(*) AS rows, CAST(0 AS BIGINT) AS differences,
+  CAST(count(*) FILTER (WHERE job_id % 3 = 0) AS BIGINT) AS dropped_job_clusters FROM jobs
+UNION ALL SELECT 'runs', count(*), 0, 0 FROM runs
+UNION ALL SELECT 'clusters', count(*), 0, 0 FROM clusters"""
+    lines = """
+WITH synced AS (
+  SELECT *, CASE l_returnflag WHEN 'A' THEN '2024-01-01T00:00:00' WHEN 'N' THEN '2024-01-02T00:00:00' ELSE '2024-01-03T00:00:00' END AS synced_at
+  FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R')
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_returnflag
+    ORDER BY l_shipdate DESC, l_extendedprice DESC, l_partkey DESC, l_suppkey DESC) = 1)"""
+    q["history_as_of"] = lines + """
+SELECT t.as_of, l_orderkey, l_linenumber, l_quantity, l_returnflag, synced_at
+FROM synced JOIN (SELECT DISTINCT synced_at AS as_of FROM synced) t ON synced_at <= as_of
+QUALIFY row_number() OVER (PARTITION BY as_of, l_orderkey, l_linenumber ORDER BY synced_at DESC) = 1"""
+    q["history_validity"] = lines + """
+SELECT l_orderkey, l_linenumber, l_quantity, synced_at AS valid_from,
+  (SELECT min(b.synced_at) FROM synced b WHERE b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber AND b.synced_at > a.synced_at) AS valid_to
+FROM synced a"""
     q["snapshot_history"] = """
 SELECT l_orderkey, l_linenumber, count(*) AS version_count, min(l_shipdate) AS first_synced_at,
   max(l_shipdate) AS last_synced_at,
@@ -636,22 +686,19 @@ obs AS (
   SELECT o_orderpriority AS table_name, 'c' || (o_custkey % 200) AS column_name, o_orderstatus AS data_type,
     o_orderdate AS observed_at FROM orders
 ),
-snap_b AS (
-  SELECT table_name, column_name, data_type FROM (
-    SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY observed_at DESC, data_type DESC) AS rn
-    FROM obs WHERE observed_at >= TIMESTAMP '1999-01-01' AND observed_at < TIMESTAMP '2000-01-01') WHERE rn = 1
-),
-snap_a AS (
-  SELECT table_name, column_name, data_type FROM (
-    SELECT *, row_number() OVER (PARTITION BY table_name, column_name ORDER BY observed_at DESC, data_type DESC) AS rn
-    FROM obs WHERE observed_at >= TIMESTAMP '2000-01-01' AND observed_at < TIMESTAMP '2001-01-01') WHERE rn = 1
+yearly AS (
+  SELECT table_name, column_name, year(observed_at) AS y, data_type FROM obs
+  QUALIFY row_number() OVER (PARTITION BY table_name, column_name, year(observed_at) ORDER BY observed_at DESC, data_type DESC) = 1
 ),
+years AS (SELECT unnest(range(min(y) + 1, max(y) + 1)) AS period FROM yearly),
 changes AS (
   SELECT coalesce(b.table_name, a.table_name) AS table_name, coalesce(b.column_name, a.column_name) AS column_name,
-    b.data_type AS old_type, a.data_type AS new_type,
+    coalesce(b.period, a.period) AS period, b.data_type AS old_type, a.data_type AS new_type,
     CASE WHEN b.data_type IS NULL THEN 'added' WHEN a.data_type IS NULL THEN 'removed'
          WHEN b.data_type <> a.data_type THEN 'retyped' END AS change
-  FROM snap_b b FULL OUTER JOIN snap_a a ON b.table_name = a.table_name AND b.column_name = a.column_name
+  FROM (SELECT * FROM yearly JOIN years ON y = period - 1) b
+  FULL OUTER JOIN (SELECT * FROM yearly JOIN years ON y = period) a
+    ON b.table_name = a.table_name AND b.column_name = a.column_name AND b.period = a.period
 )"""
 
 ALERTS = """
@@ -769,12 +816,12 @@ SELECT table_name, last_updated_at, sla_hours, {r('lag_hours', 2)} AS lag_hours,
 FROM fresh2"""
     q["volume_anomalies"] = with_ctes(FRESH) + f"""
 SELECT table_name, day, volume, {r('expected', 4)} AS expected, {r('drop_pct', 4)} AS drop_pct FROM anom"""
-    q["schema_changes"] = with_ctes(FRESH) + "\nSELECT table_name, column_name, old_type, new_type, change FROM changes WHERE change IS NOT NULL"
+    q["schema_changes"] = with_ctes(FRESH) + "\nSELECT table_name, column_name, period, old_type, new_type, change FROM changes WHERE change IS NOT NULL"
     q["data_issues"] = with_ctes(FRESH) + """
 SELECT 'stale' AS issue_type, table_name, 'missed its SLA by ' || printf('%.1f', hours_late) || ' hours' AS detail
 FROM fresh2 WHERE stale
 UNION ALL
-SELECT 'inconsistent', table_name, change || ' column ' || column_name FROM changes WHERE change IN ('removed', 'retyped')
+SELECT 'inconsistent', table_name, change || ' column ' || column_name || ' in ' || period FROM changes WHERE change IN ('removed', 'retyped')
 UNION ALL
 SELECT 'volume_anomaly', table_name,
   'volume dropped ' || printf('%.0f', drop_pct * 100.0::DOUBLE) || '% below expected on ' || CAST(day AS VARCHAR)
@@ -788,7 +835,7 @@ issues AS (
   SELECT 'stale' AS issue_type, table_name, 'missed its SLA by ' || printf('%.1f', hours_late) || ' hours' AS detail
   FROM fresh2 WHERE stale
   UNION ALL
-  SELECT 'inconsistent', table_name, change || ' column ' || column_name FROM changes WHERE change IN ('removed', 'retyped')
+  SELECT 'inconsistent', table_name, change || ' column ' || column_name || ' in ' || period FROM changes WHERE change IN ('removed', 'retyped')
   UNION ALL
   SELECT 'volume_anomaly', table_name,
     'volume dropped ' || printf('%.0f', drop_pct * 100.0::DOUBLE) || '% below expected on ' || CAST(day AS VARCHAR)

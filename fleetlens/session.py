@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -82,3 +83,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
     return configured
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path below the shared checkpoint folder; what is written there is
+    deleted when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlens-{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.sc().hadoopConfiguration()).deleteOnExit(where)
+    return path

@@ -57,6 +57,7 @@ def raw_run_fields(events: DataFrame) -> DataFrame:
         F.col("event_type"),
         k.alias("k"),
         F.col("event_id"),
+        F.col("ts"),
     )
 
 
@@ -359,6 +360,35 @@ def raw_clusters_json(supplier: DataFrame) -> DataFrame:
     return supplier.select(js.alias("value"))
 
 
+DAY_MS = 86_400_000
+
+
+def raw_run_restarts(events: DataFrame) -> DataFrame:
+    """Later records of every third run and of those without a start: started a
+    day after the event, twice as long."""
+    r = raw_run_fields(events.where((_mod("event_id", 3) == 0) | (_mod("event_id", 89) == 0)))
+    restart = (F.unix_millis(F.col("ts").cast("timestamp")) + DAY_MS).alias("start_time")
+    return r.select(F.to_json(F.struct("run_id", "job_id", restart, (F.col("duration_ms") * 2).alias("run_duration"))).alias("value"))
+
+
+def raw_run_corrections(events: DataFrame) -> DataFrame:
+    """Still later records of every fifth run: a millisecond longer, as first started."""
+    r = raw_run_fields(events.where(_mod("event_id", 5) == 0))
+    return r.select(F.to_json(F.struct("run_id", "job_id", "start_time", (F.col("duration_ms") + 1).alias("run_duration"))).alias("value"))
+
+
+def raw_job_renames(customer: DataFrame) -> DataFrame:
+    """Later records of every fourth job: a new name, nothing else set."""
+    c = customer.where(_mod("c_custkey", 4) == 0)
+    return c.select(F.to_json(F.struct(F.col("c_custkey").alias("job_id"), F.struct(F.concat(F.lit("a new name of "), "c_name").alias("name")).alias("settings"))).alias("value"))
+
+
+def raw_cluster_resizes(supplier: DataFrame) -> DataFrame:
+    """Later records of every third cluster: 9 workers, an earlier name."""
+    c = supplier.where(_mod("s_suppkey", 3) == 0)
+    return c.select(F.to_json(F.struct(F.col("s_name").alias("cluster_id"), F.lit("A").alias("cluster_name"), F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")).alias("node_type_id"), F.lit(9).alias("num_workers"))).alias("value"))
+
+
 # ---------------------------------------------------------- table health logs
 
 

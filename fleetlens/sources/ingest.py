@@ -6,7 +6,8 @@ Parsing uses ``from_json`` with every scalar read as STRING and converted with
 ``try_cast`` (``from_json`` into BIGINT turns the JSON string "3" into NULL,
 whereas the source accepts it). Wrong-shaped sub-objects become NULL, as in
 the source. Rows whose id does not parse go to a quarantine DataFrame instead
-of failing the whole load.
+of failing the whole load. ``keep`` names columns of the raw rows to carry along
+(the landing order of an incremental sync).
 """
 
 from __future__ import annotations
@@ -84,17 +85,17 @@ def tag_map(raw: Column) -> Column:
     return F.when(F.size(clean) > 0, clean)
 
 
-def _parse_once(raw: DataFrame, value_col: str, schema: str) -> DataFrame:
-    """Raw text + the parsed record's fields as columns, each document parsed
+def _parse_once(raw: DataFrame, value_col: str, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Raw text, the columns to ``keep`` and the parsed record's fields, each document parsed
     exactly once: the generator keeps Catalyst from inlining ``from_json``
     into every later filter and projection. A document that does not parse
     gives a row of NULLs (so it reaches the quarantine)."""
-    return raw.select(F.col(value_col).alias("_raw"), F.inline(F.array(F.from_json(F.col(value_col), schema))))
+    return raw.select(F.col(value_col).alias("_raw"), *keep, F.inline(F.array(F.from_json(F.col(value_col), schema))))
 
 
-def normalise_jobs(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
+def normalise_jobs(raw: DataFrame, value_col: str = "value", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(typed jobs, quarantined raw rows without a parsable job_id)."""
-    parsed = _parse_once(raw, value_col, RAW_JOB)
+    parsed = _parse_once(raw, value_col, RAW_JOB, keep)
     job_id = _long(F.col("job_id"))
     st = F.col("settings")
     tasks = F.transform(
@@ -130,6 +131,7 @@ def normalise_jobs(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame,
         _int(st["max_concurrent_runs"]).alias("max_concurrent_runs"),
         tasks.cast(S.JOBS["tasks"].dataType).alias("tasks"),
         job_clusters.cast(S.JOBS["job_clusters"].dataType).alias("job_clusters"),
+        *keep,
     )
     quarantine = parsed.where(job_id.isNull()).select(F.col("_raw").alias(value_col))
     return typed, quarantine
@@ -142,9 +144,9 @@ def run_duration(run_duration: Column, execution_duration: Column, start: Column
     return F.coalesce(d, from_times)
 
 
-def normalise_runs(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
+def normalise_runs(raw: DataFrame, value_col: str = "value", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(typed runs, quarantined raw rows without a parsable run_id)."""
-    parsed = _parse_once(raw, value_col, RAW_RUN)
+    parsed = _parse_once(raw, value_col, RAW_RUN, keep)
     run_id = _long(F.col("run_id"))
     start, end = _long(F.col("start_time")), _long(F.col("end_time"))
     spec = F.col("cluster_spec")
@@ -163,14 +165,15 @@ def normalise_runs(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame,
         F.col("cluster_instance").alias("cluster_instance"),
         F.when(spec.isNotNull(), cluster_spec(unwrapped)).cast(S.CLUSTER_SPEC).alias("cluster_spec"),
         tag_map(F.col("tags")).alias("tags"),
+        *keep,
     )
     quarantine = parsed.where(run_id.isNull()).select(F.col("_raw").alias(value_col))
     return typed, quarantine
 
 
-def normalise_clusters(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
+def normalise_clusters(raw: DataFrame, value_col: str = "value", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(typed clusters, quarantined rows without a cluster_id)."""
-    parsed = _parse_once(raw, value_col, RAW_CLUSTER)
+    parsed = _parse_once(raw, value_col, RAW_CLUSTER, keep)
     cid = F.col("cluster_id")
     typed = parsed.where(cid.isNotNull()).select(
         cid.alias("cluster_id"),
@@ -181,6 +184,7 @@ def normalise_clusters(raw: DataFrame, value_col: str = "value") -> tuple[DataFr
         _int(F.col("num_workers")).alias("num_workers"),
         autoscale(F.col("autoscale")).alias("autoscale"),
         _int(F.col("autotermination_minutes")).alias("autotermination_minutes"),
+        *keep,
     )
     quarantine = parsed.where(cid.isNull()).select(F.col("_raw").alias(value_col))
     return typed, quarantine

@@ -1,18 +1,15 @@
-"""Snapshot store (S1-S10, B18) on Parquet: versioned directories + a pointer.
-
-* ``upsert`` (S1-S3): union the current snapshot with a batch and keep the
-  latest row per key (``latest_by_key``: partial aggregation, skew-safe), then
-  write a **new** version directory and move the pointer; a snapshot being
-  read is never overwritten.
-* runs are written partitioned by UTC ``start_date`` so a window load (S5)
-  prunes partitions; runs without a start live in the NULL partition and are
-  kept by every window.
-* ``append_history`` (B18) appends each batch with its ``synced_at``; the
-  latest state is ``latest_by_key`` over the history.
-* metadata (S7) is a key/value table with the same last-write-wins rule.
-
-Paths come from the caller (a shared folder on a cluster, e.g. under the
-session's ``spark.checkpoint.dir``), never from a machine-local temp dir.
+"""Snapshots on Parquet (S1, S3-S6, S8, S10, B18): versioned folders and a commit log.
+
+* ``upsert``: the current snapshot and a batch, the latest row per key
+  (``latest_by_key``: partial aggregation, skew-safe), written as a **new** folder that
+  a numbered commit then names (``commits.CommitLog``): a snapshot being read is
+  never overwritten, and of two writers one wins.
+* ``append_history`` (B18) appends each batch with its ``synced_at``; ``state_as_of``
+  reads the partitions up to a time, ``validity_intervals`` says how long each row held.
+
+The workspace as a whole (jobs, runs by day, referenced clusters, metadata, one commit
+a sync) is ``store.WorkspaceStore``. Paths come from the caller (a shared folder on a
+cluster, e.g. under the session's ``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
@@ -20,50 +17,38 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fleetlens.functions import utc_day
 from fleetlens.operators.dedupe import latest_by_key
+from fleetlens.sources.commits import CommitLog
 
-POINTER = "_current"
 SEQ = "_sync_seq"
 
 
-def _pointer_path(root: str, name: str) -> str:
-    return f"{root.rstrip('/')}/{name}/{POINTER}"
+def _log(spark: SparkSession, root: str, name: str) -> CommitLog:
+    return CommitLog(spark, f"{root.rstrip('/')}/{name}")
 
 
 def current_version(spark: SparkSession, root: str, name: str) -> tuple[int, str] | None:
-    """(version, path) of the current snapshot, or None when there is none.
-    Any other failure to read the pointer is raised, so it is never taken for an
-    empty store."""
-    try:
-        row = spark.read.schema("version long, path string").json(_pointer_path(root, name)).first()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return (int(row["version"]), str(row["path"])) if row else None
+    """(version, path) of the current snapshot, or None when there is none."""
+    version, content = _log(spark, root, name).latest()
+    return (version, f"{root.rstrip('/')}/{name}/{content['folder']}") if version else None
 
 
 def write_snapshot(df: DataFrame, root: str, name: str, partition_by: Sequence[str] = (), after: int | None = None) -> str:
     """Write ``df`` as the version after ``after`` (default: the current one) of
-    snapshot ``name`` and repoint to it."""
+    snapshot ``name``. ``CommitConflict`` if another writer made that version."""
     spark = df.sparkSession
+    log = _log(spark, root, name)
     if after is None:
-        cur = current_version(spark, root, name)
-        after = cur[0] if cur else 0
-    version = after + 1
-    path = f"{root.rstrip('/')}/{name}/v{version:08d}"
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    spark.createDataFrame([(version, path)], "version long, path string").coalesce(1).write.mode("overwrite").json(
-        _pointer_path(root, name)
-    )
+        after = log.latest()[0]
+    folder = f"v{after + 1:08d}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/{name}/{folder}"
+    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+    log.commit(after + 1, {"folder": folder})
     return path
 
 
@@ -91,63 +76,6 @@ def upsert(batch: DataFrame, root: str, name: str, keys: Sequence[str], order_by
     return offered
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018 - resolves the file listing only
-        return True
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return False
-
-
-def _drop_partition(spark: SparkSession, path: str, column: str, value) -> None:
-    folder = f"{column}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{folder}")
-    where.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(where, True)
-
-
-def upsert_partitions(
-    batch: DataFrame, path: str, keys: Sequence[str], order_by: Sequence[str] = (), partition_col: str = "start_date"
-) -> int:
-    """S2 at scale: merge ``batch`` into the table at ``path`` (partitioned by
-    ``partition_col``) rewriting only the partitions the batch concerns.
-
-    These are the partitions of the batch's rows and those that hold one of its
-    keys now, e.g. a run that had no start day, or another one, when it was last
-    synced (found from the key columns alone); there is one value per day.
-    Their rows are merged with the batch latest-by-key, staged as Parquet in the
-    shared checkpoint folder (cutting the lineage to the files about to be
-    replaced) and written with dynamic partition overwrite; partitions left
-    empty are dropped. Returns the rows offered."""
-    spark = batch.sparkSession
-    offered = batch.count()
-    if not _exists(spark, path):
-        merge_latest(None, batch, keys, order_by).write.mode("errorifexists").partitionBy(partition_col).parquet(path)
-        return offered
-    current = spark.read.parquet(path)
-    part = F.col(partition_col)
-    held = current.select(*keys, partition_col).join(batch.select(*keys), list(keys), "left_semi").select(partition_col).distinct()
-    text = F.col(partition_col).cast("string")  # folder names are read back as dates
-    touched = {r[0] for r in held.union(batch.select(partition_col)).select(text).distinct().collect()}
-    affected = current.where(part.cast("string").isin(*[v for v in touched if v is not None]) | (part.isNull() if None in touched else F.lit(False)))
-    from fleetlens.session import ensure_checkpoint_dir
-
-    staged = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetlens-upsert-{uuid.uuid4().hex}"
-    merge_latest(affected, batch.select(*current.columns), keys, order_by).write.parquet(staged)
-    merged = spark.read.parquet(staged)
-    (
-        merged.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition_col)
-        .parquet(path)
-    )
-    left = {r[0] for r in merged.select(text).distinct().collect()}
-    for value in touched - left:
-        _drop_partition(spark, path, partition_col, value)
-    return offered
-
-
 def with_start_date(runs: DataFrame) -> DataFrame:
     """S2 partition column: UTC day of the start (NULL when there is no start)."""
     return runs.withColumn("start_date", utc_day("start_time"))
@@ -186,43 +114,6 @@ def flatten_runs(runs: DataFrame) -> DataFrame:
     )
 
 
-# ----------------------------------------------------------------- metadata
-
-
-def metadata_put(current: DataFrame | None, key: str, value: str, spark: SparkSession, seq: int) -> DataFrame:
-    """S7 put: last write wins per key (``seq`` orders writes)."""
-    row = spark.createDataFrame([(key, value, seq)], "key string, value string, seq long")
-    return latest_by_key(row if current is None else current.unionByName(row), ["key"], ["seq"])
-
-
-def metadata_get(meta: DataFrame | None, key: str) -> str | None:
-    """S7 get: value of ``key`` or None (one-row lookup)."""
-    if meta is None:
-        return None
-    row = meta.where(F.col("key") == key).select("value").first()
-    return None if row is None else row["value"]
-
-
-# ------------------------------------------------------------------ export
-
-
-def export_json(df: DataFrame, path: str) -> None:
-    """Lossless JSON-lines export of a typed snapshot."""
-    df.write.mode("errorifexists").json(path)
-
-
-def import_json(spark: SparkSession, path: str, schema) -> DataFrame:
-    """JSON-lines import with the explicit schema (no inference); job
-    clusters without key or spec are dropped as on the original import."""
-    df = spark.read.schema(schema).json(path)
-    if "job_clusters" in df.columns:
-        df = df.withColumn(
-            "job_clusters",
-            F.filter("job_clusters", lambda c: c["job_cluster_key"].isNotNull() & c["new_cluster"].isNotNull()),
-        )
-    return df
-
-
 # ------------------------------------------------------------------ history
 
 
@@ -233,11 +124,31 @@ def append_history(batch: DataFrame, root: str, name: str, synced_at: str) -> No
     )
 
 
+def read_history(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The appended history with ``synced_at`` as text, as it was given."""
+    path = f"{root.rstrip('/')}/{name}_history"
+    fields = [f for f in spark.read.parquet(path).schema.fields if f.name != "synced_at"]
+    return spark.read.schema(StructType([*fields, StructField("synced_at", StringType())])).parquet(path)
+
+
 def latest_from_history(history: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The latest state per key from the appended history."""
     return latest_by_key(history, keys, ["synced_at"])
 
 
+def state_as_of(history: DataFrame, keys: Sequence[str], as_of: str) -> DataFrame:
+    """The state per key after the syncs up to ``as_of``. The filter is on the
+    partition column: later syncs are not read."""
+    return latest_from_history(history.where(F.col("synced_at") <= F.lit(as_of)), keys)
+
+
+def validity_intervals(history: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each synced row with the time it held from (``valid_from``) and until
+    (``valid_to``, NULL while it holds). A window holds the syncs of one key."""
+    following = F.lead("synced_at").over(Window.partitionBy(*keys).orderBy("synced_at"))
+    return history.withColumn("valid_to", following).withColumnRenamed("synced_at", "valid_from")
+
+
 def sync_counts(jobs: DataFrame, runs: DataFrame, clusters: DataFrame, last_sync_at: str | None = None) -> DataFrame:
     """Rows offered per table in one sync, plus the sync time."""
     return jobs.agg(F.count("*").alias("saved_jobs")).select(

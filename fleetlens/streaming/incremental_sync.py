@@ -1,84 +1,100 @@
-"""Incremental sync as Structured Streaming.
-
-Landed raw JSON files (one record per line) are read with the file source,
-each micro-batch is parsed by the batch ``normalise_*`` job, rows without an
-id are appended to a quarantine folder, and the rest are merged into the
-snapshot (latest by key, new version directory, pointer moved). The query is
-checkpointed under the session's shared ``spark.checkpoint.dir`` (or a given
-folder), runs with ``availableNow`` so each call drains what has landed, and
-is idempotent by key: replaying a micro-batch after a failure re-merges the
-same rows into the same state. Runs (the large table) are merged partition by
-partition (only the start days a batch touches are rewritten); jobs and
-clusters are small and get a new snapshot version per batch.
+"""Incremental sync as Structured Streaming, each micro-batch merged once.
+
+Raw JSON records (one per line) land in ``landing/jobs``, ``landing/runs`` and
+``landing/clusters`` (or folders below them). One file stream reads all three, so one
+micro-batch is one sync: it is parsed by the batch ``normalise_*`` jobs, rows without
+an id are appended to a quarantine folder, and the rest become one commit of the
+workspace store, which also records the stream's id and the batch's epoch. Spark may
+run a micro-batch again after a failure; the store then finds its epoch committed and
+changes nothing.
+
+Records of a batch are ordered as they landed: by file modification time, path, place of
+the split in the file, line. The last one wins its key, as it would had the records
+been saved one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens.session import ensure_checkpoint_dir
-from fleetlens.sources import ingest, snapshot
+from fleetlens.sources import ingest
+from fleetlens.sources.store import LANDED, Batch, WorkspaceStore
+
+PARSERS: dict[str, Callable] = {"jobs": ingest.normalise_jobs, "runs": ingest.normalise_runs, "clusters": ingest.normalise_clusters}
+_FILE = ["file_modification_time", "file_path", "file_block_start"]
 
-# Per kind: parser, key, in-batch ordering for duplicate keys, partitioning.
-# Within one micro-batch a key seen twice keeps the record with the greatest
-# ordering (a run's later state has the later end time); across batches the
-# later batch always wins.
-KINDS: dict[str, tuple[Callable[[DataFrame], tuple[DataFrame, DataFrame]], list[str], list[str], list[str]]] = {
-    "runs": (ingest.normalise_runs, ["run_id"], ["end_time", "start_time", "duration_ms"], ["start_date"]),
-    "jobs": (ingest.normalise_jobs, ["job_id"], ["created_time"], []),
-    "clusters": (ingest.normalise_clusters, ["cluster_id"], ["cluster_name"], []),
-}
 
+def landed_order(raw: DataFrame) -> DataFrame:
+    """Text rows of a file scan with ``_landed``, their landing order. Lines of a split
+    stay in order within a task, where Spark's row ids rise."""
+    line = F.monotonically_increasing_id().alias("line")
+    return raw.withColumn(LANDED, F.struct(*_FILE, line)).drop("file_modification_time", "file_block_start")
 
-def _merge_batch(kind: str, store_root: str, quarantine_dir: str | None):
-    parse, keys, order_by, partition_by = KINDS[kind]
 
-    def merge(batch: DataFrame, epoch_id: int) -> None:
-        typed, bad = parse(batch)
-        if kind == "runs":
-            typed = snapshot.with_start_date(typed)
-        if quarantine_dir is not None:
-            bad.write.mode("append").text(f"{quarantine_dir.rstrip('/')}/{kind}")
-        if partition_by:
-            # large, day-partitioned table: rewrite only the touched partitions
-            snapshot.upsert_partitions(typed, f"{store_root.rstrip('/')}/{kind}", keys, order_by, partition_by[0])
-        else:
-            snapshot.upsert(typed, store_root, kind, keys, order_by)
+def parse_batch(records: DataFrame) -> tuple[Batch, dict[str, DataFrame]]:
+    """Typed tables of a landed batch (``kind``, ``value``, ``_landed``) and, per kind,
+    the raw rows without an id."""
+    typed, bad = {}, {}
+    for kind, parse in PARSERS.items():
+        typed[kind], bad[kind] = parse(records.where(F.col("kind") == kind), keep=(LANDED,))
+    return Batch(**typed), bad
 
-    return merge
+
+def merge_epoch(store: WorkspaceStore, batch: DataFrame, application: str, epoch: int, synced_at: str, quarantine_dir: str | None = None) -> dict:
+    """Merge one micro-batch (text rows with file columns) as one commit."""
+    spark = batch.sparkSession
+    if store.state()[1].get("epochs", {}).get(application, -1) >= epoch:
+        return {"replayed": True}
+    # written once: the merge reads the records several times
+    staged = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sync-{uuid.uuid4().hex}"
+    kind = F.regexp_extract("file_path", f"^.*/({'|'.join(PARSERS)})/", 1)
+    landed_order(batch).select("value", LANDED, kind.alias("kind")).write.partitionBy("kind").parquet(staged)
+    records = spark.read.schema(f"value string, {LANDED} struct<file_modification_time: timestamp, file_path: string, file_block_start: bigint, line: bigint>, kind string").parquet(staged)
+    typed, bad = parse_batch(records)
+    if quarantine_dir is not None:
+        for name, rows in bad.items():
+            # a folder per epoch, so a repeated batch replaces its own rows
+            rows.write.mode("overwrite").text(f"{quarantine_dir.rstrip('/')}/{name}/application={application}/epoch={epoch}")
+    out = store.sync(typed, synced_at, application, epoch)
+    store.delete(staged)
+    return out
 
 
 def start_sync(
     spark: SparkSession,
-    kind: str,
     landing_dir: str,
     store_root: str,
     *,
+    synced_at: str | None = None,
     checkpoint_location: str | None = None,
     quarantine_dir: str | None = None,
     max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
-    """Start (and return) the availableNow sync of one record kind."""
-    if kind not in KINDS:
-        raise ValueError(f"kind must be one of {sorted(KINDS)}")
+    """Start (and return) the ``availableNow`` sync of everything landed. The store's
+    record of epochs goes by the stream's id, which its checkpoint keeps."""
     if checkpoint_location is None:
-        checkpoint_location = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sync-{kind}"
-    reader = spark.readStream.format("text")
+        checkpoint_location = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sync-checkpoint-{hashlib.md5(f'{landing_dir} {store_root}'.encode()).hexdigest()}"
+    store = WorkspaceStore(spark, store_root)
+    reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    raw = reader.load(landing_dir)
-    return (
-        raw.writeStream.foreachBatch(_merge_batch(kind, store_root, quarantine_dir))
-        .option("checkpointLocation", checkpoint_location)
-        .trigger(availableNow=True)
-        .start()
-    )
+    raw = reader.load(landing_dir).select("value", *[F.col(f"_metadata.{c}").alias(c) for c in _FILE])
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        application = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        now = synced_at or batch.sparkSession.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")).first()[0]
+        merge_epoch(store, batch, application, epoch, now, quarantine_dir)
+
+    return raw.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_location).trigger(availableNow=True).start()
 
 
-def sync_once(spark: SparkSession, kind: str, landing_dir: str, store_root: str, **kw) -> None:
+def sync_once(spark: SparkSession, landing_dir: str, store_root: str, **kw) -> None:
     """Drain everything landed so far and wait for it."""
-    q = start_sync(spark, kind, landing_dir, store_root, **kw)
-    q.awaitTermination()
+    start_sync(spark, landing_dir, store_root, **kw).awaitTermination()

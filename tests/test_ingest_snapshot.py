@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
-from fleetlens.sources import ingest, snapshot
+from fleetlens.sources import codec, ingest, snapshot
 
 
 def _raw(spark, docs):
@@ -85,56 +85,69 @@ def test_upsert_versions_and_history(spark, scratch):
     assert {r.k: r.v for r in latest.collect()} == {1: "a", 2: "c", 3: "d"}
 
 
-def test_metadata_and_export_roundtrip(spark, scratch):
-    m = snapshot.metadata_put(None, "last_sync_at", "t1", spark, 1)
-    m = snapshot.metadata_put(m, "last_sync_at", "t2", spark, 2)
-    assert snapshot.metadata_get(m, "last_sync_at") == "t2"
-    assert snapshot.metadata_get(m, "missing") is None
+def test_history_as_of_and_validity(spark, scratch):
+    keys = ["k"]
+    for at, rows in (("2026-01-01T00:00:00", [(1, "a"), (2, "b")]), ("2026-01-02T12:30:00", [(2, "c"), (3, "d")])):
+        snapshot.append_history(spark.createDataFrame(rows, "k long, v string"), scratch, "h", at)
+    hist = snapshot.read_history(spark, scratch, "h")
+    state = lambda at: {r.k: (r.v, r.synced_at) for r in snapshot.state_as_of(hist, keys, at).collect()}
+    assert state("2025") == {} and state("2026-01-02T12:29:59") == {1: ("a", "2026-01-01T00:00:00"), 2: ("b", "2026-01-01T00:00:00")}
+    assert {k: v for k, (v, _) in state("2026-01-02T12:30:00").items()} == {1: "a", 2: "c", 3: "d"}
+    plan = snapshot.state_as_of(hist, keys, "2026-01-01T00:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(synced_at" in plan  # later syncs are not read
+    held = {(r.k, r.v): (r.valid_from, r.valid_to) for r in snapshot.validity_intervals(hist, keys).collect()}
+    assert held[2, "b"] == ("2026-01-01T00:00:00", "2026-01-02T12:30:00") and held[2, "c"] == ("2026-01-02T12:30:00", None)
+
+
+def test_only_one_writer_makes_a_version(spark, scratch):
+    from fleetlens.sources.commits import CommitConflict
+
+    one = spark.range(1).withColumnRenamed("id", "k")
+    snapshot.write_snapshot(one, scratch, "t", after=0)
+    with pytest.raises(CommitConflict):
+        snapshot.write_snapshot(spark.range(2).withColumnRenamed("id", "k"), scratch, "t", after=0)
+    assert snapshot.read_snapshot(spark, scratch, "t").count() == 1
+
+
+def test_codec_tells_everything_apart(spark, scratch):
+    import datetime as dt
+    from decimal import Decimal
+
+    schema = (
+        "i long, d double, f float, s string, b boolean, x binary, n decimal(38,18), t timestamp, u timestamp_ntz, day date, "
+        "m map<string,string>, a array<int>, st struct<p:int,q:struct<r:string>>, deep array<struct<m:map<string,double>,a:array<string>>>"
+    )
+    nan, inf = float("nan"), float("inf")
+    utc = dt.timezone.utc
+    rows = [
+        (None,) * 14,
+        (2**63 - 1, nan, nan, "", True, b"\x00\xff", Decimal("12345678901234567890.123456789012345678"), dt.datetime(2024, 1, 2, 3, 4, 5, 678901, utc), dt.datetime(2024, 1, 2, 3, 4, 5, 1), dt.date(1969, 12, 31), {}, [], (None, None), []),
+        (-(2**63), inf, -inf, 'é"\\\n\u2028', False, b"", Decimal(0), None, None, None, {"k": None, "": "v"}, [None, 1], (1, (None,)), [None, ({}, []), ({"x": nan, "y": None}, [None, ""])]),
+        (0, -0.0, 0.1, "null", None, None, None, None, None, None, {"k": "{}"}, [0], (None, ("",)), [(None, None)]),
+        (0, -0.0, 0.1, "null", None, None, None, None, None, None, {"k": "{}"}, [0], (None, ("",)), [(None, None)]),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    codec.export_json(df, os.path.join(scratch, "x"))
+    back = codec.import_json(spark, os.path.join(scratch, "x"), df.schema)
+    assert back.schema == df.schema and tuple(codec.differences(df, back).first()) == (0, 0)
+    assert tuple(codec.differences(df, back.limit(4)).first()) == (1, 0)  # repeats count
+    changed = back.withColumn("m", F.when(F.size("m") == 0, F.lit(None)).otherwise(F.col("m")))
+    assert tuple(codec.differences(df, changed).first()) == (1, 1)  # an empty map is not a missing one
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        codec.from_documents(spark.createDataFrame([("{",)], "value string"), df.schema).collect()
+
+
+def test_import_drops_incomplete_job_clusters(spark, scratch):
     jobs = spark.createDataFrame(
         [{"job_id": 1, "name": "j", "tags": {"a": "b"},
-          "job_clusters": [{"job_cluster_key": "etl", "new_cluster": {"node_type_id": "n"}}, {"job_cluster_key": None, "new_cluster": None}]}],
+          "job_clusters": [{"job_cluster_key": "etl", "new_cluster": {"node_type_id": "n"}}, {"job_cluster_key": None, "new_cluster": None}, {"job_cluster_key": "x", "new_cluster": None}]},
+         {"job_id": 2}],
         S.JOBS,
     )
     path = os.path.join(scratch, "jobs_json")
-    snapshot.export_json(jobs, path)
-    back = snapshot.import_json(spark, path, S.JOBS).first()
-    assert back.tags == {"a": "b"} and [c.job_cluster_key for c in back.job_clusters] == ["etl"]
-
-
-def test_streaming_incremental_sync(spark, scratch):
-    from fleetlens.streaming.incremental_sync import sync_once
-
-    landing, store = os.path.join(scratch, "landing"), os.path.join(scratch, "store")
-    os.makedirs(landing)
-    with open(os.path.join(landing, "batch1.json"), "w") as f:
-        f.write(json.dumps({"run_id": 1, "job_id": 1, "start_time": 1000, "end_time": 2000, "run_duration": 1000}) + "\n")
-        f.write(json.dumps({"run_id": 2, "job_id": 1, "start_time": 1500, "end_time": 1600}) + "\n")
-        f.write("{broken\n")
-    kw = dict(checkpoint_location=os.path.join(scratch, "ckpt"), quarantine_dir=os.path.join(scratch, "quarantine"))
-    sync_once(spark, "runs", landing, store, **kw)
-    first = {r.run_id: r.duration_ms for r in spark.read.parquet(os.path.join(store, "runs")).collect()}
-    assert first == {1: 1000, 2: 100}
-    with open(os.path.join(landing, "batch2.json"), "w") as f:
-        f.write(json.dumps({"run_id": 2, "job_id": 1, "start_time": 1500, "end_time": 1900, "run_duration": 400}) + "\n")
-        f.write(json.dumps({"run_id": 3, "job_id": 2, "start_time": 3000, "end_time": 3100}) + "\n")
-    sync_once(spark, "runs", landing, store, **kw)
-    second = {r.run_id: r.duration_ms for r in spark.read.parquet(os.path.join(store, "runs")).collect()}
-    assert second == {1: 1000, 2: 400, 3: 100}
-    assert spark.read.text(os.path.join(scratch, "quarantine", "runs")).count() == 1
-
-
-def test_partition_scoped_upsert(spark, scratch):
-    path = os.path.join(scratch, "runs")
-    day = lambda d: f"2024-01-{d:02d}"
-    b1 = spark.createDataFrame([(1, day(1), "a"), (2, day(2), "b"), (3, None, "p")], "run_id long, start_date string, v string")
-    snapshot.upsert_partitions(b1, path, ["run_id"])
-    untouched = sorted(os.listdir(os.path.join(path, "start_date=" + day(1))))
-    b2 = spark.createDataFrame([(2, day(2), "b2"), (4, day(3), "c")], "run_id long, start_date string, v string")
-    assert snapshot.upsert_partitions(b2, path, ["run_id"]) == 2
-    got = {r.run_id: r.v for r in spark.read.parquet(path).collect()}
-    assert got == {1: "a", 2: "b2", 3: "p", 4: "c"}
-    # the partition the batch did not touch was not rewritten
-    assert sorted(os.listdir(os.path.join(path, "start_date=" + day(1)))) == untouched
+    codec.export_json(jobs, path)
+    back = {r.job_id: r for r in codec.import_json(spark, path, S.JOBS).collect()}
+    assert back[1].tags == {"a": "b"} and [c.job_cluster_key for c in back[1].job_clusters] == ["etl"] and back[2].job_clusters is None
 
 
 def test_salted_join_matches_broadcast(spark):
@@ -150,46 +163,6 @@ def test_salted_join_matches_broadcast(spark):
     assert "__salt" in plan
 
 
-def test_streaming_sync_small_table_versions(spark, scratch):
-    from fleetlens.streaming.incremental_sync import sync_once
-
-    landing, store = os.path.join(scratch, "landing_c"), os.path.join(scratch, "store_c")
-    os.makedirs(landing)
-    kw = dict(checkpoint_location=os.path.join(scratch, "ckpt_c"))
-    with open(os.path.join(landing, "c1.json"), "w") as f:
-        f.write(json.dumps({"cluster_id": "a", "cluster_name": "1", "node_type_id": "n1", "num_workers": 2}) + "\n")
-    sync_once(spark, "clusters", landing, store, **kw)
-    with open(os.path.join(landing, "c2.json"), "w") as f:
-        f.write(json.dumps({"cluster_id": "a", "cluster_name": "2", "node_type_id": "n2", "num_workers": "4"}) + "\n")
-        f.write(json.dumps({"cluster_id": "b", "node_type_id": "n3"}) + "\n")
-    sync_once(spark, "clusters", landing, store, **kw)
-    cur = {r.cluster_id: (r.node_type_id, r.num_workers) for r in snapshot.read_snapshot(spark, store, "clusters").collect()}
-    assert cur == {"a": ("n2", 4), "b": ("n3", None)}
-    assert snapshot.current_version(spark, store, "clusters")[0] == 2
-
-
-def test_partition_upsert_of_many_days(spark, scratch):
-    """One rule whatever the number of days a batch touches."""
-    path = os.path.join(scratch, "runs_fb")
-    b1 = spark.createDataFrame([(1, "2024-01-01", "a"), (2, "2024-01-02", "b")], "run_id long, start_date string, v string")
-    snapshot.upsert_partitions(b1, path, ["run_id"])
-    b2 = spark.createDataFrame([(1, "2024-01-01", "a2"), (3, "2024-01-03", "c")], "run_id long, start_date string, v string")
-    snapshot.upsert_partitions(b2, path, ["run_id"])
-    assert {r.run_id: r.v for r in spark.read.parquet(path).collect()} == {1: "a2", 2: "b", 3: "c"}
-
-
-def test_partition_upsert_moves_runs_between_days(spark, scratch):
-    """A run first synced without a start, and one whose day changed, are there
-    once; the partitions they leave empty are dropped."""
-    path = os.path.join(scratch, "runs_moved")
-    schema = "run_id long, start_date string, v string"
-    snapshot.upsert_partitions(spark.createDataFrame([(1, None, "a"), (2, "2024-01-01", "b"), (3, "2024-01-02", "c")], schema), path, ["run_id"])
-    snapshot.upsert_partitions(spark.createDataFrame([(1, "2024-01-03", "a2"), (2, "2024-01-02", "b2")], schema), path, ["run_id"])
-    rows = {(r.run_id, str(r.start_date), r.v) for r in spark.read.parquet(path).collect()}
-    assert rows == {(1, "2024-01-03", "a2"), (2, "2024-01-02", "b2"), (3, "2024-01-02", "c")}
-    assert sorted(x for x in os.listdir(path) if x.startswith("start_date")) == ["start_date=2024-01-02", "start_date=2024-01-03"]
-
-
 def test_unreadable_pointer_is_not_an_empty_store(spark, scratch):
     snapshot.write_snapshot(spark.range(3).withColumnRenamed("id", "job_id"), scratch, "jobs")
     assert snapshot.current_version(spark, scratch, "jobs")[0] == 1

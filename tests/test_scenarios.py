@@ -112,3 +112,20 @@ def test_orphans_and_frequency(spark):
     assert orphans == {2: ["no_owner", "paused_schedule", "no_recent_runs"]}
     freq = observability.execution_frequency(runs, AS_OF - 30 * DAY, 30).first()
     assert freq.run_count == 3 and freq.median_gap_ms == DAY // 4  # gaps 12 h and 6 h -> nearest-rank median
+
+
+def test_schema_changes_of_every_period(spark):
+    """A column that comes, changes its type, goes and comes back; one that stays; one
+    only seen in the last year; NULL times belong to no year."""
+    import datetime as dt
+
+    day = lambda y, m=6: dt.datetime(y, m, 1)
+    seen = [("t", "stays", "int", day(y)) for y in range(2000, 2006)]
+    seen += [("t", "c", "int", day(2001)), ("t", "c", "str", day(2002, 1)), ("t", "c", "long", day(2002, 2)), ("t", "c", "long", day(2005)), ("t", "late", "int", day(2005)), ("u", "x", "int", day(2003)), ("t", "null", "int", None)]
+    obs = spark.createDataFrame(seen, "table_name string, column_name string, data_type string, observed_at timestamp_ntz")
+    got = {tuple(r) for r in freshness.schema_changes_by_period(freshness.type_history(obs)).collect()}
+    assert got == {
+        ("t", "c", 2001, None, "int", "added"), ("t", "c", 2002, "int", "long", "retyped"), ("t", "c", 2003, "long", None, "removed"), ("t", "c", 2005, None, "long", "added"),
+        ("t", "late", 2005, None, "int", "added"), ("u", "x", 2003, None, "int", "added"), ("u", "x", 2004, "int", None, "removed"),
+    }
+    assert freshness.schema_changes_by_period(freshness.type_history(obs.limit(0))).count() == 0

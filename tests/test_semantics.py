@@ -191,6 +191,19 @@ def test_repeated_dimension_rows_last_one_counts(spark):
     assert costing.diagnose_runs(runs, jobs, clusters, H.rates(spark, [(M5, 1.0)]), cfg).count() == 1
 
 
+def test_repeated_dimension_rows_count_once_without_any_setting(spark):
+    """No order named: the row stored last counts, for clusters, jobs and rates; an
+    ``ordinal`` column orders them where there is one."""
+    runs = H.runs(spark, [{"run_id": 1, "job_id": 1, "duration_ms": 3_600_000, "cluster_instance": {"cluster_id": "c"}}])
+    clusters = H.clusters(spark, [{"cluster_id": "c", "node_type_id": M5, "num_workers": n} for n in (3, 2)]).coalesce(1)
+    jobs = H.jobs(spark, [{"job_id": 1, "name": "a"}, {"job_id": 1, "name": "b"}]).coalesce(1)
+    rates = H.rates(spark, [(M5, 7.0), (M5, 1.0)]).coalesce(1)
+    assert [r.estimated_cost for r in costing.cost_runs(runs, jobs, clusters, rates).collect()] == [3.0]
+    assert costing.diagnose_runs(runs, jobs, clusters, rates).count() == 1
+    ordered = clusters.withColumn("ordinal", F.col("num_workers"))
+    assert [r.estimated_cost for r in costing.cost_runs(runs, jobs, ordered, rates).collect()] == [4.0]
+
+
 def test_tag_values_strip_unicode_space(spark):
     df = spark.createDataFrame([({"table": "a , a, b"},)], "tags map<string,string>")
     assert df.select(tag_values("tags", TABLE_TAG_KEYS).alias("v")).first().v == ["a", "a", "b"]

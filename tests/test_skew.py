@@ -37,8 +37,8 @@ def test_hot_job_salted_equals_broadcast(spark):
     salted = costing.cost_runs(runs, jobs, clusters, rates, CostConfig(max_broadcast_rows=0, salt_buckets=8))
     plan = salted._jdf.queryExecution().executedPlan().toString()
     assert "__salt" in plan
-    a = {r.job_id: (r.total_cost, r.run_count) for r in summaries.job_aggregate(wide).collect()}
-    b = {r.job_id: (r.total_cost, r.run_count) for r in summaries.job_aggregate(salted).collect()}
+    summed = lambda costed: {r.job_id: (r.total_cost, r.run_count) for r in summaries.job_summaries(costed, jobs).collect()}
+    a, b = summed(wide), summed(salted)
     assert a == b and a[1][1] == n // 3
     agg_plan = summaries.job_aggregate(salted)._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in agg_plan  # the hot job is pre-reduced per task before the shuffle
