@@ -34,6 +34,14 @@ def table_freshness(updates: DataFrame, sla: DataFrame, as_of: Column) -> DataFr
     )
 
 
+def daily_updates(updates: DataFrame) -> DataFrame:
+    """The log by (table, day): the last update and the rows of each day, one pass.
+    It is a log itself, with a row per table and day, for the functions here."""
+    return updates.groupBy("table_name", F.to_date("updated_at").alias("_day")).agg(
+        F.max("updated_at").alias("updated_at"), F.sum("row_count").alias("row_count")
+    ).drop("_day")
+
+
 def daily_volume(updates: DataFrame) -> DataFrame:
     """Rows per (table, day) of the update log, with 0 for the days between a
     table's first day and the log's last one that it has no update on."""

@@ -774,7 +774,7 @@ def q_job_stats(spark, sf_dir):
 def q_failure_above_fleet(spark, sf_dir):
     """B2: jobs failing more often than the fleet (>= 5 runs)."""
     O, d = _obs(spark, sf_dir)
-    s = O.job_stats(d.runs, None, d.window_start_ms, d.window_days)
+    s = O.profile_stats(O.run_profile(d.runs, d.window_start_ms))
     return O.failure_above_fleet(s, 5).select(
         "job_id", "run_count", "failure_count", _r4("failure_rate").alias("failure_rate"),
         _r4("fleet_failure_rate").alias("fleet_failure_rate"),
@@ -845,10 +845,9 @@ def q_dbus(spark, sf_dir):
 def q_health(spark, sf_dir):
     """Failing / degrading / unstable / healthy per job."""
     O, d = _obs(spark, sf_dir)
-    s = O.job_stats(d.runs, None, d.window_start_ms, d.window_days)
+    profile = O.run_profile(d.runs, d.window_start_ms)
     g = O.runtime_degradation(d.runs, d.as_of_ms, d.window_days, 0.2)
-    sp = O.duration_spread(d.runs, d.window_start_ms)
-    return O.job_health_status(s, g, sp)
+    return O.job_health_status(O.profile_stats(profile), g, O.profile_spread(profile))
 
 
 # ------------------------------------------------- B: freshness (ours)
@@ -862,13 +861,18 @@ def _health(spark, sf_dir):
     return H, X, orders
 
 
+def _updates(H, X, orders):
+    """The update log by (table, day): last updates, the clock and the volumes."""
+    return H.daily_updates(X.table_updates(orders))
+
+
 @query("table_freshness")
 def q_freshness(spark, sf_dir):
     """Last update vs SLA per table (clock = latest update)."""
     H, X, orders = _health(spark, sf_dir)
-    upd = X.table_updates(orders)
+    upd = _updates(H, X, orders)
     as_of = upd.agg(F.max("updated_at")).scalar()
-    f = H.table_freshness(upd, X.table_slas(orders), as_of)
+    f = H.table_freshness(upd, X.table_slas(upd.withColumnRenamed("table_name", "o_orderpriority")), as_of)
     return f.select(
         "table_name", "last_updated_at", "sla_hours", py_round("lag_hours", 2).alias("lag_hours"), "stale",
         py_round("hours_late", 2).alias("hours_late"),
@@ -879,7 +883,7 @@ def q_freshness(spark, sf_dir):
 def q_volume(spark, sf_dir):
     """Days whose volume fell >= 50% below the trailing 7-day mean."""
     H, X, orders = _health(spark, sf_dir)
-    a = H.volume_anomalies(H.daily_volume(X.table_updates(orders)), 7, 0.5)
+    a = H.volume_anomalies(H.daily_volume(_updates(H, X, orders)), 7, 0.5)
     return a.select("table_name", "day", "volume", _r4("expected").alias("expected"), _r4("drop_pct").alias("drop_pct"))
 
 
@@ -900,8 +904,8 @@ def q_schema_changes(spark, sf_dir):
 def q_data_issues(spark, sf_dir):
     """Stale, inconsistent and volume issues in one table."""
     H, X, orders = _health(spark, sf_dir)
-    upd = X.table_updates(orders)
-    fresh = H.table_freshness(upd, X.table_slas(orders), upd.agg(F.max("updated_at")).scalar())
+    upd = summaries.materialize(_updates(H, X, orders))  # written once, read five times
+    fresh = H.table_freshness(upd, X.table_slas(upd.withColumnRenamed("table_name", "o_orderpriority")), upd.agg(F.max("updated_at")).scalar())
     anomalies = H.volume_anomalies(H.daily_volume(upd), 7, 0.5)
     return H.data_issues(fresh, _schema_changes(spark, sf_dir), anomalies)
 
@@ -927,10 +931,11 @@ def _alerts(spark, sf_dir):
     from fleetlens.operators import observability as O
 
     d = _dash(spark, sf_dir)
-    stats = O.job_stats(d.runs, d.costed, d.window_start_ms, d.window_days).withColumnRenamed("estimated_cost", "total_cost")
+    stats = O.profile_stats(O.run_profile(d.runs, d.window_start_ms))
+    stats = stats.join(d.costed.groupBy("job_id").agg(money_sum("estimated_cost").alias("total_cost")), "job_id", "left")
     H, X, orders = _health(spark, sf_dir)
-    upd = X.table_updates(orders)
-    fresh = H.table_freshness(upd, X.table_slas(orders), upd.agg(F.max("updated_at")).scalar())
+    upd = _updates(H, X, orders)
+    fresh = H.table_freshness(upd, X.table_slas(upd.withColumnRenamed("table_name", "o_orderpriority")), upd.agg(F.max("updated_at")).scalar())
     metrics = A.melt_metrics(stats, "job", "job_id", ["failure_rate", "total_cost", "run_count"]).unionByName(
         A.melt_metrics(fresh, "table", "table_name", ["hours_late"])
     )

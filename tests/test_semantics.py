@@ -233,3 +233,34 @@ def test_percentiles_are_exact_for_large_jobs(spark):
     assert median == {j: g[math.ceil(0.5 * len(g)) - 1] for j, g in gaps.items()}
     sketch = runs.groupBy("job_id").agg(F.percentile_approx("duration_ms", 0.95, 10_000).alias("x")).collect()
     assert {r["job_id"]: r["x"] for r in sketch} != p95  # what the sketch gives is not exact here
+
+
+def test_gaps_of_a_hot_hour_and_of_equal_starts(spark):
+    """A third of all runs in one hour, many of them in the same millisecond: the
+    median as a plain sort gives it, in windows of a minute's distinct starts."""
+    from fleetlens.operators import observability as O
+
+    n = 30_000
+    i = F.col("id")
+    hot = 1_000_000 + (i * i % 9973) * 300  # within the hour, with ties
+    runs = spark.range(n).select(F.when(i % 3 == 0, 1).otherwise(i % 40 + 2).cast("long").alias("job_id"), F.when(i % 3 == 0, hot).when(i % 11 == 0, None).otherwise(i * 777_777).alias("start_time"), F.lit(1).cast("long").alias("duration_ms"), F.lit("SUCCESS").alias("result_state"))
+    by = {}
+    for r in runs.where("start_time is not null").collect():
+        by.setdefault(r["job_id"], []).append(r["start_time"])
+    gaps = {j: sorted(b - a for a, b in zip(sorted(s), sorted(s)[1:])) for j, s in by.items()}
+    got = {r["job_id"]: r["median_gap_ms"] for r in O.execution_frequency(runs, None, 30).collect()}
+    assert got == {j: g[-(-len(g) // 2) - 1] for j, g in gaps.items()}
+    each = {(r["job_id"], r["gap_ms"]): r["n"] for r in O.run_gaps(O.job_starts(runs, None)).groupBy("job_id", "gap_ms").agg(F.sum("n").alias("n")).collect()}
+    assert {k[1]: v for k, v in each.items() if k[0] == 1} == {x: gaps[1].count(x) for x in set(gaps[1])}
+
+
+def test_profile_written_or_not_gives_the_same(spark):
+    from fleetlens.operators import observability as O
+
+    runs = spark.range(5000).select((F.col("id") % 7).alias("job_id"), F.col("id").alias("start_time"), F.when(F.col("id") % 5 > 0, F.col("id") * 7919 % 1_000_003).alias("duration_ms"), F.when(F.col("id") % 4 == 0, "FAILED").otherwise("SUCCESS").alias("result_state"))
+    profile = O.run_profile(runs, None, write=True)
+    a, b = O.job_stats(runs, None, None, 30).collect(), O.job_stats(runs, None, None, 30, profile=profile).collect()
+    assert sorted(a) == sorted(b) and len(a) == 7
+    exact = {r["job_id"]: r for r in runs.groupBy("job_id").agg(F.count("duration_ms").alias("n"), F.stddev_samp("duration_ms").alias("sd")).collect()}
+    for r in O.profile_spread(profile).collect():
+        assert r["run_count"] == exact[r["job_id"]]["n"] and r["stddev_duration_ms"] == pytest.approx(exact[r["job_id"]]["sd"], rel=1e-12)
