@@ -440,9 +440,14 @@ def jaccard_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def keep_first_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Pipeline form: of each component the document with the smallest id stays
-    (one row of it; documents without words all stay)."""
-    found = jaccard_classes(docs, percent)
-    stay = found.filter("component_id = doc_id OR component_id IS NULL").select("doc_id").distinct()
-    once = docs.dropDuplicates(["doc_id", "text"]) if "text" in docs.columns else docs
-    return once.join(stay, once["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    """Pipeline form: of each component one row stays, that with the smallest doc_id
+    (NULL last). Rows are told apart by id and text, as ids may repeat; of rows equal in
+    both one stays, and documents without words are linked with nothing."""
+    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+    found = jaccard_classes(docs.select(row.alias("doc_id"), "text"), percent)
+    groups = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).distinct()
+    ids = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    stay = ids.join(groups, "row").groupBy("group").agg(first.alias("f")).select(F.col("f.row").alias("__stay"))
+    once = docs.dropDuplicates(["doc_id", "text"])
+    return once.join(stay, F.xxhash64(once["doc_id"].isNull(), once["doc_id"], once["text"]) == F.col("__stay"), "left_semi")

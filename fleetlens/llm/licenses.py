@@ -124,8 +124,19 @@ RULES = (
     ("all-rights-reserved", "proprietary", ("all-rights-reserved",)),
 )
 
-#: Every known sentence has one of these, so texts without any are skipped whole.
-TRIGGERS = ("licens", "permission", "copyright", "warrant", "as is", "redistribut", "holders", "unencumbered", "reserved")
+
+def _triggers() -> tuple[str, ...]:
+    """Words such that every known sentence holds one: the longest word of each
+    sentence that holds none yet, shorter sentences first. Texts without any are
+    skipped whole."""
+    out: list[str] = []
+    for form in sorted((f.rstrip("* ") for forms in SENTENCES.values() for f in forms), key=lambda f: (len(f.split()), f)):
+        if not any(t in form for t in out):
+            out.append(max(form.split(), key=len))
+    return tuple(out)
+
+
+TRIGGERS = _triggers()
 
 
 def _tables() -> tuple[dict[str, str], list[tuple[str, str]]]:

@@ -108,7 +108,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     Decisions are made on narrow rows; texts are shuffled once, by a hash of the
     row. Rows that are equal in all columns share their decisions."""
     columns = docs.columns
-    key = F.xxhash64(*columns)
+    # maps cannot be hashed; their text can
+    key = F.xxhash64(*[F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields])
     narrow = docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size"), key.alias("_key"))
     mixed = pareto_mix(narrow, keep=("_key",)).filter("taken > 0")
     mixed = mixed.groupBy("_key").agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"))

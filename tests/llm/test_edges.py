@@ -46,6 +46,21 @@ def test_jaccard(docs, empty):
     assert jaccard_join.jaccard_classes(empty).count() == 0
 
 
+def test_near_copies_are_told_apart_by_row_not_by_id(spark):
+    """Ids may repeat or be missing: one row of each group stays, whatever its id."""
+    a = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (5, " ".join([*a, "x"])), (5, " ".join(f"b{i}" for i in range(40))), (None, " ".join([*a, "y"])), (None, "")]
+    df = spark.createDataFrame([(i, t, {"k": str(n)}) for n, (i, t) in enumerate(rows)], "doc_id long, text string, tags map<string,string>").repartition(3)
+    left = jaccard_join.keep_first_of_each(df)
+    assert left.columns == df.columns and {(r["doc_id"], r["text"]) for r in left.collect()} == {rows[0], rows[2], rows[4]}
+
+
+def test_mixing_takes_map_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", "s", {"k": "v"}), (2, "d e", "t", None), (2, "d e", "t", {})], "doc_id long, text string, source string, tags map<string,string>")
+    mixed = mixing.mix_documents(df)
+    assert mixed.columns == df.columns and {r["doc_id"] for r in mixed.collect()} <= {1, 2}
+
+
 def test_near_copies_in_one_large_group(spark):
     """Many edited copies of one text: all linked through the original."""
     rng = np.random.default_rng(3)

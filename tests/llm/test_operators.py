@@ -365,3 +365,14 @@ def test_pieces_give_the_librarys_ids():
     for _ in range(2):
         flat, n = encoder.encode(odd)
         assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in odd]
+
+
+def test_every_license_sentence_has_a_trigger(spark):
+    """No known sentence is skipped by the prefilter, and each is found on its own."""
+    from fleetlens.llm.licenses import SENTENCES, TRIGGERS, license_scan
+
+    forms = [f.rstrip("* ") for forms in SENTENCES.values() for f in forms]
+    assert all(any(t in f for t in TRIGGERS) for f in forms)
+    notices = [f for i, forms in SENTENCES.items() if i.endswith("-notice") for f in (x.rstrip("* ") for x in forms)]
+    df = spark.createDataFrame(list(enumerate(f"Some text.\n{f.capitalize()}.\nMore." for f in notices)), "doc_id long, text string")
+    assert {r["doc_id"] for r in license_scan(df).collect()} == set(range(len(notices)))
