@@ -14,13 +14,18 @@ in. By the pigeonhole principle a linked pair agrees on some segment among any
   sets share, come last.
 * Keys of all segments go to buckets as packed arrays; a bucket task sorts its
   keys and reports classes that meet under a key.
-* Candidates are verified exactly, on the whole sets, in two rounds: first every
-  class against the few others it meets most often, then classes that met and
-  are still in different components, in blocks: a task takes two blocks of a
-  bounded size, compares the sets of different components and reports the few
-  links that join them. Pairs inside a component cannot change the result and
-  are not tested, so no link between components is lost and no group of copies
-  is expanded into pairs.
+* Candidates are verified exactly, on the whole sets. First every class against
+  the few others it meets most often. Then, in rounds, what met under a key and
+  is still in different components: small groups pair by pair, the members of
+  larger ones against one pivot P, a class that many of them met most often.
+  The differences to the pivot settle the rest: with A = x - P and R = P - x,
+  two sets that do not both link with P can only link if they share an element
+  of A, or, where one is shorter than P, enough elements of R
+  (``_difference_keys`` has the bounds). Classes that share such elements form
+  the groups of the next round. So a family of near copies costs rows in its
+  members, not in their pairs. What ROUNDS rounds leave goes to blocks of a
+  bounded size, compared block by block. Pairs inside a component cannot change
+  the result and are not tested; no link between components is lost.
 
 Documents with equal sets form one class from the start; a task sends each
 class once. Shingles are compared by 64-bit hashes.
@@ -48,8 +53,12 @@ WORDS = 5
 NEIGHBOURHOOD_SIZE = 40
 #: Classes each class is verified against in the first round.
 FIRST_PARTNERS = 3
-#: Classes and shingles of a block of the second round.
+#: Rounds of comparing with pivots; groups up to SMALL_GROUP are compared pair by pair.
+ROUNDS, SMALL_GROUP = 5, 8
+#: Classes and shingles of a block, for what the rounds leave.
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 200_000
+#: Classes of a group in one row.
+CHUNK = 4096
 #: Keys a task gathers before it sends them.
 FLUSH_KEYS = 800_000
 
@@ -178,6 +187,17 @@ def bucket_values(spark: SparkSession, n: int) -> list[int]:
     return [r["id"] for r in sorted(got, key=lambda r: r["p"])]
 
 
+def _packet(held: list[tuple[np.ndarray, np.ndarray]], buckets: np.ndarray) -> pa.RecordBatch:
+    """Gathered keys and their tags, one row per bucket; empties ``held``."""
+    key, tag = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    to = (key >> U64(32)).astype(np.int64) % len(buckets)
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(len(buckets) + 1))
+    rows = [(int(buckets[k]), key[order[i:j]].tobytes(), tag[order[i:j]].tobytes()) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "keys", "tags"])
+
+
 def _send(values: list[int]):
     buckets = np.array(values, np.int64)
 
@@ -186,15 +206,6 @@ def _send(values: list[int]):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n = 0
 
-        def flush():
-            key, tag = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            to = (key >> U64(32)).astype(np.int64) % len(buckets)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(len(buckets) + 1))
-            rows = [(int(buckets[k]), key[order[i:j]].tobytes(), tag[order[i:j]].tobytes()) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "keys", "tags"])
-
         for b in batches:
             texts = _lower(b["text"])
             for i, j in slices(texts):
@@ -210,17 +221,22 @@ def _send(values: list[int]):
                 held.append((key, np.array([c for c, _ in new], U64)[who] << U64(2) | flag.astype(U64)))
                 n += len(key)
                 if n >= FLUSH_KEYS:
-                    yield flush()
+                    yield _packet(held, buckets)
                     n = 0
         if held:
-            yield flush()
+            yield _packet(held, buckets)
 
     return send
 
 
+MET_COLUMNS = ["a", "b", "n_keys", "n_two", "g", "members"]
+MET = "a long, b long, n_keys long, n_two long, g long, members binary"
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Classes that meet under a key: pairs of each group's centre with the others
-    (a, b, number of keys), and groups of three or more as arrays."""
+    (a, b, number of keys, of these with no third class), and groups of three or
+    more (g, a fingerprint of the group, and its classes in chunks)."""
     keys, tags = [], []
     for b in batches:
         keys += [np.frombuffer(x, U64) for x in b["keys"].to_pylist()]
@@ -259,17 +275,28 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = a[order], b[order]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
     n = np.diff(np.concatenate([first, [len(a)]]))
-    none = pa.nulls(len(first), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(n, pa.int64()), none], ["a", "b", "n_keys", "members"])
-    groups: set[bytes] = set()
-    for g in np.flatnonzero(looked & (size > 2)).tolist():
-        i = head[g]
-        groups.add(who[i : i + size[g]].tobytes())
-    some = list(groups)
-    for k in range(0, len(some), 1000):
-        part = some[k : k + 1000]
-        zero = pa.nulls(len(part), pa.int64())
-        yield pa.RecordBatch.from_arrays([zero, zero, zero, pa.array(part, pa.binary())], ["a", "b", "n_keys", "members"])
+    two = np.add.reduceat((size[of[other]][order] == 2).astype(np.int64), first) if len(first) else n
+    none, empty = pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(n, pa.int64()), pa.array(two, pa.int64()), none, empty], MET_COLUMNS)
+    groups: set[int] = set()
+    held: list[tuple[int, bytes]] = []
+
+    def rows() -> pa.RecordBatch:
+        zero = pa.nulls(len(held), pa.int64())
+        out = pa.RecordBatch.from_arrays([zero, zero, zero, zero, pa.array([g for g, _ in held], pa.int64()), pa.array([m for _, m in held], pa.binary())], MET_COLUMNS)
+        held.clear()
+        return out
+
+    for i in np.flatnonzero(looked & (size > 2)).tolist():
+        classes = who[head[i] : head[i] + size[i]]
+        g = set_class(classes.view(U64))
+        if g not in groups:
+            groups.add(g)
+            held += [(g, classes[k : k + CHUNK].tobytes()) for k in range(0, len(classes), CHUNK)]
+            if len(held) >= 1000:
+                yield rows()
+    if held:
+        yield rows()
 
 
 def _verify(percent: int):
@@ -317,22 +344,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("class", "label")
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(p, q, class): classes to compare in a pair of blocks, as they meet a class
-    of another component there whose size allows a link (4/5 at least)."""
-    for batch in batches:
-        found: set[tuple[int, int, int]] = set()
-        for members in batch["m"]:
-            fields = members.values
-            who, block, label, n = (fields.field(k).to_numpy() for k in ("class", "block", "label", "n"))
-            for i in range(len(block)):
-                ok = (label != label[i]) & (5 * n >= 4 * n[i]) & (4 * n <= 5 * n[i])
-                own = int(block[i])
-                found.update((min(own, q), max(own, q), int(who[i])) for q in np.unique(block[ok]).tolist())
-        p, q, c = zip(*sorted(found), strict=True) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64()), pa.array(c, pa.int64())], ["p", "q", "class"])
-
-
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for g, m in zip(batch["g"].to_pylist(), batch["members"].to_pylist(), strict=True):
@@ -340,6 +351,76 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), g)), pa.array(x)], ["g", "class"])
 
 
+def _small_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for m in batch["members"].to_pylist():
+            x = np.frombuffer(m, np.int64)
+            i, j = np.triu_indices(len(x), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x[i]), pa.array(x[j])], ["a", "b"])
+
+
+def _in_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, pivot, sizes of both, shingles they share)"""
+    for batch in batches:
+        rows = []
+        for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
+            x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+            both = np.concatenate([x, y])
+            both.sort()
+            rows.append((len(x), len(y), int(np.count_nonzero(both[1:] == both[:-1]))))
+        n, m, common = (pa.array(v, pa.int64()) for v in (zip(*rows, strict=True) if rows else ((), (), ())))
+        yield pa.RecordBatch.from_arrays([batch["class"], batch["pivot"], n, m, common], ["class", "pivot", "n", "m", "common"])
+
+
+def _difference_keys(values: list[int], percent: int):
+    """Keys under which classes x, y of one pivot P meet if they link and do not
+    both link with P. A = x - P, a = |A|, R = P - x, r = |R|, k = r - a (how much
+    shorter x is than P); sets link if their difference d and sizes s fulfil
+    (100 + percent) d <= (100 - percent) s. The excess of x over that against P is
+    E = (100 + percent)(a + r) - (100 - percent)(|x| + |P|), positive if x does not
+    link with P; let x be such a one.
+
+    If x and y share nothing of A, they differ in a_x + a_y + |R_x ^ R_y|, at least
+    a_x + r_x - k_y shingles; a link then needs E_x <= 2 percent k_y. Such y are
+    shorter than P, and the two share at least E_x / (2 percent) and
+    (2 percent a_y + 200 r_y) / (2 (100 + percent)) shingles of R. So all of A are
+    keys, and of R (in the order of a hash) the first r - o + 1, o being that
+    least number: the first shared one is among them on both sides. They are sent
+    only where the pivot has classes short enough (``k_most``, ``e_least``)."""
+    buckets = np.array(values, np.int64)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            for c, p, k_most, e_least, x, y in zip(*(batch[f].to_pylist() for f in ("class", "pivot", "k_most", "e_least", "set_a", "set_b")), strict=True):
+                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                added, removed = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                a, r = len(added), len(removed)
+                excess = (100 + percent) * (a + r) - (100 - percent) * (len(x) + len(y))
+                salt = mix64(np.array([p], np.int64).view(U64))
+                tag = np.int64(c).astype(U64) << U64(2)
+                held.append((mix64(added ^ salt), np.full(a, tag | U64(3 if excess > 0 else 1))))
+                looks = shown = 0
+                if 0 < excess <= 2 * percent * k_most:
+                    looks = r + 1 + (-excess // (2 * percent))
+                if r > a and e_least is not None and 2 * percent * (r - a) >= e_least:
+                    shown = r + 1 + (-(2 * percent * a + 200 * r) // (2 * (100 + percent)))
+                if max(looks, shown) > 0:
+                    key = np.sort(mix64(removed + _SPACE))[: max(looks, shown)]
+                    place = np.arange(len(key))
+                    flags = np.where(place < looks, 2, 0) + np.where(place < shown, 1, 0)
+                    held.append((mix64(key ^ salt ^ _SPACE), tag | flags.astype(U64)))
+                size += a + max(looks, shown, 0)
+                if size >= FLUSH_KEYS:
+                    yield _packet(held, buckets)
+                    size = 0
+        if size:
+            yield _packet(held, buckets)
+
+    return send
+
+
 def _link_blocks(percent: int):
     """Links between classes of different components of two blocks: enough of
     them to join what is linked, each tested on the whole sets."""
@@ -381,6 +462,91 @@ def _link_blocks(percent: int):
     return link
 
 
+def centre_pairs(met: DataFrame) -> DataFrame:
+    return met.filter("a IS NOT NULL").groupBy("a", "b").agg(F.sum("n_keys").alias("n_keys"), F.sum("n_two").alias("n_two"))
+
+
+def with_sets(compared: DataFrame, sets: DataFrame) -> DataFrame:
+    """(class, pivot, ...) with the sets of both."""
+    own = sets.select("class", F.col("shingles").alias("set_a"))
+    other = sets.select(F.col("class").alias("pivot"), F.col("shingles").alias("set_b"))
+    return compared.join(own, "class").join(other, "pivot")
+
+
+def settle(met: DataFrame, pairs: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Labels of the components once every link between classes that met is in
+    them (``met`` and ``pairs`` as ``_meet`` found them; both are discarded)."""
+    spark = sets.sparkSession
+    n = shuffle_partitions(spark)
+    buckets = bucket_values(spark, n)
+    classes = materialize(sets.select("class", (F.octet_length("shingles") / 8).cast("long").alias("n")), "sizes")
+    for k in range(ROUNDS + 1):
+        if not pairs.limit(1).count():
+            break
+        hub = pairs.groupBy(F.col("b").alias("class")).agg(F.max_by("a", F.struct("n_keys", "a")).alias("hub"))
+        info = classes.join(labels, "class", "left").join(hub, "class", "left")
+        info = info.select("class", "n", F.coalesce("label", "class").alias("label"), F.coalesce("hub", "class").alias("hub"))
+        popular = info.groupBy("hub").agg(F.count("*").alias("liked"))
+        info = materialize(info.join(popular, "hub"), "partners")
+        groups = met.filter("g IS NOT NULL").select("g", "members").distinct()
+        two = pairs.filter("n_two > 0").select("a", "b")
+        named = info.select("class", "label", "hub", "liked")
+        found = groups.mapInArrow(_members, "g long, class long").join(named, "class").groupBy("g")
+        found = found.agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("liked", "hub")).alias("pivot"))
+        mixed = materialize(found.filter("lo <> hi").select("g", "size", F.col("pivot.hub").alias("pivot")), "mixed")
+        mixed_groups = groups.join(mixed, "g")
+        if k == ROUNDS:
+            return components(links.union(materialize(block_links(mixed_groups, two, info, sets, percent), "links")))
+
+        # small groups pair by pair
+        near = mixed_groups.filter(F.col("size") <= SMALL_GROUP).select("members").mapInArrow(_small_pairs, "a long, b long").union(two).distinct()
+        side = info.select("class", "label", "n")
+        near = near.join(side.toDF("a", "la", "na"), "a").join(side.toDF("b", "lb", "nb"), "b")
+        near = near.filter("la <> lb AND 5 * na >= 4 * nb AND 5 * nb >= 4 * na")
+        new = materialize(verified(near, sets, percent), "links")
+        # larger ones against their pivots
+        large = mixed_groups.filter(F.col("size") > SMALL_GROUP).select(F.col("pivot").alias("g"), "members")
+        compared = large.mapInArrow(_members, "g long, class long").distinct().select("class", F.col("g").alias("pivot"))
+        common = materialize(with_sets(compared, sets).mapInArrow(_in_common, "class long, pivot long, n long, m long, common long"), "common")
+        excess = (100 + percent) * (F.col("n") + F.col("m") - 2 * F.col("common")) - (100 - percent) * (F.col("n") + F.col("m"))
+        common = common.withColumn("excess", excess)
+        star = common.filter("excess <= 0 AND class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b"))
+        links = materialize(links.union(new).union(star).distinct(), "links")
+        labels = components(links)
+        if not common.limit(1).count():
+            return labels
+
+        # what may still link within a pivot's classes
+        state = common.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        open_pivots = state.groupBy("pivot").agg(
+            F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.col("m") - F.col("n")).alias("k_most"), F.min(F.when(F.col("excess") > 0, F.col("excess"))).alias("e_least")
+        )
+        left = common.join(open_pivots.filter("lo <> hi"), "pivot").select("class", "pivot", "k_most", "e_least")
+        left = with_sets(left, sets).mapInArrow(_difference_keys(buckets, percent), "bucket long, keys binary, tags binary")
+        discard(met, pairs, info, mixed)
+        met = materialize(left.repartition(n, "bucket").mapInArrow(_meet, MET), "met")
+        pairs = materialize(centre_pairs(met), "pairs")
+    return labels
+
+
+def block_links(groups: DataFrame, two: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join components among the members of ``groups`` and the pairs
+    ``two``: the members in blocks of a bounded number of shingles, two at a time."""
+    members = groups.select("g", "members").mapInArrow(_members, "g long, class long")
+    members = members.union(two.select(F.xxhash64("a", "b").alias("g"), F.explode(F.array("a", "b")).alias("class")))
+    there = info.join(members.select("class").distinct(), "class")
+    parts = there.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    there = there.join(parts, "hub").select("class", "label", F.xxhash64("hub", F.pmod(F.xxhash64("class"), "parts")).alias("block"))
+    there = materialize(there, "blocks")
+    meets = materialize(members.join(there, "class").groupBy("g", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "meets")
+    other = meets.select("g", F.col("block").alias("q"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"))
+    both = meets.withColumnRenamed("block", "p").join(other, "g").filter("p <= q AND (lo <> hi OR qlo <> qhi OR lo <> qlo)").select("p", "q").distinct()
+    sides = both.select("p", "q", F.explode(F.when(F.col("p") == F.col("q"), F.array("p")).otherwise(F.array("p", "q"))).alias("block"))
+    blocks = sides.join(there, "block").join(sets.select("class", "shingles"), "class")
+    blocks = blocks.select("p", "q", F.when(F.col("block") == F.col("p"), 0).otherwise(1).alias("side"), "class", "label", "shingles")
+    return blocks.groupBy("p", "q").applyInArrow(_link_blocks(percent), "a long, b long")
+
+
 def jaccard_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id. ``percent`` is 80 or
     more (the bounds above are those of 80)."""
@@ -392,8 +558,8 @@ def jaccard_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     own = materialize(docs.mapInArrow(_classes, "doc_id long, n_shingles long, class long"), "classes")
     n = shuffle_partitions(spark)
     sent = docs.mapInArrow(_send(bucket_values(spark, n)), "bucket long, keys binary, tags binary")
-    met = materialize(sent.repartition(n, "bucket").mapInArrow(_meet, "a long, b long, n_keys long, members binary"), "met")
-    pairs = materialize(met.filter("a IS NOT NULL").groupBy("a", "b").agg(F.sum("n_keys").alias("n_keys")), "pairs")
+    met = materialize(sent.repartition(n, "bucket").mapInArrow(_meet, MET), "met")
+    pairs = materialize(centre_pairs(met), "pairs")
 
     # the sets of the classes that met any other
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
@@ -407,29 +573,8 @@ def jaccard_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     links = materialize(verified(first, sets, percent), "links")
     labels = components(links)
 
-    # second round: whatever met and is still in different components, in blocks
-    # of a bounded number of shingles
-    best = pairs.groupBy(F.col("b").alias("class")).agg(F.max_by("a", F.struct("n_keys", "a")).alias("hub"))
-    info = sets.select("class", (F.octet_length("shingles") / 8).alias("n")).join(labels, "class", "left").join(best, "class", "left")
-    info = materialize(info.select("class", "n", F.coalesce("label", "class").alias("label"), F.coalesce("hub", "class").alias("hub")), "partners")
-    # two steps towards the component that a class has most in common with, so
-    # the unlinked copies of a text share blocks with the linked ones
-    onward = info.select(F.col("class").alias("hub"), F.col("label").alias("home"))
-    near = materialize(info.join(onward, "hub").select("class", "n", "label", "home"), "homes")
-    onward = near.select(F.col("class").alias("home"), F.col("home").alias("family"))
-    near = near.join(onward, "home")
-    parts = near.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-    info = near.join(parts, "family").select("class", "label", F.col("n").cast("long").alias("n"), F.xxhash64("family", F.pmod(F.xxhash64("class"), "parts")).alias("block"))
-    info = materialize(info, "blocks")
-    groups = met.filter("members IS NOT NULL").select("members").distinct().select(F.xxhash64("members").alias("g"), "members")
-    pairs_too = pairs.select(F.xxhash64("a", "b").alias("g"), F.explode(F.array("a", "b")).alias("class"))
-    members = groups.mapInArrow(_members, "g long, class long").union(pairs_too).join(info, "class")
-    mixed = members.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.collect_list(F.struct("class", "block", "label", "n")).alias("m")).filter("lo <> hi")
-    meeting = mixed.select("m").mapInArrow(_block_pairs, "p long, q long, class long").distinct()
-    blocks = meeting.join(info, "class").join(sets.select("class", "shingles"), "class")
-    blocks = blocks.select("p", "q", F.when(F.col("block") == F.col("p"), 0).otherwise(1).alias("side"), "class", "label", "shingles")
-    more = blocks.groupBy("p", "q").applyInArrow(_link_blocks(percent), "a long, b long")
-    labels = components(links.union(materialize(more, "links")))
+    # then whatever met and is still in different components
+    labels = settle(met, pairs, sets, links, labels, percent)
 
     # the smallest id of each component
     named = own.groupBy("class").agg(F.min("doc_id").alias("least")).join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))

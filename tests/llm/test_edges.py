@@ -61,18 +61,34 @@ def test_mixing_takes_map_columns(spark):
     assert mixed.columns == df.columns and {r["doc_id"] for r in mixed.collect()} <= {1, 2}
 
 
-def test_near_copies_in_one_large_group(spark):
-    """Many edited copies of one text: all linked through the original."""
+def _family(kind, n=400):
+    """Edited copies of one text: ``near`` are all linked through the original, ``far``
+    mostly not, ``cut`` lose words or ends of it, so that links miss the original, and
+    ``nested`` are copies of copies."""
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
-    rows = [(0, " ".join(base))]
-    for i in range(1, 400):
-        w = list(base)
-        for k in rng.integers(0, 120, int(rng.integers(1, 5))):
-            w[k] = f"x{i}_{k}"
+    rows, made = [(0, " ".join(base))], [base]
+    for i in range(1, n):
+        w = list(made[int(rng.integers(0, min(len(made), 12)))] if kind == "nested" else base)
+        if kind == "cut":
+            start, end = int(rng.integers(0, 25)), int(rng.integers(95, 121))
+            w = [x for x in w[start:end] if rng.random() > 0.02]
+        for k in rng.integers(0, len(w), int(rng.integers(*{"near": (1, 5), "far": (3, 14), "cut": (0, 3), "nested": (2, 6)}[kind]))):
+            w[k] = f"x{int(rng.integers(0, 3)) if kind != 'near' else i}_{k}"
+        made.append(w)
         rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("rounds", [jaccard_join.ROUNDS, 0])
+@pytest.mark.parametrize("kind", ["near", "far", "cut", "nested"])
+def test_near_copies_in_one_large_group(spark, monkeypatch, kind, rounds):
+    """Families of near copies, linked to the original or not, by rounds or by blocks."""
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 64)
+    rows = _family(kind)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(116)} for i, t in rows}
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
     parent = {i: i for i in sets}
 
     def find(x):
