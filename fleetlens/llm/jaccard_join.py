@@ -502,19 +502,22 @@ def settle(met: DataFrame, pairs: DataFrame, sets: DataFrame, links: DataFrame,
         near = mixed_groups.filter(F.col("size") <= SMALL_GROUP).select("members").mapInArrow(_small_pairs, "a long, b long").union(two).distinct()
         side = info.select("class", "label", "n")
         near = near.join(side.toDF("a", "la", "na"), "a").join(side.toDF("b", "lb", "nb"), "b")
-        near = near.filter("la <> lb AND 5 * na >= 4 * nb AND 5 * nb >= 4 * na")
+        near = materialize(near.filter("la <> lb AND 5 * na >= 4 * nb AND 5 * nb >= 4 * na").select("a", "b"), "near")
         new = materialize(verified(near, sets, percent), "links")
         # larger ones against their pivots
         large = mixed_groups.filter(F.col("size") > SMALL_GROUP).select(F.col("pivot").alias("g"), "members")
-        compared = large.mapInArrow(_members, "g long, class long").distinct().select("class", F.col("g").alias("pivot"))
-        common = materialize(with_sets(compared, sets).mapInArrow(_in_common, "class long, pivot long, n long, m long, common long"), "common")
-        excess = (100 + percent) * (F.col("n") + F.col("m") - 2 * F.col("common")) - (100 - percent) * (F.col("n") + F.col("m"))
-        common = common.withColumn("excess", excess)
-        star = common.filter("excess <= 0 AND class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b"))
-        links = materialize(links.union(new).union(star).distinct(), "links")
-        labels = components(links)
-        if not common.limit(1).count():
-            return labels
+        last = not mixed.filter(F.col("size") > SMALL_GROUP).limit(1).count()
+        if not last:
+            compared = large.mapInArrow(_members, "g long, class long").distinct().select("class", F.col("g").alias("pivot"))
+            common = materialize(with_sets(compared, sets).mapInArrow(_in_common, "class long, pivot long, n long, m long, common long"), "common")
+            excess = (100 + percent) * (F.col("n") + F.col("m") - 2 * F.col("common")) - (100 - percent) * (F.col("n") + F.col("m"))
+            common = common.withColumn("excess", excess)
+            new = new.union(common.filter("excess <= 0 AND class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")))
+        if new.limit(1).count():
+            links = materialize(links.union(new).distinct(), "links")
+            labels = components(links)
+        if last:
+            break
 
         # what may still link within a pivot's classes
         state = common.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))

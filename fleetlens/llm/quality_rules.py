@@ -170,7 +170,8 @@ def quality_rules(docs: DataFrame, cfg: QualityConfig = QualityConfig(), text_co
 
 def keep_documents(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
     """Pipeline form: rejected documents go, kept ones continue with their
-    cleaned text, in the columns of ``docs`` (``n_chars`` follows the text)."""
+    cleaned text, in the columns of ``docs`` (``n_chars`` follows the text). The
+    written verdicts (``_llm_reads``) may be discarded once the result is written."""
     columns = docs.columns
     # the row travels as a struct, so its columns cannot clash with those made
     # here; verdicts are written before they are filtered on, as a filter would
@@ -180,4 +181,6 @@ def keep_documents(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> Dat
     out["text"] = F.col("clean_text").alias("text")
     if "n_chars" in columns:
         out["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return judged.filter("kept").select(*[out[c] for c in columns])
+    kept = judged.filter("kept").select(*[out[c] for c in columns])
+    kept._llm_reads = judged
+    return kept
