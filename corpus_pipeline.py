@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm.common import documents, materialize
+from fleetlens.llm.common import discard, documents, materialize
 from fleetlens.llm.decontamination import drop_leaking
 from fleetlens.llm.jaccard_join import keep_first_of_each
 from fleetlens.llm.mixing import mix_documents
@@ -22,11 +22,28 @@ from fleetlens.llm.quality_rules import keep_documents
 from fleetlens.llm.token_files import op7_token_files
 
 
+#: Written verdicts of quality(), which nothing reads once its result is written.
+_verdicts: list[DataFrame] = []
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_documents(docs)
+    kept = keep_documents(docs)
+    _verdicts.append(kept._llm_reads)
+    return kept
+
+
+def _discard_verdicts(spark: SparkSession, docs: DataFrame) -> None:
+    """Delete the verdicts that ``docs`` doesn't read itself, as the written and
+    reread result of quality() doesn't."""
+    read = docs.inputFiles()
+    for df in [v for v in _verdicts if not any(v._llm_path.rsplit("/", 1)[-1] in f for f in read)]:
+        if df.sparkSession is spark:
+            discard(df)
+        _verdicts[:] = [v for v in _verdicts if v is not df]
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _discard_verdicts(spark, docs)
     return keep_first_of_each(docs)
 
 
