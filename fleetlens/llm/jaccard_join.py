@@ -54,7 +54,7 @@ NEIGHBOURHOOD_SIZE = 40
 #: Classes each class is verified against in the first round.
 FIRST_PARTNERS = 3
 #: Rounds of comparing with pivots; groups up to SMALL_GROUP are compared pair by pair.
-ROUNDS, SMALL_GROUP = 5, 8
+ROUNDS, SMALL_GROUP = 2, 8
 #: Classes and shingles of a block, for what the rounds leave.
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 200_000
 #: Classes of a group in one row.
