@@ -202,7 +202,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int64()), ("path", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = ordered.repartitionByRange(shuffle_partitions(spark), F.asc_nulls_first("doc_id"))
+    # rows of one id are cut by text, equal rows (in any order the same) by chance
+    ordered = ordered.repartitionByRange(shuffle_partitions(spark), F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.rand(7))
     ordered = ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text")).withColumn("shard", F.spark_partition_id().cast("long"))
     manifest = materialize(ordered.mapInArrow(write, MANIFEST), "manifest")
     # one row per shard
