@@ -14,12 +14,16 @@ an item share its q-grams. The bound is a lemma: no leak is lost.
 
 The q-grams of the benchmark are a small table; it is sent to the tasks in blocks
 of at most ``block_grams``, each block against all documents, whatever its size.
-Documents are read whole, are never shuffled, and no pair of all is formed.
+Documents are read whole, are never shuffled, and no pair of all is formed. What a
+task finds is worked on in runs of about ``hits`` entries, which overlap by the
+longest match, so that a passage in many items and documents takes bounded memory.
 
 Edge cases: NULL and empty texts leak nothing; items with fewer than
-``min_length`` normalised characters are left out, as they occur by chance;
-equal items are reported each; rows with equal ids are reported each; empty
-tables give an empty result; other columns are ignored.
+``min_length`` normalised characters occur by chance, so only a document that is
+such an item as a whole leaks it; items without a letter or digit are left out;
+items with a NULL id are searched too and reported with NULL; equal items are
+reported each; rows with equal ids are reported each; empty tables give an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +43,9 @@ from .hashing import slices, window_hashes
 LEAKS = "doc_id long, item_id long, n_windows long, min_edits long, first_at long"
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
+#: Characters of a window that are aligned first, from its end.
+LOOK = 24
+
 
 @dataclass(frozen=True)
 class LeakConfig:
@@ -49,6 +56,7 @@ class LeakConfig:
     band: int = 8
     min_length: int = 24
     block_grams: int = 2_000_000
+    hits: int = 1_000_000
 
 
 def normalise(text: str | None) -> bytes:
@@ -59,7 +67,7 @@ def normalise(text: str | None) -> bytes:
 class Index:
     """Items of a block, one text after the other, and their q-grams."""
 
-    ids: np.ndarray  # id of each item
+    ids: list[int | None]  # id of each item
     text: np.ndarray  # bytes of all items
     begin: np.ndarray  # where each item begins, and the end
     size: np.ndarray  # length of each item's windows
@@ -70,13 +78,19 @@ class Index:
     entry_item: np.ndarray
     entry_place: np.ndarray
     maybe: np.ndarray  # filter by a hash's top bits
+    short: dict[bytes, list[int | None]]  # ids of the items under min_length, by their text
 
 
 def gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
     return window_hashes(data.astype(U64) + U64(1), q)
 
 
-def build_index(items: list[tuple[int, bytes]], cfg: LeakConfig) -> Index:
+def build_index(items: list[tuple[int | None, bytes]], cfg: LeakConfig) -> Index:
+    short: dict[bytes, list[int | None]] = {}
+    for i, text in items:
+        if 0 < len(text) < cfg.min_length:
+            short.setdefault(text, []).append(i)
+    items = [(i, text) for i, text in items if len(text) >= cfg.min_length]
     edits = []
     for _, text in items:
         n = min(cfg.window, len(text))
@@ -98,15 +112,12 @@ def build_index(items: list[tuple[int, bytes]], cfg: LeakConfig) -> Index:
     length = np.array([len(t) for t in texts], np.int64)
     size = np.minimum(length, cfg.window)
     text = np.concatenate(texts) if texts else np.empty(0, np.uint8)
-    return Index(np.array([i for i, _ in items], np.int64), text, np.concatenate([[0], np.cumsum(length)]), size, e, size + 1 - cfg.q * (e + 1), grams, np.append(first, len(every)), item, place, maybe)
+    return Index([i for i, _ in items], text, np.concatenate([[0], np.cumsum(length)]), size, e, size + 1 - cfg.q * (e + 1), grams, np.append(first, len(every)), item, place, maybe, short)
 
 
-def candidate_bands(data: np.ndarray, index: Index, cfg: LeakConfig, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item, start of the window, band number) of the windows that reach the
-    bound in a band of diagonals; band k has the diagonals from k * band, band +
-    edits of them."""
-    none = np.empty(0, np.int64)
-    at, gram = [], []
+def known_grams(data: np.ndarray, index: Index, cfg: LeakConfig, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the text, number) of the q-grams that occur in an item."""
+    at, gram = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for start in range(0, max(len(data) - cfg.q + 1, 0), chunk):
         h = gram_hashes(data[start : start + chunk + cfg.q - 1], cfg.q)
         some = np.flatnonzero(index.maybe[h >> U64(44)])
@@ -115,9 +126,28 @@ def candidate_bands(data: np.ndarray, index: Index, cfg: LeakConfig, chunk: int
         hit = index.grams[g] == h[some]
         at.append(some[hit] + start)
         gram.append(g[hit])
-    if not at:
-        return none, none, none
-    at, gram = np.concatenate(at), np.concatenate(gram)
+    return np.concatenate(at), np.concatenate(gram)
+
+
+def hit_runs(at: np.ndarray, gram: np.ndarray, index: Index, cfg: LeakConfig) -> Iterator[tuple[int, int]]:
+    """Runs of known q-grams with about ``hits`` entries (or a stretch of text of
+    twice the longest match); a run begins so far before the end of the one before
+    it that the q-grams of every match lie whole in one of them."""
+    reach = cfg.window + cfg.band + 2 * cfg.edits
+    total = np.concatenate([[0], np.cumsum(index.first[gram + 1] - index.first[gram])])
+    i = j = 0
+    while j < len(at):
+        j = max(int(np.searchsorted(total, total[i] + cfg.hits, "right")) - 1, int(np.searchsorted(at, at[i] + 2 * reach)))
+        yield i, j
+        if j < len(at):
+            i = int(np.searchsorted(at, at[j] - reach))
+
+
+def candidate_bands(at: np.ndarray, gram: np.ndarray, index: Index, cfg: LeakConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, start of the window, band number) of the windows that reach the
+    bound in a band of diagonals; band k has the diagonals from k * band, band +
+    edits of them."""
+    none = np.empty(0, np.int64)
     n = index.first[gram + 1] - index.first[gram]
     entry = np.arange(n.sum()) + np.repeat(index.first[gram] - (np.cumsum(n) - n), n)
     item, place = index.entry_item[entry], index.entry_place[entry]
@@ -154,50 +184,69 @@ def candidate_bands(data: np.ndarray, index: Index, cfg: LeakConfig, chunk: int
 
 
 def align(data: np.ndarray, index: Index, item: np.ndarray, start: np.ndarray, band: np.ndarray, cfg: LeakConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits of each window within its band, and where that match ends.
+    """Least edits of each window within its band, and where that match ends; a
+    window with more edits than allowed may get a large number instead.
 
-    All candidates of one window length advance together, a row per window
-    character, holding only the diagonals of the band and its margins."""
+    All candidates of one window length advance together, character by character,
+    holding only the diagonals of the band and its margins. First their last
+    ``LOOK`` characters are aligned from the end: a window whose end costs too much
+    (as where a passage stops being the same) need not be aligned whole."""
     best, end = np.full(len(item), 1 << 30), np.zeros(len(item), np.int64)
-    size, begin = index.size[item], index.begin[item] + start
+    size, begin, edits = index.size[item], index.begin[item] + start, index.edits[item]
     width = cfg.band + 3 * cfg.edits
-    padded = np.concatenate([np.zeros(cfg.window + 2 * width, np.uint8), data, np.zeros(cfg.window + 2 * width, np.uint8)])
     shift = cfg.window + 2 * width
-    step = np.arange(width)
+    padded = np.concatenate([np.zeros(shift, np.uint8), data, np.zeros(shift, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, width)
+    step = np.arange(width, dtype=np.int16)[:, None]
     for n in np.unique(size).tolist():
         for part in np.array_split(which := np.flatnonzero(size == n), len(which) // 20_000 + 1):
-            patterns = index.text[begin[part][:, None] + np.arange(n)]
+            patterns = index.text[begin[part] + np.arange(n)[:, None]]
             low = band[part] * cfg.band + start[part] - cfg.edits
-            cost = np.zeros((len(part), width), np.int32)
-            for i in range(n):
-                text = padded[low[:, None] + (i + shift + step)]
-                new = cost + (text != patterns[:, i : i + 1])
-                new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
-                cost = np.minimum.accumulate(new - step, axis=1) + step
-            k = cost.argmin(axis=1)
-            best[part] = cost[np.arange(len(part)), k]
-            end[part] = low + k + n
+            for ahead in (False, True):
+                cost = np.zeros((width, len(part)), np.int16)
+                for k in range(n if ahead else min(n, LOOK)):
+                    i = k if ahead else n - 1 - k
+                    new = cost + (rows[low + (i + shift)].T != patterns[i])
+                    if ahead:
+                        np.minimum(new[:-1], cost[1:] + 1, out=new[:-1])
+                        cost = np.minimum.accumulate(new - step, axis=0) + step
+                    else:
+                        np.minimum(new[1:], cost[:-1] + 1, out=new[1:])
+                        cost = np.minimum.accumulate((new + step)[::-1], axis=0)[::-1] - step
+                    if k % 8 == 7:
+                        keep = np.flatnonzero(cost.min(axis=0) <= edits[part])
+                        if len(keep) < len(part):
+                            part, low, patterns, cost = part[keep], low[keep], patterns[:, keep], cost[:, keep]
+            if len(part):
+                k = cost.argmin(axis=0)
+                best[part] = cost[k, np.arange(len(part))]
+                end[part] = low + k + n
     return best, end
 
 
-def find_leaks(texts: list[bytes], index: Index, cfg: LeakConfig) -> list[tuple[int, int, int, int, int]]:
+def find_leaks(texts: list[bytes], index: Index, cfg: LeakConfig) -> list[tuple[int, int | None, int, int, int]]:
     """(text number, item, windows found, least edits, end of the first match)."""
+    out = [(t, i, 1, 0, len(text)) for t, text in enumerate(texts) for i in index.short.get(text, ())]
+    if not len(index.grams):
+        return out
     gap = b"\x00" * (cfg.edits + 1)  # a match cannot reach over it
     data = np.frombuffer(gap.join([*texts, b""]), np.uint8)
-    item, start, band = candidate_bands(data, index, cfg)
-    if not len(item):
-        return []
-    best, end = align(data, index, item, start, band, cfg)
-    ok = best <= index.edits[item]
-    item, window, best, end = item[ok], start[ok], best[ok], end[ok]
     starts = np.cumsum([0, *[len(t) + len(gap) for t in texts]])
-    text = np.searchsorted(starts, end - 1, "right") - 1
+    at, gram = known_grams(data, index, cfg)
     found: dict[tuple[int, int], list] = {}
-    for t, i, w, b, e in zip(text.tolist(), item.tolist(), window.tolist(), best.tolist(), (end - starts[text]).tolist(), strict=True):
-        f = found.setdefault((t, i), [set(), b, e])
-        f[0].add(w)
-        f[1], f[2] = min(f[1], b), min(f[2], e)
-    return [(t, int(index.ids[i]), len(ws), b, e) for (t, i), (ws, b, e) in sorted(found.items())]
+    for i, j in hit_runs(at, gram, index, cfg):
+        item, start, band = candidate_bands(at[i:j], gram[i:j], index, cfg)
+        if not len(item):
+            continue
+        best, end = align(data, index, item, start, band, cfg)
+        ok = best <= index.edits[item]
+        item, window, best, end = item[ok], start[ok], best[ok], end[ok]
+        text = np.searchsorted(starts, end - 1, "right") - 1
+        for t, k, w, b, e in zip(text.tolist(), item.tolist(), window.tolist(), best.tolist(), (end - starts[text]).tolist(), strict=True):
+            f = found.setdefault((t, k), [set(), b, e])
+            f[0].add(w)
+            f[1], f[2] = min(f[1], b), min(f[2], e)
+    return out + [(t, index.ids[k], len(ws), b, e) for (t, k), (ws, b, e) in sorted(found.items())]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig()) -> DataFrame:
@@ -211,7 +260,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig())
     total = sized.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n_blocks = int(total) // cfg.block_grams + 1
 
-    def scan(items: list[tuple[int, bytes]]) -> DataFrame:
+    def scan(items: list[tuple[int | None, bytes]]) -> DataFrame:
         index = spark.sparkContext.broadcast(build_index(items, cfg))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,10 +276,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig())
 
     parts = []
     for k in range(n_blocks):
-        block = sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).collect()
-        items = [(r["item_id"], t) for r in block if r["item_id"] is not None and len(t := normalise(r["text"])) >= cfg.min_length]
+        block = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
+        items = [(r["item_id"], t) for r in block if (t := normalise(r["text"]))]
         if items:
-            parts.append(scan(sorted(items)))
+            parts.append(scan(sorted(items, key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
     return reduce(DataFrame.unionByName, parts) if parts else docs.limit(0).select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("item_id", "n_windows", "min_edits", "first_at")])
 
 
@@ -240,4 +289,4 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakCo
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
     found = leaks(docs.select(F.xxhash64(key).alias("doc_id"), "text"), benchmark, cfg)
     bad = materialize(found.select(F.col("doc_id").alias("__leak_key")).distinct(), "leaks")
-    return docs.join(bad, F.xxhash64(key) == F.col("__leak_key"), "left_anti")
+    return docs.join(bad, F.xxhash64(key) == bad["__leak_key"], "left_anti")

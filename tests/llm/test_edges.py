@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import public_tokenizers
 from fleetlens.llm import decontamination, jaccard_join, language_model, licenses, mixing, quality_rules, substring_dedup, token_counts, token_files, toxicity
+from fleetlens.llm.common import shared_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, class long, _text string, _row string, kept boolean, key string, _key long, words long"
 LONG = " ".join(f"word{i * 7919 % 1000003}" for i in range(150_000)) + "."
@@ -107,9 +109,11 @@ def test_near_copies_in_one_large_group(spark, monkeypatch, kind, rounds):
 def test_leaks(spark, docs, empty):
     items = spark.createDataFrame([(1, " ".join(PROSE.split()[20:50])), (2, None), (3, ""), (None, PROSE), (4, "tiny")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, items).collect()}
-    assert got == {(1, 1), (2, 1), (None, 1)}
+    assert got == {(1, 1), (2, 1), (None, 1), (1, None), (2, None), (None, None)}
     left = decontamination.drop_leaking(docs, items)
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [3, 4, 5, 6, 7, 8]
+    clash = docs.withColumn("__leak_key", F.lit(1).cast("long"))
+    assert decontamination.drop_leaking(clash, items).columns == clash.columns and decontamination.drop_leaking(clash, items).count() == 6
     assert decontamination.leaks(empty, items).count() == 0
     assert decontamination.leaks(docs, items.limit(0)).count() == 0
 
@@ -120,6 +124,50 @@ def test_leaks_in_blocks(spark, docs):
     assert set(map(tuple, decontamination.leaks(docs, items, small).collect())) == set(map(tuple, decontamination.leaks(docs, items).collect()))
 
 
+def test_short_items_are_leaked_by_equal_texts_only(spark):
+    items = spark.createDataFrame([(1, "Two plus two?"), (2, "two PLUS two"), (3, "?!"), (None, "a")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "two plus  two"), (2, "what is two plus two now"), (3, "A."), (4, "?!"), (5, None)], "doc_id long, text string")
+    got = {tuple(r) for r in decontamination.leaks(df, items).collect()}
+    assert got == {(1, 1, 1, 0, 12), (1, 2, 1, 0, 12), (3, None, 1, 0, 1)}
+
+
+def test_passage_in_many_items_and_documents():
+    """A common prompt is worked on in bounded runs; they find what one run finds."""
+    rng = np.random.default_rng(5)
+    letters = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    prompt = letters(64)
+    items = [(i, prompt + letters(60)) for i in range(40)] + [(200, b"ab" * 40), (201, letters(20))]
+    texts = [letters(int(rng.integers(0, 300))) + prompt + (items[k % 40][1][64 : 64 + k] if k % 2 else b"") + letters(50) for k in range(30)]
+    texts += [b"", b"ab" * 300, items[-1][1], b"x" + items[-1][1], b"", prompt[:40] + letters(40)]
+    whole = decontamination.LeakConfig(hits=1 << 40)
+    index = decontamination.build_index(items, whole)
+    want = decontamination.find_leaks(texts, index, whole)
+    assert len(want) >= 30 * 40
+    for hits in (1, 5_000, 20_000):
+        cfg = decontamination.LeakConfig(hits=hits)
+        assert decontamination.find_leaks(texts, index, cfg) == want
+        at, gram = decontamination.known_grams(np.frombuffer(b"\0".join(texts), np.uint8), index, cfg)
+        n = index.first[gram + 1] - index.first[gram]
+        runs = list(decontamination.hit_runs(at, gram, index, cfg))
+        assert len(runs) > 1 and runs[0][0] == 0 and runs[-1][1] == len(at)
+        assert all(n[i:j].sum() <= max(hits, 160 * n.max()) for i, j in runs)
+
+
+def test_token_files_of_one_id(spark):
+    """Rows without an id, and equal rows, are spread over the shards."""
+    rows = [(None, "same text here")] * 600 + [(None, f"text {i}") for i in range(300)] + [(4, "x"), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = token_files.write_token_files(df, shared_path(spark, "one-id"), path, 2)
+    n_docs = [r["n_docs"] for r in manifest.collect()]
+    assert sum(n_docs) == 902 and max(n_docs) < 350
+    got = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 900 + [1, 4]
+    assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got][:-1]]).tolist()
+    same = max({r["ids_crc32"] for r in got}, key=[r["ids_crc32"] for r in got].count)
+    assert [r["ids_crc32"] for r in got].count(same) == 600
+
+
 def test_mixing(docs, empty):
     got = mixing.op3_mixing(docs).collect()
     assert len(got) == 10 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
