@@ -6,6 +6,8 @@ join is a salted shuffle join: each fact row gets a deterministic salt in
 ``[0, buckets)`` and the (unique-keyed) dimension is replicated once per salt,
 so a hot key that holds a third of the fact rows is spread over ``buckets``
 tasks instead of one. AQE's skew-join splitting stays on as a second line.
+A dimension found too large is never broadcast: Spark estimates it by the bytes of
+its (compressed) files, without the salt's copies, so such joins ask for a merge join.
 """
 
 from __future__ import annotations
@@ -92,7 +94,7 @@ def join_dimension(
     if known_small or row_count_at_most(dim, max_broadcast_rows):
         return fact.join(F.broadcast(dim), keys, how)
     if salt_by is None or salt_buckets <= 1 or how not in ("left", "inner", "left_outer"):
-        return fact.join(dim, keys, how)
+        return fact.join(dim.hint("merge"), keys, how)
     salt_src = F.col(salt_by) if isinstance(salt_by, str) else salt_by
     # a NULL key matches nothing: such rows get salts beyond the replicated ones,
     # which spreads them instead of sending all to salt_buckets tasks
@@ -103,7 +105,7 @@ def join_dimension(
     salt = F.when(null_key, salt_buckets + F.pmod(h, F.lit(1 << 20))).otherwise(F.pmod(h, F.lit(salt_buckets)))
     salted_fact = fact.withColumn(_SALT, salt.cast("int"))
     salted_dim = dim.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-    return salted_fact.join(salted_dim, [*keys, _SALT], how).drop(_SALT)
+    return salted_fact.join(salted_dim.hint("merge"), [*keys, _SALT], how).drop(_SALT)
 
 
 def spread_small_input(df: DataFrame, min_partitions: int | None = None) -> DataFrame:

@@ -43,3 +43,17 @@ def test_hot_job_salted_equals_broadcast(spark):
     agg_plan = summaries.job_aggregate(salted)._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in agg_plan  # the hot job is pre-reduced per task before the shuffle
     assert sum(v[0] for v in a.values()) == pytest.approx(wide.agg(F.sum("estimated_cost")).first()[0])
+
+
+@pytest.mark.parametrize("salt_by", ["run_id", None])
+def test_a_dimension_found_too_large_is_never_broadcast(spark, salt_by):
+    """Nor where Spark takes it for small by the bytes of its plan."""
+    from fleetlens.plans.joins import join_dimension
+
+    fact = spark.range(200).select(F.col("id").alias("run_id"), F.when(F.col("id") % 9 > 0, F.col("id") % 40).alias("job_id"))
+    dim = spark.range(30).select(F.col("id").alias("job_id"), F.col("id").cast("string").alias("name"))
+    out = join_dimension(fact, dim, "job_id", "left", max_broadcast_rows=10, salt_by=salt_by)
+    want = {(i, i % 40 if i % 9 else None, str(i % 40) if i % 9 and i % 40 < 30 else None) for i in range(200)}
+    assert {(r.run_id, r.job_id, r.name) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
