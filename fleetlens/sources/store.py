@@ -61,6 +61,12 @@ class Batch:
     clusters: DataFrame | None = None
 
 
+def _by_merge(keys: DataFrame) -> DataFrame:
+    """Keys of a batch or of the store, for a join: as many as there are records, so they
+    are not broadcast, whatever Spark estimates from the bytes of their files."""
+    return keys.hint("merge")
+
+
 def last_landed(records: DataFrame, key: str) -> DataFrame:
     """One record per key, the one landed last (all columns but ``_landed``).
     Without that column the keys must be unique or their choice does not matter."""
@@ -187,7 +193,7 @@ class WorkspaceStore:
         """Folder of table ``name`` with ``records`` over what it has now."""
         key = _SMALL[name][0]
         new = last_landed(records, key)
-        kept = self.read(name, state).join(new.select(key), key, "left_anti")
+        kept = self.read(name, state).join(_by_merge(new.select(key)), key, "left_anti")
         return self._write_small(name, kept.select(*_SMALL[name][1].names).unionByName(new.select(*_SMALL[name][1].names)))
 
     def _merge_clusters(self, batch: Batch, state: dict) -> tuple[dict, int]:
@@ -201,14 +207,14 @@ class WorkspaceStore:
         names, offered = S.CLUSTERS.names, 0
         arrived = self._spark.createDataFrame([], S.CLUSTERS)
         if batch.clusters is not None:
-            offered = batch.clusters.join(wanted, "cluster_id", "left_semi").count()
+            offered = batch.clusters.join(_by_merge(wanted), "cluster_id", "left_semi").count()
             arrived = last_landed(batch.clusters, "cluster_id").select(*names)
-        candidates = arrived.unionByName(waiting.join(arrived.select("cluster_id"), "cluster_id", "left_anti").select(*names))
-        entering = candidates.join(wanted, "cluster_id", "left_semi")
-        kept = stored.join(entering.select("cluster_id"), "cluster_id", "left_anti")
+        candidates = arrived.unionByName(waiting.join(_by_merge(arrived.select("cluster_id")), "cluster_id", "left_anti").select(*names))
+        entering = candidates.join(_by_merge(wanted), "cluster_id", "left_semi")
+        kept = stored.join(_by_merge(entering.select("cluster_id")), "cluster_id", "left_anti")
         out = {
             "clusters": self._write_small("clusters", kept.select(*names).unionByName(entering.select(*names))),
-            "clusters_waiting": self._write_small("clusters_waiting", candidates.join(wanted, "cluster_id", "left_anti")),
+            "clusters_waiting": self._write_small("clusters_waiting", candidates.join(_by_merge(wanted), "cluster_id", "left_anti")),
         }
         return out, offered
 
@@ -226,12 +232,12 @@ class WorkspaceStore:
         old = self._places(keys, parts)
         touched = {r[0] for r in old.select("day").union(new.select("day")).distinct().collect()}
         held = self._days({d: days[d] for d in touched if d in days})
-        merged = held.join(new.select("run_id"), "run_id", "left_anti").select(*S.RUNS.names, "day").unionByName(new.drop("bucket"))
+        merged = held.join(_by_merge(new.select("run_id")), "run_id", "left_anti").select(*S.RUNS.names, "day").unionByName(new.drop("bucket"))
         # few files a day; a large day is split over several writers
         merged.hint("rebalance", F.col("day")).write.partitionBy("day").parquet(f"{self._root}/runs/part={part}")
         written = {r[0] for r in spark.read.schema("day string").parquet(f"{self._root}/runs/part={part}").select("day").distinct().collect()}
         days = {d: p for d, p in days.items() if d not in touched} | {d: part for d in written}
-        moved = keys.join(old.withColumnRenamed("day", "was"), "run_id", "left").where(F.col("was").isNull() | (F.col("was") != F.col("day")))
+        moved = keys.join(_by_merge(old.withColumnRenamed("day", "was")), "run_id", "left").where(F.col("was").isNull() | (F.col("was") != F.col("day")))
         self._write_index(moved.select("run_id", "day", "bucket"), part)
         parts.append(part)
         if len(parts) > INDEX_PARTS:
@@ -260,7 +266,7 @@ class WorkspaceStore:
         keys are read (``INDEX_BUCKETS`` numbers at most reach the driver)."""
         buckets = [r[0] for r in keys.select("bucket").distinct().collect()]
         index = self._index(parts).where(F.col("bucket").isin(buckets))
-        return self._latest_places(index.join(keys.select("run_id"), "run_id", "left_semi")).select("run_id", "day")
+        return self._latest_places(index.join(_by_merge(keys.select("run_id")), "run_id", "left_semi")).select("run_id", "day")
 
     def delete(self, path: str) -> None:
         """Delete a folder that no commit names."""

@@ -197,3 +197,13 @@ def test_save_pricing_config_replaces_the_entries_or_nothing(spark, scratch):
     assert stored() == {("n3", 1.0, "premium")}
     config = json.loads(store.metadata_get(pricing.CONFIG_KEY))
     assert config["cluster_node_types"] == ["n1"] and config["last_refreshed_at"] == "t0"
+
+
+def test_the_keys_of_a_sync_are_not_broadcast(spark, scratch):
+    store = WorkspaceStore(spark, scratch)
+    store.sync(Batch(runs=runs_of(spark, [(1, T0, 5), (2, T0 + DAY, 6), (None, None, 7)])), "now")
+    keys = spark.range(2, 4).select(F.col("id").alias("run_id"), F.lit("d").alias("day"), F.pmod(F.xxhash64("id"), F.lit(ST.INDEX_BUCKETS)).cast("int").alias("bucket"))
+    found = store._places(keys, store.state()[1]["index"])
+    assert [tuple(r) for r in found.collect()] == [(2, "2024-01-02")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
