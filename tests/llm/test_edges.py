@@ -306,3 +306,36 @@ def test_empty_pipeline(spark, tmp_path):
     documents(spark, "/root/testdata/sf0.001").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_family_of_near_copies_costs_rows_by_its_members(spark):
+    """Rows of what meets: one for each bucket and group, and a few for each class,
+    not one for each class and key (300 keys of 40 classes here)."""
+    import pyarrow as pa
+
+    J = jaccard_join
+    rng = np.random.default_rng(3)
+    classes = np.arange(1, 41, dtype=np.int64) * 1001
+    entries = [(k, c) for k in range(300) for c in rng.permutation(classes)[: 2 if k == 0 else 38].tolist()]
+    keys = np.array([k * 7919 for k, _ in entries], np.uint64)
+    tags = np.array([c << 2 | 3 for _, c in entries], np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([keys.tobytes()], pa.binary()), pa.array([tags.tobytes()], pa.binary())], ["bucket", "keys", "tags"])
+    met = [r for out in J._meet([5, 6, 7])(iter([batch])) for r in out.to_pylist()]
+    assert len([r for r in met if r["bucket"] is not None]) <= 3
+    met_df = spark.createDataFrame([tuple(r[c] for c in J.MET_COLUMNS) for r in met], J.MET)
+    pairs = J.centre_pairs(met_df).collect()
+    assert len(pairs) <= 6 * len(classes)
+    assert {r["b"] for r in pairs} == set(classes.tolist())
+    assert [tuple(sorted((r["a"], r["b"]))) for r in pairs if r["n_two"]] == [tuple(sorted(c for k, c in entries if k == 0))]
+
+    # the partners are those that met a class most often
+    count = {}
+    for r in met:
+        if r["bucket"] is not None:
+            for a, b, n in zip(*(np.frombuffer(r[c], np.int64).tolist() for c in ("a", "b", "n_keys")), strict=True):
+                if a != b:
+                    count[b, a] = count.get((b, a), 0) + n
+    for c in {b for b, _ in count}:
+        best = sorted((-n, a) for (b, a), n in count.items() if b == c)
+        assert [r["a"] for r in sorted((r for r in pairs if r["b"] == c and (r["rank"] or 9) <= J.FIRST_PARTNERS), key=lambda r: r["rank"])] == [a for _, a in best[: J.FIRST_PARTNERS]]
+        assert [r["a"] for r in pairs if r["b"] == c and r["hub"]] == [max(a for n, a in best if n == best[0][0])]
