@@ -339,3 +339,39 @@ def test_a_family_of_near_copies_costs_rows_by_its_members(spark):
         best = sorted((-n, a) for (b, a), n in count.items() if b == c)
         assert [r["a"] for r in sorted((r for r in pairs if r["b"] == c and (r["rank"] or 9) <= J.FIRST_PARTNERS), key=lambda r: r["rank"])] == [a for _, a in best[: J.FIRST_PARTNERS]]
         assert [r["a"] for r in pairs if r["b"] == c and r["hub"]] == [max(a for n, a in best if n == best[0][0])]
+
+
+def test_the_original_of_a_family_is_found_over_all_buckets(spark):
+    """A variant that is in two groups of a bucket meets more there than the original,
+    which meets most in all buckets together."""
+    import pyarrow as pa
+
+    J = jaccard_join
+    original, variants = 5_000_001, [1001 * k for k in range(1, 31)]
+    rows, expected = [], {}
+    for bucket in range(30):
+        groups = [[original, *(v for i, v in enumerate(variants) if i != bucket)], [variants[(bucket + 1) % 30], variants[(bucket + 2) % 30], variants[(bucket + 3) % 30]]]
+        keys = np.concatenate([np.full(len(g), 10 * bucket + k, np.uint64) for k, g in enumerate(groups)])
+        tags = np.array([c << 2 | 3 for g in groups for c in g], np.uint64)
+        batch = pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([keys.tobytes()], pa.binary()), pa.array([tags.tobytes()], pa.binary())], ["bucket", "keys", "tags"])
+        rows += [r for out in J._meet([5, 6, 7])(iter([batch])) for r in out.to_pylist()]
+        for g in groups:
+            for c in g:
+                expected[c] = expected.get(c, 0) + len(g) - 1
+    pairs = J.centre_pairs(spark.createDataFrame([tuple(r[c] for c in J.MET_COLUMNS) for r in rows], J.MET)).collect()
+    assert {r["b"]: r["met"] for r in pairs if r["met"] is not None} == expected
+    assert all(r["a"] == r["b"] for r in pairs if r["met"] is not None)
+
+
+def test_small_steps_write_few_files(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60) if i % 6], "a long, b long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        labels = jaccard_join.components(edges)
+        assert len(labels.inputFiles()) <= jaccard_join.LEAST_TASKS
+        assert {r["class"]: r["label"] for r in labels.collect()} == {i: max((i - 1) // 6 * 6 + 1, 1) for i in range(1, 61)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
